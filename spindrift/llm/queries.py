@@ -2,17 +2,55 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing
+from . import bpe, bwt, jaccard, linededup, matroska, mixing, topk, unigram, warc
 from .common import table
 
 
+def op1_topk(spark, sf_dir):
+    return topk.query(table(spark, sf_dir, "embeddings"))
+
+
+def op3_tokens(spark, sf_dir):
+    return unigram.query(table(spark, sf_dir, "documents"))
+
+
+def op4_matroska(spark, sf_dir):
+    return matroska.query(table(spark, sf_dir, "documents"))
+
+
+def op5_bwt(spark, sf_dir):
+    return bwt.query(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark, sf_dir):
+    return warc.query(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_lines(spark, sf_dir):
+    return linededup.query(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark, sf_dir):
     return bpe.query(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark, sf_dir):
+    return jaccard.query(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_bpe": op8_bpe, "op10_mixing": op10_mixing}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_topk": op1_topk,
+    "op3_tokens": op3_tokens,
+    "op4_matroska": op4_matroska,
+    "op5_bwt": op5_bwt,
+    "op6_warc": op6_warc,
+    "op7_lines": op7_lines,
+    "op8_bpe": op8_bpe,
+    "op9_jaccard": op9_jaccard,
+    "op10_mixing": op10_mixing,
+}
+SQL: dict[str, str] = {"op1_topk": topk.SQL, "op7_lines": linededup.SQL}
