@@ -114,7 +114,7 @@ def _extras(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def rounded_copies(base: DataFrame, rates: DataFrame, most: int = 3, parts: int = 64) -> DataFrame:
-    """(doc_id, source, size) with whole copies near each source's rate, at most `most` for a document.
+    """base (doc_id, source, size and what else it has) with whole copies near each source's rate, at most `most` for a document.
 
     Documents of one source and size are interchangeable. From the largest size down, each size rounds the
     extra copies it needs and carries the rest (under half a document) to the next, so a source misses its
@@ -126,6 +126,7 @@ def rounded_copies(base: DataFrame, rates: DataFrame, most: int = 3, parts: int
     rates = rates.withColumn("whole", k)
     rates = rates.withColumn("frac", F.when(F.col("whole") >= most, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))))
     rates = rates.select(F.col("source").alias("__s"), "whole", "frac")
+    columns = base.columns
     base = base.withColumn("__h", F.xxhash64("doc_id")).withColumn("__b", F.pmod("__h", F.lit(parts)).cast("int"))
     cells = base.groupBy("source", "size", "__b").agg(F.count("*").alias("nb"))
     per_size = cells.groupBy("source", "size").agg(F.sum("nb").alias("n"))
@@ -140,7 +141,7 @@ def rounded_copies(base: DataFrame, rates: DataFrame, most: int = 3, parts: int
     rank = F.row_number().over(Window.partitionBy("source", "size", "__b").orderBy("__h", F.col("doc_id").asc_nulls_last()))
     ranked = base.withColumn("__r", rank)
     on = F.col("source").eqNullSafe(F.col("__cs")) & (F.col("size") == F.col("__cz")) & (F.col("__b") == F.col("__cb"))
-    return ranked.join(cells, on).select("doc_id", "source", "size", (F.col("whole") + (F.col("__r") <= F.col("mb")).cast("long")).alias("copies"))
+    return ranked.join(cells, on).select(*columns, (F.col("whole") + (F.col("__r") <= F.col("mb")).cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -151,6 +152,16 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: int = 3) -> tuple[DataFr
     return rounded_copies(base, rates, most), rates
 
 
+def mixed(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: int = 3) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    base = docs.select("doc_id", "source", size.alias("size"), F.struct(*docs.columns).alias("__row"))
+    totals = base.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rates = staged(balance_one(weighted_targets(totals, weights, most)), "rates")
+    copies = rounded_copies(base, rates, most).where("copies > 0")
+    return copies.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__row.*")
+
+
 def query(docs: DataFrame) -> DataFrame:
     """The registered query: each document with its source's size and target and the words that the mix takes."""
     copies, rates = mix(docs)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, bwt, jaccard, linededup, matroska, mixing, topk, unigram, warc
+from . import bpe, bwt, jaccard, linededup, matroska, mixing, topk, toxicity, unigram, warc
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_topk(spark, sf_dir):
     return topk.query(table(spark, sf_dir, "embeddings"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_tokens(spark, sf_dir):
     return unigram.query(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_mixing(spark, sf_dir):
 
 QUERIES = {
     "op1_topk": op1_topk,
+    "op2_toxicity": op2_toxicity,
     "op3_tokens": op3_tokens,
     "op4_matroska": op4_matroska,
     "op5_bwt": op5_bwt,
