@@ -12,6 +12,8 @@ Only links between components matter to the result, so a frequent prefix token d
    proposals that pass the filters are verified;
 2. tokens whose classes are now all in one component are done; for the rest all pairs of classes from different
    components meet on the token, pass the length, positional and suffix filters, and are verified, each pair once.
+   The suffix filter bounds from below how many n-grams differ, by a partition of the sets: 512 parts by hash, of
+   each of which the parity of its size is kept, so that the bound is a count of bits.
 
 Step 2 leaves no pair out, so components are exact. Verifying reads both whole texts again and intersects the
 sets. Components come from alternating star contractions, with a checkpoint a round; nothing is collected but the
@@ -36,7 +38,8 @@ from .common import salted_left_join, small_batches, staged
 
 BUCKETS = 1 << 18
 PART_BYTES = 4 << 20
-OCTANTS = 8
+#: Parts of a set by hash, for the suffix filter.
+PARTS = 512
 
 _rng = np.random.default_rng(20240229)
 _SPACE = np.zeros(256, bool)
@@ -118,6 +121,12 @@ def _sid(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _parities(s: np.ndarray) -> list[int]:
+    """Each n-gram that only one of two sets holds changes one bit, so sets differ in as many n-grams as bits at least."""
+    odd = np.bincount((s & np.uint64(PARTS - 1)).astype("int64"), minlength=PARTS) & 1
+    return np.packbits(odd.astype("uint8")).view("<i8").tolist()
+
+
 def _kind(df: DataFrame, c: str) -> str:
     return df.schema[c].dataType.simpleString()
 
@@ -139,9 +148,8 @@ def counts(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """A row per class: sid, n, octants (sizes of the set's parts by hash), prefix (array of tokens, rare first)."""
+    """A row per class: sid, n, parities (of the sizes of the set's parts, as bits), prefix (array of tokens, rare first)."""
     table = docs.sparkSession.sparkContext.broadcast(counts(docs, n))
-    octants = pa.list_(pa.int32())
 
     def run(batches):
         freq = table.value
@@ -152,12 +160,12 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     continue
                 order = np.lexsort((s, freq[(s >> np.uint64(46)).astype("int64")]))
                 keep = len(s) - -(-num * len(s) // den) + 1
-                for to, x in zip(rows, (_sid(s), len(s), np.bincount((s & np.uint64(OCTANTS - 1)).astype("int64"), minlength=OCTANTS).tolist(), s[order[:keep]].astype("int64").tolist())):
+                for to, x in zip(rows, (_sid(s), len(s), _parities(s), s[order[:keep]].astype("int64").tolist())):
                     to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], "int64"), pa.array(rows[1], "int64"), pa.array(rows[2], octants), pa.array(rows[3], pa.list_(pa.int64()))], ["sid", "n", "octants", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], "int64"), pa.array(rows[1], "int64"), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.list_(pa.int64()))], ["sid", "n", "parities", "prefix"])
 
-    all_rows = docs.select("text").mapInArrow(run, "sid bigint, n bigint, octants array<int>, prefix array<bigint>")
-    return all_rows.groupBy("sid").agg(F.first("n").alias("n"), F.first("octants").alias("octants"), F.first("prefix").alias("prefix"))
+    all_rows = docs.select("text").mapInArrow(run, "sid bigint, n bigint, parities array<bigint>, prefix array<bigint>")
+    return all_rows.groupBy("sid").agg(F.first("n").alias("n"), F.first("parities").alias("parities"), F.first("prefix").alias("prefix"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,15 +186,15 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("sid"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("sid"), F.col("v").alias("root")).distinct())
 
 
-def _filters(pairs: DataFrame, num: int, den: int, suffix: bool) -> DataFrame:
-    """pairs: a, b, na, nb, pa, pb (places of the first shared prefix token), with octants oa, ob for the suffix filter."""
-    need = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))  # least intersection
+def _need(num: int, den: int):
+    """Least intersection of two sets that are similar."""
+    return F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
+
+
+def _filters(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Length and positional filters. pairs: a, b, na, nb, pa, pb (places of the first shared prefix token)."""
     pairs = pairs.where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
-    pairs = pairs.where(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
-    if suffix:
-        bound = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        pairs = pairs.where(bound >= need)
-    return pairs
+    return pairs.where(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _need(num, den))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -241,24 +249,24 @@ def links(docs: DataFrame, n: int, num: int, den: int, rounds: int = 2) -> tuple
             rows = rows.withColumn("root", F.col("sid"))
         named = salted_left_join(rows, rows.groupBy("tok").agg(first.alias("c")), "tok", ["sid"]).select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"), "c.b", "c.nb", "c.pb", "c.rb")
         votes = named.where("ra <> rb").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.min("pa").alias("pa"), F.min("pb").alias("pb"), F.count("*").alias("votes"))
-        votes = _filters(votes, num, den, False).withColumn("first", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("votes"), "b"))).where("first = 1")
+        votes = _filters(votes, num, den).withColumn("first", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("votes"), "b"))).where("first = 1")
         pairs = staged(votes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         new = staged(verified(pairs, docs, reps, n, num, den), "links")
         found = new if found is None else found.unionByName(new)
         roots = components(found)
     rows = tok.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     live = rows.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tok")
-    rows = rows.join(live, "tok", "left_semi").join(pre.select("sid", "octants"), "sid")
-    side = lambda s: rows.select("tok", F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("root").alias(f"r{s}"), F.col("octants").alias(f"o{s}"))
+    rows = rows.join(live, "tok", "left_semi").join(pre.select("sid", "parities"), "sid")
+    side = lambda s: rows.select("tok", F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("root").alias(f"r{s}"), F.col("parities").alias(f"o{s}"))
     a, b = side("a"), side("b")
-    # need depends on sizes and places alone, so unlikely pairs go within the join
+    # the filters need sizes, places and parities alone, so unlikely pairs go within the join
     ok = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    need = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
-    ok = ok & (F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
-    ok = ok & (F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x) >= need)
+    ok = ok & (F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _need(num, den))
+    differ = sum((F.bit_count(F.get("oa", F.lit(i)).bitwiseXOR(F.get("ob", F.lit(i)))) for i in range(PARTS // 64)), F.lit(0))
+    ok = ok & (differ <= F.col("na") + F.col("nb") - 2 * _need(num, den))
     pairs = a.join(b, (a["tok"] == b["tok"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & ok)
     pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-    pairs = staged(_filters(pairs, num, den, False).select("a", "b"), "pairs")
+    pairs = staged(_filters(pairs, num, den).select("a", "b"), "pairs")
     new = staged(verified(pairs, docs, reps, n, num, den), "links")
     return mem, components(found.unionByName(new))
 
