@@ -58,4 +58,4 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_mixing": op10_mixing,
 }
-SQL: dict[str, str] = {"op1_topk": topk.SQL, "op7_lines": linededup.SQL}
+SQL: dict[str, str] = {"op1_topk": topk.SQL, "op6_warc": warc.SQL, "op7_lines": linededup.SQL}

@@ -105,7 +105,8 @@ def convert(fields: dict[str, str], block: bytes, page: str = "", revisits: tupl
     """One ARC record as a WARC record. revisits: page and record id of the response that has the payload."""
     url, date = fields["URL"], fields["Archive-date"]
     head, payload = http_parts(block)
-    out = [("WARC-Type", "revisit" if revisits else "response"), ("WARC-Record-ID", record_id(url, date, page)), ("WARC-Date", iso(date)), ("WARC-Target-URI", url)]
+    name = f"page:{page}" if page else url  # revisits know the page of the response, but not its url
+    out = [("WARC-Type", "revisit" if revisits else "response"), ("WARC-Record-ID", record_id(name, date, page)), ("WARC-Date", iso(date)), ("WARC-Target-URI", url)]
     out += [("WARC-IP-Address", fields["IP-address"])] * (fields["IP-address"] not in ("", "-"))
     out += [("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
     if revisits:
@@ -147,7 +148,6 @@ def write_archives(pages: DataFrame, date: str = "20240101000000", version: int
     p = pages.select("page_id", "url", "html").withColumn("sha", F.unhex(F.sha1(F.coalesce("html", F.lit("")))))
     long_enough = F.octet_length(F.coalesce("html", F.lit(""))) >= min_bytes
     first = p.where(long_enough).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    # the response's url names its record
     first = first.where("n > 1").select("sha", "first")
     p = salted_left_join(p, first, "sha", ["page_id", "url"]).select("page_id", "url", "html", "first")
 
@@ -211,9 +211,13 @@ def query(pages: DataFrame) -> DataFrame:
 
 SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
-SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes,
-       CASE WHEN p.page_id > f.first OR (p.page_id IS NULL AND f.first IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN p.page_id > f.first OR (p.page_id IS NULL AND f.first IS NOT NULL) THEN f.first END AS refers_to
-FROM p JOIN f USING (html)
+f AS (SELECT html, min(page_id) AS first, sha1(html) AS h FROM p GROUP BY html),
+d AS (
+  SELECT html, first, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((((instr('0123456789abcdef', substr(h, i * 5 // 4 + 1, 1)) - 1) * 16 + instr('0123456789abcdef', substr(h, i * 5 // 4 + 2, 1)) - 1) >> (3 - i * 5 % 4)) & 31) + 1, 1)), 'string_agg', '') AS digest
+  FROM f)
+SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN p.page_id > d.first OR (p.page_id IS NULL AND d.first IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id > d.first OR (p.page_id IS NULL AND d.first IS NOT NULL) THEN d.first END AS refers_to
+FROM p JOIN d USING (html)
 """
