@@ -117,11 +117,13 @@ def epoch_marks(spark, sf):
     return m.withColumn("least", F.min("epoch").over(Window.partitionBy())).where("epoch > least").select("epoch", "first_us")
 
 
-_BANDS = "bands AS (SELECT t_s AS t0, 43200 AS dur FROM tl WHERE offered > 0 AND w % 20 = 10)"
+_BANDS = "bands AS (SELECT t_s AS t0, 43200 AS dur FROM tl WHERE failed = (SELECT max(failed) FROM tl))"
 
 
 def _bands(tl):
-    return tl.where("offered > 0 and w % 20 = 10").select(F.col("t_s").alias("t0"), F.lit(43200).alias("dur"))
+    """Half a day from each of the windows with most failures."""
+    most = tl.agg(F.max("failed").alias("most"))
+    return tl.join(F.broadcast(most), F.col("failed") == F.col("most")).select(F.col("t_s").alias("t0"), F.lit(43200).alias("dur"))
 
 
 @query("J16_band_join", f"WITH {_T}, {_BANDS} SELECT t0, t_s AS t, p99_us FROM tl JOIN bands ON t_s >= t0 AND t_s <= t0 + dur + 1")
@@ -137,7 +139,7 @@ def transition_cost(spark, sf):
     during = M.in_bands(tl.withColumn("t", F.col("t_s")), b).where("p99_us > 0").agg(F.max("p99_us").alias("during_us"))
     start = b.agg(F.min("t0").alias("first"))
     before = M.rank_quantiles(tl.join(F.broadcast(start)).where("p99_us > 0 and t_s < first").withColumn("one", F.lit(1)), ["one"], "p99_us", {"before_us": 0.99})
-    return during.join(F.broadcast(before.drop("one")))
+    return during.join(before.drop("one"), F.lit(True), "left")
 
 
 @query("W8_counter_deltas", f"WITH {S}, n AS (SELECT node, CAST(date_trunc('day', ts) AS DATE) AS d, count(*) AS c FROM s GROUP BY ALL), t AS (SELECT node, d, CAST(sum(c) OVER (PARTITION BY node ORDER BY d) AS BIGINT) AS total FROM n) SELECT node, CAST(d AS VARCHAR) AS d, total, total - lag(total) OVER (PARTITION BY node ORDER BY d) AS delta FROM t")
