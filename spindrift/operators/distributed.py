@@ -99,6 +99,20 @@ def pick_owner(owned: DataFrame) -> DataFrame:
     return n.groupBy("qid").agg(F.min(F.struct((-F.col("n")).alias("n"), "node")).alias("x")).select("qid", F.col("x.node").alias("owner"))
 
 
+def pick_entry(owned: DataFrame, entry: int) -> DataFrame:
+    """qid, owner: the entry itself aggregates."""
+    return owned.select("qid").distinct().withColumn("owner", F.lit(entry))
+
+
+def pick_warmup(owned: DataFrame, aggregators: list[int], entries: list[int]) -> DataFrame:
+    """qid, owner: nodes that aggregate and are no entries, in turn by order of query."""
+    free = sorted(set(aggregators) - set(entries))
+    if not free:
+        return pick_owner(owned)
+    turn = (F.row_number().over(Window.orderBy("qid")) - 1) % len(free)
+    return owned.select("qid").distinct().withColumn("owner", F.get(F.array(*[F.lit(n) for n in free]), turn.cast("int")))
+
+
 def fan_out(owned: DataFrame, nodes: int) -> DataFrame:
     n = owned.groupBy("qid").agg(F.countDistinct("node").alias("n"))
     share = lambda c, name: F.round(F.avg(c), 6).alias(name)

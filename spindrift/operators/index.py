@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,11 +111,36 @@ def sub_distances(df: DataFrame, key: str, vec: str, codebook: DataFrame, m: int
     return subs.join(F.broadcast(codebook), "sub").select(key, "sub", "code", V.l2sqr(F.col("__s"), F.col("c")).alias("dist"))
 
 
+def _codewords(codebook: DataFrame, m: int) -> np.ndarray:
+    """The codebook as (sub, code, component), on the driver: its size is fixed, m * 256 codewords at most."""
+    rows = sorted((r["sub"], r["code"], r["c"]) for r in codebook.collect())
+    return np.array([r[2] for r in rows], float).reshape(m, len(rows) // m, -1)
+
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
+
+
+def _sub_space_distances(x: np.ndarray, words: np.ndarray):
+    """For each sub-space, squared distances (row, code); exact, as all numbers are integers below 2^53."""
+    d = words.shape[2]
+    for i, w in enumerate(words):
+        s = x[:, i * d : (i + 1) * d]
+        yield (s * s).sum(axis=1)[:, None] + (w * w).sum(axis=1)[None] - 2 * (s @ w.T)
+
+
 def encode(vectors: DataFrame, codebook: DataFrame, m: int) -> DataFrame:
-    """vec_id, code (array of m): the nearest codeword of each sub-space, the smallest on ties."""
-    d = sub_distances(vectors, "vec_id", "v", codebook, m)
-    best = d.groupBy("vec_id", "sub").agg(F.min(F.struct("dist", "code")).alias("b"))
-    return best.groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sub", F.col("b.code").alias("code")))), lambda x: x["code"]).alias("code"))
+    """vec_id, code (array of m): the nearest codeword of each sub-space, the smallest on ties. No shuffle."""
+    words = _codewords(codebook, m)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                best = np.stack([d.argmin(axis=1) for d in _sub_space_distances(_matrix(b.column(1)), words)], axis=1)
+                codes = pa.ListArray.from_arrays(pa.array(np.arange(0, best.size + 1, m), "int32"), pa.array(best.astype("int32").ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), codes], ["vec_id", "code"])
+
+    return vectors.select("vec_id", "v").mapInArrow(run, "vec_id bigint, code array<int>")
 
 
 def decode(codes: DataFrame, codebook: DataFrame) -> DataFrame:
@@ -123,10 +150,17 @@ def decode(codes: DataFrame, codebook: DataFrame) -> DataFrame:
 
 
 def distance_tables(queries: DataFrame, codebook: DataFrame, m: int) -> DataFrame:
-    """qid, lut (m arrays of a distance per code)."""
-    d = sub_distances(queries, "qid", "qv", codebook, m)
-    rows = d.groupBy("qid", "sub").agg(F.transform(F.sort_array(F.collect_list(F.struct("code", "dist"))), lambda x: x["dist"]).alias("row"))
-    return rows.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("sub", "row"))), lambda x: x["row"]).alias("lut"))
+    """qid, lut (m arrays of a distance per code). No shuffle."""
+    words = _codewords(codebook, m)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                lut = np.stack(list(_sub_space_distances(_matrix(b.column(1)), words)), axis=1)
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(0, lut.size + 1, lut.shape[2]), "int32"), pa.array(np.rint(lut).astype("int64").ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) + 1, m), "int32"), rows)], ["qid", "lut"])
+
+    return queries.select("qid", "qv").mapInArrow(run, "qid bigint, lut array<array<bigint>>")
 
 
 def score(candidates: DataFrame, codes: DataFrame, luts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindrift.operators import metrics as M
-from spindrift.plans.registry import query
+from spindrift.plans.declare import query
 
 S = "s AS MATERIALIZED (SELECT event_id, ts, user_id AS node, event_type AS type, value, CAST(floor(value * 1000) AS BIGINT) AS us, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status FROM events WHERE ts IS NOT NULL)"
 

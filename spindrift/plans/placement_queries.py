@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from spindrift.operators import distributed as D
 from spindrift.operators import placement as M
-from spindrift.plans.registry import query
-from spindrift.plans.vector_queries import CTE, Tables, sql
+from spindrift.plans.declare import query
+from spindrift.plans.vector_queries import CTE, NEEDS, Tables, sql
 
 # 64 partitions on 4 nodes, a fifth joins
 OLD = "SELECT CAST(part AS INTEGER) AS part, CAST(part // 16 AS INTEGER) AS node FROM (SELECT unnest(range(64)) AS part)"
@@ -78,10 +78,7 @@ CTE["pmoves"] = "SELECT part // 4 AS src, 2 AS dst, part FROM (SELECT unnest([3,
 CTE["pnamed"] = "SELECT DISTINCT part, vec_id FROM post JOIN lp USING (list_id)"
 CTE["pmiss"] = "SELECT m.dst, min(m.src) AS src, n.vec_id FROM pnamed n JOIN pmoves m USING (part) WHERE NOT EXISTS (SELECT 1 FROM pnamed n2 JOIN pold o ON o.part = n2.part WHERE o.node = m.dst AND n2.vec_id = n.vec_id) GROUP BY m.dst, n.vec_id"
 CTE["pbytes"] = "SELECT lp.part, count(*) * 4 + (count(*) + 1) * 8 + coalesce(sum(n), 0) * 8 AS bytes FROM lp LEFT JOIN (SELECT list_id, count(*) AS n FROM post GROUP BY list_id) USING (list_id) GROUP BY lp.part"
-_needs = {"pnamed": ["post", "lp"], "pmiss": ["pnamed", "pmoves", "pold"], "pbytes": ["lp", "post"]}
-from spindrift.plans.vector_queries import NEEDS  # noqa: E402
-
-NEEDS.update(_needs)
+NEEDS.update({"pnamed": ["post", "lp"], "pmiss": ["pnamed", "pmoves", "pold"], "pbytes": ["lp", "post"]})
 
 
 class Move(Tables):
@@ -173,3 +170,40 @@ def not_resident(spark, sf):
     t = Move(spark, sf)
     resident = t.lp().join(t.old.where("node = 0"), "part").select("list_id")
     return t.nav().select("list_id").distinct().join(resident, "list_id", "left_anti")
+
+
+@query("J13_fetch_on_demand", sql("SELECT CAST(src AS INTEGER) AS src, count(*) AS fetched FROM (SELECT DISTINCT f.vec_id FROM filt f) a JOIN pmiss m USING (vec_id) GROUP BY src", "filt", "pmiss"))
+def fetch_on_demand(spark, sf):
+    """Vectors that the searches' filters name and the joining node has not yet, by the source they are pending from."""
+    t = Move(spark, sf)
+    return t.filt().select("vec_id").distinct().join(codes_missing(spark, sf), "vec_id").groupBy("src").agg(F.count("*").alias("fetched"))
+
+
+@query("P15_roles", f"SELECT node, count(*) > 0 AS is_owner, node % 2 = 0 AS is_entry FROM ({NEW}) GROUP BY node")
+def roles(spark, sf):
+    return M.apply_moves(_old(spark), _moves(spark)).groupBy("node").agg((F.count("*") > 0).alias("is_owner")).withColumn("is_entry", F.col("node") % 2 == 0)
+
+
+@query("M4_scale_in", "SELECT CAST(4 AS INTEGER) AS src, CAST(node AS INTEGER) AS dst, CAST(part AS INTEGER) AS part FROM (SELECT 51 + unnest(range(1, 13)) AS part) p JOIN (SELECT unnest(range(4)) AS node) n ON (63 - p.part) // 3 = n.node")
+def scale_in(spark, sf):
+    """64 partitions on 5 nodes, the last leaves: its partitions go from the end to the others in turn of need."""
+    _, moves = M.repartition(M.initial(64, [0, 1, 2, 3, 4]), [0, 1, 2, 3])
+    return spark.createDataFrame(moves, "src int, dst int, part int")
+
+
+@query("M5_reversible_scale_in", f"SELECT dst AS src, src AS dst, part FROM ({MOVES})")
+def reversible(spark, sf):
+    """The node that joined leaves again: what it was given goes home."""
+    start = M.initial(64, [0, 1, 2, 3])
+    h = M.History(start)
+    out, _ = M.repartition(start, [0, 1, 2, 3, 4])
+    h.record(out)
+    _, moves = M.repartition(out, [0, 1, 2, 3], h.owned)
+    return spark.createDataFrame(moves, "src int, dst int, part int")
+
+
+@query("M14_rescale_nodes", "SELECT CAST(unnest(['join', 'join', 'leave']) AS VARCHAR) AS what, CAST(unnest([4, 5, 3]) AS INTEGER) AS node")
+def rescale_nodes(spark, sf):
+    joins, _ = M.rescale_nodes([9, 5, 4], [1, 2, 3], 5)
+    _, leaves = M.rescale_nodes([], [1, 2, 3], 2)
+    return spark.createDataFrame([("join", n) for n in joins] + [("leave", n) for n in leaves], "what string, node int")

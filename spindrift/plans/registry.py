@@ -1,21 +1,8 @@
-"""All registered queries and the SQL that each must equal. Keys are operator numbers of the survey with a word."""
+"""All registered queries and the SQL that each must equal."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from spindrift.plans import metric_queries, placement_queries, star_queries, vector_queries  # noqa: F401
+from spindrift.plans.declare import QUERIES, SQL
 
-
-def query(name: str, sql: str | None = None):
-    """Registers a function of (spark, sf_dir)."""
-
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return put
-
-
-from spindrift.plans import metric_queries, placement_queries, star_queries, vector_queries  # noqa: E402, F401
+__all__ = ["QUERIES", "SQL"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spindrift.plans.registry import query
+from spindrift.plans.declare import query
 
 
 def _t(spark, sf, name):

@@ -8,7 +8,7 @@ from spindrift.functions import vectors as V
 from spindrift.operators import distributed as D
 from spindrift.operators import index as I
 from spindrift.operators import train
-from spindrift.plans.registry import query
+from spindrift.plans.declare import query
 
 P = I.Params()
 VPP = 16
@@ -305,6 +305,22 @@ def sweep(spark, sf):
     return D.sweep(t, [(2, 20), (4, 50), (8, 50)], exact_knn(spark, sf))
 
 
+@query("B11_cluster_stats", sql("SELECT count(*) AS leaves, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM (SELECT count(*) AS n FROM near WHERE rn = 1 GROUP BY list_id)", "near"))
+def cluster_stats(spark, sf):
+    n = nearest_head(spark, sf).groupBy("list_id").agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("leaves"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"))
+
+
+@query("R8_fused_calls", sql("SELECT qid, CAST(sum(1) AS BIGINT) AS owners, CASE WHEN count(*) = 1 THEN 1 ELSE count(*) + any_value(r) END AS calls FROM (SELECT own.qid, node FROM own GROUP BY own.qid, node) JOIN (SELECT qid, count(DISTINCT node) AS r FROM merged GROUP BY qid) USING (qid) GROUP BY qid", "own", "merged"))
+def fused_calls(spark, sf):
+    """Calls of the two-phase plan that fuses both phases where one node owns all lists."""
+    t = Tables(spark, sf)
+    own = t.own()
+    second = D.merge_origin(D.owner_filter(own, t.post(), t.codes(), t.luts(), P.n), P.n).groupBy("qid").agg(F.countDistinct("node").alias("r"))
+    n = own.groupBy("qid").agg(F.countDistinct("node").alias("owners")).join(second, "qid")
+    return n.select("qid", "owners", F.when(F.col("owners") == 1, F.lit(1).cast("long")).otherwise(F.col("owners") + F.col("r")).alias("calls"))
+
+
 # --- layout ----------------------------------------------------------------------------------------------------
 
 
@@ -415,7 +431,7 @@ def overhead(spark, sf):
     return D.overhead(t.nav(), t.lp(), t.post(), [1, 2, 4], PARTS, P.n)
 
 
-@query("A19_cost_model", sql("""SELECT qid, round(sum(66.5 + 22.0 + 0.093 * cand), 4) AS work, round(max(66.5 + 22.0 + 0.093 * cand), 4) AS latency FROM (SELECT qid, node, count(*) AS cand FROM ocand GROUP BY qid, node) GROUP BY qid""", "ocand"))
+@query("A19_cost_model", sql("""SELECT qid, round(sum(CAST(88.5 AS DOUBLE) + CAST(0.093 AS DOUBLE) * cand), 4) AS work, round(max(CAST(88.5 AS DOUBLE) + CAST(0.093 AS DOUBLE) * cand), 4) AS latency FROM (SELECT qid, node, count(*) AS cand FROM ocand GROUP BY qid, node) GROUP BY qid""", "ocand"))
 def cost_model(spark, sf):
     t = Tables(spark, sf)
     return D.filter_cost(t.own(), t.post())

@@ -360,3 +360,44 @@ def test_entry_without_llm(tmp_path):
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') for k in q), len(e.oracle_sql()))"], cwd=tmp_path / "r", capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
     assert out.stdout.split()[1] == "False" and int(out.stdout.split()[0]) > 80
+
+
+def test_options(tables):
+    from spindrift import options
+
+    for kind in (options.STRATEGIES, options.SELECTORS, options.POLICIES, options.PARTITIONERS, options.ARRIVALS, options.RATES, options.EPOCH_STORES):
+        with pytest.raises(ValueError):
+            options.option(kind, "no such")
+    for kind, name in ((options.STRATEGIES, "proportional-quota"), (options.SELECTORS, "outsource"), (options.PARTITIONERS, "locality"), (options.EPOCH_STORES, "etcd")):
+        with pytest.raises(Undecided):
+            options.option(kind, name)()
+    own = tables.own()
+    assert {r["owner"] for r in options.SELECTORS["warmup"](own, [0, 1, 2], [1]).collect()} == {0, 2}
+    assert {r["owner"] for r in options.SELECTORS["local"](own, 7).collect()} == {7}
+
+
+def test_synthetic(spark):
+    from spindrift.sources.synthetic import mixture
+
+    a = mixture(spark, 200, dim=32, clusters=20, parts=3)
+    assert rows(a, "vec_id", "embedding") == rows(mixture(spark, 200, dim=32, clusters=20, parts=7), "vec_id", "embedding")
+    assert a.select(F.max(F.array_max("embedding")), F.min(F.array_min("embedding"))).first()[0] <= 255
+
+
+def test_recall_of_search(spark):
+    """Mixture data, as a build with trained codewords: exhaustive re-ranking finds 95 % of the true neighbours."""
+    from spindrift.sources.synthetic import mixture
+
+    v = mixture(spark, 2000, dim=32, clusters=60).select("vec_id", V.quantised(F.col("embedding"), 1).alias("v")).cache()
+    q = I.query_set(v)
+    h = I.heads_of(v)
+    cb = train.train_codebook(v, 16, codes=256, iterations=6)
+    post = I.assign(v, h)
+    f = I.filter_stage(I.gather(I.navigate(q, h, 32), post), I.encode(v, cb, 16), I.distance_tables(q, cb, 16), 200)
+    truth = I.exact_knn(q, v, 10)
+    assert D.recall(truth, I.rerank(f, v, q, 10), 10).first()["recall"] >= 0.95
+    lay = I.bucket_layout(post.where("rank = 1"), 16)
+    quick = I.heuristic_rerank(f, v, q, lay, 10)
+    ids = quick.select("qid", F.explode("ids").alias("vec_id"))
+    assert D.recall(truth, ids, 10).first()["recall"] >= 0.8
+    v.unpersist()

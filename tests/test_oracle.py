@@ -31,6 +31,9 @@ def cell(x):
     return x if isinstance(x, (int, str)) else str(x)
 
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "array<bigint>": "BIGINT[]", "array<int>": "INTEGER[]"}
+
+
 def table(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return [columns[i] for i in order], sorted((tuple(cell(r[i]) for i in order) for r in rows), key=repr)
@@ -41,6 +44,9 @@ def test_query(spark, duck, sf, name):
     df = registry.QUERIES[name](spark, sf)
     got = table(df.columns, [tuple(r) for r in df.collect()])
     if name in registry.SQL:
+        r = duck.execute(registry.SQL[name])
+        kinds = {c[0]: str(c[1]) for c in duck.execute("DESCRIBE " + registry.SQL[name]).fetchall()}
+        assert {c: KINDS[k] for c, k in df.dtypes} == kinds
         r = duck.execute(registry.SQL[name])
         assert got == table([c[0] for c in r.description], r.fetchall())
     else:
