@@ -8,8 +8,9 @@ scan finds all maximal scoring segments of a text (those that no longer segment
 
 Segment scores of clean text follow an extreme-value law, P(S >= x) = 1 - exp(-K n exp(-lambda x)); lambda solves
 E exp(lambda s) = 1 over clean tokens and K fits clean documents. A text's significant segments are those expected
-less than `expect` times in a clean text of its length. The normalised best score, the significant sum and the length
-go through a logistic curve, fitted on labelled documents each scored without its own counts.
+less than `expect` times in a clean text of its length. What several segments weigh together is their sum statistic;
+it, the best segment, their number and the length go through a logistic curve, fitted on labelled documents each
+scored without its own counts.
 
 The model is fitted on at most `sample` labelled rows, those with the smallest hash of doc_id (documented bound, the
 whole labelled table when it is smaller); its features are therefore bounded and broadcast. All documents are scored.
@@ -82,19 +83,23 @@ class Model:
         return math.log(q / (1 - q)) - math.log(base / (1 - base)) - self.drift
 
     def tokens(self, text: str, label: int | None = None) -> np.ndarray:
+        """Scores of a text's tokens. A word counts once: where it comes again it scores the drift at most, so that
+        repetition alone makes no passage."""
         words = WORDS.findall(text.lower())
-        if label is not None:
-            own = {w: self.token(w, label) for w in set(words)}
-            return np.array([own[w] for w in words])
-        cache, out = self.cache, []
+        cache, out, seen = self.cache if label is None else {}, [], set()
         for w in words:
             s = cache.get(w)
             if s is None:
                 if len(cache) >= CACHE:
                     cache.clear()
-                s = self.token(w)
-                if len(w) <= 64:
+                s = self.token(w, label)
+                if len(w) <= 64 or label is not None:
                     cache[w] = s
+            if s > 0:
+                if w in seen:
+                    s = -self.drift
+                else:
+                    seen.add(w)
             out.append(s)
         return np.array(out)
 
@@ -102,13 +107,23 @@ class Model:
         """The exponent of a segment's expectation: -ln(K n exp(-lambda S))."""
         return self.lam * score - self.logk - math.log(max(n, 1))
 
+    def evidence(self, exponents: list[float]) -> float:
+        """-ln of the chance of the best run of highest segments in clean text: for r of them with exponents that sum to T,
+        exp(-T) T^(r - 1) / (r! (r - 1)!) (the sum statistic of the extreme-value law)."""
+        best = total = 0.0
+        for r, x in enumerate(sorted(exponents, reverse=True)[:64], 1):
+            total += x
+            best = max(best, total - (r - 1) * math.log(max(total, 1.0)) + math.lgamma(r + 1) + math.lgamma(r))
+        return best
+
     def facts(self, scores: np.ndarray) -> tuple[list[float], list]:
         """What the curve takes, and the significant segments."""
         n, segs = len(scores), segments(scores)
         best = max((s for _, _, s in segs), default=0.0)
-        sig = [x for x in segs if self.normal(x[2], n) >= -math.log(self.expect)]
+        some = [(x, e) for x in segs if (e := self.normal(x[2], n)) > 0]
+        sig = [x for x, e in some if e >= -math.log(self.expect)]
         clip = lambda x: min(max(x, -20.0), 40.0)
-        return [clip(self.normal(best, n)), math.log1p(sum(s for _, _, s in sig)), math.log1p(len(sig)), math.log1p(n), math.log1p(best)], sig
+        return [clip(self.evidence([e for _, e in some])), clip(self.normal(best, n)), math.log1p(len(some)), math.log1p(n), math.log1p(best)], sig
 
     def probability(self, facts: list[float]) -> float:
         if self.coef is None:
