@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.shipping import ship
+
 #: Words are runs of anything but these ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,7 +36,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds an Arrow batch by rows, besides Spark's own bound by bytes."""
+    """Bounds an Arrow batch by rows, besides Spark's own bound by bytes; gives the executors this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
