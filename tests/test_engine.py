@@ -401,3 +401,23 @@ def test_recall_of_search(spark):
     ids = quick.select("qid", F.explode("ids").alias("vec_id"))
     assert D.recall(truth, ids, 10).first()["recall"] >= 0.8
     v.unpersist()
+
+
+def test_runs_from_another_folder(tmp_path):
+    """Executors' Python finds the package although neither their folder nor PYTHONPATH has it."""
+    import os
+    import pathlib
+    import subprocess
+    import sys
+
+    repo = str(pathlib.Path(__file__).resolve().parents[1])
+    code = f"""
+import sys; sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__ as e
+print("ROWS", e.entry(s).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert "ROWS 100" in out.stdout, out.stderr[-2000:]
