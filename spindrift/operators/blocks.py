@@ -15,24 +15,30 @@ from pyspark.sql import functions as F
 ROWS, QUERIES = 8192, 1024
 
 
-def _pack(df: DataFrame, blocks: int, names: tuple[str, str, str]) -> DataFrame:
-    b, ids, data = names
-    df = df.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(b), "id", "v")
+_FIELDS = "ids binary, data binary"
+
+
+def _pack(df: DataFrame, size: int, side: str) -> DataFrame:
+    """df (cell, id, v): a row per block of about `size` rows of a cell: cell, <side>ids, <side>data."""
+    many = df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(float(size))).cast("long").alias("__n"))
+    df = df.join(many, "cell").withColumn("__b", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int")).select("cell", "__b", "id", "v")
 
     def pack(key, t):
         flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t["v"].chunks]).astype("<f8")
-        return pa.table({b: pa.array([key[0].as_py()], "int32"), ids: pa.array([t["id"].to_numpy().astype("<i8").tobytes()], "binary"), data: pa.array([flat.tobytes()], "binary")})
+        ids = t["id"].to_numpy().astype("<i8")
+        return pa.table({"cell": pa.array([key[0].as_py()], "int32"), "ids": pa.array([ids.tobytes()], "binary"), "data": pa.array([flat.tobytes()], "binary")})
 
-    return df.groupBy(b).applyInArrow(pack, f"{b} int, {ids} binary, {data} binary")
+    out = df.groupBy("cell", "__b").applyInArrow(pack, f"cell int, {_FIELDS}")
+    return out.select("cell", F.col("ids").alias(f"{side}ids"), F.col("data").alias(f"{side}data"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, row_block: int = ROWS, query_block: int = QUERIES) -> DataFrame:
-    """queries, rows: (id, v array<bigint> of one length). Returns qid, id, dist (squared L2), rank by (dist, id)."""
-    nq = max(1, -(-queries.count() // query_block))
-    nr = max(1, -(-rows.count() // row_block))
-    q = _pack(queries, nq, ("qb", "qids", "qdata"))
-    r = _pack(rows, nr, ("rb", "rids", "rdata")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+def nearest_in_cells(queries: DataFrame, rows: DataFrame, k: int, row_block: int = ROWS, query_block: int = QUERIES) -> DataFrame:
+    """queries, rows: (cell int, id, v array<bigint> of one length); a query meets the rows of its cells (it may have several,
+    a row has one). Returns qid, id, dist (squared L2), rank by (dist, id)."""
+    return _matched(_pack(queries, query_block, "q"), _pack(rows, row_block, "r"), k)
+
 
+def _matched(q: DataFrame, r: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for qids, qdata, rids, rdata in zip(*(c.to_pylist() for c in batch.columns)):
@@ -41,10 +47,30 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, row_block: int = ROWS,
                 order = np.argsort(b, kind="stable")
                 b, y = b[order], y[order]
                 d = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]  # rows by id: ties go to the smaller
+                best = _first(d, k)
                 got = np.take_along_axis(d, best, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, best.shape[1])), pa.array(b[best].ravel()), pa.array(np.rint(got).astype("int64").ravel())], ["qid", "id", "dist"])
 
-    pairs = r.join(q, "qb").select("qids", "qdata", "rids", "rdata").mapInArrow(run, "qid bigint, id bigint, dist bigint")
+    pairs = r.join(q, "cell").select("qids", "qdata", "rids", "rdata").mapInArrow(run, "qid bigint, id bigint, dist bigint")
     w = Window.partitionBy("qid").orderBy("dist", "id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _first(d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least of each row, ties by place: all that are under the k-th and the first of those equal to it."""
+    if k >= d.shape[1]:
+        return np.argsort(d, axis=1, kind="stable")
+    kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    rank = np.where(d < kth, 0, np.where(d == kth, 1, 2)).astype("int8")
+    near = np.argsort(rank, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, row_block: int = ROWS, query_block: int = QUERIES) -> DataFrame:
+    """queries, rows: (id, v). Every query meets all rows, block by block: one side's blocks are copied for each of the other's."""
+    nq = max(1, -(-queries.count() // query_block))
+    block = F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")
+    q = queries.select(block.alias("cell"), "id", "v")
+    # rows are packed once; their blocks, not the rows, are copied for every query block
+    r = _pack(rows.select(F.lit(0).alias("cell"), "id", "v"), row_block, "r").drop("cell").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    return _matched(_pack(q, query_block, "q"), r, k)

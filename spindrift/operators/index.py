@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import vectors as V
-from spindrift.operators.blocks import nearest
+from spindrift.operators.blocks import nearest, nearest_in_cells
 from spindrift.undecided import NotResident
 
 
@@ -61,13 +61,28 @@ def exact_knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 def assign(vectors: DataFrame, heads: DataFrame, p: Params = Params()) -> DataFrame:
     """Replicated assignment: of the nearest `candidates` heads, those within (1 + eps)^2 of the nearest, at most
     `replicas`. vec_id, list_id, rank, dist."""
-    near = nearest(vectors.select(F.col("vec_id").alias("id"), "v"), heads.select(F.col("list_id").alias("id"), F.col("hv").alias("v")), p.candidates)
+    return _closure(nearest(vectors.select(F.col("vec_id").alias("id"), "v"), heads.select(F.col("list_id").alias("id"), F.col("hv").alias("v")), p.candidates), p)
+
+
+def _closure(near: DataFrame, p: Params) -> DataFrame:
     first = F.min("dist").over(Window.partitionBy("qid"))
     factor = round((1 + p.eps) ** 2 * 10_000)
     near = near.withColumn("d1", first).where((F.col("dist") * 10_000 <= F.col("d1") * factor) & (F.col("rank") <= p.replicas))
     return near.select(F.col("qid").alias("vec_id"), F.col("id").alias("list_id"), F.col("rank").cast("int").alias("rank"), "dist")
 
 
+def assign_coarse(vectors: DataFrame, heads: DataFrame, cells: DataFrame, probes: int, p: Params = Params()) -> DataFrame:
+    """assign() for many heads: heads lie in their nearest cell, a vector meets the heads of its `probes` nearest cells.
+
+    cells: (id int, v), a few thousand centroids. Work per vector is probes / cells of all heads; with all cells probed the
+    result is assign()'s."""
+    h = nearest(heads.select(F.col("list_id").alias("id"), F.col("hv").alias("v")), cells, 1).select(F.col("id").cast("int").alias("cell"), F.col("qid").alias("id"))
+    rows = h.join(heads.select(F.col("list_id").alias("id"), F.col("hv").alias("v")), "id").select("cell", "id", "v")
+    v = nearest(vectors.select(F.col("vec_id").alias("id"), "v"), cells, probes).select(F.col("id").cast("int").alias("cell"), F.col("qid").alias("id"))
+    asked = v.join(vectors.select(F.col("vec_id").alias("id"), "v"), "id").select("cell", "id", "v")
+    return _closure(nearest_in_cells(asked, rows, p.candidates), p)
+
+
 def prune_rng(assigned: DataFrame, heads: DataFrame, rng: float = 1.0) -> DataFrame:
     """Relative-neighbourhood pruning of a vector's lists, nearest first: a list goes if a list kept before is nearer to it
     (rng^2 * distance between heads <= distance to the vector). A fold over at most `replicas` lists of one vector."""

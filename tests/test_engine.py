@@ -155,6 +155,27 @@ def test_every_list_and_code_gives_exact_answers(tables):
     assert rows(got, "qid", "rank", "vec_id", "dist") == rows(want, "qid", "rank", "vec_id", "dist")
 
 
+def test_coarse_assignment(tables, spark):
+    """With all cells probed the assignment is the exact one; with some, more of it than their share."""
+    cells = tables.h.where("list_id % 7 = 0").select((F.col("list_id") / 7).cast("int").alias("id"), F.col("hv").alias("v"))
+    want = rows(tables.post(), "vec_id", "list_id", "rank", "dist")
+    assert rows(I.assign_coarse(tables.v, tables.h, cells, cells.count()), "vec_id", "list_id", "rank", "dist") == want
+    found = []
+    for probes in (2, 5):
+        some = {r[:2] for r in rows(I.assign_coarse(tables.v, tables.h, cells, probes), "vec_id", "list_id")}
+        found.append(len(some & {r[:2] for r in want}) / len(want))
+        assert found[-1] > probes / cells.count()
+    assert found[1] > found[0]
+
+
+def test_first_of_rows():
+    from spindrift.operators.blocks import _first
+
+    d = np.random.default_rng(5).integers(0, 6, (50, 30)).astype(float)
+    for k in (1, 5, 29, 30, 40):
+        assert (_first(d, k) == np.argsort(d, axis=1, kind="stable")[:, :k]).all()
+
+
 def test_two_phase_any_placement(tables, spark):
     p = I.Params()
     want = rows(I.rerank(tables.filt(), tables.v, tables.q, p.k), "qid", "rank", "vec_id")
