@@ -20,7 +20,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes later occurrences of three lines in a row; n_chars follows the text."""
-    out = linededup.dedup(docs).drop("__removed")
+    out = linededup.dedup(docs).drop("__removed", "__kept")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

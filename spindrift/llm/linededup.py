@@ -56,7 +56,7 @@ def covered_lines(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def dedup(docs: DataFrame, width: int = 3) -> DataFrame:
-    """All columns of docs, with the text that is left; __removed has the number of lines that went."""
+    """All columns of docs, with the text that is left; __removed and __kept are the numbers of lines that went and stayed."""
     hit = covered_lines(docs, width).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.col("covered").alias("__c"))
     keyed = docs.withColumn("__th", F.xxhash64("text"))
     out = keyed.join(hit, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
@@ -66,17 +66,14 @@ def dedup(docs: DataFrame, width: int = 3) -> DataFrame:
     kept = F.filter(F.zip_with(lines, F.sequence(F.lit(0), F.size(lines) - 1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.map_contains_key(F.col("__g"), p["i"]))
     out = out.withColumn("__g", F.when(F.col("__c").isNotNull(), F.map_from_arrays(gone, gone)))
     text = F.when(F.col("__c").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda p: p["x"]), "\n"))
-    out = out.withColumn("__removed", F.coalesce(F.size(F.map_keys("__g")), F.lit(0)).cast("long"))
-    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], "__removed")
+    removed = F.coalesce(F.size(F.map_keys("__g")), F.lit(0)).cast("long")
+    total = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], removed.alias("__removed"), (total - removed).alias("__kept"))
 
 
 def query(docs: DataFrame) -> DataFrame:
     out = dedup(docs.select("doc_id", "text"))
-    lines = F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))), F.lit(0)).cast("long")
-    # a text of which all lines went has none left
-    kept = F.when((F.col("__removed") > 0) & (F.col("text") == "") & (lines == 1) & F.col("__all"), F.lit(0).cast("long")).otherwise(lines)
-    out = out.withColumn("__all", F.lit(True))
-    return out.select("doc_id", F.col("__removed").alias("n_removed"), kept.alias("n_kept"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("__removed").alias("n_removed"), F.col("__kept").alias("n_kept"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
 SQL = """

@@ -127,7 +127,8 @@ def test_lines(spark):
     docs = documents(spark)
     want = brute_lines(set(plain(docs)))
     got = linededup.dedup(docs)
-    assert got.columns == [*docs.columns, "__removed"]
+    assert got.columns == [*docs.columns, "__removed", "__kept"]
+    assert rows_of(got.where("text is null"), "__removed", "__kept") == [(0, 0)] * 2
     back = sorted(rows_of(got, "doc_id", "text"), key=key)
     assert back == sorted([(d, None if x is None else want[d, x]) for d, x in plain(docs)], key=key)
     assert sum(r["__removed"] > 0 for r in got.collect()) >= 3
