@@ -442,3 +442,51 @@ print("ROWS", e.entry(s).count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert "ROWS 100" in out.stdout, out.stderr[-2000:]
+
+
+def test_rng_pruning(tables):
+    post, heads = tables.post(), {r["list_id"]: np.array(r["hv"]) for r in tables.h.collect()}
+    lists = {}
+    for r in post.orderBy("vec_id", "rank").collect():
+        lists.setdefault(r["vec_id"], []).append((r["list_id"], r["dist"]))
+    want = []
+    for v, ls in lists.items():
+        kept = []
+        for l, d in ls:
+            if all(((heads[l] - heads[k]) ** 2).sum() > d for k, _ in kept):
+                kept.append((l, d))
+        want += [(v, l, i + 1) for i, (l, _) in enumerate(kept)]
+    assert rows(I.prune_rng(post, tables.h), "vec_id", "list_id", "rank") == sorted(want)
+
+
+def test_samples_repeat(tables):
+    a = rows(train.sample_ids(tables.v, 40), "vec_id")
+    assert a == rows(train.sample_ids(tables.v.repartition(7), 40), "vec_id") and len(a) == 40
+    assert train.sample_ids(tables.v, 10**6).count() == tables.v.count()
+    assert a != rows(train.sample_ids(tables.v, 40, seed=7), "vec_id")
+
+
+def test_pinned_queries_stream(spark, tmp_path):
+    """Pins and ends by node and epoch, as they arrive; an epoch is drained when its number is 0."""
+    batches = [[(1, 1, 1), (1, 1, 1), (2, 1, 1)], [(1, 1, -1), (1, 2, 1)], [(1, 1, -1), (2, 1, -1)]]
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, "node int, epoch int, d int").coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+    s = spark.readStream.schema("node int, epoch int, d int").option("recursiveFileLookup", True).parquet(str(tmp_path))
+    q = reports.pinned(s).writeStream.format("memory").queryName("pinned").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert rows(spark.table("pinned"), "node", "epoch", "pinned") == [(1, 1, 0), (1, 2, 1), (2, 1, 0)]
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from spindrift.__main__ import main
+
+    base = f"{sf}/embeddings.parquet"
+    main(["build", "--base", base, "--index", str(tmp_path / "ix")])
+    main(["segment", "--index", str(tmp_path / "ix")])
+    main(["gt", "--base", base, "--queries", base, "--k", "3", "--out", str(tmp_path / "gt")])
+    main(["search", "--base", base, "--queries", base, "--index", str(tmp_path / "ix"), "--k", "3", "--out", str(tmp_path / "ans")])
+    gt, ans = spark.read.parquet(str(tmp_path / "gt")), spark.read.parquet(str(tmp_path / "ans"))
+    assert gt.count() == ans.count() == 1500
+    assert D.recall(gt, ans, 3).first()["recall"] > 0.8
+    with pytest.raises(ValueError):
+        main(["search", "--k", "0"])
