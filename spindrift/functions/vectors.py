@@ -39,13 +39,13 @@ def adc(lut: Column, code: Column) -> Column:
     return F.aggregate(F.zip_with(lut, code, lambda row, c: F.get(row, c)), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def tie_owner(vec_id: Column, owners: Column) -> Column:
-    """Place of a tie's owner among `owners`: a multiplicative hash of the id in unsigned 32 bits, high half."""
-    return F.expr(f"cast((({_sql(vec_id)} * 2654435761L) % 4294967296L) div 65536 as long)") % owners
-
-
-def _sql(c: Column) -> str:
-    return str(c._jc.toString()) if hasattr(c, "_jc") else c
+def adc_unrolled(lut: Column, code: Column, m: int) -> Column:
+    """adc() for a known number of sub-spaces, which stays within generated code."""
+    total = None
+    for i in range(m):
+        x = F.get(F.get(lut, F.lit(i)), F.get(code, F.lit(i)))
+        total = x if total is None else total + x
+    return total
 
 
 def default_pq_m(dims: int) -> int:

@@ -178,9 +178,10 @@ def distance_tables(queries: DataFrame, codebook: DataFrame, m: int) -> DataFram
     return queries.select("qid", "qv").mapInArrow(run, "qid bigint, lut array<array<bigint>>")
 
 
-def score(candidates: DataFrame, codes: DataFrame, luts: DataFrame) -> DataFrame:
-    """(key columns..., qid, vec_id) with adc."""
-    return candidates.join(codes, "vec_id").join(luts, "qid").withColumn("adc", V.adc(F.col("lut"), F.col("code"))).drop("lut", "code")
+def score(candidates: DataFrame, codes: DataFrame, luts: DataFrame, m: int = 0) -> DataFrame:
+    """(key columns..., qid, vec_id) with adc. m: sub-spaces, if known, for an expression without lambdas."""
+    adc = V.adc_unrolled(F.col("lut"), F.col("code"), m) if m else V.adc(F.col("lut"), F.col("code"))
+    return candidates.join(codes, "vec_id").join(luts, "qid").withColumn("adc", adc).drop("lut", "code")
 
 
 def top(df: DataFrame, by: str, n: int, keys=("qid",), name: str = "rank") -> DataFrame:
@@ -189,9 +190,9 @@ def top(df: DataFrame, by: str, n: int, keys=("qid",), name: str = "rank") -> Da
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n).withColumn(name, F.col(name).cast("int"))
 
 
-def filter_stage(gathered: DataFrame, codes: DataFrame, luts: DataFrame, n: int, keys=("qid",)) -> DataFrame:
+def filter_stage(gathered: DataFrame, codes: DataFrame, luts: DataFrame, n: int, keys=("qid",), m: int = 0) -> DataFrame:
     """Dedup, asymmetric distance, first n: keys, vec_id, adc, rank."""
-    return top(score(gathered.select(*keys, "vec_id").distinct(), codes, luts), "adc", n, keys)
+    return top(score(gathered.select(*keys, "vec_id").distinct(), codes, luts, m), "adc", n, keys)
 
 
 def exact_scores(filtered: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ class Tables:
         return I.gather(self.nav(), self.post())
 
     def filt(self):
-        return I.filter_stage(self.gathered(), self.codes(), self.luts(), P.n)
+        return I.filter_stage(self.gathered(), self.codes(), self.luts(), P.n, m=P.m)
 
     def lp(self):
         return D.range_partitions(self.h, PARTS)

@@ -110,7 +110,7 @@ class AnnIndex:
         d = self.dir
         probed = I.navigate(queries, d.read("heads"), p.nprobe)
         luts = I.distance_tables(queries, d.read("codebook"), p.m)
-        f = I.filter_stage(I.gather(probed, d.read("postings")), d.read("codes"), luts, p.n)
+        f = I.filter_stage(I.gather(probed, d.read("postings")), d.read("codes"), luts, p.n, m=p.m)
         if heuristic:
             return I.heuristic_rerank(f, self.vectors, queries, d.read("layout"), p.k)
         return I.rerank(f, self.vectors, queries, p.k)
