@@ -24,7 +24,7 @@ from .common import small_batches
 #: Fixed value: the pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = 1 << 62
-CACHE = 1_000_000
+CACHE = 500_000
 
 
 def byte_symbols() -> list[str]:

@@ -36,7 +36,7 @@ from .common import small_batches
 WORDS = re.compile(r"\w+")
 PREFIXES = (4, 5, 6, 7, 8)
 SAMPLE = 20_000
-CACHE = 1_000_000
+CACHE = 400_000
 
 
 def chain(word: str) -> list[str]:

@@ -23,7 +23,7 @@ from .common import small_batches
 
 SPACE = "▁"
 UNKNOWN_LESS = 10.0
-CACHE = 1_000_000
+CACHE = 500_000
 
 
 def piece_scores(path: str) -> list[tuple[str, float]]:
