@@ -45,22 +45,30 @@ def chain(word: str) -> list[str]:
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, past the last, score), in order, by one scan with a stack."""
+    """All maximal scoring segments (first, past the last, score), in order, in linear time.
+
+    A segment keeps the sums before and after it and the place of the last segment before it whose sum before is lower,
+    so a search jumps over those that are not. Where there is none, all segments so far are final."""
     total = np.concatenate([[0.0], np.cumsum(scores)])
-    stack: list[list] = []  # first, end, sum before, sum after
-    for i in np.flatnonzero(scores > 0):
-        new = [int(i), int(i) + 1, total[i], total[i + 1]]
+    at = np.flatnonzero(scores > 0)
+    out: list = []
+    stack: list = []
+    for i, low, high in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist()):
+        first, j = i, len(stack) - 1
         while True:
-            # the last segment whose left sum is lower; those above it can't be extended by the new one
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= new[3]:
-                stack.append(new)
+            while j >= 0 and stack[j][2] >= low:
+                j = stack[j][4]
+            if j < 0:
+                out += stack
+                stack = [(first, i + 1, low, high, -1)]
+                break
+            if stack[j][3] >= high:
+                stack.append((first, i + 1, low, high, j))
                 break
-            new = [stack[j][0], new[1], stack[j][2], new[3]]
+            first, _, low, _, link = stack[j]
             del stack[j:]
-    return [(a, b, r - l) for a, b, l, r in stack]
+            j = link
+    return [(a, b, r - l) for a, b, l, r, _ in out + stack]
 
 
 class Model:
@@ -69,6 +77,32 @@ class Model:
         self.alpha, self.drift, self.expect = alpha, drift, expect
         self.lam, self.logk, self.coef = 1.0, 0.0, None
         self.cache: dict[str, float] = {}
+        self.known = self._known()
+
+    def _known(self) -> dict[str, float]:
+        """The score of every feature, so that a word takes that of its longest known form. A prefix is held by as many documents as
+        any longer form, so what is known of a word is known of all its shorter prefixes."""
+        base = (self.toxic + 0.5) / (self.toxic + self.other + 1)
+        rate: dict[str, float] = {}
+        for f in sorted(self.counts, key=lambda f: (f[-1:] == "\n", len(f))):
+            forms = chain(f[:-1])[:-1] if f[-1:] == "\n" else [f[:k] for k in PREFIXES if k < len(f)]
+            q = next((rate[p] for p in reversed(forms) if p in rate), base)
+            a, b = self.counts[f]
+            rate[f] = (b + self.alpha * q) / (a + b + self.alpha)
+        self.floor = -self.drift
+        return {f: math.log(q / (1 - q)) - math.log(base / (1 - base)) - self.drift for f, q in rate.items()}
+
+    def quick(self, word: str) -> float:
+        """token() without a label, by the longest known form."""
+        known = self.known
+        s = known.get(word + "\n")
+        if s is None:
+            n = len(word)
+            for k in (8, 7, 6, 5, 4):
+                if k < n and (s := known.get(word[:k])) is not None:
+                    return s
+            return self.floor
+        return s
 
     def token(self, word: str, label: int | None = None) -> float:
         """label: of a document that holds the word and is to be left out of the counts."""
@@ -92,7 +126,7 @@ class Model:
             if s is None:
                 if len(cache) >= CACHE:
                     cache.clear()
-                s = self.token(w, label)
+                s = self.quick(w) if label is None else self.token(w, label)
                 if len(w) <= 64 or label is not None:
                     cache[w] = s
             if s > 0:
@@ -120,7 +154,8 @@ class Model:
         """What the curve takes, and the significant segments."""
         n, segs = len(scores), segments(scores)
         best = max((s for _, _, s in segs), default=0.0)
-        some = [(x, e) for x in segs if (e := self.normal(x[2], n)) > 0]
+        least = (self.logk + math.log(max(n, 1))) / self.lam
+        some = [(x, self.normal(x[2], n)) for x in segs if x[2] > least]
         sig = [x for x, e in some if e >= -math.log(self.expect)]
         clip = lambda x: min(max(x, -20.0), 40.0)
         return [clip(self.evidence([e for _, e in some])), clip(self.normal(best, n)), math.log1p(len(some)), math.log1p(n), math.log1p(best)], sig
@@ -199,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 5
     again = docs.sparkSession.sparkContext.broadcast(model)
     facts = np.array(rows.mapInArrow(measure(2), "step int, x array<double>").toArrow()["x"].to_pylist())
     rows.unpersist()
-    model.coef = _logistic(facts[:, 1:], facts[:, 0])
+    model.coef = _monotone(facts[:, 1:], facts[:, 0])
     return model
 
 
@@ -217,6 +252,25 @@ def _lambda(s: np.ndarray, p: np.ndarray) -> float:
     return high
 
 
+def _monotone(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The curve in which evidence (columns 0 and 1) never speaks against toxicity: a column with a negative weight is left
+    out; with neither of them left, as on very few labels, every score is the rate of toxic labels."""
+    keep = list(range(x.shape[1]))
+    while True:
+        w = _logistic(x[:, keep], y)
+        bad = [c for c, v in zip(keep, w[1:]) if c < 2 and v <= 0]
+        if not bad:
+            break
+        keep = [c for c in keep if c not in bad]
+        if not {0, 1} & set(keep):
+            keep, w = [], np.array([math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))])
+            break
+    out = np.zeros(x.shape[1] + 1)
+    out[0] = w[0]
+    out[[c + 1 for c in keep]] = w[1:]
+    return out
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
