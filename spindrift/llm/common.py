@@ -28,10 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors."""
+    """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors.
+
+    The shuffle files that made it are not needed any more; Spark removes them once the driver's JVM has collected their
+    handles, which is asked for here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
