@@ -27,10 +27,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similarity 0.8 or more on five-word shingles, keeps the one with the smallest doc_id.
 
-    Documents without words are linked with nothing and stay. Rows equal in doc_id and text are one document."""
+    Documents without words are linked with nothing and stay. Rows equal in doc_id and text are one document; those that
+    share a doc_id alone, or have none, are linked by their texts like any others."""
     found = jaccard.join(docs, 5, 80, 100)
     alone = found.where("n_shingles = 0").groupBy("doc_id", "th").agg(F.count("*").alias("__k"))
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("f"))
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("f"))
     names = found.where("n_shingles > 0").groupBy("doc_id", "th").agg(F.count("*").alias("__k"))
     winners = first.select("f.doc_id", "f.th").alias("w").join(names.alias("n"), F.col("w.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("w.th") == F.col("n.th"))).select("w.doc_id", "w.th", "__k")
     winners = staged(winners.unionByName(alone.withColumn("__k", F.lit(1).cast("long"))).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "__k"), "winners")

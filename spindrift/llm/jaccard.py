@@ -282,14 +282,16 @@ def members(docs: DataFrame, n: int) -> DataFrame:
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, th (hash of the text) for every row."""
+    """doc_id, n_shingles, component_id, th (hash of the text), root (the component itself, by its smallest sid; null if empty) for every row.
+
+    component_id is a name only: components of unrelated texts share it where their documents share a doc_id or have none."""
     mem, roots = links(docs, n, num, den)
     mem = mem.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     names = mem.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k")).where("k > 1").select("root", "component_id")
     out = salted_left_join(mem, names, "root", ["doc_id", "th"])
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "th")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "th", "root")
 
 
 def query(docs: DataFrame) -> DataFrame:
     """Three-word shingles, similarity 0.9."""
-    return join(docs, 3, 90, 100).drop("th")
+    return join(docs, 3, 90, 100).drop("th", "root")

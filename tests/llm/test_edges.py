@@ -262,6 +262,21 @@ def test_stages(spark, tmp_path):
     assert last.count() == docs.count()
 
 
+def test_near_duplicates_by_root(spark):
+    """Unrelated texts without an id, or under one id, are components of one name; each keeps a document."""
+    import random
+
+    rng = random.Random(4)
+    t = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(8)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[2]), (None, t[2] + " end"), (7, t[3]), (7, t[4]), (7, t[5]), (9, t[4] + " end"), (3, t[6]), (7, t[6] + " end"), (None, t[7]), (None, t[7])]
+    docs = documents(spark, [(d, x, "s") for d, x in rows])
+    kept = plain(corpus_pipeline.drop_near_duplicates(spark, docs, ""))
+    # the names are alike within each of these groups, the texts are not
+    groups = [{rows[0]}, {rows[1]}, {rows[2], rows[3]}, {rows[4]}, {rows[5], rows[7]}, {rows[6]}, {rows[8], rows[9]}, {rows[10]}]
+    assert sorted(sum(x in g for x in kept) for g in groups) == [1] * 8 and len(kept) == 8
+    same([x for x in kept if x[0] is not None], [rows[4], rows[5], rows[6], rows[8]])
+
+
 def test_pipeline_run(spark, sf):
     """run() over the smallest tables, each stage against brute force on what the stage before kept."""
     from tokenizers import Tokenizer
