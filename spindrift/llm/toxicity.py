@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -117,10 +118,12 @@ class Model:
         return math.log(q / (1 - q)) - math.log(base / (1 - base)) - self.drift
 
     def tokens(self, text: str, label: int | None = None) -> np.ndarray:
-        """Scores of a text's tokens. A word counts once: where it comes again it scores the drift at most, so that
-        repetition alone makes no passage."""
+        """Scores of a text's tokens. A word counts again only where the sum of scores has since fallen by as much as it adds: where
+        it would lift the sum above the peak since it last counted, it would lengthen the passage that holds it already, and scores
+        the drift. So repetition alone makes no passage, and a passage further on has its whole score."""
         words = WORDS.findall(text.lower())
-        cache, out, seen = self.cache if label is None else {}, [], set()
+        cache, out, last = self.cache if label is None else {}, [], {}
+        total, places, peaks = 0.0, [], []  # peaks that no later one reaches, and where they are
         for w in words:
             s = cache.get(w)
             if s is None:
@@ -130,10 +133,15 @@ class Model:
                 if len(w) <= 64 or label is not None:
                     cache[w] = s
             if s > 0:
-                if w in seen:
+                if w in last and total + s > peaks[bisect_left(places, last[w])]:
                     s = -self.drift
                 else:
-                    seen.add(w)
+                    last[w] = len(out)
+                    while peaks and peaks[-1] <= total + s:
+                        places.pop(), peaks.pop()
+                    places.append(len(out))
+                    peaks.append(total + s)
+            total += s
             out.append(s)
         return np.array(out)
 

@@ -162,6 +162,37 @@ def test_topk_stops_early():
     assert got[0][3] < 1 and (got[0][2] == np.arange(1999, 1994, -1)).all()
 
 
+def test_toxic_passages_further_on():
+    """A passage counts in full wherever its words came before; repetition alone makes none."""
+    bad = ["moron", "loser", "trash", "idiot"]
+    m = toxicity.Model({w + "\n": (0, 50) for w in bad}, 1000, 100)
+
+    def passages(words):
+        return [(a, b) for a, b, _ in m.facts(m.tokens(" ".join(words)))[1]]
+
+    gap = ["plain"] * 200
+    assert passages([*bad, *gap, *bad]) == [(0, 4), (204, 208)]
+    assert passages([*gap, *bad, *gap, *reversed(bad), *gap, *bad]) == [(200, 204), (404, 408), (608, 612)]
+    apart = [x for w in bad for x in (w, *gap)]  # each word by itself first
+    assert passages([*apart, *gap * 90, *bad]) == [(18804, 18808)]
+    assert passages([*bad, *bad]) == [(0, 4)]
+    assert passages(["moron"] * 500) == [] and passages([x for _ in range(500) for x in ("moron", "plain")]) == []
+    # the peak that a repeat is held against, by definition
+    rng = random.Random(12)
+    for _ in range(200):
+        words = rng.choices([*bad, "plain"], [1, 1, 1, 1, rng.choice([2, 20, 60])], k=rng.randint(0, 300))
+        got, sums, last = m.tokens(" ".join(words)), [], {}
+        for i, w in enumerate(words):
+            s, before = m.quick(w), sums[-1] if sums else 0.0
+            if w in bad:
+                if w in last and before + s > max(sums[last[w] :]):
+                    s = -m.drift
+                else:
+                    last[w] = i
+            assert got[i] == s
+            sums.append(before + s)
+
+
 def test_toxicity_held_out(spark):
     from spindrift.llm.common import table
 
