@@ -133,17 +133,18 @@ def test_topk(spark):
     rng = np.random.default_rng(8)
     v = {i: (rng.integers(-3, 4, 6) / 8).tolist() for i in range(300)}
     v[50], v[100] = v[7], v[7]
-    odd = [(401, None), (402, []), (403, [1.0] * 5 + [None]), (404, [float("nan")] * 6), (405, [float("inf")] * 6), (None, v[1]), (450, [0.5, 0.5]), (451, [0.25, 1.0]), (7, v[7])]
-    df = spark.createDataFrame([(i, x, 0) for i, x in [*v.items(), *odd]], "vec_id long, embedding array<double>, score int")
-    q = {i: np.floor(np.array(x) * 256).astype(int) for i, x in [*v.items(), (450, [0.5, 0.5]), (451, [0.25, 1.0])]}
+    odd = [(401, None), (402, []), (403, [1.0] * 5 + [None]), (404, [float("nan")] * 6), (405, [float("inf")] * 6), (None, v[1]), (450, [0.5, 0.5]), (451, [0.25, 1.0])]
+    again = [(7, v[7]), (7, v[8]), (50, v[50]), (50, v[9]), (100, v[100]), (100, v[100])]  # ids that several rows share
+    df = spark.createDataFrame([(i, x, 0, "k", 1) for i, x in [*v.items(), *odd, *again]], "vec_id long, embedding array<double>, score int, tag string, dims int")
+    rows = [(i, np.floor(np.array(x) * 256).astype(int)) for i, x in [*v.items(), (450, [0.5, 0.5]), (451, [0.25, 1.0]), *again]]
     want = []
-    for i in sorted(q):
+    for a, (i, x) in enumerate(rows):
         if i % 50 == 0:
-            s = sorted((-int(q[i] @ q[j]), j) for j in q if j != i and len(q[j]) == len(q[i]))[:5]
-            want += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
+            s = sorted((-int(x @ y), j) for b, (j, y) in enumerate(rows) if b != a and len(y) == len(x))[:5]
+            want += [(i, r + 1, j, -y) for r, (y, j) in enumerate(s)]
     assert sorted(rows_of(topk.query(df))) == sorted(want)
-    rows = topk.quantised(df)
-    small = topk.search(rows.where("vec_id % 50 = 0"), rows, 5, row_block=16, query_block=2)
+    q = topk.quantised(df)
+    small = topk.search(q.where("vec_id % 50 = 0"), q, 5, row_block=16, query_block=2)
     assert sorted(rows_of(small.select("query_id", "rank", "vec_id", "score"))) == sorted(want)
     assert topk.query(df.limit(0)).count() == 0
 
@@ -151,15 +152,29 @@ def test_topk(spark):
 def test_topk_large_numbers():
     ids, rows = np.arange(4), np.array([[2.0**60, 1], [2.0**59, 3], [-(2.0**60), 0], [0, 5]])
     got = topk.Lists(ids, rows).search(np.array([[2.0**10, 1.0]]), np.array([9]), 2)
-    assert got[0][1].tolist() == [0, 1] and got[0][2].tolist() == [2**63 - 1, 2**63 - 1]
+    assert got[0][1].tolist() == [0, 1] and got[0][3].tolist() == [2**63 - 1, 2**63 - 1]
 
 
-def test_topk_stops_early():
+@pytest.mark.parametrize("dims,n,high", [(64, 3000, 200), (3, 500, 3), (8, 40, 10**6), (1, 9, 2), (64, 3000, 2**20)])
+def test_topk_stops_early(dims, n, high):
+    """Whole scores whatever was read, and less than all is read where the vectors have many dimensions or copies."""
     rng = np.random.default_rng(9)
+    rows = np.floor(rng.normal(0, high / 4, (n, dims)))
+    rows[: n // 4] = rows[0]
+    lists = topk.Lists(np.arange(n), rows)
+    asked = rows[[0, n // 2, n - 1]]
+    for j, ids, _, scores, share in lists.search(asked, np.array([0, n // 2, n - 1]), 5):
+        all_scores = rows @ asked[j]
+        all_scores[[0, n // 2, n - 1][j]] = -np.inf
+        best = np.lexsort((np.arange(n), -all_scores))[:5]
+        assert ids.tolist() == best.tolist() and scores.tolist() == all_scores[best].tolist()
+        assert share <= 1
     rows = np.zeros((2000, 4))
     rows[:, 0] = rng.permutation(2000)
+    wide = np.floor(rng.normal(0, 32, (3000, 64)))
+    assert all(share < 1 for *_, share in topk.Lists(np.arange(3000), wide).search(wide[:5], np.arange(5), 5))
     got = topk.Lists(np.arange(2000), rows).search(np.array([[1.0, 0, 0, 0]]), np.array([-1]), 5)
-    assert got[0][3] < 1 and (got[0][2] == np.arange(1999, 1994, -1)).all()
+    assert got[0][4] <= 0.5 and (rows[got[0][1], 0] == np.arange(1999, 1994, -1)).all()
 
 
 def test_toxic_passages_further_on():
