@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -12,6 +14,10 @@ from spindrift.shipping import ship
 
 #: Words are runs of anything but these ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: An Arrow batch holds at most so many rows and about so many bytes (a longer text is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
+#: Folders of the staged tables that are still there, in the order written.
+_folders: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests), one of this machine's."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a folder of this machine's is set, but only in
+    local mode, whose one process reads and writes it; a cluster without a shared folder is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spindrift-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -31,22 +40,54 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors.
 
     The shuffle files that made it are not needed any more; Spark removes them once the driver's JVM has collected their
-    handles, which is asked for here."""
+    handles, which is asked for here. The table stays until discard() or the end of its staging()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _folders.append(path)
     df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds an Arrow batch by rows, besides Spark's own bound by bytes; gives the executors this package."""
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    with contextlib.suppress(ValueError):
+        _folders.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more: what was made of them has been staged itself."""
+    for t in tables:
+        if path := getattr(t, "_staged", None):
+            _delete(t.sparkSession, path)
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession):
+    """At the end, deletes what was staged inside but for the tables that were added to the list it yields."""
+    kept: list[DataFrame] = []
+    before = set(_folders)
+    yield kept
+    stay = before | {getattr(t, "_staged", None) for t in kept}
+    for path in [p for p in _folders if p not in stay]:
+        _delete(spark, path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by rows and bytes (the same for all operators, so their order does not matter); gives the
+    executors this package."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def salted_left_join(big: DataFrame, small: DataFrame, key: str, salt_on: list[str], salts: int = 8) -> DataFrame:
-    """Left join on key, which is unique in small; a hot key of big is dealt over `salts` partitions.
+    """Left join on key, which is unique in small; a hot key of big is dealt over `salts` partitions, and as big is the
+    outer side, adaptive execution splits what is still too large for a task.
 
     small must hold only keys that repeat (so that copying it `salts` times is cheap). Null keys match nothing.
     """

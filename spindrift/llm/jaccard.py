@@ -227,7 +227,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, num: in
 def links(docs: DataFrame, n: int, num: int, den: int, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """members() and the roots (sid, root) of classes in components of two classes or more."""
     spark = docs.sparkSession
-    small_batches(spark, 1000)
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     mem = staged(members(docs, n), "members")
     reps = mem.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("sid", F.col("r.doc_id").alias("__d"), F.col("r.th").alias("__t"))

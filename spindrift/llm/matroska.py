@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import small_batches, staged
 
 FRAME, RATE = 576, 8000
 LACE = 8  # frames in a block
@@ -263,10 +263,19 @@ def padded(text: str | None, frame: int = FRAME) -> tuple[bytes, int]:
     return raw + b"\xff" * (max(frame, -(-len(raw) // frame) * frame) - len(raw)), len(raw)
 
 
-def feature(m: Media, samples: bytes) -> str:
-    a = np.frombuffer(samples, "uint8")
+def _read(media: bytes) -> tuple[int, str, int, str]:
+    """Of a stored form, from its packet table, packet by packet: payload bytes, their SHA-256, CRC-32 of the last 32, feature."""
+    m, view = parse(media), memoryview(media)
+    sha, size, total, peak, tail = hashlib.sha256(), 0, 0, 0, b""
+    for _, _, at, n, _ in m.packets:
+        part = view[at : at + n]
+        a = np.frombuffer(part, "uint8")
+        sha.update(part)
+        size, total, peak = size + n, total + int(a.sum(dtype="int64")), max(peak, int(a.max(initial=0)))
+        tail = (tail + bytes(part[-32:]))[-32:]
     t = next(iter(m.tracks.values()))
-    return f"{t['codec']};{t['rate']:.0f}Hz;{t['depth']}bit;packets={len(m.packets)};clusters={len(m.clusters)};cues={len(m.cues)};ms={m.duration:.0f};sum={int(a.sum(dtype='int64'))};peak={int(a.max(initial=0))}"
+    feature = f"{t['codec']};{t['rate']:.0f}Hz;{t['depth']}bit;packets={len(m.packets)};clusters={len(m.clusters)};cues={len(m.cues)};ms={m.duration:.0f};sum={total};peak={peak}"
+    return size, sha.hexdigest(), zlib.crc32(tail), feature
 
 
 def store(docs: DataFrame, lacing: int = FIXED) -> DataFrame:
@@ -306,9 +315,8 @@ def digests(stored: DataFrame) -> DataFrame:
             out = []
             for x in b.column(2):
                 media = x.as_py()
-                m = parse(media)
-                payload = b"".join([media[o : o + s] for _, _, o, s, _ in m.packets])
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(m, payload)))
+                size, sha, crc, feature = _read(media)
+                out.append((size, sha, crc, len(media), hashlib.sha256(media).hexdigest(), feature))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, ("int64", "string", "int64", "int64", "string", "string"))]], names)
 
     kind = stored.schema["doc_id"].dataType.simpleString()
@@ -316,4 +324,5 @@ def digests(stored: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return digests(store(docs))
+    """Writes the stored forms as a table in the shared folder, and computes everything from what is read back."""
+    return digests(staged(store(docs), "media"))

@@ -5,9 +5,14 @@ sum of size * rate meets its target have the form r_d = exp(sum of the duals of
 duals minimise a convex function; Newton's method on it needs only sums over the rows, which Spark
 computes, so a step costs one aggregate. Rates become whole copies by carrying what rounding leaves over.
 
-Defined cases: a null text has size 0; a null source is a source of its own, placed last; rows repeated
-in full are separate rows that get the same treatment; empty tables give empty results; a source of size
-0 has target 0. Only doc_id, source and the size are read, so extra columns cannot clash.
+For one family of categories (the registered query) the Hessian is diagonal: every Newton step is one aggregate over
+the cells (source, size) and a table of duals, and nothing but the largest error comes to the driver. Several
+families at once are solved by balance().
+
+Defined cases: a null text has size 0; a null source is a source of its own, placed last; rows repeated in full are
+separate rows: they are ranked side by side, and which of them has a copy more makes no difference; rows that share
+doc_id, source and size but not text are told apart by the text's hash; empty tables give empty results; a source of
+size 0 has target 0. Only doc_id, source and text are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -17,44 +22,58 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from spindrift.operators.ranking import numbered
 
-NEWTON_STEPS = 64
+from .common import WORD, discard, small_batches, staged
+
+NEWTON_STEPS = 200
+#: Rows of one source and size that are ranked in one task, about, if they are a third of all rows.
+RANKED = 20_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: words of the whole text."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, source, size (words of the whole text), th (hash of the text)."""
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("th"))
 
 
 def weighted_targets(totals: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
     """Adds target to (source, source_size): all of the size, shared by weight, at most `most` times a source's size.
 
-    Sources in code-point order (null last) take the weights in turn. What a cap leaves over is shared again
-    by weight: with c the level at which this ends, target = min(most * size, c * weight). In order of
-    most * size / weight the capped sources come first, and c is the greatest of the levels
-    (total - caps before) / (weights from here on). One row per source, so the windows are small.
-    """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(by_name) - 1) % len(weights)
-    t = totals.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (turn + 1).cast("int")))
-    t = t.withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    order = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    every = Window.partitionBy()
-    t = t.withColumn("level", (F.sum("source_size").over(every).cast("double") - before) / rest)
-    t = t.withColumn("target", F.least("cap", F.max("level").over(every) * F.col("w")))
-    return t.select("source", "source_size", "target")
-
-
-def balance_one(cells: DataFrame, mass: str = "source_size", target: str = "target") -> DataFrame:
-    """Newton on the dual when each row belongs to one category: the Hessian is diagonal, so every category's
-    dual is stepped beside its row and nothing leaves the executors. Adds dual and rate (0 where the target is 0)."""
-    m, t = F.col(mass).cast("double"), F.col(target)
-    step = lambda lam, _: lam - F.lit(1.0) + t / m * F.exp(-lam)
-    dual = F.when((m > 0) & (t > 0), F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step))
-    return cells.withColumn("dual", dual).withColumn("rate", F.coalesce(F.exp("dual"), F.lit(0.0)))
+    Sources in code-point order (null last) take the weights in turn. What a cap leaves over is shared again by weight,
+    until no source is above its cap: each round is one aggregate over the sources, and caps only ever join."""
+    t = numbered(totals, [F.col("source").isNull(), F.col("source")], "turn")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("turn") - 1) % len(weights) + 1).cast("int"))
+    t = staged(t.withColumn("w", w).withColumn("cap", F.lit(float(most)) * F.col("source_size")).drop("turn"), "sources")
+    level, capped = float("-inf"), -1
+    while True:
+        held = F.col("cap") < F.lit(level) * F.col("w")
+        r = t.agg(F.sum("source_size").alias("all"), F.sum(F.when(held, F.col("cap"))).alias("caps"), F.sum(F.when(~held, F.col("w"))).alias("w"), F.count_if(held).alias("n")).first()
+        if r["n"] == capped or not r["w"]:
+            break
+        level, capped = (float(r["all"]) - (r["caps"] or 0.0)) / r["w"], r["n"]
+    return t.select("source", "source_size", F.least(F.col("cap"), F.lit(max(level, 0.0)) * F.col("w")).alias("target"))
+
+
+def balance_one(cells: DataFrame, targets: DataFrame, mass: str = "mass", steps: int = NEWTON_STEPS, tol: float = 1e-10) -> DataFrame:
+    """Newton on the dual when each cell belongs to one source. cells: (source, mass), any number of cells a source;
+    targets: (source, source_size, target). Adds dual and rate = exp(dual) (null and 0 where the target or the mass is 0).
+
+    The gradient of source s is its tilted mass less its target, the Hessian's diagonal the tilted mass itself. Stops when
+    no source is off by more than tol of its target; raises if that takes more than `steps` steps."""
+    live = (F.col("target") > 0) & (F.col("source_size") > 0)
+    duals = staged(targets.withColumn("dual", F.when(live, F.lit(0.0))), "duals")
+    cells = cells.select(F.col("source").alias("__s"), F.col(mass).cast("double").alias("__m"))
+    for _ in range(steps):
+        rated = cells.join(duals, F.col("source").eqNullSafe(F.col("__s"))).where("dual is not null")
+        tilted = rated.groupBy("__s").agg(F.sum(F.col("__m") * F.exp("dual")).alias("__t"))
+        moved = duals.join(tilted, F.col("source").eqNullSafe(F.col("__s")), "left")
+        off = F.abs(F.col("__t") - F.col("target")) / F.col("target")
+        now = staged(moved.select("source", "source_size", "target", (F.col("dual") - (F.col("__t") - F.col("target")) / F.col("__t")).alias("dual"), off.alias("off")), "duals")
+        discard(duals)
+        duals = now
+        if (duals.agg(F.max("off")).first()[0] or 0.0) <= tol:
+            return duals.select("source", "source_size", "target", "dual", F.coalesce(F.exp("dual"), F.lit(0.0)).alias("rate"))
+    raise ArithmeticError(f"no balance after {steps} steps")
 
 
 def balance(docs: DataFrame, size: str, families: dict[str, dict], max_duals: int = 2000, steps: int = 50, tol: float = 1e-9) -> dict[str, dict]:
@@ -113,53 +132,60 @@ def _extras(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(m=np.array(out, "int64"))[["source", "size", "m"]]
 
 
-def rounded_copies(base: DataFrame, rates: DataFrame, most: int = 3, parts: int = 64) -> DataFrame:
-    """base (doc_id, source, size and what else it has) with whole copies near each source's rate, at most `most` for a document.
+def rounded_copies(base: DataFrame, cells: DataFrame, rates: DataFrame, most: int = 3) -> DataFrame:
+    """base (doc_id, source, size, th) with whole copies near each source's rate, at most `most` for a document.
 
-    Documents of one source and size are interchangeable. From the largest size down, each size rounds the
-    extra copies it needs and carries the rest (under half a document) to the next, so a source misses its
-    target by about half its smallest document. The number is then dealt over `parts` hash buckets, so that
-    ranking documents inside a bucket never gathers a hot size in one task. The order is a hash of doc_id:
-    reruns agree.
+    cells: (source, size, n) of base. Documents of one source and size are interchangeable. From the largest size down,
+    each size rounds the extra copies it needs and carries the rest (under half a document) to the next, so a source misses
+    its target by about half its smallest document. The number is then dealt over hash buckets (their number grows
+    with the rows), so that ranking documents inside a bucket never gathers a hot size in one task. The order is a hash of
+    doc_id and text: reruns agree.
     """
+    small_batches(base.sparkSession)
+    total = cells.agg(F.sum("n")).first()[0] or 0
     k = F.least(F.floor(F.col("rate") + F.lit(1e-9)), F.lit(most)).cast("long")
     rates = rates.withColumn("whole", k)
     rates = rates.withColumn("frac", F.when(F.col("whole") >= most, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))))
     rates = rates.select(F.col("source").alias("__s"), "whole", "frac")
     columns = base.columns
-    base = base.withColumn("__h", F.xxhash64("doc_id")).withColumn("__b", F.pmod("__h", F.lit(parts)).cast("int"))
-    cells = base.groupBy("source", "size", "__b").agg(F.count("*").alias("nb"))
-    per_size = cells.groupBy("source", "size").agg(F.sum("nb").alias("n"))
-    per_size = per_size.join(rates, F.col("source").eqNullSafe(F.col("__s"))).select("source", "size", "n", "whole", "frac")
+    base = base.withColumn("__h", F.xxhash64("doc_id", "th")).withColumn("__b", F.pmod("__h", F.lit(-(-max(1, total) // (3 * RANKED)))).cast("int"))
+    per_size = cells.join(rates, F.col("source").eqNullSafe(F.col("__s"))).select("source", "size", "n", "whole", "frac")
     extra = per_size.groupBy("source").applyInPandas(_extras, "source string, size long, m long")
     extra = extra.select(F.col("source").alias("__s"), F.col("size").alias("__z"), "m")
     dealt = Window.partitionBy("source", "size").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.join(extra, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")))
-    cells = cells.withColumn("mb", F.greatest(F.lit(0), F.least(F.col("nb"), F.col("m") - F.coalesce(F.sum("nb").over(dealt), F.lit(0)))))
-    cells = cells.join(rates.withColumnRenamed("__s", "__s2"), F.col("source").eqNullSafe(F.col("__s2")))
-    cells = cells.select(F.col("source").alias("__cs"), F.col("size").alias("__cz"), F.col("__b").alias("__cb"), "mb", "whole")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "__b").orderBy("__h", F.col("doc_id").asc_nulls_last()))
+    buckets = base.groupBy("source", "size", "__b").agg(F.count("*").alias("nb"))
+    buckets = buckets.join(extra, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")))
+    buckets = buckets.withColumn("mb", F.greatest(F.lit(0), F.least(F.col("nb"), F.col("m") - F.coalesce(F.sum("nb").over(dealt), F.lit(0)))))
+    buckets = buckets.join(rates.withColumnRenamed("__s", "__s2"), F.col("source").eqNullSafe(F.col("__s2")))
+    buckets = buckets.select(F.col("source").alias("__cs"), F.col("size").alias("__cz"), F.col("__b").alias("__cb"), "mb", "whole")
+    rank = F.row_number().over(Window.partitionBy("source", "size", "__b").orderBy("__h", F.col("doc_id").asc_nulls_last(), "th"))
     ranked = base.withColumn("__r", rank)
     on = F.col("source").eqNullSafe(F.col("__cs")) & (F.col("size") == F.col("__cz")) & (F.col("__b") == F.col("__cb"))
-    return ranked.join(cells, on).select(*columns, (F.col("whole") + (F.col("__r") <= F.col("mb")).cast("long")).alias("copies"))
+    return ranked.join(buckets, on).select(*columns, (F.col("whole") + (F.col("__r") <= F.col("mb")).cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, size, copies) and (source, source_size, target, dual, rate)."""
+    """(doc_id, source, size, th, copies) and (source, source_size, target, dual, rate)."""
     base = staged(sizes(docs), "sizes")
-    totals = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rates = staged(balance_one(weighted_targets(totals, weights, most)), "rates")
-    return rounded_copies(base, rates, most), rates
+    cells = staged(base.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
+    totals = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    rates = balance_one(cells.withColumn("mass", F.col("size") * F.col("n")), weighted_targets(totals, weights, most))
+    return rounded_copies(base, cells, rates, most), rates
 
 
 def mixed(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: int = 3) -> DataFrame:
-    """The rows of docs, all columns, each as often as the mix takes it."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    base = docs.select("doc_id", "source", size.alias("size"), F.struct(*docs.columns).alias("__row"))
-    totals = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rates = staged(balance_one(weighted_targets(totals, weights, most)), "rates")
-    copies = rounded_copies(base, rates, most).where("copies > 0")
-    return copies.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__row.*")
+    """The rows of docs, all columns, each as often as the mix takes it. The texts are shuffled once, beside the copies.
+
+    Rows equal in doc_id, source and text are one document here, with all their copies; its other columns are those of the
+    row that comes first in the order of all columns."""
+    copies, _ = mix(docs, weights, most)
+    taken = copies.groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("th").alias("__t")).agg(F.sum("copies").alias("__k"), F.count("*").alias("__m")).where("__k > 0")
+    on = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__th") == F.col("__t"))
+    rows = docs.withColumn("__th", F.xxhash64("text")).join(staged(taken, "taken"), on)
+    row = F.struct(*docs.columns)
+    one = rows.where("__m = 1").select(row.alias("__row"), "__k")
+    several = rows.where("__m > 1").groupBy("__d", "__s", "__t", "__k").agg(F.min(row).alias("__row")).select("__row", "__k")
+    return one.unionByName(several).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__k")))).select("__row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

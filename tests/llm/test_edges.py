@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -62,8 +63,13 @@ def test_matroska(spark):
         raw = (x or "").encode()
         pad = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         r = got[hashlib.sha256(pad).hexdigest()]
-        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(pad))
-        assert hashlib.sha256(matroska.write_pcm(pad)).hexdigest() == r["media_sha256"]
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(raw), len(pad), zlib.crc32(pad[-32:]))
+        media = matroska.write_pcm(pad)
+        assert (hashlib.sha256(media).hexdigest(), len(media)) == (r["media_sha256"], r["media_bytes"])
+        n = len(pad) // 576
+        laces, clusters = -(-n // 8), -(-n // (8 * 48))
+        assert r["feature"] == f"A_PCM/INT/LIT;8000Hz;8bit;packets={n};clusters={clusters};cues={clusters};ms={n * 72};sum={sum(pad)};peak=255", laces
+    same(rows_of(matroska.query(docs), "doc_id", "n_bytes"), [(d, len((x or "").encode())) for d, x in plain(docs)])
     assert matroska.query(empty(spark)).count() == 0
     assert matroska.packets(matroska.store(docs.limit(3))).count() > 0
 
@@ -91,7 +97,7 @@ def brute_repeats(docs, length=400):
     return out
 
 
-@pytest.mark.parametrize("hot,bucket", [(8192, 16384), (1, 4), (3, 2)])
+@pytest.mark.parametrize("hot,bucket", [(1024, 2048), (1, 4), (3, 2)])
 def test_repeats(spark, hot, bucket, monkeypatch):
     monkeypatch.setattr(bwt.repeats, "__defaults__", (bucket, hot))
     docs = documents(spark)
@@ -204,20 +210,48 @@ def test_mixing(spark):
     assert mixing.mixed(empty(spark)).count() == 0
 
 
-def test_mixing_targets_capped(spark):
-    totals = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1), (None, 0), ("d", 500)], "source string, source_size long")
-    got = {r["source"]: r["target"] for r in mixing.weighted_targets(totals).collect()}
-    size, weight = {"a": 10, "b": 1000, "c": 1, "d": 500, None: 0}, {"a": 5, "b": 2, "c": 1, "d": 5, None: 2}
+def test_mixing_meets_targets(spark):
+    """Taken words are the targets up to about half a small document, whatever shares doc_id, source and size."""
+    import random
+
+    rng = random.Random(11)
+    rows = [(rng.choice([None, i % 300]), " ".join("w" * rng.randint(1, 3) + str(rng.randrange(9999)) for _ in range(rng.choice([1, 2, 3, 5, 5, 5, 40]))), rng.choice("aaaabcdefg")) for i in range(1500)]
+    rows += [rows[0]] * 400
+    docs = documents(spark, rows)
+    out = mixing.query(docs).collect()
+    size = Counter()
+    for _, x, s in rows:
+        size[s] += len(x.split())
+    want = shared_targets(dict(size), {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(size))})
+    taken = Counter()
+    for r in out:
+        assert r["taken"] in (0, r["size"], 2 * r["size"], 3 * r["size"])
+        assert r["source_size"] == size[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 2 for s in size), (taken, want)
+    copied = Counter((r["doc_id"], r["text"], r["source"]) for r in mixing.mixed(docs).collect())
+    assert Counter({s: sum(len(x.split()) * n for (_, x, t), n in copied.items() if t == s) for s in size}) == taken
+    assert mixing.mixed(docs.repartition(5)).exceptAll(mixing.mixed(docs)).count() == 0
+
+
+def shared_targets(size, weight, most=3.0):
     left, live, want = float(sum(size.values())), set(size), {}
     while live:  # share by weight, hold those above their cap, share again
         level = left / sum(weight[s] for s in live)
-        over = {s for s in live if level * weight[s] > 3 * size[s]}
+        over = {s for s in live if level * weight[s] > most * size[s]}
         if not over:
-            want |= {s: level * weight[s] for s in live}
-            break
-        want |= {s: 3.0 * size[s] for s in over}
-        left -= sum(3.0 * size[s] for s in over)
+            return want | {s: level * weight[s] for s in live}
+        want |= {s: most * size[s] for s in over}
+        left -= sum(most * size[s] for s in over)
         live -= over
+    return want
+
+
+def test_mixing_targets_capped(spark):
+    totals = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1), (None, 0), ("d", 500)], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.weighted_targets(totals).collect()}
+    size, weight = {"a": 10, "b": 1000, "c": 1, "d": 500, None: 0}, {"a": 5, "b": 2, "c": 1, "d": 5, None: 2}
+    want = shared_targets(size, weight)
     assert got == pytest.approx(want)
 
 
