@@ -1,7 +1,7 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
 A document's set holds its distinct word n-grams as 64-bit hashes. Documents with equal sets are one class from the
-start (a 64-bit digest of the set names it). Tokens are ordered rare first, by a table of counts over all classes and documents
+start (a 128-bit digest of the set names it; after the classes are known, a number). Tokens are ordered rare first, by a table of counts over all classes and documents
 (2^18 hash buckets, so its size is fixed) and then by hash: any total order gives right results, this one keeps
 frequent n-grams out of the prefixes. Two sets of similarity t share a token in their prefixes of n - ceil(t n) + 1.
 
@@ -34,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import salted_left_join, small_batches, staged
+from .common import discard, salted_left_join, small_batches, staged
 
 BUCKETS = 1 << 18
 PART_BYTES = 4 << 20
 #: Parts of a set by hash, for the suffix filter.
 PARTS = 512
+#: Rows of a token or class that meet in one task, about.
+SALTED = 512
 
 _rng = np.random.default_rng(20240229)
 _SPACE = np.zeros(256, bool)
@@ -117,8 +119,9 @@ def gram_sets(col: pa.Array, n: int):
         yield from _grams(np.frombuffer(b"".join(part), "uint8"), starts, n)
 
 
-def _sid(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    h = hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest()
+    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
 def _parities(s: np.ndarray) -> list[int]:
@@ -131,54 +134,75 @@ def _kind(df: DataFrame, c: str) -> str:
     return df.schema[c].dataType.simpleString()
 
 
-def counts(docs: DataFrame, n: int) -> np.ndarray:
-    """Documents that hold an n-gram of each bucket, over all documents. A task sends one row per bucket at most."""
+def members(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, s1, s2 (digest of the set; null if empty), n (size of the set), th (hash of the text, which with doc_id finds it
+    again), and the documents that hold an n-gram of each bucket, over all documents: both from one pass over the texts. A task
+    sends one row per bucket at most; those rows have a bucket and no document."""
     def run(batches):
         c = np.zeros(BUCKETS, "int64")
+        kind = None
         for b in batches:
-            for s in gram_sets(b.column(0), n):
+            kind = b.column(0).type
+            rows = ([], [], [])
+            for s in gram_sets(b.column(1), n):
                 np.add.at(c, (s >> np.uint64(46)).astype("int64"), 1)
-        k = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype("int32")), pa.array(c[k])], ["bucket", "c"])
-
-    got = docs.select("text").mapInArrow(run, "bucket int, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+                for to, x in zip(rows, (*(_digest(s) if len(s) else (None, None)), len(s))):
+                    to.append(x)
+            nothing = pa.nulls(b.num_rows, "int32"), pa.nulls(b.num_rows, "int64")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows[0], "int64"), pa.array(rows[1], "int64"), pa.array(rows[2], "int64"), b.column(2), *nothing], names)
+        if kind is not None:
+            k = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(k), kind), *[pa.nulls(len(k), "int64")] * 4, pa.array(k.astype("int32")), pa.array(c[k])], names)
+
+    names = ["doc_id", "s1", "s2", "n", "th", "bucket", "c"]
+    every = staged(docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {_kind(docs, 'doc_id')}, s1 bigint, s2 bigint, n bigint, th bigint, bucket int, c bigint"), "members")
+    got = every.where("bucket is not null").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(BUCKETS, "int64")
     out[got["bucket"].to_numpy()] = got["c"].to_numpy()
-    return out
+    mem = every.where("bucket is null").drop("bucket", "c")
+    mem._staged = every._staged
+    return mem, out
 
 
-def prefixes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """A row per class: sid, n, parities (of the sizes of the set's parts, as bits), prefix (array of tokens, rare first)."""
-    table = docs.sparkSession.sparkContext.broadcast(counts(docs, n))
+def prefixes(docs: DataFrame, n: int, num: int, den: int, freq: np.ndarray) -> DataFrame:
+    """A row per class: sid (its number), s1, s2, n, parities (of the sizes of the set's parts, as bits), prefix (array of
+    tokens, rare first)."""
+    table = docs.sparkSession.sparkContext.broadcast(freq)
+    names = ["s1", "s2", "n", "parities", "prefix"]
 
     def run(batches):
         freq = table.value
         for b in batches:
-            rows = ([], [], [], [])
+            rows = ([], [], [], [], [])
             for s in gram_sets(b.column(0), n):
                 if not len(s):
                     continue
                 order = np.lexsort((s, freq[(s >> np.uint64(46)).astype("int64")]))
                 keep = len(s) - -(-num * len(s) // den) + 1
-                for to, x in zip(rows, (_sid(s), len(s), _parities(s), s[order[:keep]].astype("int64").tolist())):
+                for to, x in zip(rows, (*_digest(s), len(s), _parities(s), s[order[:keep]].astype("int64"))):
                     to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], "int64"), pa.array(rows[1], "int64"), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.list_(pa.int64()))], ["sid", "n", "parities", "prefix"])
+            sizes = np.cumsum([0, *map(len, rows[4])])
+            prefix = pa.ListArray.from_arrays(pa.array(sizes, "int32"), pa.array(np.concatenate(rows[4]) if rows[4] else [], "int64"))
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, "int64") for c in rows[:3]], pa.array(rows[3], pa.list_(pa.int64())), prefix], names)
 
-    all_rows = docs.select("text").mapInArrow(run, "sid bigint, n bigint, parities array<bigint>, prefix array<bigint>")
-    return all_rows.groupBy("sid").agg(F.first("n").alias("n"), F.first("parities").alias("parities"), F.first("prefix").alias("prefix"))
+    all_rows = docs.select("text").mapInArrow(run, "s1 bigint, s2 bigint, n bigint, parities array<bigint>, prefix array<bigint>")
+    classes = all_rows.groupBy("s1", "s2").agg(*[F.first(c).alias(c) for c in names[2:]])
+    return staged(classes.withColumn("sid", F.monotonically_increasing_id()), "prefixes")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) links to (sid, root): root is the smallest sid of the component. Alternating large-star and small-star."""
+    """(a, b) links to (sid, root): root is the smallest sid of the component. Alternating large-star and small-star, until
+    a round changes nothing."""
     e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     last = None
-    for _ in range(100):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = staged(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
+        old, e = e, staged(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
+        discard(old)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
             break
@@ -197,13 +221,38 @@ def _filters(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.where(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _need(num, den))
 
 
+def _differ(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
+    """The suffix filter's lower bound on how many tokens only one of two sorted sets holds: y's middle token splits both,
+    and so on. At the last depth pieces differ by their sizes' difference at least."""
+    if not len(x) or not len(y) or not depth:
+        return abs(len(x) - len(y))
+    m = len(y) // 2
+    i = int(np.searchsorted(x, y[m]))
+    hit = i < len(x) and x[i] == y[m]
+    return _differ(x[:i], y[:m], depth - 1) + _differ(x[i + hit :], y[m + 1 :], depth - 1) + (not hit)
+
+
+def _salted(df: DataFrame, counts: DataFrame, key: str, other: str) -> DataFrame:
+    """Adds __salt: a key with k rows (counts: key, __k) is dealt over k / SALTED salts by a hash of other."""
+    return df.join(counts, key).withColumn("__salt", F.pmod(F.xxhash64(other), F.ceil(F.col("__k") / F.lit(float(SALTED)))).cast("int")).drop("__k")
+
+
+def _every_salt(df: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """A row for each of its key's salts."""
+    return df.join(counts, key).withColumn("__salt", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("__k") / F.lit(float(SALTED))) - 1).cast("int")))).drop("__k")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Of (a, b), those whose sets are similar; the whole texts are read again. Rows come sorted by b: its set is kept."""
+    """Of (a, b), those whose sets are similar; the whole texts are read again. Rows come sorted by b: its set is kept.
+
+    A class b that many pairs share is copied for its salts, so no task gets all its partners' texts."""
     texts = reps.join(docs, F.col("__d").eqNullSafe(F.col("doc_id")) & (F.col("__t") == F.xxhash64("text")), "inner").select("sid", "text")
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     texts = staged(texts.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "texts")
-    left = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    fan = pairs.groupBy("b").agg(F.count("*").alias("__k"))
+    left = _salted(pairs, fan, "b", "a").join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a")
+    right = _every_salt(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), fan, "b")
+    both = left.join(right, ["b", "__salt"]).select("a", "b", "ta", "tb")
 
     def run(batches):
         held = (None, None)
@@ -214,6 +263,10 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, num: in
                 if held[0] != b[i]:
                     held = (b[i], next(gram_sets(batch.column(3).slice(i, 1), n)))
                 y = held[1]
+                least = -(-num * (len(x) + len(y)) // (num + den))  # tokens that similar sets share
+                if _differ(x, y) > len(x) + len(y) - 2 * least:
+                    keep.append(False)
+                    continue
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.searchsorted(large, small)
                 same = int((large[np.minimum(at, len(large) - 1)] == small).sum())
@@ -221,64 +274,70 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, num: in
             k = np.flatnonzero(keep)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in k], "int64"), pa.array([b[i] for i in k], "int64")], ["a", "b"])
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    out = staged(both.mapInArrow(run, "a bigint, b bigint"), "links")
+    discard(texts)
+    return out
 
 
-def links(docs: DataFrame, n: int, num: int, den: int, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """members() and the roots (sid, root) of classes in components of two classes or more."""
+def links(docs: DataFrame, n: int, num: int, den: int, rounds: int = 2, pairs: bool = False) -> tuple[DataFrame, DataFrame]:
+    """members() with sid (the class; null if empty), and the roots (sid, root) of classes in components of two classes or more.
+
+    pairs: instead of the roots, every pair (a, b) of similar classes, a < b."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    mem = staged(members(docs, n), "members")
-    reps = mem.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("sid", F.col("r.doc_id").alias("__d"), F.col("r.th").alias("__t"))
-    pre = staged(prefixes(docs, n, num, den), "prefixes")
+    mem, freq = members(docs, n)
+    pre = prefixes(docs, n, num, den, freq)
+    names = pre.select(F.struct("s1", "s2").alias("s"), "sid")
+    raw, mem = mem, staged(salted_left_join(mem.withColumn("s", F.when(F.col("s1").isNotNull(), F.struct("s1", "s2"))), names, "s", ["doc_id", "th"]).select("doc_id", "sid", "n", "th"), "members")
+    discard(raw)
+    reps = staged(mem.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("sid", F.col("r.doc_id").alias("__d"), F.col("r.th").alias("__t")), "classes")
     tok = pre.select("sid", "n", F.posexplode("prefix").alias("pos", "tok"))
     shared = tok.groupBy("tok").agg(F.count("*").alias("k")).where("k > 1").select("tok")
     tok = staged(tok.join(shared, "tok", "left_semi"), "tokens")
     found, roots = None, None
-    for r in range(rounds):
+    for r in range(0 if pairs else rounds):
         rows = tok
         if roots is not None:
             rows = rows.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
             live = rows.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tok")
-            rows = tok = staged(rows.join(live, "tok", "left_semi"), "tokens")
+            old, rows = tok, staged(rows.join(live, "tok", "left_semi"), "tokens")
+            discard(old)
             first = F.min(F.struct(F.xxhash64("sid"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb")))
-            tok = tok.drop("root")
+            tok = rows.drop("root")
+            tok._staged = rows._staged
         else:
             first = F.min(F.struct("pos", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("sid").alias("rb")))
             rows = rows.withColumn("root", F.col("sid"))
         named = salted_left_join(rows, rows.groupBy("tok").agg(first.alias("c")), "tok", ["sid"]).select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"), "c.b", "c.nb", "c.pb", "c.rb")
         votes = named.where("ra <> rb").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.min("pa").alias("pa"), F.min("pb").alias("pb"), F.count("*").alias("votes"))
         votes = _filters(votes, num, den).withColumn("first", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("votes"), "b"))).where("first = 1")
-        pairs = staged(votes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        new = staged(verified(pairs, docs, reps, n, num, den), "links")
+        asked = staged(votes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        new = verified(asked, docs, reps, n, num, den)
+        discard(asked)
         found = new if found is None else found.unionByName(new)
         roots = components(found)
-    rows = tok.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    live = rows.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tok")
-    rows = rows.join(live, "tok", "left_semi").join(pre.select("sid", "parities"), "sid")
+    rows = tok.withColumn("root", F.col("sid"))
+    if roots is not None:
+        rows = tok.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    live = rows.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("__k")).where("x <> y")
+    rows = staged(rows.join(live.select("tok"), "tok", "left_semi").join(pre.select("sid", "parities"), "sid"), "live")
+    live = live.select("tok", "__k")
     side = lambda s: rows.select("tok", F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("root").alias(f"r{s}"), F.col("parities").alias(f"o{s}"))
-    a, b = side("a"), side("b")
+    a, b = _salted(side("a"), live, "tok", "a"), _every_salt(side("b"), live, "tok")
     # the filters need sizes, places and parities alone, so unlikely pairs go within the join
     ok = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
     ok = ok & (F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _need(num, den))
     differ = sum((F.bit_count(F.get("oa", F.lit(i)).bitwiseXOR(F.get("ob", F.lit(i)))) for i in range(PARTS // 64)), F.lit(0))
     ok = ok & (differ <= F.col("na") + F.col("nb") - 2 * _need(num, den))
-    pairs = a.join(b, (a["tok"] == b["tok"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & ok)
-    pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-    pairs = staged(_filters(pairs, num, den).select("a", "b"), "pairs")
-    new = staged(verified(pairs, docs, reps, n, num, den), "links")
-    return mem, components(found.unionByName(new))
-
-
-def members(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, sid (class of the set; null if empty), n (size of the set), th (hash of the text, which with doc_id finds it again)."""
-    def run(batches):
-        for b in batches:
-            sets = [(_sid(s) if len(s) else None, len(s)) for s in gram_sets(b.column(1), n)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in sets], "int64"), pa.array([k for _, k in sets], "int64"), b.column(2)], ["doc_id", "sid", "n", "th"])
-
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {_kind(docs, 'doc_id')}, sid bigint, n bigint, th bigint")
+    met = a.join(b, (a["tok"] == b["tok"]) & (a["__salt"] == b["__salt"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & ok)
+    met = met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
+    asked = staged(_filters(met, num, den).select("a", "b"), "pairs")
+    new = verified(asked, docs, reps, n, num, den)
+    discard(asked, rows, tok, pre)
+    if pairs:
+        return mem, new
+    return mem, components(found.unionByName(new) if found is not None else new)
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
