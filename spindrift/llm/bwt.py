@@ -11,16 +11,24 @@ the last one's end). Fragments that are equal throughout are counted first, per
 leave that aggregate. Anchors with the same key and different fragments are dealt over buckets of bounded size: there the
 fragments' right parts, as strings of 16-byte blocks, are transformed by shard and merged; the intervals of the merged
 transform with common prefix 400 - d, refined by the d bytes to the left, are the repeated strings that start d
-before the anchor. A key with more fragments than a bucket takes has each of its strings hashed and counted instead,
-so no task holds a hot key; the result is the same.
+before the anchor.
+
+A key with more fragments than a bucket may take from one key is divided, and its parts go the same way: the strings that
+start 16 i to 16 i + 15 before the anchor are a part, whose key is the 385 bytes that strings of it that can be equal
+share. Near copies differ in few places, so most of their parts are equal and are counted; the others are merged. A part
+that is still too large (thousands of strings that differ in 15 bytes only) is divided into its single strings, which are
+their own keys, so that there is nothing left to sort: they are hashed to 128 bits and counted. No task holds a hot key,
+and the result is the same at every size.
 
 Defined cases: null and empty texts, and texts under 400 bytes, lose nothing; overlapping occurrences count; rows that
-repeat in full are occurrences of each other; strings are judged on the input. Only doc_id and text are read.
+repeat in full are occurrences of each other; strings are judged on the input. Long texts are read for anchors a slice at a
+time. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_left_join, small_batches, staged
+from .common import discard, salted_left_join, small_batches, staged
 
 LENGTH, WINDOW, GRAM, BLOCK = 400, 256, 16, 16
-SHARD, BUCKET, HOT = 2048, 16384, 8192
-PART_BYTES = 2 << 20
+#: Fragments of a shard, of a bucket on average, and of one key in a bucket at most.
+SHARD, BUCKET, HOT = 512, 2048, 1024
+#: Strings of so many starts are a part of a fragment of a hot key.
+PART = 16
+#: Bytes of text of which anchors are sought at once.
+SLICE_BYTES = 256 << 10
 
 
 # --- transforms of collections of strings of positive integers -------------------------------------------------
@@ -159,22 +171,10 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
 # --- anchors ---------------------------------------------------------------------------------------------------
 
 
-def anchors(parts: list[bytes], length: int = LENGTH, window: int = WINDOW) -> list[tuple[int, int, int, int, int, int]]:
-    """(text, anchor, dmax, dmin, key, hash of the fragment) for the anchors of texts of UTF-8 bytes."""
-    data = b"".join(parts)
-    ends = np.cumsum([len(p) for p in parts])
-    begins = ends - [len(p) for p in parts]
-    if len(data) < length:
-        return []
-    mark = np.zeros(len(data) + 1, "int32")
-    some = ends - begins >= length
-    np.add.at(mark, begins[some], 1)
-    np.add.at(mark, ends[some] - length + 1, -1)
-    start = np.flatnonzero(np.cumsum(mark[:-1]))  # where a string of `length` starts
-    if not len(start):
-        return []
+def _least(data: np.ndarray, window: int) -> np.ndarray:
+    """Of each place of data, where the smallest hash of GRAM bytes is in the `window` places from it on."""
     x = np.zeros(len(data) + GRAM, "uint64")
-    x[: len(data)] = np.frombuffer(data, "uint8")
+    x[: len(data)] = data
     v = x[:-1] | x[1:] << np.uint64(8)
     v = v[:-2] | v[2:] << np.uint64(16)
     v = v[:-4] | v[4:] << np.uint64(32)
@@ -187,14 +187,40 @@ def anchors(parts: list[bytes], length: int = LENGTH, window: int = WINDOW) -> l
         s = min(w, window - w)
         m = np.minimum(m[: len(m) - s], m[s:]) if len(m) > s else m
         w += s
-    at = (m[start] & np.uint64(0xFFFFFFFF)).astype("int64")
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    last = np.append(first[1:], len(at)) - 1
-    text = np.searchsorted(ends, at[first], "right")
-    out, same, key = [], length - window + 1, xxhash.xxh3_64_intdigest
-    for t, a, lo, hi, b in zip(text.tolist(), at[first].tolist(), start[first].tolist(), start[last].tolist(), begins[text].tolist()):
-        out.append((t, a - b, a - lo, a - hi, key(data[a : a + same]), key(data[lo : hi + length], a - lo)))
-    return out
+    return (m & np.uint64(0xFFFFFFFF)).astype("int64")
+
+
+def anchors(parts: list[bytes], length: int = LENGTH, window: int = WINDOW, slice_bytes: int | None = None):
+    """(text, anchor, dmax, dmin, key, hash of the fragment) for the anchors of texts of UTF-8 bytes.
+
+    The texts are read in slices of slice_bytes starts, which hold about 70 bytes a byte; only runs of starts are kept."""
+    data, slice_bytes = b"".join(parts), slice_bytes or SLICE_BYTES
+    ends = np.cumsum([len(p) for p in parts])
+    same, key, held = length - window + 1, xxhash.xxh3_64_intdigest, None
+
+    def row(t, a, lo, hi):
+        b = int(ends[t]) - len(parts[t])
+        return t, a - b, a - lo, a - hi, key(data[a : a + same]), key(data[lo : hi + length], a - lo)
+
+    for s in range(0, len(data), slice_bytes):
+        e = min(len(data), s + slice_bytes)
+        text = np.searchsorted(ends, np.arange(s, e), "right")
+        start = np.flatnonzero(np.arange(s, e) + length <= ends[text])  # where a string of `length` starts
+        if not len(start):
+            continue
+        at = _least(np.frombuffer(data, "uint8", min(len(data), e + length) - s, s), window)[start]
+        new = np.append(True, (at[1:] != at[:-1]) | (text[start[1:]] != text[start[:-1]]))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        for r in zip(text[start[first]].tolist(), (at[first] + s).tolist(), (start[first] + s).tolist(), (start[last] + s).tolist()):
+            if held and held[:2] == r[:2]:  # its starts go on from the slice before
+                held = (*held[:3], r[3])
+                continue
+            if held:
+                yield row(*held)
+            held = r
+    if held:
+        yield row(*held)
 
 
 def _signed(x: list[int]) -> pa.Array:
@@ -203,19 +229,23 @@ def _signed(x: list[int]) -> pa.Array:
 
 def anchor_table(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), a, dmax, dmin, key, fh."""
+    def batch(b, i, rows):
+        t, a, hi, lo, key, fh = zip(*rows)
+        take = pa.array(t, "int64")
+        return pa.RecordBatch.from_arrays([b.column(0).slice(i).take(take), b.column(1).slice(i).take(take), pa.array(a, "int32"), pa.array(hi, "int16"), pa.array(lo, "int16"), _signed(key), _signed(fh)], ["doc_id", "th", "a", "dmax", "dmin", "key", "fh"])
+
     def run(batches):
         for b in batches:
             i = 0
             while i < b.num_rows:
                 j, part, size = i, [], 0
-                while j < b.num_rows and (not part or size < PART_BYTES):
+                while j < b.num_rows and (not part or size < SLICE_BYTES):
                     part.append((b.column(2)[j].as_py() or "").encode())
                     size += len(part[-1])
                     j += 1
-                rows = anchors(part)
-                t, a, hi, lo, key, fh = zip(*rows) if rows else [[]] * 6
-                take = pa.array(t, "int64")
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(take), b.column(1).slice(i, j - i).take(take), pa.array(a, "int32"), pa.array(hi, "int16"), pa.array(lo, "int16"), _signed(key), _signed(fh)], ["doc_id", "th", "a", "dmax", "dmin", "key", "fh"])
+                found = anchors(part)
+                while rows := list(itertools.islice(found, 4096)):
+                    yield batch(b, i, rows)
                 i = j
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -255,6 +285,40 @@ def _bucket(key, t):
     return pa.table([t["key"], t["fh"], pa.array(spans, _SPANS)], names=["key", "fh", "spans"])
 
 
+def _whole(frags: DataFrame) -> DataFrame:
+    """Spans of fragments that are the only ones of their key."""
+    return frags.where("n > 1").select("key", "fh", F.array(F.struct(F.col("dmin").cast("int").alias("lo"), F.col("dmax").cast("int").alias("hi"))).alias("spans"))
+
+
+def _merged(frags: DataFrame, bucket: int) -> DataFrame:
+    """Spans of fragments that share a key with others, by merged transforms; no key may hold more than a bucket takes."""
+    buckets = max(1, -(-frags.count() // bucket))
+    return frags.withColumn("__b", F.pmod(F.xxhash64("key"), F.lit(buckets))).select("__b", "key", "fh", "n", "dmax", "dmin", "frag").groupBy("__b").applyInArrow(lambda k, t: _bucket(k, t), SPANS).where(F.size("spans") > 0)
+
+
+def _parts(frags: DataFrame) -> DataFrame:
+    """The parts of fragments of hot keys: key, fh (of the whole), pkey, pfh (of the part), n, dmax, dmin, frag."""
+    def run(batches):
+        for b in batches:
+            out = [[] for _ in range(8)]
+            for key, fh, n, hi, lo, frag in zip(*(c.to_pylist() for c in b.columns)):
+                for i in range(lo // PART, hi // PART + 1):
+                    near, far = max(lo, i * PART), min(hi, (i + 1) * PART - 1)
+                    own = frag[hi - far : hi - near + LENGTH]
+                    shared = frag[hi - i * PART : hi + LENGTH - (i + 1) * PART + 1]
+                    for to, x in zip(out, (key, fh, xxhash.xxh3_64_intdigest(shared, i), xxhash.xxh3_64_intdigest(own, far), n, far, near, own)):
+                        to.append(x)
+                    if len(out[0]) >= 4096:
+                        yield batch(out)
+                        out = [[] for _ in range(8)]
+            yield batch(out)
+
+    def batch(c):
+        return pa.RecordBatch.from_arrays([pa.array(c[0], "int64"), pa.array(c[1], "int64"), _signed(c[2]), _signed(c[3]), pa.array(c[4], "int64"), pa.array(c[5], "int16"), pa.array(c[6], "int16"), pa.array(c[7], "binary")], ["key", "fh", "pkey", "pfh", "n", "dmax", "dmin", "frag"])
+
+    return frags.select("key", "fh", "n", "dmax", "dmin", "frag").mapInArrow(run, "key bigint, fh bigint, pkey bigint, pfh bigint, n bigint, dmax smallint, dmin smallint, frag binary")
+
+
 def _hashed(frags: DataFrame) -> DataFrame:
     """Spans of fragments of hot keys: every string hashed to 128 bits and counted, in partial sums."""
     def run(batches):
@@ -265,32 +329,54 @@ def _hashed(frags: DataFrame) -> DataFrame:
                 k = len(h)
                 yield pa.RecordBatch.from_arrays([pa.array([key] * k, "int64"), pa.array([fh] * k, "int64"), pa.array([n] * k, "int64"), pa.array(ds, "int32"), _signed([x >> 64 for x in h]), _signed([x & (1 << 64) - 1 for x in h])], ["key", "fh", "n", "d", "w1", "w2"])
 
-    rows = staged(frags.mapInArrow(run, "key bigint, fh bigint, n bigint, d int, w1 bigint, w2 bigint"), "strings")
+    rows = staged(frags.select("key", "fh", "n", "dmax", "dmin", "frag").mapInArrow(run, "key bigint, fh bigint, n bigint, d int, w1 bigint, w2 bigint"), "strings")
     again = rows.groupBy("w1", "w2").agg(F.sum("n").alias("k")).where("k > 1").select(F.struct("w1", "w2").alias("w"), F.lit(True).alias("again"))
     hit = salted_left_join(rows.select("key", "fh", "d", F.struct("w1", "w2").alias("w")), again, "w", ["key", "fh", "d"]).where("again")
-    return hit.groupBy("key", "fh").agg(F.transform(F.collect_list("d"), lambda d: F.struct(d.alias("lo"), d.alias("hi"))).alias("spans"))
+    return hit.groupBy("key", "fh").agg(_joined(F.transform(F.collect_list("d"), lambda d: F.struct(d.alias("lo"), d.alias("hi")))).alias("spans"))
+
+
+def _joined(spans):
+    """Spans in order, those that touch as one."""
+    def add(done, s):
+        last = F.element_at(done, -1)
+        touch = F.when(F.size(done) > 0, last["hi"] + 1 >= s["lo"]).otherwise(F.lit(False))
+        longer = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], s["hi"]).alias("hi"))
+        return F.when(touch, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<lo:int,hi:int>>"), add)
+
+
+def _divided(frags: DataFrame, bucket: int, hot: int) -> DataFrame:
+    """Spans of fragments of hot keys, by their parts."""
+    parts = staged(_parts(frags), "parts")
+    each = parts.groupBy(F.col("pkey").alias("key"), F.col("pfh").alias("fh")).agg(F.sum("n").alias("n"), F.first("dmax").alias("dmax"), F.first("dmin").alias("dmin"), F.first("frag").alias("frag"))
+    each = staged(each, "part-classes")
+    kinds = each.groupBy("key").agg(F.count("*").alias("k"))
+    each = each.join(kinds, "key")
+    spans = _whole(each.where("k = 1")).unionByName(_merged(each.where((F.col("k") > 1) & (F.col("k") <= hot)), bucket)).unionByName(_hashed(each.where(F.col("k") > hot)))
+    spans = staged(spans.select(F.struct("key", "fh").alias("f"), "spans"), "part-spans")
+    hit = salted_left_join(parts.select("key", "fh", F.struct(F.col("pkey").alias("key"), F.col("pfh").alias("fh")).alias("f")), spans, "f", ["key", "fh"]).where("spans is not null")
+    return hit.groupBy("key", "fh").agg(_joined(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def repeats(docs: DataFrame, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
     """doc_id, th, covered: array of (start, end) of bytes in repeated strings; only documents that have some."""
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     table = staged(anchor_table(docs), "anchors")
     frags = table.groupBy("key", "fh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "a")).alias("r"), F.min("dmax").alias("dmax"), F.min("dmin").alias("dmin"))
     keys = table.groupBy("key").agg(F.count("*").alias("total")).where("total > 1").select("key")
-    frags = staged(frags.join(keys, "key", "left_semi"), "fragments")
-    kinds = frags.groupBy("key").agg(F.count("*").alias("k"))
-    only = frags.join(kinds.where("k = 1"), "key", "left_semi")
-    several = staged(_cut(docs, frags.join(kinds.where("k > 1"), "key", "left_semi")).join(kinds, "key"), "cut")
-    cool = several.where(F.col("k") <= hot).drop("k")
-    buckets = max(1, -(-cool.count() // bucket))
-    merged = cool.withColumn("__b", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("__b").applyInArrow(lambda k, t: _bucket(k, t), SPANS)
-    whole = only.select("key", "fh", F.array(F.struct(F.col("dmin").cast("int").alias("lo"), F.col("dmax").cast("int").alias("hi"))).alias("spans"))
-    spans = merged.where(F.size("spans") > 0).unionByName(whole).unionByName(_hashed(several.where(F.col("k") > hot).drop("k")))
+    fragments = staged(frags.join(keys, "key", "left_semi"), "fragments")
+    kinds = fragments.groupBy("key").agg(F.count("*").alias("k"))
+    frags = fragments.join(kinds, "key")
+    several = staged(_cut(docs, frags.where("k > 1")).join(kinds, "key"), "cut")
+    spans = _whole(frags.where("k = 1")).unionByName(_merged(several.where(F.col("k") <= hot), bucket)).unionByName(_divided(several.where(F.col("k") > hot), bucket, hot))
     spans = staged(spans.select(F.struct("key", "fh").alias("f"), "spans"), "spans")
+    discard(fragments, several)
     hit = salted_left_join(table.select("doc_id", "th", "a", F.struct("key", "fh").alias("f")), spans, "f", ["doc_id", "th", "a"]).where("spans is not null")
     ranges = F.transform("spans", lambda s: F.struct((F.col("a") - s["hi"]).alias("start"), (F.col("a") - s["lo"] + LENGTH).alias("end")))
-    return hit.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list(ranges))).alias("covered"))
+    # rows that repeat in full have the same ranges, which count once
+    return hit.groupBy("doc_id", "th").agg(F.flatten(F.collect_set(ranges)).alias("covered"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
