@@ -1,8 +1,9 @@
 """Nearest neighbours between two tables of integer vectors, in blocks.
 
-Rows are packed into blocks by hash; each query block meets each row block through an equi-join on the block's
-number. A pair of blocks is one matrix product (exact: integers below 2^53) and leaves k rows per query, so what is
-shuffled afterwards is k rows per query and row block. Blocks bound a task's memory.
+Rows are packed into blocks by hash; each query block meets each row block through an equi-join on both blocks' numbers, so
+the number of tasks grows with the rows however few the queries are. A pair of blocks is one matrix product (exact:
+integers below 2^53) and leaves k rows per query, so what is shuffled afterwards is k rows per query and row
+block. Blocks bound a task's memory.
 """
 
 from __future__ import annotations
@@ -12,48 +13,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS, QUERIES = 8192, 1024
+from spindrift.shipping import ship
 
+#: Rows of a row block and of a query block; query blocks that share a task, so that a row block is copied less often.
+ROWS, QUERIES, GROUP = 8192, 1024, 4
 
-_FIELDS = "ids binary, data binary"
 
-
-def _pack(df: DataFrame, size: int, side: str) -> DataFrame:
-    """df (cell, id, v): a row per block of about `size` rows of a cell: cell, <side>ids, <side>data."""
-    many = df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(float(size))).cast("long").alias("__n"))
+def _pack(df: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """df (cell, id, v): a row per block of about `size` rows of a cell (cell, b, ids, data), and (cell, n blocks)."""
+    many = df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(float(size))).cast("int").alias("__n"))
     df = df.join(many, "cell").withColumn("__b", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int")).select("cell", "__b", "id", "v")
 
     def pack(key, t):
         flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t["v"].chunks]).astype("<f8")
         ids = t["id"].to_numpy().astype("<i8")
-        return pa.table({"cell": pa.array([key[0].as_py()], "int32"), "ids": pa.array([ids.tobytes()], "binary"), "data": pa.array([flat.tobytes()], "binary")})
+        cols = zip((key[0].as_py(), key[1].as_py(), ids.tobytes(), flat.tobytes()), ("int32", "int32", "binary", "binary"))
+        return pa.table([pa.array([c], k) for c, k in cols], names=["cell", "b", "ids", "data"])
+
+    return df.groupBy("cell", "__b").applyInArrow(pack, "cell int, b int, ids binary, data binary"), many
+
 
-    out = df.groupBy("cell", "__b").applyInArrow(pack, f"cell int, {_FIELDS}")
-    return out.select("cell", F.col("ids").alias(f"{side}ids"), F.col("data").alias(f"{side}data"))
+def _unpacked(t: pa.Table, order: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    ids, data = (b"".join(t[c].to_pylist()) for c in ("ids", "data"))
+    ids = np.frombuffer(ids, "<i8")
+    x = np.frombuffer(data, "<f8").reshape(len(ids), -1)
+    at = np.argsort(ids, kind="stable") if order else slice(None)
+    return ids[at], x[at]
 
 
 def nearest_in_cells(queries: DataFrame, rows: DataFrame, k: int, row_block: int = ROWS, query_block: int = QUERIES) -> DataFrame:
     """queries, rows: (cell int, id, v array<bigint> of one length); a query meets the rows of its cells (it may have several,
-    a row has one). Returns qid, id, dist (squared L2), rank by (dist, id)."""
-    return _matched(_pack(queries, query_block, "q"), _pack(rows, row_block, "r"), k)
-
-
-def _matched(q: DataFrame, r: DataFrame, k: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for qids, qdata, rids, rdata in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = np.frombuffer(qids, "<i8"), np.frombuffer(rids, "<i8")
-                x, y = np.frombuffer(qdata, "<f8").reshape(len(a), -1), np.frombuffer(rdata, "<f8").reshape(len(b), -1)
-                order = np.argsort(b, kind="stable")
-                b, y = b[order], y[order]
-                d = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
-                best = _first(d, k)
-                got = np.take_along_axis(d, best, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, best.shape[1])), pa.array(b[best].ravel()), pa.array(np.rint(got).astype("int64").ravel())], ["qid", "id", "dist"])
-
-    pairs = r.join(q, "cell").select("qids", "qdata", "rids", "rdata").mapInArrow(run, "qid bigint, id bigint, dist bigint")
+    a row has one). qid, id, dist, rank (from 1): the k rows of least (dist, id) per query."""
+    ship(rows.sparkSession)
+    return _best(*_pack(queries, query_block), *_pack(rows, row_block), k)
+
+
+def _best(q: DataFrame, nq: DataFrame, r: DataFrame, nr: DataFrame, k: int, cost: bool = False) -> DataFrame:
+    """cost: the last component of a row is no coordinate but is added to its distances."""
+    groups = nq.select("cell", F.expr(f"cast((__n - 1) div {GROUP} as int)").alias("__g"))
+    r = r.join(groups, "cell").withColumn("g", F.explode(F.sequence(F.lit(0), "__g"))).select("cell", "b", "g", "ids", "data")
+    q = q.withColumn("g", F.expr(f"cast(b div {GROUP} as int)")).drop("b").join(nr, "cell").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).select("cell", "b", "g", "ids", "data")
+
+    def meet(left, right):
+        b, y = _unpacked(left, True)
+        out = []
+        for i in range(right.num_rows):
+            a, x = _unpacked(right.slice(i, 1))
+            if not len(b):
+                continue
+            more, z = (y[:, -1], y[:, :-1]) if cost else (0.0, y)
+            d = (x * x).sum(axis=1)[:, None] + ((z * z).sum(axis=1) + more)[None, :] - 2 * (x @ z.T)
+            best = _first(d, k)
+            got = np.take_along_axis(d, best, axis=1)
+            out.append((np.repeat(a, best.shape[1]), b[best].ravel(), np.rint(got).astype("int64").ravel()))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.array([], "int64")] * 3
+        return pa.table([pa.array(c, "int64") for c in cols], names=["qid", "id", "dist"])
+
+    found = r.groupBy("cell", "b", "g").cogroup(q.groupBy("cell", "b", "g")).applyInArrow(meet, "qid bigint, id bigint, dist bigint")
     w = Window.partitionBy("qid").orderBy("dist", "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _first(d: np.ndarray, k: int) -> np.ndarray:
@@ -67,10 +85,14 @@ def _first(d: np.ndarray, k: int) -> np.ndarray:
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, row_block: int = ROWS, query_block: int = QUERIES) -> DataFrame:
-    """queries, rows: (id, v). Every query meets all rows, block by block: one side's blocks are copied for each of the other's."""
-    nq = max(1, -(-queries.count() // query_block))
-    block = F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")
-    q = queries.select(block.alias("cell"), "id", "v")
-    # rows are packed once; their blocks, not the rows, are copied for every query block
-    r = _pack(rows.select(F.lit(0).alias("cell"), "id", "v"), row_block, "r").drop("cell").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    return _matched(_pack(q, query_block, "q"), r, k)
+    """queries, rows: (id, v). Every query meets all rows, block by block."""
+    cell = F.lit(0).alias("cell")
+    return nearest_in_cells(queries.select(cell, "id", "v"), rows.select(cell, "id", "v"), k, row_block, query_block)
+
+
+def nearest_at_cost(queries: DataFrame, rows: DataFrame, k: int, row_block: int = ROWS, query_block: int = QUERIES) -> DataFrame:
+    """As nearest(), for rows (id, v, cost): the k rows of least (dist + cost, id). Pairs that lose leave no row."""
+    ship(rows.sparkSession)
+    cell = F.lit(0).alias("cell")
+    r = rows.select(cell, "id", F.concat("v", F.array(F.col("cost").cast("long"))).alias("v"))
+    return _best(*_pack(queries.select(cell, "id", "v"), query_block), *_pack(r, row_block), k, cost=True)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators import index as I
+from spindrift.operators.ranking import numbered
 
 
 def range_partitions(heads: DataFrame, parts: int) -> DataFrame:
@@ -109,8 +110,8 @@ def pick_warmup(owned: DataFrame, aggregators: list[int], entries: list[int]) ->
     free = sorted(set(aggregators) - set(entries))
     if not free:
         return pick_owner(owned)
-    turn = (F.row_number().over(Window.orderBy("qid")) - 1) % len(free)
-    return owned.select("qid").distinct().withColumn("owner", F.get(F.array(*[F.lit(n) for n in free]), turn.cast("int")))
+    asked = numbered(owned.select("qid").distinct(), [F.col("qid")], "__nth")
+    return asked.select("qid", F.get(F.array(*[F.lit(n) for n in free]), ((F.col("__nth") - 1) % len(free)).cast("int")).alias("owner"))
 
 
 def fan_out(owned: DataFrame, nodes: int) -> DataFrame:
@@ -147,6 +148,28 @@ def filter_cost(owned: DataFrame, postings: DataFrame) -> DataFrame:
     return c.groupBy("qid").agg(F.round(F.sum("us"), 4).alias("work"), F.round(F.max("us"), 4).alias("latency"))
 
 
+#: A re-ranking call, one page read, a merge, one merged candidate (fixed values of the cost model).
+RERANK, PAGE, MERGE, MERGED = 70.6, 6.2, 29.7, 0.177
+
+
+def local_cost(owned: DataFrame, postings: DataFrame, n: int, k: int) -> DataFrame:
+    """qid, work, latency of the local strategy: each owner filters and re-ranks its first n, the entry merges k of each."""
+    c = owner_candidates(owned, postings).groupBy("qid", "node").agg(F.count("*").alias("cand"))
+    c = c.withColumn("us", F.lit(RPC + FILTER + RERANK) + F.lit(SCORED) * F.col("cand") + F.lit(PAGE) * F.least(F.lit(n), F.col("cand")))
+    merge = F.lit(MERGE) + F.lit(MERGED) * F.sum(F.least(F.lit(k), F.col("cand")))
+    return c.groupBy("qid").agg(F.round(F.sum("us") + merge, 4).alias("work"), F.round(F.max("us") + merge, 4).alias("latency"))
+
+
+def local_strategy(owned: DataFrame, postings: DataFrame, codes: DataFrame, luts: DataFrame, vectors: DataFrame, queries: DataFrame, p: I.Params) -> DataFrame:
+    """qid, rank, vec_id, dist: every owner filters its first n and re-ranks them."""
+    return local_rerank(owner_filter(owned, postings, codes, luts, p.n), vectors, queries, p.k)
+
+
+def local_quota_strategy(owned: DataFrame, postings: DataFrame, codes: DataFrame, luts: DataFrame, vectors: DataFrame, queries: DataFrame, p: I.Params) -> DataFrame:
+    """As local_strategy(), but an owner re-ranks its share of n only."""
+    return local_rerank(owner_filter(owned, postings, codes, luts, p.n, quota=True), vectors, queries, p.k)
+
+
 def recall(truth: DataFrame, answers: DataFrame, k: int) -> DataFrame:
     """queries, recall: shared ids over k."""
     hit = truth.join(answers.select("qid", "vec_id", F.lit(1).alias("x")), ["qid", "vec_id"], "left").groupBy("qid").agg(F.count("x").alias("hit"))

@@ -7,6 +7,7 @@ tables follow by the rules below. Trained builds are in train.py.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import vectors as V
 from spindrift.operators.blocks import nearest, nearest_in_cells
+from spindrift.operators.ranking import numbered, prefix_sums
+from spindrift.shipping import ship
 from spindrift.undecided import NotResident
 
 
@@ -33,6 +36,12 @@ class Params:
     eps: float = 0.1
     page_bytes: int = 4096
 
+    def bounded(self, max_nprobe: int = 1 << 16, max_rerank: int = 1 << 20) -> Params:
+        """checked(), against the bounds of one index as well."""
+        if self.nprobe > max_nprobe or self.n > max_rerank:
+            raise ValueError(f"nprobe {self.nprobe} of {max_nprobe}, n {self.n} of {max_rerank}")
+        return self.checked()
+
     def checked(self) -> Params:
         if not (0 < self.k <= 1 << 14 and 0 < self.nprobe <= 1 << 16 and 0 < self.n <= 1 << 20 and self.ef >= 0):
             raise ValueError(f"out of bounds: {self}")
@@ -146,6 +155,7 @@ def _sub_space_distances(x: np.ndarray, words: np.ndarray):
 
 def encode(vectors: DataFrame, codebook: DataFrame, m: int) -> DataFrame:
     """vec_id, code (array of m): the nearest codeword of each sub-space, the smallest on ties. No shuffle."""
+    ship(codebook.sparkSession)
     words = _codewords(codebook, m)
 
     def run(batches):
@@ -166,6 +176,7 @@ def decode(codes: DataFrame, codebook: DataFrame) -> DataFrame:
 
 def distance_tables(queries: DataFrame, codebook: DataFrame, m: int) -> DataFrame:
     """qid, lut (m arrays of a distance per code). No shuffle."""
+    ship(codebook.sparkSession)
     words = _codewords(codebook, m)
 
     def run(batches):
@@ -256,9 +267,11 @@ def bucket_layout(primary: DataFrame, vpp: int) -> DataFrame:
     m = primary.select("vec_id", "list_id").withColumn("pos", F.row_number().over(w) - 1).withColumn("size", F.count("*").over(Window.partitionBy("list_id")))
     m = m.withColumn("full", F.expr(f"size div {vpp}"))
     lists = m.groupBy("list_id").agg(F.first("full").alias("full"), F.first("size").alias("size"))
-    order = Window.orderBy("list_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = lists.withColumn("start", F.coalesce(F.sum("full").over(order), F.lit(0))).withColumn("tail", F.col("size") % vpp)
-    tails = starts.where("tail > 0").withColumn("nth", F.row_number().over(Window.partitionBy("tail").orderBy("list_id")) - 1)
+    starts = prefix_sums(lists, [F.col("list_id")], F.col("full"), "start").withColumn("tail", F.col("size") % vpp)
+    # numbered over (size, list): within its size a tail's number is that less the tails of smaller sizes
+    tails = numbered(starts.where("tail > 0"), [F.col("tail"), F.col("list_id")], "nth")
+    first = tails.groupBy("tail").agg(F.min("nth").alias("first"))
+    tails = tails.join(F.broadcast(first), "tail").withColumn("nth", F.col("nth") - F.col("first")).drop("first")
     counts = {r["tail"]: r["n"] for r in tails.groupBy("tail").agg(F.count("*").alias("n")).collect()}
     full_pages = starts.agg(F.coalesce(F.sum("full"), F.lit(0))).first()[0]
     places = pack_tails(counts, vpp)
@@ -273,35 +286,29 @@ def bucket_layout(primary: DataFrame, vpp: int) -> DataFrame:
 
 
 def pack_tails(counts: dict[int, int], vpp: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs of equal pages: (size, from tail number, to, first page, slot). Pages with the same pattern of sizes come in a
-    row, as a pattern is used until one of its sizes runs out, so the number of runs is small whatever the counts."""
-    left, used = dict(counts), dict.fromkeys(counts, 0)
-    out, page = [], 0
-    while any(left.values()):
-        pattern, cap = [], vpp
-        taken: dict[int, int] = {}
-        s = vpp - 1
-        while s >= 1 and cap > 0:
-            if s <= cap and left.get(s, 0) > taken.get(s, 0):
-                pattern.append((s, vpp - cap))
-                taken[s] = taken.get(s, 0) + 1
-                cap -= s
-                s = min(s, cap)
-            else:
-                s -= 1
-        times = min(left[s] // k for s, k in taken.items())
-        if len(taken) < len(pattern):  # a size twice in a page: its numbers alternate, so page by page
-            times = 1
-        seen: dict[int, int] = {}
-        for s, slot in pattern:
-            at = used[s] + seen.get(s, 0)
-            out.append((s, at, at + times, page, slot))
-            seen[s] = seen.get(s, 0) + 1
-        for s, k in taken.items():
-            left[s] -= k * times
-            used[s] += k * times
-        page += times
-    return out
+    """Runs of tails: (size, from tail number, to, first page, slot), one tail a page in a row of pages.
+
+    A page takes the largest size there is that still fits, again and again. What it takes depends only on which sizes are
+    left, so the same page is repeated while its sizes last; a size of which a page takes several is dealt to each page in
+    turn, one page at a time."""
+    left = Counter({s: n for s, n in counts.items() if n > 0})
+    given: Counter = Counter()
+    runs, page = [], 0
+    while left:
+        slots, free = [], vpp
+        rest = Counter(left)
+        while sizes := [s for s in rest if s <= free]:
+            slots.append((max(sizes), vpp - free))
+            free -= slots[-1][0]
+            rest -= Counter([slots[-1][0]])
+        need = Counter(s for s, _ in slots)
+        pages = min(left[s] for s in need) if max(need.values()) == 1 else 1
+        for s, slot in slots:
+            runs.append((s, given[s], given[s] + pages, page, slot))
+            given[s] += pages
+        left -= Counter({s: n * pages for s, n in need.items()})
+        page += pages
+    return runs
 
 
 def sequential_layout(vectors: DataFrame, vpp: int) -> DataFrame:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.undecided import PQAbsent, PQFull, Undecided
@@ -21,62 +20,92 @@ def initial(parts: int, nodes: list[int]) -> list[int]:
     return [n for i, n in enumerate(nodes) for _ in range(base + (i < rem))]
 
 
-def _dealt(stacks: dict[int, list[int]]) -> Iterator[tuple[int, int]]:
-    """(donor, partition) from the ends of the stacks, one of each donor in turn."""
-    while any(stacks.values()):
-        for donor, stack in stacks.items():
-            if stack:
-                yield donor, stack.pop()
+def _goals(placement: DataFrame, nodes: list[int]) -> DataFrame:
+    """seq, node, own, first, goal: counts differ by at most one, the extra partitions are with those that own most."""
+    if not nodes or len(set(nodes)) < len(nodes):
+        raise ValueError("nodes must be different and at most as many as partitions")
+    spark = placement.sparkSession
+    listed = spark.createDataFrame(list(enumerate(nodes)), "seq int, node int")
+    own = placement.groupBy("node").agg(F.count("*").alias("own"), F.min("part").alias("first"))
+    # nodes are few (a table on the driver names them), so one window over them is enough
+    total = F.sum("own").over(Window.partitionBy())
+    n = listed.join(own, "node", "full").fillna(0, ["own"])
+    n = n.withColumn("total", total).where("seq is not null or own > 0")
+    by_size = F.row_number().over(Window.partitionBy(F.col("seq").isNull()).orderBy(F.desc("own"), "seq"))
+    base = F.expr(f"total div {len(nodes)}")
+    goal = F.when(F.col("seq").isNull(), 0).otherwise(base + (by_size <= F.col("total") % len(nodes)).cast("int"))
+    return n.withColumn("goal", goal)
+
+
+def _slots(goals: DataFrame) -> DataFrame:
+    """dst, lo, hi: which of the dealt partitions (numbered from 0) each node that needs some takes, in order of nodes."""
+    need = goals.where("goal > own").withColumn("need", F.col("goal") - F.col("own"))
+    return need.withColumn("hi", F.sum("need").over(Window.orderBy("seq"))).select(F.col("node").alias("dst"), (F.col("hi") - F.col("need")).alias("lo"), "hi")
+
+
+def _taken(give: DataFrame, slots: DataFrame) -> DataFrame:
+    """give (src, part, depth, first): partitions are dealt from the ends of their donors, one of each donor in turn."""
+    give = give.withColumn("pick", F.row_number().over(Window.orderBy("depth", "first")) - 1)
+    return give.join(F.broadcast(slots), (F.col("pick") >= F.col("lo")) & (F.col("pick") < F.col("hi"))).select("src", "dst", "part")
+
+
+def scale_out(placement: DataFrame, nodes: list[int]) -> DataFrame:
+    """src, dst, part for nodes that join. The order in which donors give is (depth from a donor's end, donor's first
+    partition); joining nodes take runs of it."""
+    n = _goals(placement, nodes)
+    depth = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("part"))) - 1
+    give = placement.join(n.where("own > 0").select("node", "own", "goal", "first"), "node").withColumnRenamed("node", "src")
+    return _taken(give.withColumn("depth", depth).where("depth < own - goal"), _slots(n.where("own = 0")))
 
 
-def repartition(owners: list[int], nodes: list[int], ever: set[tuple[int, int]] | None = None) -> tuple[list[int], list[tuple[int, int, int]]]:
-    """New owners and moves (source, destination, partition) for another set of nodes.
+def scale_in(placement: DataFrame, nodes: list[int], ever: DataFrame | None = None) -> DataFrame:
+    """src, dst, part for nodes that leave: all their partitions, dealt like scale_out()'s.
 
-    Counts differ by at most one (the extra partitions stay with those that own most), partitions move only to nodes that
-    join or from nodes that leave. ever: (partition, node) that have been; a partition of a leaving node then goes
-    home first, while its home has room."""
-    own: dict[int, list[int]] = {}
-    for p, n in enumerate(owners):
-        own.setdefault(n, []).append(p)
+    ever: (part, node) that have been. Then each partition goes home first: to a node that has owned it, while that node
+    has room (the lowest partitions of a home come first)."""
+    n = _goals(placement, nodes)
+    gone = placement.join(n.where("seq is null").select("node", "first"), "node").select(F.col("node").alias("src"), "part", "first")
+    if ever is None:
+        give, home, slots = gone, None, _slots(n.where("seq is not null"))
+    else:
+        room = n.where("seq is not null").select(F.col("node").alias("dst"), "seq", (F.col("goal") - F.col("own")).alias("room"))
+        # a partition's home: of the nodes that had it, the first in the list; of a home's partitions, as many as have room
+        could = gone.join(ever.select("part", F.col("node").alias("dst")).distinct(), "part").join(room.where("room > 0"), "dst")
+        one = could.groupBy("part", "src", "first").agg(F.min(F.struct("seq", "dst", "room")).alias("h"))
+        nth = F.row_number().over(Window.partitionBy("h.dst").orderBy("first", "part"))
+        home = one.withColumn("nth", nth).where("nth <= h.room").select("src", F.col("h.dst").alias("dst"), "part")
+        give = gone.join(home.select("part"), "part", "left_anti")
+        came = home.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("came"))
+        slots = _slots(n.where("seq is not null").join(came, "node", "left").withColumn("own", F.col("own") + F.coalesce("came", F.lit(0))))
+    depth = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("part"))) - 1
+    moves = _taken(give.withColumn("depth", depth), slots)
+    return moves if home is None else home.unionByName(moves)
+
+
+def repartition(spark: SparkSession, owners: list[int], nodes: list[int], ever: set[tuple[int, int]] | None = None) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """New owners and moves (source, destination, partition) for another set of nodes, by scale_out() or scale_in().
+
+    ValueError for nodes that repeat, are more than the partitions, or join and leave in one step; Undecided where a node that
+    stays would take from, or give to, another one that stays."""
+    have = set(owners)
+    joined, left = [n for n in nodes if n not in have], sorted(have - set(nodes))
     if not nodes or len(owners) < len(nodes) or len(set(nodes)) < len(nodes):
         raise ValueError("nodes must be different and at most as many as partitions")
-    joined, left = [n for n in nodes if n not in own], [n for n in own if n not in nodes]
     if joined and left:
         raise ValueError("nodes can't join and leave in one step")
-    base, rem = divmod(len(owners), len(nodes))
-    by_size = sorted(nodes, key=lambda n: -len(own.get(n, [])))
-    goal = {n: base + (i < rem) for i, n in enumerate(by_size)}
-    need = {n: goal[n] - len(own.get(n, [])) for n in nodes}
-    moves = []
+    if not joined and not left:
+        return list(owners), []
+    placement = spark.createDataFrame(list(enumerate(owners)), "part int, node int")
+    stay = _goals(placement, nodes).where("seq is not null and own > 0").where(F.col("goal") > F.col("own") if joined else F.col("goal") < F.col("own"))
+    if stay.limit(1).count():
+        raise Undecided("U3")
     if joined:
-        if any(need[n] > 0 for n in own):
-            raise Undecided("U3")
-        stacks = {n: own[n][goal[n] :] for n in own}
-    elif left:
-        if any(x < 0 for x in need.values()):
-            raise Undecided("U3")
-        stacks = {n: own[n] for n in left}
-        for donor in stacks if ever else ():
-            stay = []
-            for p in stacks[donor]:
-                home = next((n for n in nodes if need[n] > 0 and (p, n) in ever), None)
-                if home is None:
-                    stay.append(p)
-                else:
-                    need[home] -= 1
-                    moves.append((donor, home, p))
-            stacks[donor] = stay
+        moves = scale_out(placement, nodes)
     else:
-        return list(owners), []
-    deal = _dealt(stacks)
-    for n in joined or nodes:
-        for _ in range(need[n]):
-            donor, p = next(deal)
-            moves.append((donor, n, p))
-    new = list(owners)
-    for _, n, p in moves:
-        new[p] = n
-    return new, sorted(moves)
+        moves = scale_in(placement, nodes, spark.createDataFrame(sorted(ever), "part int, node int") if ever else None)
+    moves = sorted(tuple(r) for r in moves.select("src", "dst", "part").collect())
+    to = {p: n for _, n, p in moves}
+    return [to.get(p, n) for p, n in enumerate(owners)], moves
 
 
 def weighted(*_):
@@ -96,6 +125,15 @@ def rescale_nodes(idle: list[int], active: list[int], target: int) -> tuple[list
     return (sorted(idle)[:d], []) if d > 0 else ([], sorted(active)[len(active) + d :] if d else [])
 
 
+def rescaled(nodes: DataFrame, target: int) -> DataFrame:
+    """what, node: nodes (node, active) that join (lowest idle ids) or leave (highest active ids) for a target number."""
+    d = target - nodes.where("active").count()
+    if d > nodes.where("not active").count():
+        raise ValueError(f"{d} nodes needed")
+    rows = nodes.where("not active").orderBy("node").limit(d) if d > 0 else nodes.where("active").orderBy(F.desc("node")).limit(-d)
+    return rows.select(F.lit("join" if d > 0 else "leave").alias("what"), "node")
+
+
 class History:
     """Which node has held which partition, and where a copy is left."""
 
@@ -232,23 +270,6 @@ class EpochStore:
 # --- tables as DataFrames --------------------------------------------------------------------------------------
 
 
-def scale_out(placement: DataFrame, nodes: list[int]) -> DataFrame:
-    """src, dst, part for nodes that join. The order in which donors give is (depth from a donor's end, donor's first
-    partition); joining nodes take runs of it."""
-    spark = placement.sparkSession
-    listed = spark.createDataFrame(list(enumerate(nodes)), "seq int, node int")
-    own = placement.groupBy("node").agg(F.count("*").alias("own"), F.min("part").alias("first"))
-    n = listed.join(own, "node", "left").fillna(0, ["own"])
-    total = placement.count()
-    base, rem = divmod(total, len(nodes))
-    n = n.withColumn("goal", F.lit(base) + (F.row_number().over(Window.orderBy(F.desc("own"), "seq")) <= rem).cast("int"))
-    need = n.where("own = 0").withColumn("hi", F.sum("goal").over(Window.orderBy("seq"))).select(F.col("node").alias("dst"), (F.col("hi") - F.col("goal")).alias("lo"), "hi")
-    depth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("part"))) - 1
-    give = placement.join(n.where("own > 0").select("node", "own", "goal", "first"), "node").withColumn("depth", depth).where("depth < own - goal")
-    give = give.withColumn("pick", F.row_number().over(Window.orderBy("depth", "first")) - 1)
-    return give.join(F.broadcast(need), (F.col("pick") >= F.col("lo")) & (F.col("pick") < F.col("hi"))).select(F.col("node").alias("src"), "dst", "part")
-
-
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """src, dst, part where the owner differs."""
     return old.select("part", F.col("node").alias("src")).join(new.select("part", F.col("node").alias("dst")), "part").where("src <> dst").select("src", "dst", "part")

@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.operators.blocks import nearest
+from spindrift.operators.blocks import nearest, nearest_at_cost
+from spindrift.operators.ranking import numbered
+from spindrift.shipping import ship
 
 def sample_ids(vectors: DataFrame, s: int, seed: int = 42) -> DataFrame:
     """s ids (all if there are fewer), the same on every run: those of smallest hash."""
@@ -19,15 +21,15 @@ def lloyd_sums(vectors: DataFrame, heads: DataFrame) -> DataFrame:
     dims = rows.select("list_id", F.posexplode("v").alias("dim", "x"))
     return dims.groupBy("list_id", "dim").agg(F.sum("x").alias("total"), F.count("*").alias("members"))
 
-def balanced_assignment(vectors: DataFrame, heads: DataFrame, per_member: int, top: int = 0) -> DataFrame:
+def balanced_assignment(vectors: DataFrame, heads: DataFrame, per_member: int) -> DataFrame:
     """Nearest head by distance + per_member * (size of the head's list before): the size-balance penalty of one step.
 
-    top: heads considered for each vector (0: all, which the penalty may need)."""
-    k = top or heads.count()
-    near = nearest(vectors.select(F.col("vec_id").alias("id"), "v"), heads.select(F.col("list_id").alias("id"), F.col("hv").alias("v")), k).select(F.col("qid").alias("vec_id"), F.col("id").alias("list_id"), "dist", "rank")
-    size = near.where("rank = 1").groupBy("list_id").agg(F.count("*").alias("size"))
-    scored = near.join(size, "list_id", "left").withColumn("cost", F.col("dist") + F.coalesce("size", F.lit(0)) * per_member)
-    return scored.groupBy("vec_id").agg(F.min(F.struct("cost", "list_id")).alias("b")).select("vec_id", F.col("b.list_id").alias("list_id"))
+    The penalty is part of the block products, so a vector leaves one row a block of heads, not one a head."""
+    rows = heads.select(F.col("list_id").alias("id"), F.col("hv").alias("v"))
+    asked = vectors.select(F.col("vec_id").alias("id"), "v")
+    size = nearest(asked, rows, 1).groupBy("id").agg(F.count("*").alias("size"))
+    costly = rows.join(size, "id", "left").select("id", "v", (F.coalesce("size", F.lit(0)) * per_member).alias("cost"))
+    return nearest_at_cost(asked, costly, 1).select(F.col("qid").alias("vec_id"), F.col("id").alias("list_id"))
 
 def leaf_heads(vectors: DataFrame, members: DataFrame) -> DataFrame:
     """list_id, head_vec_id: the member nearest to its list's mean, the smallest id on ties. Scaled by the list's size, the
@@ -96,6 +98,7 @@ def cluster(vectors: DataFrame, coarse: int = 16, **options) -> DataFrame:
     c, _ = kmeans(np.array(sample["v"].tolist()), coarse)
     spark = vectors.sparkSession
     centres = spark.createDataFrame([(i, [int(round(z)) for z in row]) for i, row in enumerate(c)], "id long, v array<long>")
+    ship(spark)
     near = nearest(vectors.select(F.col("vec_id").alias("id"), "v"), centres, 1).select(F.col("qid").alias("vec_id"), F.col("id").cast("int").alias("list_id"))
 
     def split(pdf):
@@ -122,7 +125,5 @@ def train_codebook(vectors: DataFrame, m: int, codes: int = 256, sample: int = 1
     return subs.groupBy("sub").applyInPandas(fit, "sub int, code int, c array<long>")
 
 def chunked(df: DataFrame, target: int, key: str = "vec_id") -> DataFrame:
-    """The split of last resort: fixed-size chunks in order of key."""
-    return df.withColumn("chunk", F.expr(f"cast((row_number() over (order by {key}) - 1) div {target} as int)"))
-
-__all__ = ["Window"]
+    """The split of last resort: fixed-size chunks in order of key, numbered over ranges of it."""
+    return numbered(df, [F.col(key)], "__nth").withColumn("chunk", F.expr(f"cast((__nth - 1) div {target} as int)")).drop("__nth")

@@ -18,9 +18,9 @@ def undecided(ident: str):
     return refuse
 
 
-STRATEGIES = {"two-phase": D.two_phase, "two-phase+1": D.two_phase, "local": D.local_rerank, "local-quota": D.local_rerank, "proportional-quota": undecided("U5")}
+STRATEGIES = {"two-phase": D.two_phase, "two-phase+1": D.two_phase, "local": D.local_strategy, "local-quota": D.local_quota_strategy, "proportional-quota": undecided("U5")}
 SELECTORS = {"owner": D.pick_owner, "local": D.pick_entry, "warmup": D.pick_warmup, "outsource": undecided("U6")}
-POLICIES = {"even": lambda owners, nodes, ever=None: M.repartition(owners, nodes), "even-reversible": M.repartition, "weighted": undecided("U3")}
+POLICIES = {"even": lambda spark, owners, nodes, ever=None: M.repartition(spark, owners, nodes), "even-reversible": M.repartition, "weighted": undecided("U3")}
 PARTITIONERS = {"range": D.range_partitions, "hash": D.hash_partitions, "locality": undecided("U2")}
 ARRIVALS = {"poisson": A.poisson, "semdn": undecided("U11")}
 RATES = {"fixed": M.fixed_rate, "adaptive": undecided("U8")}

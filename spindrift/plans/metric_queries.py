@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindrift.operators import metrics as M
+from spindrift.operators.ranking import prefix_sums
 from spindrift.plans.declare import query
 
 S = "s AS MATERIALIZED (SELECT event_id, ts, user_id AS node, event_type AS type, value, CAST(floor(value * 1000) AS BIGINT) AS us, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status FROM events WHERE ts IS NOT NULL)"
@@ -153,7 +154,39 @@ def counter_deltas(spark, sf):
 @query("W4_running_offsets", f"WITH {S}, n AS (SELECT node, count(*) AS size FROM s GROUP BY node) SELECT node, size, CAST(coalesce(sum(size) OVER (ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM n")
 def running_offsets(spark, sf):
     n = _s(spark, sf).groupBy("node").agg(F.count("*").alias("size"))
-    return n.withColumn("start", F.coalesce(F.sum("size").over(Window.orderBy("node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return prefix_sums(n, [F.col("node")], F.col("size"), "start")
+
+
+@query("A10_rates", f"WITH {S}, n AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS w, type, us FROM s) SELECT CAST(epoch(w) AS BIGINT) AS w, type, round(count(*) / 86400.0::DOUBLE, 9) AS per_s, round(CAST(sum(us) AS DOUBLE) / count(us), 6) AS mean_us, {_q(0.5)} AS p50_us, max(us) AS top_us FROM n GROUP BY w, type")
+def rates(spark, sf):
+    """Rate, mean and quantiles of a day and type."""
+    s = _s(spark, sf).withColumn("w", F.unix_timestamp(F.date_trunc("day", "ts")))
+    q = M.rank_quantiles(s, ["w", "type"], "us", {"p50_us": 0.5, "top_us": 1.0})
+    n = s.groupBy("w", "type").agg(F.round(F.count("*") / F.lit(86400.0), 9).alias("per_s"), F.round(F.sum("us").cast("double") / F.count("us"), 6).alias("mean_us"))
+    return n.join(q, ["w", "type"]).select("w", "type", "per_s", "mean_us", "p50_us", "top_us")
+
+
+@query("T3_retries", f"WITH {S} SELECT event_id, CAST(us % 7 + CASE WHEN event_id % 9 = 0 THEN 20 WHEN event_id % 3 = 0 THEN 8 ELSE 0 END AS DOUBLE) AS latency_ms, 'ok' AS status, CAST(CASE WHEN event_id % 9 = 0 THEN 3 WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM s WHERE us IS NOT NULL")
+def retries(spark, sf):
+    """Every third event finds its node unavailable, every ninth twice."""
+    from spindrift.streaming.arrivals import with_retries
+
+    t = lambda ms, busy: F.struct(ms.cast("double").alias("ms"), F.when(busy, "unavailable").otherwise("ok").alias("status"))
+    tries = F.array(t(F.col("us") % 7, F.col("event_id") % 3 == 0), t(F.lit(3), F.col("event_id") % 9 == 0), t(F.lit(2), F.lit(False)))
+    a = _s(spark, sf).where("us is not null").select(F.col("event_id").alias("qid"), F.lit(0.0).alias("sched_ms"), tries.alias("tries"))
+    return with_retries(a).select(F.col("qid").alias("event_id"), "latency_ms", "status", "attempts")
+
+
+@query("J11_absent_stream", "SELECT DISTINCT user_id AS loc, user_id * 2 AS data FROM events")
+def absent_stream(spark, sf):
+    """A stream of locations to a table that takes each once, however often it comes."""
+    from spindrift.folders import shared
+    from spindrift.streaming.reports import sample_stream, stream_absent
+
+    where = shared(spark, "absent")
+    rows = sample_stream(spark, f"{sf}/events.parquet").select(F.col("node").alias("loc"), (F.col("node") * 2).alias("data"))
+    stream_absent(rows, f"{where}/table", f"{where}/state", 64).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{where}/table").select("loc", "data")
 
 
 @query("W6_id_runs", f"WITH {S} SELECT type, min(event_id) AS lo, max(event_id) AS hi, count(*) AS n FROM (SELECT type, event_id, event_id - row_number() OVER (PARTITION BY type ORDER BY event_id) AS g FROM s) GROUP BY type, g")

@@ -156,12 +156,12 @@ def ledger(spark, sf):
     return M.ledger("lazy", t.old, t.new, t.lp(), t.post())
 
 
-@query("J17_location_conflicts", sql("SELECT count(*) AS conflicts FROM (SELECT p.vec_id FROM post p JOIN seqlay l USING (vec_id) GROUP BY p.vec_id HAVING count(DISTINCT l.loc) > 1)", "post", "seqlay"))
+@query("J17_location_conflicts", sql("SELECT count(*) AS conflicts FROM (SELECT vec_id FROM pnamed JOIN pold USING (part) GROUP BY vec_id HAVING count(DISTINCT CASE WHEN node = 0 THEN vec_id ELSE 1000000 + vec_id END) > 1)", "pnamed", "pold"))
 def location_conflicts(spark, sf):
-    from spindrift.operators.index import sequential_layout
-
+    """Vectors that two nodes hold under different locations: one counts them from 0, the other from a million."""
     t = Move(spark, sf)
-    j = t.post().join(sequential_layout(t.v, 16), "vec_id").groupBy("vec_id").agg(F.countDistinct("loc").alias("n"))
+    loc = F.col("vec_id") + F.when(F.col("node") == 0, 0).otherwise(1_000_000)
+    j = M.held(t.old, t.by()).withColumn("loc", loc).groupBy("vec_id").agg(F.countDistinct("loc").alias("n"))
     return j.agg(F.count_if(F.col("n") > 1).alias("conflicts"))
 
 
@@ -187,23 +187,45 @@ def roles(spark, sf):
 @query("M4_scale_in", "SELECT CAST(4 AS INTEGER) AS src, CAST(node AS INTEGER) AS dst, CAST(part AS INTEGER) AS part FROM (SELECT 51 + unnest(range(1, 13)) AS part) p JOIN (SELECT unnest(range(4)) AS node) n ON (63 - p.part) // 3 = n.node")
 def scale_in(spark, sf):
     """64 partitions on 5 nodes, the last leaves: its partitions go from the end to the others in turn of need."""
-    _, moves = M.repartition(M.initial(64, [0, 1, 2, 3, 4]), [0, 1, 2, 3])
-    return spark.createDataFrame(moves, "src int, dst int, part int")
+    return M.scale_in(D.even_placement(spark, 64, [0, 1, 2, 3, 4]), [0, 1, 2, 3])
 
 
 @query("M5_reversible_scale_in", f"SELECT dst AS src, src AS dst, part FROM ({MOVES})")
 def reversible(spark, sf):
     """The node that joined leaves again: what it was given goes home."""
-    start = M.initial(64, [0, 1, 2, 3])
-    h = M.History(start)
-    out, _ = M.repartition(start, [0, 1, 2, 3, 4])
-    h.record(out)
-    _, moves = M.repartition(out, [0, 1, 2, 3], h.owned)
-    return spark.createDataFrame(moves, "src int, dst int, part int")
+    old, new = _old(spark), M.apply_moves(_old(spark), _moves(spark))
+    return M.scale_in(new, [0, 1, 2, 3], old.union(new))
+
 
+_NODES = "(SELECT DISTINCT CAST(user_id % 10 AS INTEGER) AS node, user_id % 10 < 6 AS active FROM events)"
 
-@query("M14_rescale_nodes", "SELECT CAST(unnest(['join', 'join', 'leave']) AS VARCHAR) AS what, CAST(unnest([4, 5, 3]) AS INTEGER) AS node")
+
+@query("M14_rescale_nodes", f"SELECT 'join' AS what, node FROM (SELECT node FROM {_NODES} WHERE NOT active ORDER BY node LIMIT 2) UNION ALL SELECT 'leave', node FROM (SELECT node FROM {_NODES} WHERE active ORDER BY node DESC LIMIT 3)")
 def rescale_nodes(spark, sf):
-    joins, _ = M.rescale_nodes([9, 5, 4], [1, 2, 3], 5)
-    _, leaves = M.rescale_nodes([], [1, 2, 3], 2)
-    return spark.createDataFrame([("join", n) for n in joins] + [("leave", n) for n in leaves], "what string, node int")
+    """Of the nodes that have reported (6 active, the others idle): who joins for a target of 8, who leaves for one of 3."""
+    n = spark.read.parquet(f"{sf}/events.parquet").select((F.col("user_id") % 10).cast("int").alias("node")).distinct().withColumn("active", F.col("node") < 6)
+    active = n.where("active").count()
+    return M.rescaled(n, active + 2).unionByName(M.rescaled(n, active - 3))
+
+
+@query("A11_all_states", sql("""SELECT node, state, count(*) AS n FROM (
+  SELECT h.node, CASE WHEN r.vec_id IS NOT NULL THEN 'live' ELSE 'cached' END AS state
+  FROM (SELECT DISTINCT node, vec_id FROM pnamed JOIN pold USING (part)) h LEFT JOIN (SELECT DISTINCT o.node, n.vec_id FROM pnamed n JOIN pold o USING (part) WHERE part NOT IN (SELECT part FROM pmoves)) r ON r.node = h.node AND r.vec_id = h.vec_id
+  UNION ALL SELECT CAST(dst AS INTEGER), 'staged' FROM pmiss) GROUP BY node, state""", "pnamed", "pold", "pmoves", "pmiss"))
+def all_states(spark, sf):
+    """The stores in the middle of a rescale: the joining node's codes are staged, the donors' are live or cached."""
+    staged = codes_missing(spark, sf).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).select("node", F.lit("staged").alias("state"), "n")
+    return store_states(spark, sf).unionByName(staged)
+
+
+@query("M15_protocols", sql("SELECT protocol, (SELECT count(*) FROM pmoves) AS moved, n AS pq_codes, CASE protocol WHEN 'lazy' THEN n ELSE 0 END AS streamed_after_flip, CASE protocol WHEN 'lazy' THEN 0 ELSE n END AS copied_before_flip FROM (SELECT count(*) AS n FROM pmiss), (SELECT unnest(['lazy', 'copy-then-flip', 'stop-and-copy']) AS protocol)", "pmiss", "pmoves"))
+def protocols(spark, sf):
+    """What each protocol moves, and whether raw vectors travel before or after the new epoch serves."""
+    t = Move(spark, sf)
+    out = None
+    for name in M.PHASES:
+        after = M.PHASES[name].index("flip") < M.PHASES[name].index("stream_raw") if "stream_raw" in M.PHASES[name] else False
+        n = F.col("raw_vectors")
+        one = M.ledger(name, t.old, t.new, t.lp(), t.post()).select("protocol", "moved", "pq_codes", (n if after else n * 0).alias("streamed_after_flip"), (n * 0 if after else n).alias("copied_before_flip"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -28,9 +28,9 @@ def semi(spark, sf):
     return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey")
 
 
-@query("G3_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("G3_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def anti(spark, sf):
-    c, o = _t(spark, sf, "customer"), _t(spark, sf, "orders")
+    c, o = _t(spark, sf, "customer"), _t(spark, sf, "orders").where("o_totalprice > 300000")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 

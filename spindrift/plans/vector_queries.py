@@ -140,7 +140,18 @@ def assign(spark, sf):
     return Tables(spark, sf).post()
 
 
-@query("B14_rng_prune")
+_PRUNED = f"""WITH RECURSIVE blk AS MATERIALIZED (
+  SELECT p.vec_id, p.rank, p.list_id, coalesce(list(o.list_id) FILTER (WHERE o.list_id IS NOT NULL AND {l2('hp.hv', 'ho.hv')} <= p.dist), CAST([] AS BIGINT[])) AS blockers
+  FROM post p JOIN h hp ON hp.list_id = p.list_id LEFT JOIN post o ON o.vec_id = p.vec_id AND o.rank < p.rank LEFT JOIN h ho ON ho.list_id = o.list_id GROUP BY p.vec_id, p.rank, p.list_id),
+r(vec_id, rank, kept) AS (
+  SELECT vec_id, 0, CAST([] AS BIGINT[]) FROM v
+  UNION ALL SELECT b.vec_id, b.rank, CASE WHEN list_has_any(kept, blockers) THEN kept ELSE list_append(kept, b.list_id) END FROM r JOIN blk b ON b.vec_id = r.vec_id AND b.rank = r.rank + 1),
+l AS (SELECT vec_id, arg_max(kept, rank) AS kept FROM r GROUP BY vec_id),
+u AS (SELECT vec_id, unnest(kept) AS list_id, unnest(range(1, len(kept) + 1)) AS rank FROM l)
+SELECT u.vec_id, u.list_id, CAST(u.rank AS INTEGER) AS rank, p.dist FROM u JOIN post p ON p.vec_id = u.vec_id AND p.list_id = u.list_id"""
+
+
+@query("B14_rng_prune", sql("", "post", "h").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + _PRUNED.removeprefix("WITH RECURSIVE "))
 def rng_prune(spark, sf):
     t = Tables(spark, sf)
     return I.prune_rng(t.post(), t.h)

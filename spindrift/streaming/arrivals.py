@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.operators.ranking import prefix_sums
 from spindrift.undecided import Undecided
 
 
@@ -43,7 +44,7 @@ def poisson(spark: SparkSession, steps: list[tuple[float, float]], until: float,
     per = times.withColumn("slice", F.floor(F.col("sched") / slice_s))
     from pyspark.sql import Window
 
-    counts = per.groupBy("slice").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counts = prefix_sums(per.groupBy("slice").agg(F.count("*").alias("c")), [F.col("slice")], F.col("c"), "before")
     rank = F.row_number().over(Window.partitionBy("slice").orderBy("sched")) - 1
     return per.withColumn("r", rank).join(counts, "slice").select("sched", ((F.col("before") + F.col("r")) % queries).alias("qid"))
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.folders import shared
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -26,17 +25,12 @@ def interval_reports(samples: DataFrame, width: str = "1 day", late: str = "1 ho
     return r.select(F.unix_timestamp("win.start").alias("w"), "type", "n", "busy_us", "failed")
 
 
-def _checkpoint(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spindrift-stream-")
-
-
 def drained(spark: SparkSession, path: str) -> DataFrame:
     """All intervals of the events at `path`, as the stream's final table.
 
     Every update of an interval is appended to a table; the last one of each interval is the report. This also closes
     intervals that the watermark has not passed when the input ends."""
-    where = _checkpoint(spark)
+    where = shared(spark, "stream")
 
     def append(df: DataFrame, batch: int) -> None:
         df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{where}/out")
@@ -55,14 +49,15 @@ def pinned(changes: DataFrame) -> DataFrame:
 
 
 def stream_absent(stream: DataFrame, present_path: str, checkpoint: str, batch_rows: int = 512):
-    """Streams (loc, data) to the table at present_path, each batch only what is still absent there, once."""
+    """Streams (loc, data) to the table at present_path, each batch only what is still absent there, once.
+    A file that is written holds batch_rows rows at most."""
 
     def write(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
         new = df.dropDuplicates(["loc"])
         if _exists(spark, present_path):
             new = new.join(spark.read.parquet(present_path).select("loc"), "loc", "left_anti")
-        new.write.mode("append").parquet(present_path)
+        new.write.mode("append").option("maxRecordsPerFile", batch_rows).parquet(present_path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

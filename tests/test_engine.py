@@ -58,31 +58,31 @@ def test_round_robin():
 
 
 @pytest.mark.parametrize("p,n,m", [(8, 2, 4), (64, 4, 8), (64, 4, 5), (16, 2, 4), (64, 8, 16), (12, 3, 6), (64, 4, 16), (64, 3, 6)])
-def test_round_trip_home(p, n, m):
+def test_round_trip_home(spark, p, n, m):
     start = M.initial(p, list(range(n)))
     h = M.History(start)
-    out, moves = M.repartition(start, list(range(m)))
+    out, moves = M.repartition(spark, start, list(range(m)))
     h.record(out)
-    back, _ = M.repartition(out, list(range(n)), h.owned)
+    back, _ = M.repartition(spark, out, list(range(n)), h.owned)
     assert back == start and moves
     counts = [out.count(i) for i in range(m)]
     assert max(counts) - min(counts) <= 1
-    stayed, _ = M.repartition(out, list(range(n)))
+    stayed, _ = M.repartition(spark, out, list(range(n)))
     assert all(stayed[i] == start[i] for i in range(p) if out[i] == start[i])
 
 
 def test_scale_out_frame_equals_list(spark):
     for p, n, m in [(64, 4, 5), (64, 4, 8), (16, 2, 4), (12, 3, 6), (9, 2, 3)]:
-        _, moves = M.repartition(M.initial(p, list(range(n))), list(range(m)))
+        _, moves = M.repartition(spark, M.initial(p, list(range(n))), list(range(m)))
         got = rows(M.scale_out(D.even_placement(spark, p, list(range(n))), list(range(m))), "src", "dst", "part")
         assert got == moves
 
 
-def test_placement_refuses():
-    for bad in (lambda: M.initial(2, [1, 2, 3]), lambda: M.initial(4, []), lambda: M.initial(4, [1, 1]), lambda: M.repartition([0, 0, 1, 1], [0, 2])):
+def test_placement_refuses(spark):
+    for bad in (lambda: M.initial(2, [1, 2, 3]), lambda: M.initial(4, []), lambda: M.initial(4, [1, 1]), lambda: M.repartition(spark, [0, 0, 1, 1], [0, 2])):
         with pytest.raises(ValueError):
             bad()
-    assert M.repartition([0, 0, 1, 1], [1, 0]) == ([0, 0, 1, 1], [])
+    assert M.repartition(spark, [0, 0, 1, 1], [1, 0]) == ([0, 0, 1, 1], [])
     with pytest.raises(Undecided):
         M.weighted()
     assert M.rescale_nodes([5, 4, 9], [1, 2], 4) == ([4, 5], []) and M.rescale_nodes([], [1, 2, 3], 1) == ([], [2, 3])
