@@ -153,7 +153,7 @@ class Model:
         """-ln of the chance of the best run of highest segments in clean text: for r of them with exponents that sum to T,
         exp(-T) T^(r - 1) / (r! (r - 1)!) (the sum statistic of the extreme-value law)."""
         best = total = 0.0
-        for r, x in enumerate(sorted(exponents, reverse=True)[:64], 1):
+        for r, x in enumerate(sorted(exponents, reverse=True), 1):
             total += x
             best = max(best, total - (r - 1) * math.log(max(total, 1.0)) + math.lgamma(r + 1) + math.lgamma(r))
         return best
@@ -232,15 +232,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 5
         return run
 
     got = rows.mapInArrow(measure(1), "step int, x array<double>").toArrow()
+    # in order, so that sums do not depend on which task ends first
     kind, x = got["step"].to_numpy(), got["x"].to_pylist()
-    hist = np.array([v for k, v in zip(kind, x) if k == 0])
-    seen = np.array([v for k, v in zip(kind, x) if k == 1])
+    hist = np.array(sorted(v for k, v in zip(kind, x) if k == 0))
+    seen = np.array(sorted(v for k, v in zip(kind, x) if k == 1))
     model.lam = _lambda(hist[:, 0], hist[:, 1] / hist[:, 1].sum())
     seen = seen[(seen[:, 0] > 0) & (seen[:, 1] > 0)]
     if len(seen):
         model.logk = float(np.mean(model.lam * seen[:, 1] - np.log(seen[:, 0]))) - 0.5772156649
     again = docs.sparkSession.sparkContext.broadcast(model)
-    facts = np.array(rows.mapInArrow(measure(2), "step int, x array<double>").toArrow()["x"].to_pylist())
+    facts = np.array(sorted(rows.mapInArrow(measure(2), "step int, x array<double>").toArrow()["x"].to_pylist()))
     rows.unpersist()
     model.coef = _monotone(facts[:, 1:], facts[:, 0])
     return model
