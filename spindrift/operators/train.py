@@ -12,7 +12,7 @@ from spindrift.shipping import ship
 
 def sample_ids(vectors: DataFrame, s: int, seed: int = 42) -> DataFrame:
     """s ids (all if there are fewer), the same on every run: those of smallest hash."""
-    return vectors.select("vec_id").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(s)
+    return vectors.select("vec_id").orderBy(F.md5(F.concat_ws(":", F.col("vec_id").cast("string"), F.lit(str(seed)))), "vec_id").limit(s)
 
 def lloyd_sums(vectors: DataFrame, heads: DataFrame) -> DataFrame:
     """One Lloyd step: list_id, dim, total, members; a centroid is total / members. Sums are partial per task."""

@@ -198,7 +198,7 @@ def leaf_heads(spark, sf):
     return train.leaf_heads(t.v, nearest_head(spark, sf).select("vec_id", "list_id"))
 
 
-@query("B1_sample", None)
+@query("B1_sample", sql("SELECT vec_id FROM v ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id LIMIT 128", "v"))
 def sample(spark, sf):
     return train.sample_ids(Tables(spark, sf).v, 128)
 
@@ -335,7 +335,21 @@ def fused_calls(spark, sf):
 # --- layout ----------------------------------------------------------------------------------------------------
 
 
-@query("B22_bucket_layout")
+# one step places a tail or, where none fits, opens a page; lft holds how many tails of each size (from 1) are left
+_SIZES = f"SELECT list_id, n // {VPP} AS f, n % {VPP} AS tail, CAST(coalesce(sum(n // {VPP}) OVER (ORDER BY list_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, row_number() OVER (PARTITION BY n % {VPP} ORDER BY list_id) - 1 AS nth FROM (SELECT list_id, count(*) AS n FROM prim GROUP BY list_id)"
+_COUNTS = f"SELECT list(k ORDER BY z) AS c FROM (SELECT z, count(list_id) AS k FROM (SELECT unnest(range(1, {VPP})) AS z) LEFT JOIN s ON s.tail = z GROUP BY z)"
+_PACKED = (
+    f"SELECT CAST(0 AS BIGINT) AS page, CAST({VPP} AS BIGINT) AS room, c AS lft, CAST(NULL AS BIGINT) AS size, CAST(NULL AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS slot FROM counts UNION ALL "
+    f"SELECT page + CASE WHEN z IS NULL THEN 1 ELSE 0 END, CASE WHEN z IS NULL THEN {VPP} ELSE room - z END, list_transform(lft, lambda x, i: CASE WHEN i = z THEN x - 1 ELSE x END), z, c[z] - lft[z], {VPP} - room "
+    f"FROM (SELECT *, list_max(list_filter(range(1, {VPP}), lambda k: k <= room AND lft[k] > 0)) AS z FROM packed, counts WHERE list_sum(lft) > 0)"
+)
+_LAID = (
+    f"SELECT vec_id, page, slot, page * {VPP} + slot AS loc FROM (SELECT p.vec_id, CASE WHEN p.pos < s.f * {VPP} THEN s.start + p.pos // {VPP} ELSE k.page + (SELECT CAST(sum(f) AS BIGINT) FROM s) END AS page, CASE WHEN p.pos < s.f * {VPP} THEN p.pos % {VPP} ELSE k.slot + p.pos - s.f * {VPP} END AS slot "
+    "FROM (SELECT vec_id, list_id, row_number() OVER (PARTITION BY list_id ORDER BY vec_id) - 1 AS pos FROM prim) p JOIN s USING (list_id) LEFT JOIN packed k ON k.size = s.tail AND k.nth = s.nth)"
+)
+
+
+@query("B22_bucket_layout", sql(_LAID, "prim", s=_SIZES, counts=_COUNTS, packed=_PACKED).replace("WITH ", "WITH RECURSIVE ", 1))
 def bucket_layout(spark, sf):
     return I.bucket_layout(primary(spark, sf), VPP)
 
