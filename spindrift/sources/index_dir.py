@@ -97,6 +97,16 @@ class IndexDir:
             out = n if out is None else out.unionByName(n)
         return out
 
+    def sizes(self) -> DataFrame:
+        """name, files, bytes on storage of each table and of the segments; one listing a folder, nothing is read."""
+        rows = []
+        for t in [*TABLES, "segments"]:
+            fs, p = self._fs(t)
+            if fs.exists(p):
+                c = fs.getContentSummary(p)
+                rows.append((t, c.getFileCount(), c.getLength()))
+        return self.spark.createDataFrame(rows, "name string, files long, bytes long")
+
 
 class AnnIndex:
     """Search over a built folder."""

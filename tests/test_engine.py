@@ -1,5 +1,7 @@
 """Golden values, round trips, state machines and metamorphic properties of the engine."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -279,6 +281,9 @@ def test_index_folder(tables, spark, tmp_path):
     with pytest.raises(ValueError):
         d.build(tables.v.limit(3))
     assert {r["name"] for r in d.describe().collect()} >= {"heads", "codes"}
+    on_disk = {t.name: sum(f.stat().st_size for f in t.rglob("*") if f.is_file() and not f.name.endswith(".crc")) for t in Path(d.path).iterdir() if t.is_dir()}
+    sizes = {r["name"]: r["bytes"] for r in d.sizes().collect()}
+    assert {"heads", "codes"} <= set(sizes) and sizes == {t: on_disk[t] for t in sizes}
 
 
 def test_cluster_ledger(tables, spark):
