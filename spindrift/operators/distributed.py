@@ -94,10 +94,13 @@ def local_rerank(filtered: DataFrame, vectors: DataFrame, queries: DataFrame, k:
     return merge_topk(per_owner, "dist", k).select("qid", "rank", "vec_id", "dist")
 
 
-def pick_owner(owned: DataFrame) -> DataFrame:
-    """qid, owner: the node with most of the query's lists, the lowest on ties."""
-    n = owned.groupBy("qid", "node").agg(F.count("*").alias("n"))
-    return n.groupBy("qid").agg(F.min(F.struct((-F.col("n")).alias("n"), "node")).alias("x")).select("qid", F.col("x.node").alias("owner"))
+def pick_owner(owned: DataFrame, entry: int, aggregators: list[int] | None = None) -> DataFrame:
+    """qid, owner: the entry if it owns a probed list; else a single owner of all of them that may aggregate; else the entry."""
+    n = owned.groupBy("qid").agg(F.max(F.col("node") == entry).alias("mine"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    single = F.col("lo") == F.col("hi")
+    if aggregators is not None:
+        single &= F.col("lo").isin(aggregators)
+    return n.select("qid", F.when(~F.col("mine") & single, F.col("lo")).otherwise(F.lit(entry)).alias("owner"))
 
 
 def pick_entry(owned: DataFrame, entry: int) -> DataFrame:
@@ -105,13 +108,13 @@ def pick_entry(owned: DataFrame, entry: int) -> DataFrame:
     return owned.select("qid").distinct().withColumn("owner", F.lit(entry))
 
 
-def pick_warmup(owned: DataFrame, aggregators: list[int], entries: list[int]) -> DataFrame:
-    """qid, owner: nodes that aggregate and are no entries, in turn by order of query."""
+def pick_warmup(owned: DataFrame, aggregators: list[int], entries: list[int], entry: int | None = None) -> DataFrame:
+    """qid, owner: nodes that aggregate and are no entries, in turn by order of query, from the second on; without any, the entry."""
     free = sorted(set(aggregators) - set(entries))
     if not free:
-        return pick_owner(owned)
+        return pick_entry(owned, min(entries) if entry is None else entry)
     asked = numbered(owned.select("qid").distinct(), [F.col("qid")], "__nth")
-    return asked.select("qid", F.get(F.array(*[F.lit(n) for n in free]), ((F.col("__nth") - 1) % len(free)).cast("int")).alias("owner"))
+    return asked.select("qid", F.get(F.array(*[F.lit(n) for n in free]), (F.col("__nth") % len(free)).cast("int")).alias("owner"))
 
 
 def fan_out(owned: DataFrame, nodes: int) -> DataFrame:
@@ -120,44 +123,112 @@ def fan_out(owned: DataFrame, nodes: int) -> DataFrame:
     return n.agg(share("n", "owners"), share((F.col("n") == 1).cast("int"), "one"), share((F.col("n") <= 2).cast("int"), "two"), share(F.col("n") / F.lit(float(nodes)), "entry_is_owner"))
 
 
-def hot_owner(owned: DataFrame, postings: DataFrame) -> DataFrame:
-    """Greatest mean of an owner's normalised loads: scored candidates and calls."""
-    c = owner_candidates(owned, postings).groupBy("node").agg(F.count("*").cast("double").alias("s"), F.countDistinct("qid").cast("double").alias("c"))
-    every = Window.partitionBy()
-    load = (F.col("s") / F.avg("s").over(every) + F.col("c") / F.avg("c").over(every)) / 2
-    return c.select(load.alias("x")).agg(F.round(F.max("x"), 6).alias("hot"))
-
-
-def overhead(probed: DataFrame, list_part: DataFrame, postings: DataFrame, sizes: list[int], parts: int, n: int) -> DataFrame:
-    """Work by number of nodes, all in one job: nodes, scored, merge_in, calls."""
-    spark = probed.sparkSession
-    sized = spark.createDataFrame([(s,) for s in sizes], "nodes int")
-    owned = probed.join(list_part, "list_id").join(F.broadcast(sized)).withColumn("node", F.expr(f"(part * nodes) div {parts}"))
-    c = owned.join(postings.select("list_id", "vec_id"), "list_id").select("nodes", "qid", "node", "vec_id").distinct()
-    c = c.groupBy("nodes", "qid", "node").agg(F.count("*").alias("cand"))
-    return c.groupBy("nodes").agg(F.sum("cand").alias("scored"), F.sum(F.least(F.lit(n), "cand")).alias("merge_in"), F.count("*").alias("calls"))
-
-
 #: Microseconds: a remote call, a filter call, one scored candidate (fixed values of the cost model).
 RPC, FILTER, SCORED = 66.5, 22.0, 0.093
-
-
-def filter_cost(owned: DataFrame, postings: DataFrame) -> DataFrame:
-    """qid, work (sum over owners), latency (greatest owner) of the filter phase."""
-    c = owner_candidates(owned, postings).groupBy("qid", "node").agg((F.lit(RPC) + F.lit(FILTER) + F.lit(SCORED) * F.count("*")).alias("us"))
-    return c.groupBy("qid").agg(F.round(F.sum("us"), 4).alias("work"), F.round(F.max("us"), 4).alias("latency"))
-
-
 #: A re-ranking call, one page read, a merge, one merged candidate (fixed values of the cost model).
 RERANK, PAGE, MERGE, MERGED = 70.6, 6.2, 29.7, 0.177
-
-
-def local_cost(owned: DataFrame, postings: DataFrame, n: int, k: int) -> DataFrame:
-    """qid, work, latency of the local strategy: each owner filters and re-ranks its first n, the entry merges k of each."""
-    c = owner_candidates(owned, postings).groupBy("qid", "node").agg(F.count("*").alias("cand"))
-    c = c.withColumn("us", F.lit(RPC + FILTER + RERANK) + F.lit(SCORED) * F.col("cand") + F.lit(PAGE) * F.least(F.lit(n), F.col("cand")))
-    merge = F.lit(MERGE) + F.lit(MERGED) * F.sum(F.least(F.lit(k), F.col("cand")))
-    return c.groupBy("qid").agg(F.round(F.sum("us") + merge, 4).alias("work"), F.round(F.max("us") + merge, 4).alias("latency"))
+COSTED = ["two-phase", "two-phase+1", "local", "local-quota"]
+
+
+def _passed(owned: DataFrame, postings: DataFrame, codes: DataFrame, luts: DataFrame, n: int, keys: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """Each owner's number of distinct candidates, and its first n. A pair of query and vector is scored once, however many owners it has."""
+    c = owned.join(postings.select("list_id", "vec_id"), "list_id").select(*keys, "qid", "node", "vec_id").distinct()
+    adc = I.score(c.select("qid", "vec_id").distinct(), codes, luts).select("qid", "vec_id", "adc")
+    n_of = c.groupBy(*keys, "qid", "node").agg(F.count("*").alias("scored"))
+    return n_of, I.top(c.join(adc, ["qid", "vec_id"]), "adc", n, (*keys, "qid", "node"))
+
+
+def _first(passed: DataFrame, n: int, keys: tuple = ()) -> DataFrame:
+    """As merge_origin, per keys too."""
+    one = passed.groupBy(*keys, "qid", "vec_id").agg(F.min("adc").alias("adc"), F.min("node").alias("node"))
+    return I.top(one, "adc", n, (*keys, "qid"))
+
+
+def _read(picked: DataFrame, layout: DataFrame, keys: tuple = ()) -> DataFrame:
+    """keys, qid, node, ids, pages: what a re-ranking call is given, and the different pages that it reads."""
+    return picked.join(layout.select("vec_id", "page"), "vec_id").groupBy(*keys, "qid", "node").agg(F.count("*").alias("ids"), F.countDistinct("page").alias("pages"))
+
+
+def owner_work(owned: DataFrame, postings: DataFrame, codes: DataFrame, luts: DataFrame, layout: DataFrame, n: int, keys: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """keys, qid, node, scored, ids, pages of the two-phase plan (0 where a call isn't made), and its merged first n."""
+    by = [*keys, "qid", "node"]
+    scored, passed = _passed(owned, postings, codes, luts, n, keys)
+    merged = _first(passed, n, keys)
+    work = owned.select(*by).distinct().join(scored, by, "left").join(_read(merged, layout, keys), by, "left")
+    return work.fillna(0, ["scored", "ids", "pages"]), merged
+
+
+def hottest(work: DataFrame, nodes, keys: tuple = ()) -> DataFrame:
+    """keys, hot: the greatest mean of an owner's scored candidates, pages and calls, each over its mean of all nodes."""
+    load = work.groupBy(*keys, "node").agg(F.sum("scored").alias("s"), F.sum("pages").alias("p"), (F.count("*") + F.count_if(F.col("ids") > 0)).alias("c"))
+    every = Window.partitionBy(*keys)
+    part = lambda c: F.col(c).cast("double") * nodes / F.sum(c).over(every)
+    return load.select(*keys, ((part("s") + part("p") + part("c")) / 3).alias("x")).groupBy(*keys).agg(F.round(F.max("x"), 6).alias("hot"))
+
+
+def hot_owner(owned: DataFrame, postings: DataFrame, codes: DataFrame, luts: DataFrame, layout: DataFrame, n: int, nodes: int) -> DataFrame:
+    return hottest(owner_work(owned, postings, codes, luts, layout, n)[0], nodes)
+
+
+def overhead(probed: DataFrame, list_part: DataFrame, t, layout: DataFrame, sizes: list[int], parts: int, p: I.Params) -> DataFrame:
+    """The two-phase plan on every number of nodes, in one plan: nodes, means a query of owners that filter and re-rank, scored,
+    pages and merge_in, their and the work's ratio to the first size, speedup, hot and mismatches with the first size's answers.
+
+    t has post(), codes(), luts(), v and q. Scores and distances of a pair are worked out once for all sizes."""
+    spark, keys = probed.sparkSession, ("nodes",)
+    sized = spark.createDataFrame([(s, *divmod(parts, s)) for s in sizes], "nodes int, base int, rem int")
+    edge = F.expr("rem * (base + 1)")
+    node = F.when(F.col("part") < edge, F.expr("part div (base + 1)")).otherwise(F.expr("rem + (part - rem * (base + 1)) div greatest(base, 1)"))
+    owned = probed.join(list_part, "list_id").join(F.broadcast(sized)).select("nodes", "qid", "list_id", node.cast("int").alias("node"))
+    work, merged = owner_work(owned, t.post(), t.codes(), t.luts(), layout, p.n, keys)
+    s = work.groupBy("nodes").agg(
+        F.countDistinct("qid").alias("q"), F.count("*").alias("f"), F.count_if(F.col("ids") > 0).alias("r"), F.sum("scored").alias("scored"), F.sum("pages").alias("pages"), F.sum(F.least(F.lit(p.n), "scored")).alias("merge_in")
+    )
+    us = F.lit(RPC + FILTER) * F.col("f") + F.lit(SCORED) * F.col("scored") + F.lit(RPC + RERANK) * F.col("r") + F.lit(PAGE) * F.col("pages") + F.lit(2 * MERGE) * F.col("q") + F.lit(MERGED) * (F.col("merge_in") + F.col("r") * p.k)
+    s = s.withColumn("us", us)
+    one = s.where(F.col("nodes") == sizes[0]).select(F.col("scored").alias("s1"), F.col("pages").alias("p1"), F.col("us").alias("w1"))
+    mean = lambda c, name: F.round(F.col(c) / F.col("q"), 6).alias(name)
+    ratio = lambda c, base, name: F.round(F.col(c) / F.col(base), 6).alias(name)
+    s = s.join(F.broadcast(one)).select(
+        "nodes", mean("f", "owners_f"), mean("r", "owners_r"), mean("scored", "scored"), ratio("scored", "s1", "scored_x1"), mean("pages", "pages"), ratio("pages", "p1", "pages_x1"), mean("merge_in", "merge_in"),
+        ratio("us", "w1", "work_x1"), F.round(F.col("nodes") * F.col("w1") / F.col("us"), 6).alias("speedup")
+    )
+    dist = I.exact_scores(merged.select("qid", "vec_id").distinct(), t.v, t.q)
+    best = I.top(merged.select("nodes", "qid", "vec_id").join(dist, ["qid", "vec_id"]), "dist", p.k, ("nodes", "qid"))
+    ids = best.groupBy("nodes", "qid").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))).alias("ids"))
+    other = F.col("ids") != F.min_by("ids", F.when(F.col("nodes") == sizes[0], 0).otherwise(1)).over(Window.partitionBy("qid"))
+    wrong = ids.withColumn("other", other).groupBy("nodes").agg(F.count_if("other").alias("mismatches"))
+    return s.join(hottest(work, F.col("nodes"), keys), "nodes").join(wrong, "nodes")
+
+
+def strategy_costs(owned: DataFrame, postings: DataFrame, codes: DataFrame, luts: DataFrame, layout: DataFrame, p: I.Params, navigate: float = 0.0) -> DataFrame:
+    """qid, strategy, calls, reranked, pages, work, latency of the four strategies, in microseconds of the cost model.
+
+    Work adds all owners, latency takes the slowest of each phase. A fused call filters and re-ranks: always in the local
+    strategies, in two-phase+1 where one node owns all lists."""
+    scored, passed = _passed(owned, postings, codes, luts, p.n)
+    share = F.ceil(F.lit(float(p.n)) * F.col("scored") / F.sum("scored").over(Window.partitionBy("qid")))
+    groups = owned.select("qid", "node").distinct().join(scored, ["qid", "node"], "left").fillna(0, ["scored"]).withColumn("quota", share)
+    named = lambda df, *names: df.select("qid", "node", "vec_id", F.explode(F.array(*[F.lit(x) for x in names])).alias("strategy"))
+    own_share = passed.join(groups.select("qid", "node", "quota"), ["qid", "node"]).where("rank <= quota")
+    picked = named(_first(passed, p.n), *COSTED[:2]).unionByName(named(passed, "local")).unionByName(named(own_share, "local-quota"))
+    every = groups.withColumn("strategy", F.explode(F.array(*[F.lit(x) for x in COSTED])))
+    every = every.join(_read(picked, layout, ("strategy",)), ["strategy", "qid", "node"], "left").fillna(0, ["ids", "pages"])
+    asked = F.col("ids") > 0
+    f = F.lit(FILTER) + F.lit(SCORED) * F.col("scored")
+    r = F.when(asked, F.lit(RERANK) + F.lit(PAGE) * F.col("pages")).otherwise(F.lit(0.0))
+    s = every.groupBy("qid", "strategy").agg(
+        F.count("*").alias("owners"), F.count_if(asked).alias("answered"), F.sum("scored").alias("scored"), F.sum(F.least(F.lit(p.n), "scored")).alias("returned"), F.sum("ids").alias("reranked"), F.sum("pages").alias("pages"),
+        F.max(F.lit(RPC) + f).alias("slow_f"), F.max(F.when(asked, F.lit(RPC) + r).otherwise(F.lit(0.0))).alias("slow_r"), F.max(F.lit(RPC) + f + r).alias("slow")
+    )
+    fused = F.col("strategy").startswith("local") | (F.col("strategy") == "two-phase+1") & (F.col("owners") == 1)
+    filtered = F.lit(RPC + FILTER) * F.col("owners") + F.lit(SCORED) * F.col("scored")
+    ranked = F.lit(RERANK) * F.col("answered") + F.lit(PAGE) * F.col("pages")
+    last, merge = F.lit(MERGE) + F.lit(MERGED) * (F.col("answered") * p.k), F.lit(MERGE) + F.lit(MERGED) * F.col("returned")
+    work = filtered + ranked + last + F.when(fused, F.lit(0.0)).otherwise(F.lit(RPC) * F.col("answered") + merge)
+    latency = F.when(fused, F.col("slow") + last).otherwise(F.col("slow_f") + merge + F.col("slow_r") + last)
+    calls = F.col("owners") + F.when(fused, F.lit(0)).otherwise(F.col("answered"))
+    return s.select("qid", "strategy", calls.alias("calls"), "reranked", "pages", F.round(work + navigate, 4).alias("work"), F.round(latency + navigate, 4).alias("latency"))
 
 
 def local_strategy(owned: DataFrame, postings: DataFrame, codes: DataFrame, luts: DataFrame, vectors: DataFrame, queries: DataFrame, p: I.Params) -> DataFrame:

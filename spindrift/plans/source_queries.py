@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.folders import shared
-from spindrift.operators import distributed as D
 from spindrift.operators import index as I
 from spindrift.operators import train
 from spindrift.plans.declare import query
@@ -184,21 +183,3 @@ def ordered_page(spark, sf):
 @query("P6_distinct_ids", sql("SELECT qid, vec_id FROM cand", "cand"))
 def distinct_ids(spark, sf):
     return Tables(spark, sf).gathered().select("qid", "vec_id").distinct()
-
-
-@query("A17_speedup", sql("""SELECT CAST(n AS INTEGER) AS nodes, round(scored / first, 6) AS work_ratio, round(n * first / scored, 6) AS speedup FROM (
-  SELECT n, CAST(sum(cand) AS DOUBLE) AS scored, CAST(first_value(sum(cand)) OVER (ORDER BY n) AS DOUBLE) AS first FROM (
-  SELECT n, nav.qid, (part * n) // 8 AS node, count(DISTINCT vec_id) AS cand FROM nav JOIN lp USING (list_id) JOIN post USING (list_id), (SELECT unnest([1, 2, 4]) AS n) GROUP BY ALL) GROUP BY n)""", "nav", "lp", "post"))
-def speedup(spark, sf):
-    t = Tables(spark, sf)
-    w = D.overhead(t.nav(), t.lp(), t.post(), [1, 2, 4], PARTS, 50).select("nodes", F.col("scored").cast("double").alias("scored"))
-    one = w.where("nodes = 1").select(F.col("scored").alias("first"))
-    return w.join(F.broadcast(one)).select("nodes", F.round(F.col("scored") / F.col("first"), 6).alias("work_ratio"), F.round(F.col("nodes") * F.col("first") / F.col("scored"), 6).alias("speedup"))
-
-
-@query("A19_local_strategy", sql("""SELECT qid, round(sum(us) + CAST(29.7 AS DOUBLE) + CAST(0.177 AS DOUBLE) * sum(least(10, cand)), 4) AS work, round(max(us) + CAST(29.7 AS DOUBLE) + CAST(0.177 AS DOUBLE) * sum(least(10, cand)), 4) AS latency
-FROM (SELECT qid, cand, CAST(159.1 AS DOUBLE) + CAST(0.093 AS DOUBLE) * cand + CAST(6.2 AS DOUBLE) * least(50, cand) AS us FROM (SELECT qid, node, count(*) AS cand FROM ocand GROUP BY qid, node)) GROUP BY qid""", "ocand"))
-def local_strategy(spark, sf):
-    """Filter, re-ranking (a page a vector) and merge of the strategy in which every owner re-ranks its own."""
-    t = Tables(spark, sf)
-    return D.local_cost(t.own(), t.post(), 50, 10)

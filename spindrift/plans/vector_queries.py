@@ -299,6 +299,14 @@ def query_stats(spark, sf):
     return g.agg(*[F.round(F.avg(c), 6).alias(n) for c, n in (("lists", "lists"), ("cand", "cand"), ("uniq", "uniq"), ("n", "topn"))])
 
 
+@query("A6_rerank_stats", sql("SELECT round(avg(batches), 6) AS batches, round(avg(reranked), 6) AS reranked, round(avg(pages), 6) AS pages, round(avg(merged), 6) AS merged, round(avg(hits), 6) AS hits FROM (SELECT qid, max(stop) + 1 AS batches, count(*) AS reranked, count(*) FILTER (WHERE nth = 1) AS pages, count(*) FILTER (WHERE nth > 1 AND b = fb) AS merged, count(*) FILTER (WHERE b > fb) AS hits FROM done GROUP BY qid)", "exact", "seqlay").replace("\nSELECT round", ",\n" + _heur + "\nSELECT round", 1))
+def rerank_stats(spark, sf):
+    """Means over queries of what the heuristic re-ranking did."""
+    t = Tables(spark, sf)
+    done = I.heuristic_rerank(t.filt(), t.v, t.q, I.sequential_layout(t.v, VPP), P.k)
+    return done.agg(*[F.round(F.avg(c), 6).alias(n) for c, n in (("batches", "batches"), ("reranked", "reranked"), ("pages_read", "pages"), ("intra_merged", "merged"), ("buffer_hits", "hits"))])
+
+
 @query("A15_max_candidates", sql("SELECT CAST(sum(n) AS BIGINT) AS bound FROM (SELECT count(*) AS n FROM post GROUP BY list_id ORDER BY n DESC LIMIT 8)", "post"))
 def max_candidates(spark, sf):
     n = Tables(spark, sf).post().groupBy("list_id").agg(F.count("*").alias("n"))
@@ -443,23 +451,59 @@ def fan_out(spark, sf):
     return D.fan_out(Tables(spark, sf).own(), NODES)
 
 
-@query("A18_hot_owner", sql("SELECT round(max((s / avg(s) OVER () + c / avg(c) OVER ()) / 2), 6) AS hot FROM (SELECT node, CAST(count(*) AS DOUBLE) AS s, CAST(count(DISTINCT qid) AS DOUBLE) AS c FROM ocand GROUP BY node)".replace("SELECT round(max((s / avg(s) OVER () + c / avg(c) OVER ()) / 2), 6) AS hot FROM (", "SELECT round(max(x), 6) AS hot FROM (SELECT (s / avg(s) OVER () + c / avg(c) OVER ()) / 2 AS x FROM (") + ")", "ocand"))
+CTE |= {
+    "scof": "SELECT qid, node, count(*) AS scored FROM ocand GROUP BY qid, node",
+    "work": "SELECT g.qid, g.node, coalesce(s.scored, 0) AS scored, coalesce(r.ids, 0) AS ids, coalesce(r.pages, 0) AS pages FROM (SELECT DISTINCT qid, node FROM own) g LEFT JOIN scof s USING (qid, node) LEFT JOIN (SELECT qid, node, count(*) AS ids, count(DISTINCT page) AS pages FROM merged JOIN seqlay USING (vec_id) GROUP BY qid, node) r USING (qid, node)",
+}
+NEEDS |= {"scof": ["ocand"], "work": ["own", "scof", "merged", "seqlay"]}
+
+
+@query("A18_hot_owner", sql("SELECT round(max((s * 3 / sum_s + p * 3 / sum_p + c * 3 / sum_c) / 3), 6) AS hot FROM (SELECT *, sum(s) OVER () AS sum_s, sum(p) OVER () AS sum_p, sum(c) OVER () AS sum_c FROM (SELECT node, CAST(sum(scored) AS DOUBLE) AS s, CAST(sum(pages) AS DOUBLE) AS p, CAST(count(*) + count(*) FILTER (WHERE ids > 0) AS DOUBLE) AS c FROM work GROUP BY node))", "work"))
 def hot_owner(spark, sf):
     t = Tables(spark, sf)
-    return D.hot_owner(t.own(), t.post())
+    return D.hot_owner(t.own(), t.post(), t.codes(), t.luts(), I.sequential_layout(t.v, VPP), P.n, NODES)
+
+
+# sizes that divide the partitions or not: the first parts % size nodes have one partition more
+_SIZED = "SELECT n AS nodes, nav.qid, list_id, CASE WHEN part < (8 % n) * (8 // n + 1) THEN part // (8 // n + 1) ELSE 8 % n + (part - (8 % n) * (8 // n + 1)) // greatest(8 // n, 1) END AS node FROM nav JOIN lp USING (list_id), (SELECT unnest([1, 2, 3, 8]) AS n)"
+_OVER = {
+    "sized": _SIZED,
+    "zc": "SELECT DISTINCT nodes, qid, node, vec_id FROM sized JOIN post USING (list_id)",
+    "zf": "SELECT * FROM (SELECT zc.*, adc, row_number() OVER (PARTITION BY nodes, qid, node ORDER BY adc, vec_id) AS r FROM zc JOIN scored USING (qid, vec_id)) WHERE r <= 50",
+    "zm": "SELECT * FROM (SELECT nodes, qid, vec_id, min(node) AS node, row_number() OVER (PARTITION BY nodes, qid ORDER BY min(adc), vec_id) AS r FROM zf GROUP BY nodes, qid, vec_id) WHERE r <= 50",
+    "zw": "SELECT g.nodes, g.qid, g.node, coalesce(s.scored, 0) AS scored, coalesce(r.ids, 0) AS ids, coalesce(r.pages, 0) AS pages FROM (SELECT DISTINCT nodes, qid, node FROM sized) g LEFT JOIN (SELECT nodes, qid, node, count(*) AS scored FROM zc GROUP BY ALL) s USING (nodes, qid, node) LEFT JOIN (SELECT nodes, qid, node, count(*) AS ids, count(DISTINCT page) AS pages FROM zm JOIN seqlay USING (vec_id) GROUP BY ALL) r USING (nodes, qid, node)",
+    "zs": "SELECT nodes, count(DISTINCT qid) AS q, count(*) AS f, count(*) FILTER (WHERE ids > 0) AS r, CAST(sum(scored) AS BIGINT) AS scored, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(least(50, scored)) AS BIGINT) AS merge_in FROM zw GROUP BY nodes",
+    "zu": "SELECT *, 88.5::DOUBLE * f + 0.093::DOUBLE * scored + 137.1::DOUBLE * r + 6.2::DOUBLE * pages + 59.4::DOUBLE * q + 0.177::DOUBLE * (merge_in + r * 10) AS us FROM zs",
+    "zh": "SELECT nodes, round(max((s * nodes / ss + p * nodes / sp + c * nodes / sc) / 3), 6) AS hot FROM (SELECT *, sum(s) OVER (PARTITION BY nodes) AS ss, sum(p) OVER (PARTITION BY nodes) AS sp, sum(c) OVER (PARTITION BY nodes) AS sc FROM (SELECT nodes, node, CAST(sum(scored) AS DOUBLE) AS s, CAST(sum(pages) AS DOUBLE) AS p, CAST(count(*) + count(*) FILTER (WHERE ids > 0) AS DOUBLE) AS c FROM zw GROUP BY nodes, node)) GROUP BY nodes",
+    "zp": f"SELECT * FROM (SELECT zm.nodes, zm.qid, zm.node, zm.vec_id, {l2('qv', 'v')} AS dist, row_number() OVER (PARTITION BY nodes, zm.qid, node ORDER BY {l2('qv', 'v')}, zm.vec_id) AS r FROM zm JOIN q USING (qid) JOIN v USING (vec_id)) WHERE r <= 10",
+    "za": "SELECT nodes, qid, list(vec_id ORDER BY e) AS ids FROM (SELECT nodes, qid, vec_id, row_number() OVER (PARTITION BY nodes, qid ORDER BY dist, vec_id) AS e FROM zp) WHERE e <= 10 GROUP BY nodes, qid",
+    "zx": "SELECT a.nodes, count(*) FILTER (WHERE a.ids <> b.ids) AS mismatches FROM za a JOIN za b ON a.qid = b.qid AND b.nodes = 1 GROUP BY a.nodes",
+}
 
 
-@query("A17_overhead", sql("""SELECT CAST(n AS INTEGER) AS nodes, CAST(sum(cand) AS BIGINT) AS scored, CAST(sum(least(50, cand)) AS BIGINT) AS merge_in, count(*) AS calls FROM (
-  SELECT n, nav.qid, (part * n) // 8 AS node, count(DISTINCT vec_id) AS cand FROM nav JOIN lp USING (list_id) JOIN post USING (list_id), (SELECT unnest([1, 2, 4]) AS n) GROUP BY ALL) GROUP BY n""", "nav", "lp", "post"))
+@query("A17_overhead", sql("""SELECT CAST(z.nodes AS INTEGER) AS nodes, round(z.f / z.q, 6) AS owners_f, round(z.r / z.q, 6) AS owners_r, round(z.scored / z.q, 6) AS scored, round(z.scored / o.scored, 6) AS scored_x1, round(z.pages / z.q, 6) AS pages, round(z.pages / o.pages, 6) AS pages_x1,
+round(z.merge_in / z.q, 6) AS merge_in, round(z.us / o.us, 6) AS work_x1, round(z.nodes * o.us / z.us, 6) AS speedup, hot, mismatches FROM zu z JOIN zu o ON o.nodes = 1 JOIN zh ON zh.nodes = z.nodes JOIN zx ON zx.nodes = z.nodes""", "nav", "lp", "post", "scored", "seqlay", "q", "v", **_OVER))
 def overhead(spark, sf):
     t = Tables(spark, sf)
-    return D.overhead(t.nav(), t.lp(), t.post(), [1, 2, 4], PARTS, P.n)
+    return D.overhead(t.nav(), t.lp(), t, I.sequential_layout(t.v, VPP), [1, 2, 3, 8], PARTS, P)
+
 
+_COST = {
+    "grp": "SELECT qid, node, scored, ceil(50.0 * scored / sum(scored) OVER (PARTITION BY qid)) AS quota FROM work",
+    "picked": "SELECT strategy, qid, node, vec_id FROM merged, (SELECT unnest(['two-phase', 'two-phase+1']) AS strategy) UNION ALL SELECT 'local', qid, node, vec_id FROM ofilt UNION ALL SELECT 'local-quota', f.qid, f.node, f.vec_id FROM ofilt f JOIN grp USING (qid, node) WHERE f.r <= quota",
+    "every": "SELECT x.strategy, g.qid, g.node, g.scored, coalesce(r.ids, 0) AS ids, coalesce(r.pages, 0) AS pages FROM grp g CROSS JOIN (SELECT unnest(['two-phase', 'two-phase+1', 'local', 'local-quota']) AS strategy) x LEFT JOIN (SELECT strategy, qid, node, count(*) AS ids, count(DISTINCT page) AS pages FROM picked JOIN seqlay USING (vec_id) GROUP BY ALL) r ON r.strategy = x.strategy AND r.qid = g.qid AND r.node = g.node",
+    "tot": """SELECT qid, strategy, count(*) AS owners, count(*) FILTER (WHERE ids > 0) AS answered, CAST(sum(scored) AS BIGINT) AS scored, CAST(sum(least(50, scored)) AS BIGINT) AS returned, CAST(sum(ids) AS BIGINT) AS reranked, CAST(sum(pages) AS BIGINT) AS pages,
+  max(88.5::DOUBLE + 0.093::DOUBLE * scored) AS slow_f, coalesce(max(137.1::DOUBLE + 6.2::DOUBLE * pages) FILTER (WHERE ids > 0), 0) AS slow_r, max(88.5::DOUBLE + 0.093::DOUBLE * scored + CASE WHEN ids > 0 THEN 70.6::DOUBLE + 6.2::DOUBLE * pages ELSE 0 END) AS slow,
+  strategy LIKE 'local%' OR (strategy = 'two-phase+1' AND count(*) = 1) AS fused FROM every GROUP BY qid, strategy""",
+}
 
-@query("A19_cost_model", sql("""SELECT qid, round(sum(CAST(88.5 AS DOUBLE) + CAST(0.093 AS DOUBLE) * cand), 4) AS work, round(max(CAST(88.5 AS DOUBLE) + CAST(0.093 AS DOUBLE) * cand), 4) AS latency FROM (SELECT qid, node, count(*) AS cand FROM ocand GROUP BY qid, node) GROUP BY qid""", "ocand"))
+
+@query("A19_cost_model", sql("""SELECT qid, strategy, owners + CASE WHEN fused THEN 0 ELSE answered END AS calls, reranked, pages,
+round(88.5::DOUBLE * owners + 0.093::DOUBLE * scored + 70.6::DOUBLE * answered + 6.2::DOUBLE * pages + 29.7::DOUBLE + 0.177::DOUBLE * answered * 10 + CASE WHEN fused THEN 0 ELSE 66.5::DOUBLE * answered + 29.7::DOUBLE + 0.177::DOUBLE * returned END, 4) AS work,
+round(29.7::DOUBLE + 0.177::DOUBLE * answered * 10 + CASE WHEN fused THEN slow ELSE slow_f + slow_r + 29.7::DOUBLE + 0.177::DOUBLE * returned END, 4) AS latency FROM tot""", "work", "merged", "ofilt", "seqlay", **_COST))
 def cost_model(spark, sf):
     t = Tables(spark, sf)
-    return D.filter_cost(t.own(), t.post())
+    return D.strategy_costs(t.own(), t.post(), t.codes(), t.luts(), I.sequential_layout(t.v, VPP), P)
 
 
 @query("A20_overlap_at_k", sql("SELECT g.qid, count(a.vec_id) AS shared FROM gt g LEFT JOIN ans a ON a.qid = g.qid AND a.vec_id = g.vec_id GROUP BY g.qid", "gt", "ans"))
@@ -468,9 +512,9 @@ def overlap_at_k(spark, sf):
     return a.join(b.select("qid", "vec_id", F.lit(1).alias("x")), ["qid", "vec_id"], "left").groupBy("qid").agg(F.count("x").alias("shared"))
 
 
-@query("R11_selector", sql("SELECT qid, CAST(arg_min(node, (-n, node)) AS INTEGER) AS owner, CAST((qid // 50) % 2 AS INTEGER) AS warmup FROM (SELECT qid, node, count(*) AS n FROM own GROUP BY qid, node) GROUP BY qid".replace("arg_min(node, (-n, node))", "min({'n': -n, 'node': node}).node"), "own"))
+@query("R11_selector", sql("SELECT qid, CAST(CASE WHEN bool_or(node = 1) THEN 1 WHEN count(DISTINCT node) = 1 THEN min(node) ELSE 1 END AS INTEGER) AS owner, CAST(([0, 2])[row_number() OVER (ORDER BY qid) % 2 + 1] AS INTEGER) AS warmup, 1 AS local FROM own GROUP BY qid", "own"))
 def selector(spark, sf):
-    t = Tables(spark, sf)
-    owner = D.pick_owner(t.own())
-    # round-robin over the aggregators that are no entries, here the nodes 0 and 1, in order of query
-    return owner.withColumn("warmup", (F.expr("qid div 50") % 2).cast("int"))
+    """Who merges the answers of queries that come in at node 1, by the three selectors; nodes 0 and 2 are no entries."""
+    own = Tables(spark, sf).own()
+    pick = lambda df, name: df.withColumnRenamed("owner", name)
+    return pick(D.pick_owner(own, 1), "owner").join(pick(D.pick_warmup(own, [0, 1, 2], [1]), "warmup"), "qid").join(pick(D.pick_entry(own, 1), "local"), "qid")
