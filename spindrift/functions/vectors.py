@@ -21,6 +21,11 @@ def l2sqr_float(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
+def l2sqr_mixed(typed: Column, floats: Column, scale: int = 256) -> Column:
+    """Squared L2 of a quantised vector, brought back to floating numbers, and a floating one, in double, summed from the left."""
+    return l2sqr_float(F.transform(typed, lambda x: x.cast("double") / F.lit(float(scale))), floats)
+
+
 def unrolled_l2sqr(a: Column, b: Column, dims: int) -> Column:
     """Squared L2 for a fixed number of dimensions, which stays within generated code."""
     total = None

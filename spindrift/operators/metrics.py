@@ -79,6 +79,35 @@ def snapshots(df: DataFrame, width: str = "1 day") -> DataFrame:
     return n.select("w", "type", F.expr("stack(4, 'count', count, 'total', total, 'delta', delta, 'sum_us', sum_us) as (metric, value)"))
 
 
+def registry(df: DataFrame, seconds: int = 86400) -> DataFrame:
+    """w (start of the interval), type, value: the samples that a registry reports per interval, in long form.
+
+    Of each kind of query its latency histogram (count, per_sec, and if there are any mean_us, p50_us, p99_us, p999_us, max_us; a quantile is the
+    edge of its bucket, the maximum at most), a counter that goes on (total, per_sec of its growth), and a gauge: the latest latency.
+    A task reduces its rows to buckets, of which there are 380 at most per interval and kind."""
+    us, by = F.col("us"), ["win", "type"]
+    one = F.struct("ts", "event_id", "us")
+    b = df.groupBy(F.window("ts", f"{seconds} seconds").alias("win"), "type", F.when(us.isNotNull(), log_bucket(us.cast("double"))).alias("bucket"))
+    b = b.agg(F.count("us").alias("n"), F.count("*").alias("rows"), F.sum("us").alias("sum"), F.max("us").alias("max"), F.max(one).alias("last"))
+    w = Window.partitionBy(*by)
+    b = b.withColumn("upto", F.sum("n").over(w.orderBy(F.col("bucket").asc_nulls_last()))).withColumn("of", F.sum("n").over(w))
+    at = lambda q, name: F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("of")), F.col("bucket"))).alias(name)
+    g = b.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.sum("sum").alias("sum"), F.max("max").alias("max"), F.max("last").alias("last"), at(0.5, "p50"), at(0.99, "p99"), at(0.999, "p999"))
+    g = g.withColumn("total", F.sum("rows").over(Window.partitionBy("type").orderBy("win")))
+    edge = lambda c: F.when(F.col(c) >= 379, F.col("max").cast("double")).otherwise(F.least(F.pow(F.lit(1.05), F.col(c)), F.col("max").cast("double")))
+    named = lambda name, value: F.struct(F.concat(F.lit("latency."), "type", F.lit(name)).alias("type"), value.cast("double").alias("value"))
+    counted = lambda name, value: F.struct(F.concat(F.lit("queries."), "type", F.lit(name)).alias("type"), value.cast("double").alias("value"))
+    if_any = [named(".mean_us", F.col("sum") / F.col("n")), named(".p50_us", edge("p50")), named(".p99_us", edge("p99")), named(".p999_us", edge("p999")), named(".max_us", F.col("max"))]
+    every = [named(".count", F.col("n")), named(".per_sec", F.col("n") / F.lit(float(seconds))), counted("", F.col("total")), counted(".per_sec", F.col("rows") / F.lit(float(seconds))), named(".last_us", F.col("last.us"))]
+    out = g.select("win", F.explode(F.concat(F.array(*every), F.when(F.col("n") > 0, F.array(*if_any)).otherwise(F.array()))).alias("x"))
+    return out.select(F.col("win.start").alias("w"), "x.type", "x.value")
+
+
+def with_changes(df: DataFrame, changes: DataFrame) -> DataFrame:
+    """ts, node, type, value: latencies and reconfiguration events (ts, node, type, value) as rows of one table."""
+    return df.select("ts", "node", F.concat(F.lit("latency."), "type").alias("type"), F.col("us").cast("double").alias("value")).unionByName(changes.select("ts", "node", "type", F.col("value").cast("double").alias("value")))
+
+
 def saturation(steps: DataFrame) -> DataFrame:
     """Greatest offered rate that was answered to 95 % without a failure."""
     return steps.where((F.col("answered") * 100 >= F.col("offered") * 95) & (F.col("failed") == 0)).agg(F.max("offered").alias("saturation"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from spindrift.operators import distributed as D
 from spindrift.operators import placement as M
+from spindrift.operators.stores import EpochLog
 from spindrift.streaming import arrivals as A
 from spindrift.undecided import Undecided
 
@@ -24,7 +25,7 @@ POLICIES = {"even": lambda spark, owners, nodes, ever=None: M.repartition(spark,
 PARTITIONERS = {"range": D.range_partitions, "hash": D.hash_partitions, "locality": undecided("U2")}
 ARRIVALS = {"poisson": A.poisson, "semdn": undecided("U11")}
 RATES = {"fixed": M.fixed_rate, "adaptive": undecided("U8")}
-EPOCH_STORES = {"memory": M.EpochStore, "etcd": undecided("U10")}
+EPOCH_STORES = {"memory": M.EpochStore, "folder": EpochLog, "etcd": undecided("U10")}
 
 
 def option(kind: dict, name: str):

@@ -166,6 +166,30 @@ def rates(spark, sf):
     return n.join(q, ["w", "type"]).select("w", "type", "per_s", "mean_us", "p50_us", "top_us")
 
 
+_R = f"""WITH {S}, d AS (SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS w, * FROM s),
+h AS (SELECT w, type, {_B} AS bucket, count(*) AS n FROM d WHERE us IS NOT NULL GROUP BY ALL),
+c AS (SELECT *, CAST(sum(n) OVER (PARTITION BY w, type ORDER BY bucket) AS BIGINT) AS upto, CAST(sum(n) OVER (PARTITION BY w, type) AS BIGINT) AS of FROM h),
+p AS (SELECT w, type, min(bucket) FILTER (WHERE upto >= ceil(0.5::DOUBLE * of)) AS p50, min(bucket) FILTER (WHERE upto >= ceil(0.99::DOUBLE * of)) AS p99, min(bucket) FILTER (WHERE upto >= ceil(0.999::DOUBLE * of)) AS p999 FROM c GROUP BY w, type),
+a AS (SELECT w, type, count(us) AS n, count(*) AS rows, CAST(sum(us) AS DOUBLE) AS total_us, CAST(max(us) AS DOUBLE) AS top, max({{'t': ts, 'e': event_id, 'u': us}}).u AS last FROM d GROUP BY w, type),
+r AS (SELECT a.*, p50, p99, p999, CAST(sum(rows) OVER (PARTITION BY type ORDER BY w) AS BIGINT) AS total FROM a LEFT JOIN p USING (w, type))"""
+_EDGE = "CASE WHEN {0} >= 379 THEN top ELSE least(pow(1.05::DOUBLE, {0}), top) END"
+_REPORT = [("latency", ".count", "n", ""), ("latency", ".per_sec", "n / 86400.0::DOUBLE", ""), ("queries", "", "total", ""), ("queries", ".per_sec", "rows / 86400.0::DOUBLE", ""), ("latency", ".last_us", "last", "")] + [
+    ("latency", name, value, " WHERE n > 0") for name, value in ((".mean_us", "total_us / n"), (".p50_us", _EDGE.format("p50")), (".p99_us", _EDGE.format("p99")), (".p999_us", _EDGE.format("p999")), (".max_us", "top"))
+]
+
+
+@query("A10_registry", _R + "\n" + "\nUNION ALL ".join(f"SELECT w, '{kind}.' || type || '{name}' AS type, round(CAST({value} AS DOUBLE), 6) AS value FROM r{where}" for kind, name, value, where in _REPORT))
+def registry(spark, sf):
+    return M.registry(_s(spark, sf)).select(F.unix_timestamp("w").alias("w"), "type", F.round("value", 6).alias("value"))
+
+
+@query("T6_event_rows", f"WITH {_E} SELECT epoch_us(ts) AS at, node, 'latency.' || type AS type, CAST(us AS DOUBLE) AS value FROM s UNION ALL SELECT epoch_us(ts), 0, 'epoch', CAST(epoch AS DOUBLE) FROM e")
+def event_rows(spark, sf):
+    """Latencies and installed epochs in one table of samples."""
+    changes = _epochs(spark, sf).select("ts", F.lit(0).cast("long").alias("node"), F.lit("epoch").alias("type"), F.col("epoch").alias("value"))
+    return M.with_changes(_s(spark, sf), changes).select(F.unix_micros("ts").alias("at"), "node", "type", "value")
+
+
 @query("T3_retries", f"WITH {S} SELECT event_id, CAST(us % 7 + CASE WHEN event_id % 9 = 0 THEN 20 WHEN event_id % 3 = 0 THEN 8 ELSE 0 END AS DOUBLE) AS latency_ms, 'ok' AS status, CAST(CASE WHEN event_id % 9 = 0 THEN 3 WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM s WHERE us IS NOT NULL")
 def retries(spark, sf):
     """Every third event finds its node unavailable, every ninth twice."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spindrift.operators import distributed as D
 from spindrift.operators import placement as M
+from spindrift.operators import stores as St
 from spindrift.plans.declare import query
 from spindrift.plans.vector_queries import CTE, NEEDS, Tables, sql
 
@@ -229,3 +230,79 @@ def protocols(spark, sf):
         one = M.ledger(name, t.old, t.new, t.lp(), t.post()).select("protocol", "moved", "pq_codes", (n if after else n * 0).alias("streamed_after_flip"), (n * 0 if after else n).alias("copied_before_flip"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# --- stores as tables, from the log of events ---------------------------------------------------------------------
+
+_LOG = "log AS (SELECT CAST(user_id % 3 AS INTEGER) AS node, event_id % 40 AS vec_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'put' WHEN 'view' THEN 'ref' WHEN 'click' THEN 'unref' WHEN 'purchase' THEN 'reserve' ELSE 'release' END AS op FROM events)"
+_STATES = _LOG + """, g AS (SELECT node, vec_id, count(*) FILTER (WHERE op = 'ref') - count(*) FILTER (WHERE op = 'unref') AS refs, coalesce(max(seq) FILTER (WHERE op = 'put'), -1) AS put, coalesce(max(seq) FILTER (WHERE op = 'ref'), -1) AS ref,
+  coalesce(max(seq) FILTER (WHERE op = 'reserve'), -1) AS reserve, coalesce(max(seq) FILTER (WHERE op = 'release'), -1) AS release FROM log WHERE vec_id IS NOT NULL GROUP BY node, vec_id),
+st AS (SELECT node, vec_id, refs, CASE WHEN refs > 0 THEN 'live' WHEN ref < 0 OR reserve > greatest(ref, release) THEN 'staged' ELSE 'cached' END AS state FROM g WHERE ref >= 0 OR put > release)"""
+
+
+def _log(spark, sf):
+    op = F.col("event_type")
+    op = F.when(op == "signup", "put").when(op == "view", "ref").when(op == "click", "unref").when(op == "purchase", "reserve").otherwise("release")
+    return spark.read.parquet(f"{sf}/events.parquet").select((F.col("user_id") % 3).cast("int").alias("node"), (F.col("event_id") % 40).alias("vec_id"), F.col("event_id").alias("seq"), op.alias("op"))
+
+
+@query("M11_code_states", f"WITH {_STATES} SELECT node, vec_id, refs, state FROM st")
+def code_states(spark, sf):
+    return St.code_states(_log(spark, sf))
+
+
+@query("A11_code_stats", f"WITH {_STATES} SELECT node, count(*) AS resident, count(*) FILTER (WHERE state = 'live') AS live, count(*) FILTER (WHERE state = 'staged') AS staged, count(*) FILTER (WHERE state = 'cached') AS cached FROM st GROUP BY node")
+def code_stats(spark, sf):
+    return St.code_stats(code_states(spark, sf))
+
+
+_RAW = """n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), have AS (SELECT vec_id AS loc, 'index' AS origin, vec_id AS data FROM embeddings WHERE vec_id % 4 = 0),
+batch AS (SELECT event_id * 7 % n AS loc, CASE WHEN event_type = 'view' THEN 'streamed' ELSE 'fetched' END AS origin, event_id AS data FROM events, n),
+stored AS (SELECT * FROM have UNION ALL SELECT loc, arg_min(origin, data), min(data) FROM batch WHERE loc NOT IN (SELECT loc FROM have) GROUP BY loc)"""
+
+
+def _raw(spark, sf):
+    """Raw vectors that a node has from the index, and a batch of others that comes in twice over."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id")
+    have = e.where("vec_id % 4 = 0").select(F.col("vec_id").alias("loc"), F.lit("index").alias("origin"), F.col("vec_id").alias("data"))
+    n = e.agg((F.max("vec_id") + 1).alias("n"))
+    batch = spark.read.parquet(f"{sf}/events.parquet").join(F.broadcast(n)).select((F.col("event_id") * 7 % F.col("n")).alias("loc"), F.when(F.col("event_type") == "view", "streamed").otherwise("fetched").alias("origin"), F.col("event_id").alias("data"), F.col("event_id").alias("seq"))
+    return have, batch
+
+
+@query("M12_raw_put", f"WITH {_RAW} SELECT loc, origin, data FROM stored")
+def raw_put(spark, sf):
+    return St.raw_put(*_raw(spark, sf))
+
+
+@query("M12_raw_missing", f"WITH {_RAW} SELECT DISTINCT loc FROM batch WHERE loc NOT IN (SELECT loc FROM have)")
+def raw_missing(spark, sf):
+    have, batch = _raw(spark, sf)
+    return St.raw_missing(batch, have)
+
+
+@query("M12_raw_stats", f"WITH {_RAW} SELECT origin, count(*) AS n FROM stored GROUP BY origin")
+def raw_stats(spark, sf):
+    return St.raw_stats(raw_put(spark, sf))
+
+
+@query("M12_raw_get", f"WITH {_RAW} SELECT b.loc, b.data AS asked, s.data FROM batch b JOIN stored s USING (loc)")
+def raw_get(spark, sf):
+    _, batch = _raw(spark, sf)
+    return St.raw_get(batch.select("loc", F.col("data").alias("asked")), raw_put(spark, sf))
+
+
+@query("P12_in_range", f"WITH {_RAW} SELECT loc, count(*) AS n FROM batch GROUP BY loc")
+def in_range(spark, sf):
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").agg((F.max("vec_id") + 1).alias("n"))
+    _, batch = _raw(spark, sf)
+    return St.in_range(batch.join(F.broadcast(n)), "loc", F.col("n")).groupBy("loc").agg(F.count("*").alias("n"))
+
+
+@query("M13_resident", sql("SELECT node, list(part ORDER BY part) AS parts, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT CAST(coalesce(m.dst, o.node) AS INTEGER) AS node, part FROM pold o LEFT JOIN pmoves m USING (part)) JOIN pbytes USING (part) GROUP BY node", "pold", "pmoves", "pbytes"))
+def resident(spark, sf):
+    """After a rescale: the partitions that each node holds once the new ones are loaded and the old ones evicted, and their bytes."""
+    t = Move(spark, sf)
+    gone = t.moves.select(F.col("src").alias("node"), "part")
+    now = St.evict(St.load(t.old, t.moves.select(F.col("dst").alias("node"), "part")), gone)
+    return now.join(M.segment_bytes(t.lp(), t.post()), "part").groupBy("node").agg(F.sort_array(F.collect_list("part")).alias("parts"), F.sum("bytes").alias("bytes"))

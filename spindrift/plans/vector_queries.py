@@ -214,6 +214,12 @@ def decode(spark, sf):
     return I.decode(t.codes(), t.cb())
 
 
+@query("P3_l2_mixed", sql("SELECT q.qid, b.vec_id, list_sum(list_transform(list_zip(qv, embedding), lambda p: (CAST(p[1] AS DOUBLE) / 256 - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) / 256 - CAST(p[2] AS DOUBLE)))) AS dist FROM q, embeddings b", "q"))
+def l2_mixed(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    return e.join(Tables(spark, sf).q).select("qid", "vec_id", V.l2sqr_mixed(F.col("qv"), F.col("embedding")).alias("dist"))
+
+
 @query("P4_lut", sql("SELECT qid, sub, code, dist FROM lut1", "lut1"))
 def lut(spark, sf):
     t = Tables(spark, sf)

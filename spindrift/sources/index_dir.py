@@ -111,12 +111,12 @@ class IndexDir:
 class AnnIndex:
     """Search over a built folder."""
 
-    def __init__(self, folder: IndexDir, vectors: DataFrame):
-        self.dir, self.vectors = folder, vectors
+    def __init__(self, folder: IndexDir, vectors: DataFrame, max_nprobe: int = 1 << 16, max_rerank: int = 1 << 20):
+        self.dir, self.vectors, self.bounds = folder, vectors, (max_nprobe, max_rerank)
 
     def search(self, queries: DataFrame, p: I.Params = I.Params(), heuristic: bool = False) -> DataFrame:
         """qid, rank, vec_id, dist; or with heuristic a row per query with its counters."""
-        p.checked()
+        p.bounded(*self.bounds)
         d = self.dir
         probed = I.navigate(queries, d.read("heads"), p.nprobe)
         luts = I.distance_tables(queries, d.read("codebook"), p.m)

@@ -400,6 +400,13 @@ def test_options(tables):
     own = tables.own()
     assert {r["owner"] for r in options.SELECTORS["warmup"](own, [0, 1, 2], [1]).collect()} == {0, 2}
     assert {r["owner"] for r in options.SELECTORS["local"](own, 7).collect()} == {7}
+    assert {r["owner"] for r in options.SELECTORS["warmup"](own, [1], [1]).collect()} == {1}
+
+
+def test_owner_selector(spark):
+    own = spark.createDataFrame([(1, 0, 0, 2), (1, 1, 1, 3), (2, 0, 0, 3), (2, 1, 4, 3), (3, 0, 0, 1), (3, 1, 5, 2)], "qid long, pos int, list_id long, node int")
+    pick = lambda *a: {r["qid"]: r["owner"] for r in D.pick_owner(own, *a).collect()}
+    assert pick(1) == {1: 1, 2: 3, 3: 1} and pick(1, [1, 2]) == {1: 1, 2: 1, 3: 1} and pick(3) == {1: 3, 2: 3, 3: 3}
 
 
 def test_synthetic(spark):
