@@ -227,19 +227,21 @@ def heuristic_rerank(filtered: DataFrame, vectors: DataFrame, queries: DataFrame
     size = batch or k
     c = exact_scores(filtered.select("qid", "vec_id", F.expr(f"cast((rank - 1) div {size} as int)").alias("b")), vectors, queries).join(layout.select("vec_id", "page"), "vec_id")
     c = c.select("qid", "vec_id", "b", "dist", "page")
-    last = c.groupBy("qid").agg(F.max("b").alias("bmax"))
-    # membership of S_b: rank among the batches up to b
-    steps = last.select("qid", F.explode(F.sequence(F.lit(0), "bmax")).alias("step"))
-    upto = c.join(steps, "qid").where("b <= step")
-    w = Window.partitionBy("qid", "step").orderBy("dist", "vec_id")
-    s = upto.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    # a member of S_step is new if it came in this batch: what left S never comes back
-    change = s.groupBy("qid", "step").agg(F.count("*").alias("held"), F.sum((F.col("b") == F.col("step")).cast("int")).alias("new"))
-    stable = (F.col("held") >= k) & (F.col("new") <= F.lit(eps) * k)
-    by_step = Window.partitionBy("qid").orderBy("step")
-    change = change.withColumn("ok", stable.cast("int")).withColumn("run", F.sum(1 - F.col("ok")).over(by_step))
-    change = change.withColumn("streak", F.sum("ok").over(Window.partitionBy("qid", "run").orderBy("step")))
-    stop = change.groupBy("qid").agg(F.coalesce(F.min(F.when(F.col("streak") >= beta, F.col("step"))), F.max("step")).alias("stop"))
+    # batch by batch, the k best so far: linear in a query's candidates, of which there are n at most
+    by_batch = c.groupBy("qid", "b").agg(F.collect_list(F.struct("dist", "vec_id")).alias("items"))
+    all_of = by_batch.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("b", "items"))).alias("x"))
+    none = F.expr("named_struct('best', cast(array() as array<struct<dist:bigint,vec_id:bigint>>), 'streak', 0, 'stop', -1)")
+
+    def step(state, x):
+        best = F.slice(F.sort_array(F.concat(state["best"], x["items"])), 1, k)
+        stable = (F.size(best) >= k) & (F.size(F.array_intersect(best, x["items"])) <= F.lit(eps) * k)
+        streak = F.when(stable, state["streak"] + 1).otherwise(F.lit(0))
+        after = F.struct(best.alias("best"), streak.alias("streak"), F.when(streak >= beta, x["b"]).otherwise(F.lit(-1)).alias("stop"))
+        return F.when(state["stop"] >= 0, state).otherwise(after)
+
+    end = all_of.select("qid", F.array_max("x.b").alias("bmax"), F.aggregate("x", none, step).alias("s"))
+    end = end.select("qid", F.when(F.col("s.stop") >= 0, F.col("s.stop")).otherwise(F.col("bmax")).alias("stop"), F.col("s.best.vec_id").alias("ids"))
+    stop = end.select("qid", "stop")
     done = c.join(stop, "qid").where("b <= stop")
     first = F.min("b").over(Window.partitionBy("qid", "page"))
     place = F.row_number().over(Window.partitionBy("qid", "page").orderBy("b", "vec_id"))
@@ -250,8 +252,7 @@ def heuristic_rerank(filtered: DataFrame, vectors: DataFrame, queries: DataFrame
         read, intra, hit = F.lit(True), F.lit(False), F.lit(False)
     cnt = lambda x, name: F.sum(x.cast("long")).alias(name)
     stats = done.groupBy("qid").agg((F.max("stop") + 1).cast("long").alias("batches"), F.count("*").alias("reranked"), cnt(read, "pages_read"), cnt(intra, "intra_merged"), cnt(hit, "buffer_hits"))
-    best = s.join(stop, "qid").where("step = stop").groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "vec_id"))), lambda x: x["vec_id"]).alias("ids"))
-    return stats.join(best, "qid")
+    return stats.join(end.select("qid", "ids"), "qid")
 
 
 # --- layout ----------------------------------------------------------------------------------------------------

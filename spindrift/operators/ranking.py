@@ -35,3 +35,20 @@ def prefix_sums(df: DataFrame, order: list[Column], value: Column, name: str, pa
 def numbered(df: DataFrame, order: list[Column], name: str, parts: int | None = None) -> DataFrame:
     """Adds name: the row's number from 1 on, over all rows."""
     return prefix_sums(df, order, F.lit(1), name, parts).withColumn(name, F.col(name) + 1)
+
+
+def runs(df: DataFrame, key: str, ident: str, width: int = 1 << 20) -> DataFrame:
+    """key, lo, hi, n: runs of consecutive ids of each key. An id that repeats within its key belongs to one run, counted as often.
+
+    Ids are dealt over stretches of `width`; only the runs that touch a stretch's border, two at most per key and stretch, are then
+    joined over a window of the key."""
+    one = df.where(F.col(ident).isNotNull()).groupBy(key, ident).agg(F.count("*").alias("n"))
+    one = one.withColumn("part", F.floor(F.col(ident) / F.lit(width)))
+    w = Window.partitionBy(key, "part").orderBy(ident)
+    r = one.withColumn("g", F.col(ident) - F.row_number().over(w)).groupBy(key, "part", "g").agg(F.min(ident).alias("lo"), F.max(ident).alias("hi"), F.sum("n").alias("n"))
+    edge = (F.col("lo") == F.col("part") * width) | (F.col("hi") == (F.col("part") + 1) * width - 1)
+    r = r.withColumn("edge", edge)
+    by = Window.partitionBy(key).orderBy("lo")
+    e = r.where("edge").withColumn("first", (F.coalesce(F.lag("hi").over(by), F.col("lo")) != F.col("lo") - 1).cast("int"))
+    e = e.withColumn("run", F.sum("first").over(by)).groupBy(key, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    return r.where("not edge").select(key, "lo", "hi", "n").unionByName(e.select(key, "lo", "hi", "n"))

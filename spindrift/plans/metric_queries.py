@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindrift.operators import metrics as M
-from spindrift.operators.ranking import prefix_sums
+from spindrift.operators.ranking import prefix_sums, runs
 from spindrift.plans.declare import query
 
 S = "s AS MATERIALIZED (SELECT event_id, ts, user_id AS node, event_type AS type, value, CAST(floor(value * 1000) AS BIGINT) AS us, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status FROM events WHERE ts IS NOT NULL)"
@@ -215,8 +215,7 @@ def absent_stream(spark, sf):
 
 @query("W6_id_runs", f"WITH {S} SELECT type, min(event_id) AS lo, max(event_id) AS hi, count(*) AS n FROM (SELECT type, event_id, event_id - row_number() OVER (PARTITION BY type ORDER BY event_id) AS g FROM s) GROUP BY type, g")
 def id_runs(spark, sf):
-    g = F.col("event_id") - F.row_number().over(Window.partitionBy("type").orderBy("event_id"))
-    return _s(spark, sf).withColumn("g", g).groupBy("type", "g").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"), F.count("*").alias("n")).drop("g")
+    return runs(_s(spark, sf), "type", "event_id", 1 << 16)
 
 
 @query("W9_round_robin", f"WITH {S} SELECT event_id, CAST((3 + row_number() OVER (PARTITION BY node ORDER BY event_id) - 1) % 5 AS INTEGER) AS source FROM s")

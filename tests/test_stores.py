@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from spindrift.operators import metrics, placement, stores
+from spindrift.operators import index, metrics, placement, ranking, stores
 from spindrift.undecided import RawAbsent
 
 
@@ -82,3 +82,34 @@ def test_registry_of_nulls(spark):
     got = {(str(r["w"])[:10], r["type"]): r["value"] for r in metrics.registry(df).collect()}
     assert ("2020-01-01", "latency.a.p50_us") not in got and got["2020-01-01", "latency.a.count"] == 0 and got["2020-01-01", "latency.a.last_us"] is None
     assert got["2020-01-02", "queries.a"] == 3 and got["2020-01-02", "latency.a.p50_us"] == 1.0 and got["2020-01-02", "latency.a.max_us"] == 500 and got["2020-01-02", "latency.a.p999_us"] == 500
+
+
+def test_runs_over_borders(spark):
+    ids = [0, 1, 2, 3, 4, 7, 8, 9, 15, 16, 17, 23, 24, 31, 33, -1, -2, -5]
+    df = spark.createDataFrame([("a", i) for i in ids] + [("b", 8), ("b", 8), ("b", 9), ("b", None)], "k string, id long")
+    for width in (2, 4, 8, 100):
+        got = rows(ranking.runs(df, "k", "id", width), "k", "lo", "hi", "n")
+        assert got == [("a", -5, -5, 1), ("a", -2, 4, 7), ("a", 7, 9, 3), ("a", 15, 17, 3), ("a", 23, 24, 2), ("a", 31, 31, 1), ("a", 33, 33, 1), ("b", 8, 9, 3)]
+
+
+@pytest.mark.parametrize("eps,beta", [(0.1, 1), (0.5, 2), (0.0, 3)])
+def test_heuristic_stops_as_the_rule_says(spark, eps, beta):
+    rnd, k, n = random.Random(7), 4, 30
+    vectors = [(i, [rnd.randrange(50), rnd.randrange(50)]) for i in range(60)]
+    queries = [(i, [rnd.randrange(50), rnd.randrange(50)]) for i in range(5)]
+    filtered = [(q, i, r + 1) for q, _ in queries for r, i in enumerate(rnd.sample(range(60), n if q else 3))]
+    got = index.heuristic_rerank(
+        spark.createDataFrame(filtered, "qid long, vec_id long, rank int"), spark.createDataFrame(vectors, "vec_id long, v array<long>"), spark.createDataFrame(queries, "qid long, qv array<long>"),
+        spark.createDataFrame([(i, i // 3) for i, _ in vectors], "vec_id long, page long"), k, eps=eps, beta=beta,
+    )
+    for r in got.collect():
+        mine = [i for q, i, _ in filtered if q == r["qid"]]
+        qv, best, streak, seen = queries[r["qid"]][1], [], 0, 0
+        for b in range(0, len(mine), k):
+            old, batch = set(best), mine[b : b + k]
+            best = sorted(best + batch, key=lambda i: (sum((x - y) ** 2 for x, y in zip(qv, vectors[i][1])), i))[:k]
+            seen += len(batch)
+            streak = streak + 1 if len(best) >= k and len(set(best) - old) <= eps * k else 0
+            if streak >= beta:
+                break
+        assert r["ids"] == best and r["reranked"] == seen and r["batches"] == -(-seen // k) and r["pages_read"] == len({i // 3 for i in mine[:seen]})
