@@ -264,11 +264,14 @@ def in_flight(spark, sf):
     return r.groupBy("node").agg(F.max("n").alias("most"))
 
 
-@query("T1_arrivals")
+@query("T1_arrivals", """WITH p AS (SELECT slice, CASE WHEN slice < 10 THEN 50.0::DOUBLE ELSE 200.0::DOUBLE END AS rate, unnest(range(1, CASE WHEN slice < 10 THEN 176 ELSE 411 END)) AS i FROM (SELECT unnest(range(20)) AS slice)),
+g AS (SELECT slice, i, rate, -ln(1 - CAST(CAST('0x' || substr(md5('42/' || slice || '/0/' || i), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE) AS gap FROM p),
+t AS (SELECT slice, slice + sum(gap) OVER (PARTITION BY slice ORDER BY i) / rate AS sched FROM g)
+SELECT round(sched, 6) AS sched, (row_number() OVER (ORDER BY slice, sched) - 1) % 100 AS qid FROM t WHERE sched < slice + 1""")
 def arrivals(spark, sf):
     from spindrift.streaming.arrivals import poisson
 
-    return poisson(spark, [(0.0, 50.0), (10.0, 200.0)], 20.0, 100)
+    return poisson(spark, [(0.0, 50.0), (10.0, 200.0)], 20.0, 100).select(F.round("sched", 6).alias("sched"), "qid")
 
 
 @query("T5_stream_reports", f"WITH {S} SELECT epoch(date_trunc('day', ts))::BIGINT AS w, type, count(*) AS n, CAST(sum(us) AS BIGINT) AS busy_us FROM s GROUP BY ALL")

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from spindrift.operators import index, metrics, placement, ranking, stores
+from spindrift.streaming import arrivals
 from spindrift.undecided import RawAbsent
 
 
@@ -113,3 +114,12 @@ def test_heuristic_stops_as_the_rule_says(spark, eps, beta):
             if streak >= beta:
                 break
         assert r["ids"] == best and r["reranked"] == seen and r["batches"] == -(-seen // k) and r["pages_read"] == len({i // 3 for i in mine[:seen]})
+
+
+def test_arrivals_within_slices(spark):
+    df = arrivals.poisson(spark, [(0.5, 2000.0), (1.25, 0.0), (1.75, 4000.0)], 2.5, 5, slice_s=0.75)
+    got = [r["sched"] for r in df.collect()]
+    count = lambda a, b: sum(a <= x < b for x in got)
+    assert count(0, 0.5) == count(1.25, 1.75) == 0 and count(0, 2.5) == len(got)
+    assert 1300 < count(0.5, 1.25) < 1700 and 2700 < count(1.75, 2.5) < 3300
+    assert sorted(got) == sorted(r["sched"] for r in arrivals.poisson(spark, [(0.5, 2000.0), (1.25, 0.0), (1.75, 4000.0)], 2.5, 5, slice_s=0.75).repartition(3).collect())
