@@ -41,14 +41,17 @@ def _unpacked(t: pa.Table, order: bool = False) -> tuple[np.ndarray, np.ndarray]
     return ids[at], x[at]
 
 
-def nearest_in_cells(queries: DataFrame, rows: DataFrame, k: int, row_block: int = ROWS, query_block: int = QUERIES) -> DataFrame:
+def nearest_in_cells(queries: DataFrame, rows: DataFrame, k: int, row_block: int = ROWS, query_block: int = QUERIES, within: float | None = None) -> DataFrame:
     """queries, rows: (cell int, id, v array<bigint> of one length); a query meets the rows of its cells (it may have several,
-    a row has one). qid, id, dist, rank (from 1): the k rows of least (dist, id) per query."""
+    a row has one). qid, id, dist, rank (from 1): the k rows of least (dist, id) per query.
+
+    within: rows farther than this many times the query's nearest are not asked for. Those farther than that from the nearest
+    of their own block are left there; the caller cuts the rest."""
     ship(rows.sparkSession)
-    return _best(*_pack(queries, query_block), *_pack(rows, row_block), k)
+    return _best(*_pack(queries, query_block), *_pack(rows, row_block), k, within=within)
 
 
-def _best(q: DataFrame, nq: DataFrame, r: DataFrame, nr: DataFrame, k: int, cost: bool = False) -> DataFrame:
+def _best(q: DataFrame, nq: DataFrame, r: DataFrame, nr: DataFrame, k: int, cost: bool = False, within: float | None = None) -> DataFrame:
     """cost: the last component of a row is no coordinate but is added to its distances."""
     groups = nq.select("cell", F.expr(f"cast((__n - 1) div {GROUP} as int)").alias("__g"))
     r = r.join(groups, "cell").withColumn("g", F.explode(F.sequence(F.lit(0), "__g"))).select("cell", "b", "g", "ids", "data")
@@ -57,12 +60,16 @@ def _best(q: DataFrame, nq: DataFrame, r: DataFrame, nr: DataFrame, k: int, cost
     def meet(left, right):
         b, y = _unpacked(left, True)
         out = []
-        for i in range(right.num_rows):
-            a, x = _unpacked(right.slice(i, 1))
+        for n in range(right.num_rows):
+            a, x = _unpacked(right.slice(n, 1))
             if not len(b):
                 continue
             more, z = (y[:, -1], y[:, :-1]) if cost else (0.0, y)
             d = (x * x).sum(axis=1)[:, None] + ((z * z).sum(axis=1) + more)[None, :] - 2 * (x @ z.T)
+            if within is not None:
+                i, j = _near(d, k, within)
+                out.append((a[i], b[j], np.rint(d[i, j]).astype("int64")))
+                continue
             best = _first(d, k)
             got = np.take_along_axis(d, best, axis=1)
             out.append((np.repeat(a, best.shape[1]), b[best].ravel(), np.rint(got).astype("int64").ravel()))
@@ -84,10 +91,21 @@ def _first(d: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, axis=1), axis=1, kind="stable"), axis=1)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, row_block: int = ROWS, query_block: int = QUERIES) -> DataFrame:
+def _near(d: np.ndarray, k: int, within: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and places of what _first() finds, but for places of more than `within` times their row's least. A bound that rounding
+    may have lowered is raised by more than that."""
+    hit = d <= (d.min(axis=1) * within * (1 + 1e-9) + 1)[:, None]
+    many = np.flatnonzero(np.count_nonzero(hit, axis=1) > k)
+    if len(many):
+        hit[many] = False
+        hit[many[:, None], _first(d[many], k)] = True
+    return np.nonzero(hit)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, row_block: int = ROWS, query_block: int = QUERIES, within: float | None = None) -> DataFrame:
     """queries, rows: (id, v). Every query meets all rows, block by block."""
     cell = F.lit(0).alias("cell")
-    return nearest_in_cells(queries.select(cell, "id", "v"), rows.select(cell, "id", "v"), k, row_block, query_block)
+    return nearest_in_cells(queries.select(cell, "id", "v"), rows.select(cell, "id", "v"), k, row_block, query_block, within)
 
 
 def nearest_at_cost(queries: DataFrame, rows: DataFrame, k: int, row_block: int = ROWS, query_block: int = QUERIES) -> DataFrame:

@@ -69,13 +69,17 @@ def exact_knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 def assign(vectors: DataFrame, heads: DataFrame, p: Params = Params()) -> DataFrame:
     """Replicated assignment: of the nearest `candidates` heads, those within (1 + eps)^2 of the nearest, at most
-    `replicas`. vec_id, list_id, rank, dist."""
-    return _closure(nearest(vectors.select(F.col("vec_id").alias("id"), "v"), heads.select(F.col("list_id").alias("id"), F.col("hv").alias("v")), p.candidates), p)
+    `replicas`. vec_id, list_id, rank, dist. A block of heads sends on only what can be among them."""
+    return _closure(nearest(vectors.select(F.col("vec_id").alias("id"), "v"), heads.select(F.col("list_id").alias("id"), F.col("hv").alias("v")), min(p.candidates, p.replicas), within=_factor(p) / 10_000), p)
+
+
+def _factor(p: Params) -> int:
+    return round((1 + p.eps) ** 2 * 10_000)
 
 
 def _closure(near: DataFrame, p: Params) -> DataFrame:
     first = F.min("dist").over(Window.partitionBy("qid"))
-    factor = round((1 + p.eps) ** 2 * 10_000)
+    factor = _factor(p)
     near = near.withColumn("d1", first).where((F.col("dist") * 10_000 <= F.col("d1") * factor) & (F.col("rank") <= p.replicas))
     return near.select(F.col("qid").alias("vec_id"), F.col("id").alias("list_id"), F.col("rank").cast("int").alias("rank"), "dist")
 
@@ -83,13 +87,17 @@ def _closure(near: DataFrame, p: Params) -> DataFrame:
 def assign_coarse(vectors: DataFrame, heads: DataFrame, cells: DataFrame, probes: int, p: Params = Params()) -> DataFrame:
     """assign() for many heads: heads lie in their nearest cell, a vector meets the heads of its `probes` nearest cells.
 
-    cells: (id int, v), a few thousand centroids. Work per vector is probes / cells of all heads; with all cells probed the
-    result is assign()'s."""
+    cells: (id int, v), a few thousand centroids. Work per vector is probes / cells of all heads, and a vector is copied for each of
+    its probes. With all cells probed every vector meets every head, so vectors meet blocks of heads instead of being copied for
+    each cell; the result is assign()'s."""
+    n = cells.select("id").limit(probes + 1).count()
+    if 0 < n <= probes:
+        return assign(vectors, heads, p)
     h = nearest(heads.select(F.col("list_id").alias("id"), F.col("hv").alias("v")), cells, 1).select(F.col("id").cast("int").alias("cell"), F.col("qid").alias("id"))
     rows = h.join(heads.select(F.col("list_id").alias("id"), F.col("hv").alias("v")), "id").select("cell", "id", "v")
     v = nearest(vectors.select(F.col("vec_id").alias("id"), "v"), cells, probes).select(F.col("id").cast("int").alias("cell"), F.col("qid").alias("id"))
     asked = v.join(vectors.select(F.col("vec_id").alias("id"), "v"), "id").select("cell", "id", "v")
-    return _closure(nearest_in_cells(asked, rows, p.candidates), p)
+    return _closure(nearest_in_cells(asked, rows, min(p.candidates, p.replicas), within=_factor(p) / 10_000), p)
 
 
 def prune_rng(assigned: DataFrame, heads: DataFrame, rng: float = 1.0) -> DataFrame:

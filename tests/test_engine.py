@@ -170,6 +170,48 @@ def test_coarse_assignment(tables, spark):
     assert found[1] > found[0]
 
 
+def test_coarse_assignment_copies_no_vector_if_all_cells_are_probed(tables, spark, monkeypatch):
+    """A copy of every vector for every cell grows with the square of the vectors."""
+    from spindrift.operators import blocks
+
+    cells = tables.h.select(F.col("list_id").cast("int").alias("id"), F.col("hv").alias("v"))
+    n, asked, inner = tables.v.count(), [], blocks.nearest_in_cells
+
+    def met(queries, *rest, **more):
+        asked.append(queries.count())
+        return inner(queries, *rest, **more)
+
+    monkeypatch.setattr(blocks, "nearest_in_cells", met)
+    monkeypatch.setattr(I, "nearest_in_cells", met)
+    got = rows(I.assign_coarse(tables.v, tables.h, cells, 1 << 16), "vec_id", "list_id", "rank", "dist")
+    assert got == rows(tables.post(), "vec_id", "list_id", "rank", "dist")
+    assert max(asked) <= n
+
+
+def test_assignment_of_ties_and_copies(spark, monkeypatch):
+    """Small coordinates tie often and copies are at distance 0; blocks of few heads; against all pairs."""
+    from spindrift.operators import blocks
+
+    monkeypatch.setattr(blocks.nearest_in_cells, "__defaults__", (16, 8, None))
+    monkeypatch.setattr(blocks.nearest, "__defaults__", (16, 8, None))
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(-3, 4, (80, 3)), np.tile([[1, 1, 1]], (40, 1)), rng.integers(-40, 41, (40, 3))])
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, v array<long>")
+    h = spark.createDataFrame([(i, r) for i, r in enumerate(x[::2].tolist())], "list_id long, hv array<long>")
+    cells = spark.createDataFrame([(i, r) for i, r in enumerate(x[::10].tolist())], "id int, v array<long>")
+    d = ((x[:, None] - x[::2][None]) ** 2).sum(axis=2)
+    near = lambda a, k: np.argsort(a, kind="stable")[:k]
+    home = [near(r, 1)[0] for r in ((x[::2][:, None] - x[::10][None]) ** 2).sum(axis=2)]
+    for p in (I.Params(), I.Params(candidates=3), I.Params(eps=0.5, replicas=12)):
+        for probes in (5, 16):
+            want = []
+            for i, r in enumerate(((x[:, None] - x[::10][None]) ** 2).sum(axis=2)):
+                met = np.flatnonzero(np.isin(home, near(r, probes)))
+                best = met[near(d[i][met], min(p.candidates, p.replicas))]
+                want += [(i, int(j), k + 1, int(d[i, j])) for k, j in enumerate(best) if d[i, j] * 10_000 <= d[i, best[0]] * round((1 + p.eps) ** 2 * 10_000)]
+            assert rows(I.assign_coarse(v, h, cells, probes, p), "vec_id", "list_id", "rank", "dist") == sorted(want)
+
+
 def test_first_of_rows():
     from spindrift.operators.blocks import _first
 
