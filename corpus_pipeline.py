@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import bpe, jaccard, linededup, mixing, toxicity
-from spindrift.llm.common import WORD, discard, staged, staging, table
+from spindrift.llm.common import WORD, discard, release, staged, staging, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity operator rejects. Null and empty texts have no evidence and stay; rows repeated
     in full go or stay together."""
+    release(spark)
     return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -54,6 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document that the mix takes, as counts and digests. Null texts are empty and have no ids."""
+    release(spark)
     return bpe.encode_documents(docs)
 
 
