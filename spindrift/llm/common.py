@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +106,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings without nulls, not copied, and each one's offset with the end after the last."""
+    if not len(col):
+        return np.empty(0, "uint8"), np.zeros(1, "int64")
+    wide = pa.types.is_large_string(col.type)
+    _, places, data = col.buffers()
+    offsets = np.frombuffer(places, "<i8" if wide else "<i4")[col.offset : col.offset + len(col) + 1].astype("int64")
+    return np.frombuffer(data, "uint8") if data is not None else np.empty(0, "uint8"), offsets
+
+
 def salted_left_join(big: DataFrame, small: DataFrame, key: str, salt_on: list[str], salts: int = 8) -> DataFrame:
     """Left join on key, which is unique in small; a hot key of big is dealt over `salts` partitions, and as big is the
     outer side, adaptive execution splits what is still too large for a task.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, bwt, jaccard, linededup, matroska, mixing, topk, toxicity, unigram, warc
+from . import alignment, bpe, bwt, jaccard, language, linededup, matroska, mixing, periodic, topk, toxicity, unigram, warc
 from .common import table
 
 
@@ -46,6 +46,18 @@ def op10_mixing(spark, sf_dir):
     return mixing.query(table(spark, sf_dir, "documents"))
 
 
+def op11_language(spark, sf_dir):
+    return language.query(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic(spark, sf_dir):
+    return periodic.query(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark, sf_dir):
+    return alignment.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_toxicity": op2_toxicity,
@@ -57,5 +69,8 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_jaccard": op9_jaccard,
     "op10_mixing": op10_mixing,
+    "op11_language": op11_language,
+    "op12_periodic": op12_periodic,
+    "op13_alignment": op13_alignment,
 }
 SQL: dict[str, str] = {"op1_topk": topk.SQL, "op6_warc": warc.SQL, "op7_lines": linededup.SQL}
