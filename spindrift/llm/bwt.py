@@ -380,7 +380,9 @@ def repeats(docs: DataFrame, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain) for every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain) for every row.
+
+    Spans may end within a character; kept is then no UTF-8."""
     hit = repeats(docs).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "covered")
     rows = _by_document(hit, docs, "left").select("doc_id", "text", "covered")
 
@@ -407,4 +409,5 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return dedup(docs).drop("kept")
+    """dedup() with what remains: kept_bytes, and text, in which the rest of a cut character is U+FFFD."""
+    return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.octet_length("kept").cast("long").alias("kept_bytes"), F.expr("make_valid_utf8(cast(kept as string))").alias("text"))

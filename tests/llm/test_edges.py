@@ -93,7 +93,7 @@ def brute_repeats(docs, length=400):
             if seen[r[i : i + length]] > 1:
                 cover[i : i + length] = b"\1" * length
         kept = bytes(x for x, c in zip(r, cover) if not c)
-        out.append((d, len(r), sum(cover), len(re.findall(b"\1+", cover)), hashlib.sha256(kept).hexdigest()))
+        out.append((d, len(r), sum(cover), len(re.findall(b"\1+", cover)), hashlib.sha256(kept).hexdigest(), len(kept), kept.decode("utf-8", "replace")))
     return out
 
 
@@ -140,6 +140,29 @@ def test_lines(spark):
     assert linededup.query(empty(spark)).count() == 0
 
 
+def test_repeats_that_cut_characters(spark):
+    """What remains of a character is replaced in text; the digest is of the bytes."""
+    body = "".join(chr(97 + i * i % 23) for i in range(397))
+    docs = spark.createDataFrame([(1, "é" + body + "é1"), (2, "è" + body + "è2"), (3, "x")], "doc_id long, text string")
+    got = rows_of(bwt.query(docs))
+    same(got, brute_repeats(plain(docs)))
+    assert {r[0]: r[2] for r in got} == {1: 0, 2: 0, 3: 0}
+    docs = spark.createDataFrame([(1, "é" + body * 2 + "é1"), (2, "é" + body * 2 + "è2")], "doc_id long, text string")
+    got = rows_of(bwt.query(docs))
+    same(got, brute_repeats(plain(docs)))
+    assert {r[6] for r in got} == {"\ufffd1", "\ufffd2"}
+
+
+def test_words_without_structure_collide(spark):
+    """The word of Thue and Morse and its complement have equal sums under any polynomial modulo 2^64; they share no shingle."""
+    rows = []
+    for k in (10, 11, 16):
+        word = [bin(i).count("1") & 1 for i in range(1 << k)]
+        rows += [(2 * k, "".join("ab"[x] for x in word)), (2 * k + 1, "".join("ba"[x] for x in word))]
+    got = rows_of(jaccard.query(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert sorted(got) == [(d, 1, d) for d, _ in rows]
+
+
 def brute_components(docs, n, num, den):
     sets = []
     for d, x in docs:
