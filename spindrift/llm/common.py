@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 #: Folders of the staged tables that are still there, in the order written.
 _folders: list[str] = []
+#: Folders of applications in local mode that name none.
+_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,14 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where that is unset, a folder of this machine's is set, but only in
-    local mode, whose one process reads and writes it; a cluster without a shared folder is an error."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a folder of this machine's is made (one an application), but
+    only in local mode, whose one process reads and writes it; a cluster without a shared folder is an error. The setting itself is
+    left as it is: a running session can't change it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="spindrift-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        path = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="spindrift-"))
     return path.rstrip("/")
 
 

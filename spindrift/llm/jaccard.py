@@ -58,14 +58,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.array([1], "uint64")
+_places = np.array([], "uint64")
 
 
-def _power(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 4096), _BASE))]).astype("uint64")
-    return _powers
+def _place(n: int) -> np.ndarray:
+    """A multiplier for each place in a word. They are mixed from the place's number and have no structure: powers of one base
+    would, and words such as Thue and Morse's and its complement then have equal sums."""
+    global _places
+    if len(_places) < n:
+        _places = _mix(np.arange(max(n, 4096), dtype="uint64") * _BASE + _NEXT) | np.uint64(1)
+    return _places
 
 
 def _grams(data: np.ndarray, starts: np.ndarray, n: int) -> list[np.ndarray]:
@@ -84,7 +86,7 @@ def _grams(data: np.ndarray, starts: np.ndarray, n: int) -> list[np.ndarray]:
     heads = np.flatnonzero(first[at])  # within at
     size = np.diff(np.append(heads, len(at)))
     inside = np.arange(len(at)) - np.repeat(heads, size)
-    h = _mix(np.add.reduceat(_BYTE[data[at]] * _power(int(size.max()))[inside], heads) + size.astype("uint64"))
+    h = _mix(np.add.reduceat(_BYTE[data[at]] * _place(int(size.max()))[inside], heads) + size.astype("uint64"))
     doc = np.searchsorted(starts, at[heads], "right") - 1
     count = np.bincount(doc, minlength=texts)
     g = h.copy()

@@ -25,3 +25,25 @@ def test_freed_native_memory_goes_back(spark):
     before = anonymous()
     staged(df, "second")
     assert before - anonymous() > 100, len(few)
+
+
+def test_no_checkpoint_folder_in_local_mode(tmp_path):
+    """A plain local session, with no setting anywhere, stages in a folder of this machine."""
+    import os
+    import subprocess
+    import sys
+
+    repo = str(Path(__file__).resolve().parents[2])
+    code = f"""
+import sys; sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+assert s.conf.get("spark.checkpoint.dir", None) is None
+from spindrift.llm import jaccard
+from spindrift.llm.common import shared_dir
+d = s.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "x y z")], "doc_id long, text string")
+print(sorted(tuple(r) for r in jaccard.query(d).collect()), shared_dir(s) == shared_dir(s))
+"""
+    (tmp_path / "conf").mkdir()
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path / "conf"), "TMPDIR": str(tmp_path)}, timeout=300)
+    assert done.stdout.strip().endswith("[(1, 2, 1), (2, 2, 1), (3, 1, 3)] True"), done.stderr[-2000:]
