@@ -23,13 +23,18 @@ def hash_partitions(heads: DataFrame, parts: int) -> DataFrame:
     return heads.select("list_id", F.pmod(F.xxhash64("list_id"), F.lit(parts)).cast("int").alias("part"))
 
 
-def even_placement(spark: SparkSession, parts: int, nodes: list[int]) -> DataFrame:
-    """part, node: contiguous blocks in order of nodes, the first parts % len(nodes) of them one larger."""
-    base, rem = divmod(parts, len(nodes))
+def evenly_placed(parts: DataFrame, nodes: list[int]) -> DataFrame:
+    """part, node of parts (part, numbered from 0): contiguous blocks in order of nodes, the first n % len(nodes) of them one larger."""
+    base, rem = divmod(parts.count(), len(nodes))
     edge = rem * (base + 1)
     names = F.array(*[F.lit(n) for n in nodes])
     at = F.when(F.col("part") < edge, F.expr(f"part div {base + 1}")).otherwise(F.lit(rem) + F.expr(f"(part - {edge}) div {max(base, 1)}"))
-    return spark.range(parts).select(F.col("id").cast("int").alias("part")).select("part", F.get(names, at.cast("int")).alias("node"))
+    return parts.select("part", F.get(names, at.cast("int")).alias("node"))
+
+
+def even_placement(spark: SparkSession, parts: int, nodes: list[int]) -> DataFrame:
+    """part, node: evenly_placed() for so many partitions."""
+    return evenly_placed(spark.range(parts).select(F.col("id").cast("int").alias("part")), nodes)
 
 
 def group_by_owner(probed: DataFrame, list_part: DataFrame, placement: DataFrame) -> DataFrame:

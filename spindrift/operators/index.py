@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import vectors as V
+from spindrift.operators import graph as proximity
 from spindrift.operators.blocks import nearest, nearest_in_cells
 from spindrift.operators.ranking import numbered, prefix_sums
 from spindrift.shipping import ship
@@ -87,12 +88,8 @@ def _closure(near: DataFrame, p: Params) -> DataFrame:
 def assign_coarse(vectors: DataFrame, heads: DataFrame, cells: DataFrame, probes: int, p: Params = Params()) -> DataFrame:
     """assign() for many heads: heads lie in their nearest cell, a vector meets the heads of its `probes` nearest cells.
 
-    cells: (id int, v), a few thousand centroids. Work per vector is probes / cells of all heads, and a vector is copied for each of
-    its probes. With all cells probed every vector meets every head, so vectors meet blocks of heads instead of being copied for
-    each cell; the result is assign()'s."""
-    n = cells.select("id").limit(probes + 1).count()
-    if 0 < n <= probes:
-        return assign(vectors, heads, p)
+    cells: (id int, v), a few thousand centroids. Work per vector is about probes / cells of all heads, and a vector is copied for each
+    of its probes: with all cells probed the answer is assign()'s, which is then the cheaper way."""
     h = nearest(heads.select(F.col("list_id").alias("id"), F.col("hv").alias("v")), cells, 1).select(F.col("id").cast("int").alias("cell"), F.col("qid").alias("id"))
     rows = h.join(heads.select(F.col("list_id").alias("id"), F.col("hv").alias("v")), "id").select("cell", "id", "v")
     v = nearest(vectors.select(F.col("vec_id").alias("id"), "v"), cells, probes).select(F.col("id").cast("int").alias("cell"), F.col("qid").alias("id"))
@@ -120,6 +117,13 @@ def navigate(queries: DataFrame, heads: DataFrame, nprobe: int) -> DataFrame:
     return out.select("qid", F.col("rank").cast("int").alias("pos"), F.col("id").alias("list_id"), "dist")
 
 
+def navigate_graph(queries: DataFrame, heads: DataFrame, graph: tuple[DataFrame, DataFrame], nprobe: int, beam: int = 16) -> tuple[DataFrame, DataFrame]:
+    """navigate() by a proximity graph of the heads (graph.build's edges and entries), and qid, seen: how many heads each query met."""
+    nodes = heads.select(F.col("list_id").alias("id"), F.col("hv").alias("v"))
+    near, seen = proximity.search(queries.select(F.col("qid").alias("id"), F.col("qv").alias("v")), nodes, *graph, nprobe, beam)
+    return near.select("qid", F.col("rank").alias("pos"), F.col("id").alias("list_id"), "dist"), seen
+
+
 def gather(probed: DataFrame, postings: DataFrame, resident: DataFrame | None = None) -> DataFrame:
     """qid, list_id, vec_id, replicas kept. resident: (list_id) held here; any other list raises NotResident."""
     if resident is not None:
@@ -143,7 +147,7 @@ def sub_distances(df: DataFrame, key: str, vec: str, codebook: DataFrame, m: int
     return subs.join(F.broadcast(codebook), "sub").select(key, "sub", "code", V.l2sqr(F.col("__s"), F.col("c")).alias("dist"))
 
 
-def _codewords(codebook: DataFrame, m: int) -> np.ndarray:
+def codewords(codebook: DataFrame, m: int) -> np.ndarray:
     """The codebook as (sub, code, component), on the driver: its size is fixed, m * 256 codewords at most."""
     rows = sorted((r["sub"], r["code"], r["c"]) for r in codebook.collect())
     return np.array([r[2] for r in rows], float).reshape(m, len(rows) // m, -1)
@@ -153,7 +157,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
 
 
-def _sub_space_distances(x: np.ndarray, words: np.ndarray):
+def sub_space_distances(x: np.ndarray, words: np.ndarray):
     """For each sub-space, squared distances (row, code); exact, as all numbers are integers below 2^53."""
     d = words.shape[2]
     for i, w in enumerate(words):
@@ -164,12 +168,12 @@ def _sub_space_distances(x: np.ndarray, words: np.ndarray):
 def encode(vectors: DataFrame, codebook: DataFrame, m: int) -> DataFrame:
     """vec_id, code (array of m): the nearest codeword of each sub-space, the smallest on ties. No shuffle."""
     ship(codebook.sparkSession)
-    words = _codewords(codebook, m)
+    words = codewords(codebook, m)
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                best = np.stack([d.argmin(axis=1) for d in _sub_space_distances(_matrix(b.column(1)), words)], axis=1)
+                best = np.stack([d.argmin(axis=1) for d in sub_space_distances(_matrix(b.column(1)), words)], axis=1)
                 codes = pa.ListArray.from_arrays(pa.array(np.arange(0, best.size + 1, m), "int32"), pa.array(best.astype("int32").ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0), codes], ["vec_id", "code"])
 
@@ -185,12 +189,12 @@ def decode(codes: DataFrame, codebook: DataFrame) -> DataFrame:
 def distance_tables(queries: DataFrame, codebook: DataFrame, m: int) -> DataFrame:
     """qid, lut (m arrays of a distance per code). No shuffle."""
     ship(codebook.sparkSession)
-    words = _codewords(codebook, m)
+    words = codewords(codebook, m)
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                lut = np.stack(list(_sub_space_distances(_matrix(b.column(1)), words)), axis=1)
+                lut = np.stack(list(sub_space_distances(_matrix(b.column(1)), words)), axis=1)
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, lut.size + 1, lut.shape[2]), "int32"), pa.array(np.rint(lut).astype("int64").ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) + 1, m), "int32"), rows)], ["qid", "lut"])
 

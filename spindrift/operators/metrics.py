@@ -15,13 +15,27 @@ def samples(events: DataFrame) -> DataFrame:
 
 
 def rank_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Nearest-rank by index: the value at min(n - 1, floor(q * n)). Equal values are counted first (per task, then globally), so the
-    ranking sorts distinct values only and no task gathers a group's rows."""
+    """Nearest-rank by index: the value at min(n - 1, floor(q * n)), exact. No task orders a group's values.
+
+    Equal values are counted first (per task, then globally). Values are then counted by bucket (1,024 a doubling, so some tens of thousands a
+    group at most, whatever its size); running sums over buckets name the one that holds each rank, and only that bucket's distinct values are
+    ordered. Null keys are a group."""
     n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    n = n.withColumn("__upto", F.sum("__c").over(w)).withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
-    at = lambda q: F.least(F.col("__n") - 1, F.floor(F.lit(q) * F.col("__n")))
-    return n.groupBy(*keys).agg(*[F.min(F.when(F.col("__upto") > at(q), F.col(value))).alias(name) for name, q in quantiles.items()])
+    whole = F.floor(F.col(value)).cast("double")
+    size = F.floor(F.log2(F.greatest(F.abs(whole), F.lit(1.0))) * 1024).cast("int") + 1
+    n = n.withColumn("__b", F.when(whole > 0, size).when(whole < 0, -size).otherwise(0))
+    w = Window.partitionBy(*keys)
+    per = n.groupBy(*keys, "__b").agg(F.sum("__c").alias("__c")).withColumn("__upto", F.sum("__c").over(w.orderBy("__b"))).withColumn("__n", F.sum("__c").over(w))
+    rank = lambda q: F.least(F.col("__n") - 1, F.floor(F.lit(q) * F.col("__n"))).cast("long")
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(q).alias("rank")) for name, q in quantiles.items()])).alias("__q")
+    held = per.select(*keys, "__b", "__c", "__upto", asked).where((F.col("__q.rank") < F.col("__upto")) & (F.col("__q.rank") >= F.col("__upto") - F.col("__c")))
+    held = held.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__b").alias("__at"), F.col("__q.name").alias("__name"), (F.col("__q.rank") - F.col("__upto") + F.col("__c")).alias("__left"))
+    same = F.col("__b") == F.col("__at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    v = n.join(held, same)
+    v = v.withColumn("__upto", F.sum("__c").over(Window.partitionBy(*keys, "__b", "__name").orderBy(value))).where(F.col("__upto") > F.col("__left"))
+    return v.groupBy(*keys).agg(*[F.min(F.when(F.col("__name") == name, F.col(value))).alias(name) for name in quantiles])
 
 
 def histogram(df: DataFrame, keys: list[str], us: str = "us") -> DataFrame:
@@ -114,5 +128,19 @@ def saturation(steps: DataFrame) -> DataFrame:
 
 
 def in_bands(points: DataFrame, bands: DataFrame, slack: int = 1) -> DataFrame:
-    """Points whose t lies in [t0, t0 + dur + slack] of a band (a table of few rows, broadcast by its size)."""
-    return points.join(bands, (F.col("t") >= F.col("t0")) & (F.col("t") <= F.col("t0") + F.col("dur") + slack))
+    """Points whose t lies in [t0, t0 + dur + slack] of a band (whole numbers).
+
+    A range join by equality: bands of about one length (a power of two) are cut by bins of that length, two bins each at most; a point
+    looks in its bin of each length there is."""
+    end = F.col("t0") + F.col("dur") + slack
+    b = bands.withColumn("__end", end.cast("long")).where(F.col("__end") >= F.col("t0"))
+    b = b.withColumn("__k", F.ceil(F.log2((F.col("__end") - F.col("t0") + 1).cast("double"))).cast("int"))
+    kinds = [r[0] for r in b.select("__k").distinct().collect()]  # 64 at most
+    bins = lambda c: F.array(*[F.struct(F.lit(k).alias("__k"), F.shiftright(F.floor(c).cast("long"), k).alias("__bin")) for k in kinds])
+    if not kinds:
+        return points.join(bands, F.lit(False))
+    lo, hi = (F.expr(f"element_at(map({', '.join(f'{k}, shiftright(cast({c} as bigint), {k})' for k in kinds)}), __k)") for c in ("t0", "__end"))
+    b = b.withColumn("__bin", F.explode(F.sequence(lo, hi)))
+    p = points.withColumn("__x", F.explode(bins(F.col("t")))).withColumn("__pk", F.col("__x.__k")).withColumn("__pbin", F.col("__x.__bin")).drop("__x")
+    met = p.join(b, (F.col("__pk") == F.col("__k")) & (F.col("__pbin") == F.col("__bin")) & (F.col("t") >= F.col("t0")) & (F.col("t") <= F.col("__end")))
+    return met.select(*points.columns, *bands.columns)

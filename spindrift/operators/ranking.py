@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges are found by two levels of so many borders; rows of a range, until there are FAN * FAN of them.
+FAN, RANGE = 64, 1 << 16
+
 
 def borders(df: DataFrame, key: str, parts: int) -> list:
     """At most parts - 1 keys that split df about evenly, from a sample by hash of about 20 keys a part (for balance only)."""
@@ -18,18 +23,27 @@ def prefix_sums(df: DataFrame, order: list[Column], value: Column, name: str, pa
 
     Rows are dealt over ranges of the order, whose borders are literals (so that a recomputed task deals alike), and summed
     inside each; the driver gets one number a range. Rows equal in order are in one range, in any order."""
-    parts = parts or min(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or min(FAN * FAN, max(min(FAN, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), df.count() // RANGE))
     d = df.withColumn("__key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])).withColumn("__value", value.cast("long"))
     kind = d.schema["__key"].dataType.simpleString()
     cut = [F.struct(*[F.lit(x).alias(f"k{i}") for i, x in enumerate(row)]).cast(kind) for row in borders(d, "__key", parts)]
-    d = d.withColumn("__range", F.size(F.filter(F.array(*cut), lambda b: b <= F.col("__key"))) if cut else F.lit(0))
-    before, total = {}, 0
-    for r in d.groupBy("__range").agg(F.sum("__value").alias("s")).orderBy("__range").collect():
-        before[r["__range"]] = total
-        total += r["s"] or 0
+    d = d.withColumn("__range", _place(cut))
+    sums = {r["__range"]: r["s"] or 0 for r in d.groupBy("__range").agg(F.sum("__value").alias("s")).collect()}
+    starts = list(itertools.accumulate([sums.get(i, 0) for i in range(len(cut) + 1)], initial=0))[:-1]
     inside = F.coalesce(F.sum("__value").over(Window.partitionBy("__range").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__range")) if before else F.lit(0)
-    return d.withColumn(name, (start + inside).cast("long")).drop("__key", "__value", "__range")
+    return d.withColumn(name, (F.get(F.lit(starts), F.col("__range")) + inside).cast("long")).drop("__key", "__value", "__range")
+
+
+def _place(cut: list[Column]) -> Column:
+    """How many of the ascending borders are at or below the row's key, found in two levels: FAN comparisons each at most."""
+    if not cut:
+        return F.lit(0)
+    below = lambda borders: F.size(F.filter(borders, lambda b: b <= F.col("__key")))
+    if len(cut) <= FAN:
+        return below(F.array(*cut))
+    groups = [cut[i : i + FAN] for i in range(0, len(cut), FAN)]
+    n = below(F.array(*[g[0] for g in groups]))
+    return F.when(n == 0, 0).otherwise((n - 1) * FAN + below(F.get(F.array(*[F.array(*g) for g in groups]), n - 1)))
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, parts: int | None = None) -> DataFrame:

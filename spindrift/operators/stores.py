@@ -5,11 +5,16 @@ Each function maps tables to tables; the tables may be of any size, as all work
 
 from __future__ import annotations
 
+import contextlib
 import json
+import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.operators.ranking import numbered
 from spindrift.undecided import RawAbsent
 
 OPS = ("put", "reserve", "ref", "unref", "release")
@@ -36,6 +41,27 @@ def code_stats(states: DataFrame) -> DataFrame:
     return states.groupBy("node").agg(F.count("*").alias("resident"), *[F.count_if(F.col("state") == s).alias(s) for s in ("live", "staged", "cached")])
 
 
+def admitted(states: DataFrame, asked: DataFrame, capacity: DataFrame) -> DataFrame:
+    """node, vec_id, change: what a batch of new codes does to stores of bounded capacity.
+
+    states: node, vec_id, state, used (position of the last use). asked: node, vec_id, repeats and held codes included. capacity: node,
+    slots. A node takes all of its new codes (`install`) if they fit after as many cached ones as are needed have gone (`evict`, least
+    recently used first, then by id); else it changes nothing (`refuse`, a row per new code). Nodes without a capacity take nothing.
+
+    Counts are aggregates per node; the order of victims is a global numbering by (node, use, id) less the node's first number, so
+    that no node's codes meet in one task."""
+    new = asked.select("node", "vec_id").distinct().join(states.select("node", "vec_id"), ["node", "vec_id"], "left_anti")
+    held = states.groupBy("node").agg(F.count("*").alias("held"), F.count_if(F.col("state") == "cached").alias("cached"))
+    want = new.groupBy("node").agg(F.count("*").alias("new")).join(held, "node", "left").join(capacity, "node", "left").fillna(0, ["held", "cached", "slots"])
+    need = F.greatest(F.col("held") + F.col("new") - F.col("slots"), F.lit(0))
+    want = want.select("node", need.alias("need"), (need <= F.col("cached")).alias("fits"))
+    nth = numbered(states.where("state = 'cached'").select("node", "vec_id", "used"), [F.col("node"), F.col("used"), F.col("vec_id")], "nth")
+    first = nth.groupBy("node").agg(F.min("nth").alias("first"))
+    gone = nth.join(first, "node").join(want.where("fits"), "node").where(F.col("nth") - F.col("first") < F.col("need"))
+    came = new.join(want, "node").select("node", "vec_id", F.when(F.col("fits"), "install").otherwise("refuse").alias("change"))
+    return came.unionByName(gone.select("node", "vec_id", F.lit("evict").alias("change")))
+
+
 def in_range(df: DataFrame, col: str, total: int | Column) -> DataFrame:
     """The same rows; one whose col isn't from 0 to total - 1 fails the job that reads it."""
     ok = (F.col(col) >= 0) & (F.col(col) < total)
@@ -76,14 +102,20 @@ def evict(resident: DataFrame, parts: DataFrame) -> DataFrame:
     return resident.select("node", "part").join(parts.select("node", "part"), ["node", "part"], "left_anti")
 
 
+class Conflict(ValueError):
+    """Another writer was first."""
+
+
 class EpochLog:
     """Tables by epoch in a folder that all writers share: one file an epoch, created only if it isn't there.
 
-    Of several writers that made an epoch from the same one, one creates the file; the others get an error, if the file system's
-    rename refuses a name that is taken (HDFS does; a local folder is for one writer). A new process goes on from the folder."""
+    Of several writers that made an epoch from the same one, one creates the file; the others get Conflict and, in commit(), go on from
+    what is there. A local folder's file is made by a hard link, which refuses a name that is taken; elsewhere by a rename, which must
+    refuse it too (HDFS does; object stores that replace what is there will not do). A new process goes on from the folder."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop
+        self._jvm = spark.sparkContext._jvm
+        self._hadoop = self._jvm.org.apache.hadoop
         self._folder = self._hadoop.fs.Path(path)
         self._fs = self._folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._folder)
@@ -111,14 +143,41 @@ class EpochLog:
 
     def compare_and_swap(self, previous: int, table: dict) -> None:
         epoch, now = table["epoch"], (self.epochs() or [0])[-1]
-        if previous != now or epoch != previous + 1 or not table.get("owners"):
+        if previous != now:
+            raise Conflict(f"epoch {epoch} was made from {previous}, not from {now}")
+        if epoch != previous + 1 or not table.get("owners"):
             raise ValueError(f"epoch {epoch} doesn't follow {now}")
-        # written in full under another name, then renamed: a reader never sees half a file, and rename doesn't replace
-        part = self._hadoop.fs.Path(self._folder, f".{epoch}-{id(self)}-{id(table)}")
-        out = self._fs.create(part, True)
+        # written in full under another name first: a reader never sees half a file
+        part = self._hadoop.fs.Path(self._folder, f".{epoch}-{uuid.uuid4().hex}")
+        out = self._fs.create(part, False)
         out.write(bytearray(json.dumps(table), "utf-8"))
         out.close()
-        taken = self._fs.exists(self._file(epoch)) or not self._fs.rename(part, self._file(epoch))
-        if taken:
+        try:
+            if not self._put(part, self._file(epoch)):
+                raise Conflict(f"epoch {epoch} was installed by another writer")
+        finally:
             self._fs.delete(part, False)
-            raise ValueError(f"epoch {epoch} was installed by another writer")
+
+    def _put(self, part, name) -> bool:
+        """Gives the file its name, unless the name is taken."""
+        if self._fs.getScheme() != "file":
+            return not self._fs.exists(name) and self._fs.rename(part, name)
+        at = lambda p: self._jvm.java.io.File(self._fs.makeQualified(p).toUri().getPath()).toPath()
+        try:
+            self._jvm.java.nio.file.Files.createLink(at(name), at(part))
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            return False
+        return True
+
+    def commit(self, make: Callable[[dict | None], dict], tries: int = 100) -> dict:
+        """Installs make(current table) with the next epoch's number; a writer that was not first makes its table again from the new one."""
+        for _ in range(tries):
+            now = self.current()
+            previous = now["epoch"] if now else 0
+            table = {**make(now), "epoch": previous + 1}
+            with contextlib.suppress(Conflict):
+                self.compare_and_swap(previous, table)
+                return table
+        raise Conflict(f"{tries} other writers were first")

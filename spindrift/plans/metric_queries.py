@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.operators import metrics as M
 from spindrift.operators.ranking import prefix_sums, runs
-from spindrift.plans.declare import query
+from spindrift.plans.declare import SQL, query
 
 S = "s AS MATERIALIZED (SELECT event_id, ts, user_id AS node, event_type AS type, value, CAST(floor(value * 1000) AS BIGINT) AS us, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status FROM events WHERE ts IS NOT NULL)"
 
@@ -112,6 +112,24 @@ def drain_times(spark, sf):
     return m.select("epoch", F.max("done").over(Window.orderBy("epoch")).alias("drained_us"))
 
 
+@query("T8_stream_drains", SQL["M17_drain_times"])
+def stream_drains(spark, sf):
+    """M17's drain times from a stream with keyed state and timers. A last row, far in the future, closes what the watermark has not passed."""
+    from spindrift.folders import shared
+    from spindrift.streaming import drains
+
+    where = shared(spark, "drains")
+    q = M.as_of_epochs(_s(spark, sf).select("event_id", "ts"), _epochs(spark, sf)).join(_s(spark, sf).select("event_id", "us", "node"), "event_id").where("epoch is not null")
+    rows = q.select("node", "epoch", "ts", (F.unix_micros("ts") + F.col("us")).alias("done_us")).where("done_us is not null")
+    rows.write.parquet(f"{where}/in")
+    end = rows.agg((F.max("done_us") + 86_400_000_000).alias("at")).select(F.lit(-1).cast("long").alias("node"), F.lit(-1).cast("long").alias("epoch"), F.timestamp_micros("at").alias("ts"), F.col("at").alias("done_us"))
+    end.write.mode("append").parquet(f"{where}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{where}/in")
+    drains.run(stream, f"{where}/out", f"{where}/state", "30 days").awaitTermination()
+    told = spark.read.schema(drains.OUT).parquet(f"{where}/out").where("node >= 0")
+    return drains.drained(spark, told)
+
+
 @query("W7_epoch_marks", f"WITH {_E}, p AS (SELECT e.epoch, s.ts FROM s ASOF JOIN e ON s.ts >= e.ts), m AS (SELECT epoch, min(ts) AS ts FROM p GROUP BY epoch) SELECT epoch, epoch_us(ts) AS first_us FROM m WHERE epoch > (SELECT min(epoch) FROM m)")
 def epoch_marks(spark, sf):
     m = M.as_of_epochs(_s(spark, sf).select("event_id", "ts"), _epochs(spark, sf)).where("epoch is not null").groupBy("epoch").agg(F.min(F.unix_micros("ts")).alias("first_us"))
@@ -213,6 +231,30 @@ def absent_stream(spark, sf):
     return spark.read.parquet(f"{where}/table").select("loc", "data")
 
 
+@query("T9_bounded_batches", "SELECT user_id AS loc, count(*) AS events, user_id * 2 AS data, true AS bounded FROM events GROUP BY user_id")
+def bounded_batches(spark, sf):
+    """The events as batches of at most a fifth of their rows, each adding what is still absent; and whether every batch kept the bound."""
+    from spindrift.folders import shared
+    from spindrift.sources.event_log import stream
+    from spindrift.streaming.reports import absent_batch
+
+    where, n = shared(spark, "bounded"), spark.read.parquet(f"{sf}/events.parquet").count()
+    most = -(-n // 5)
+
+    def batch(df, number):
+        df.groupBy("user_id").agg(F.count("*").alias("n")).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{where}/seen")
+        absent_batch(df.select(F.col("user_id").alias("loc"), (F.col("user_id") * 2).alias("data")), f"{where}/table")
+
+    rows = stream(spark, f"{sf}/events.parquet", f"{where}/position", most, "user_id long")
+    q = rows.writeStream.foreachBatch(batch).option("checkpointLocation", f"{where}/state").start()
+    q.processAllAvailable()
+    q.stop()
+    seen = spark.read.schema("user_id long, n long, batch int").parquet(f"{where}/seen")
+    worst = seen.groupBy("batch").agg(F.sum("n").alias("n")).agg((F.max("n") <= most).alias("bounded"))
+    per = seen.groupBy(F.col("user_id").alias("loc")).agg(F.sum("n").alias("events"))
+    return per.join(spark.read.parquet(f"{where}/table"), "loc").join(worst).select("loc", "events", "data", "bounded")
+
+
 @query("W6_id_runs", f"WITH {S} SELECT type, min(event_id) AS lo, max(event_id) AS hi, count(*) AS n FROM (SELECT type, event_id, event_id - row_number() OVER (PARTITION BY type ORDER BY event_id) AS g FROM s) GROUP BY type, g")
 def id_runs(spark, sf):
     return runs(_s(spark, sf), "type", "event_id", 1 << 16)

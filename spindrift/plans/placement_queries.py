@@ -7,67 +7,96 @@ from pyspark.sql import functions as F
 from spindrift.operators import distributed as D
 from spindrift.operators import placement as M
 from spindrift.operators import stores as St
+from spindrift.operators.ranking import numbered
 from spindrift.plans.declare import query
 from spindrift.plans.vector_queries import CTE, NEEDS, Tables, sql
 
-# 64 partitions on 4 nodes, a fifth joins
-OLD = "SELECT CAST(part AS INTEGER) AS part, CAST(part // 16 AS INTEGER) AS node FROM (SELECT unnest(range(64)) AS part)"
-# each node keeps 13 (12 the last): depth from the end below the excess, in order of (depth, node)
-MOVES = f"SELECT CAST(node AS INTEGER) AS src, 4::INTEGER AS dst, part FROM (SELECT part, node, row_number() OVER (PARTITION BY node ORDER BY part DESC) - 1 AS depth FROM ({OLD})) WHERE depth < 16 - 13"
-NEW = f"SELECT o.part, CAST(coalesce(m.dst, o.node) AS INTEGER) AS node FROM ({OLD}) o LEFT JOIN ({MOVES}) m USING (part)"
+# the index's posting lists, each a partition, on 4 nodes; a fifth joins
+def _even_sql(k: int) -> str:
+    """Contiguous blocks, the first n % k of them one larger."""
+    edge = f"(n % {k}) * (n // {k} + 1)"
+    return f"SELECT part, CAST(CASE WHEN part < {edge} THEN part // (n // {k} + 1) ELSE n % {k} + (part - {edge}) // greatest(n // {k}, 1) END AS INTEGER) AS node FROM lists, total"
 
 
-def _old(spark):
-    return D.even_placement(spark, 64, [0, 1, 2, 3])
+PLACED = {
+    "lists": "SELECT CAST(row_number() OVER (ORDER BY list_id) - 1 AS INTEGER) AS part FROM h",
+    "total": "SELECT count(*) AS n FROM h",
+    "four": _even_sql(4),
+    "five": _even_sql(5),
+    # a fifth node joins: each gives what is above its goal, from the end
+    "goals": "SELECT node, own, n // 5 + CASE WHEN row_number() OVER (ORDER BY own DESC, node) <= n % 5 THEN 1 ELSE 0 END AS goal FROM (SELECT node, count(*) AS own FROM four GROUP BY node), total",
+    "moves": "SELECT node AS src, CAST(4 AS INTEGER) AS dst, part FROM (SELECT part, node, row_number() OVER (PARTITION BY node ORDER BY part DESC) - 1 AS depth FROM four) JOIN goals USING (node) WHERE depth < own - goal",
+    "joined": "SELECT part, CAST(coalesce(dst, node) AS INTEGER) AS node FROM four LEFT JOIN moves USING (part)",
+    # the last of five leaves: its partitions from the end, to the others by what they need
+    "back": "SELECT node, own, n // 4 + CASE WHEN row_number() OVER (ORDER BY own DESC, node) <= n % 4 THEN 1 ELSE 0 END AS goal FROM (SELECT node, count(*) AS own FROM five WHERE node < 4 GROUP BY node), total",
+    "slots": "SELECT node, sum(goal - own) OVER (ORDER BY node) AS hi, goal - own AS need FROM back WHERE goal > own",
+}
 
 
-def _moves(spark):
-    return M.scale_out(_old(spark), [0, 1, 2, 3, 4])
+def _placed(body: str) -> str:
+    return sql(body, "h", **PLACED)
 
 
-@query("M2_even_placement", "SELECT CAST(part AS INTEGER) AS part, CAST(CASE WHEN part < 52 THEN part // 13 ELSE 4 END AS INTEGER) AS node FROM (SELECT unnest(range(64)) AS part)")
+def _parts(spark, sf):
+    heads = numbered(Tables(spark, sf).h.select("list_id"), [F.col("list_id")], "nth")
+    return heads.select((F.col("nth") - 1).cast("int").alias("part"))
+
+
+def _old(spark, sf):
+    return D.evenly_placed(_parts(spark, sf), [0, 1, 2, 3])
+
+
+def _moves(spark, sf):
+    return M.scale_out(_old(spark, sf), [0, 1, 2, 3, 4])
+
+
+def _joined(spark, sf):
+    return M.apply_moves(_old(spark, sf), _moves(spark, sf))
+
+
+@query("M2_even_placement", _placed("SELECT part, node FROM five"))
 def even(spark, sf):
-    return D.even_placement(spark, 64, [0, 1, 2, 3, 4])
+    return D.evenly_placed(_parts(spark, sf), [0, 1, 2, 3, 4])
 
 
-@query("M3_scale_out", f"SELECT src, dst, part FROM ({MOVES})")
+@query("M3_scale_out", _placed("SELECT src, dst, part FROM moves"))
 def scale_out(spark, sf):
-    return _moves(spark).select("src", "dst", "part")
+    return _moves(spark, sf).select("src", "dst", "part")
 
 
-@query("M8_plan", f"SELECT dst, src, list_sort(list(part)) AS parts FROM ({MOVES}) GROUP BY dst, src")
+@query("M8_plan", _placed("SELECT dst, src, list_sort(list(part)) AS parts FROM moves GROUP BY dst, src"))
 def plan(spark, sf):
-    return M.plan(_moves(spark))
+    return M.plan(_moves(spark, sf))
 
 
-@query("J14_diff", f"SELECT o.node AS src, n.node AS dst, part FROM ({OLD}) o JOIN ({NEW}) n USING (part) WHERE o.node <> n.node")
+@query("J14_diff", _placed("SELECT o.node AS src, n.node AS dst, part FROM four o JOIN joined n USING (part) WHERE o.node <> n.node"))
 def diff(spark, sf):
-    return M.diff(_old(spark), M.apply_moves(_old(spark), _moves(spark)))
+    return M.diff(_old(spark, sf), _joined(spark, sf))
 
 
-@query("W5_ranges", f"SELECT node, min(part) AS lo, max(part) AS hi FROM (SELECT part, node, part - row_number() OVER (PARTITION BY node ORDER BY part) AS g FROM ({NEW})) GROUP BY node, g")
+@query("W5_ranges", _placed("SELECT node, min(part) AS lo, max(part) AS hi FROM (SELECT part, node, part - row_number() OVER (PARTITION BY node ORDER BY part) AS g FROM joined) GROUP BY node, g"))
 def ranges(spark, sf):
-    return M.ranges(M.apply_moves(_old(spark), _moves(spark)))
+    return M.ranges(_joined(spark, sf))
 
 
-@query("M9_from_ranges", f"SELECT node, part FROM ({NEW})")
+@query("M9_from_ranges", _placed("SELECT node, part FROM joined"))
 def from_ranges(spark, sf):
     return M.from_ranges(ranges(spark, sf))
 
 
-@query("A13_partition_counts", f"SELECT node, count(*) AS parts, min(part) AS first_part FROM ({NEW}) GROUP BY node")
+@query("A13_partition_counts", _placed("SELECT node, count(*) AS parts, min(part) AS first_part FROM joined GROUP BY node"))
 def counts(spark, sf):
-    return M.apply_moves(_old(spark), _moves(spark)).groupBy("node").agg(F.count("*").alias("parts"), F.min("part").alias("first_part"))
+    return _joined(spark, sf).groupBy("node").agg(F.count("*").alias("parts"), F.min("part").alias("first_part"))
 
 
-@query("M10_history", f"SELECT part, node FROM ({OLD}) UNION SELECT part, node FROM ({NEW})")
+@query("M10_history", _placed("SELECT part, node FROM four UNION SELECT part, node FROM joined"))
 def history(spark, sf):
-    return _old(spark).union(M.apply_moves(_old(spark), _moves(spark))).distinct()
+    return _old(spark, sf).union(_joined(spark, sf)).distinct()
 
 
-@query("M1_set_operations", f"SELECT 'both' AS kind, count(*) AS n FROM (SELECT part, node FROM ({OLD}) INTERSECT SELECT part, node FROM ({NEW})) UNION ALL SELECT 'old', count(*) FROM (SELECT part, node FROM ({OLD}) EXCEPT SELECT part, node FROM ({NEW})) UNION ALL SELECT 'any', count(*) FROM (SELECT part, node FROM ({OLD}) UNION SELECT part, node FROM ({NEW}))")
+@query("M1_set_operations", _placed("SELECT 'both' AS kind, count(*) AS n FROM (FROM four INTERSECT FROM joined) UNION ALL SELECT 'old', count(*) FROM (FROM four EXCEPT FROM joined) UNION ALL SELECT 'any', count(*) FROM (FROM four UNION FROM joined)"))
 def set_operations(spark, sf):
-    a, b = _old(spark), M.apply_moves(_old(spark), _moves(spark))
+    a, b = _old(spark, sf), _joined(spark, sf)
     n = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
     return n(a.intersect(b), "both").unionByName(n(a.subtract(b), "old")).unionByName(n(a.union(b).distinct(), "any"))
 
@@ -180,21 +209,21 @@ def fetch_on_demand(spark, sf):
     return t.filt().select("vec_id").distinct().join(codes_missing(spark, sf), "vec_id").groupBy("src").agg(F.count("*").alias("fetched"))
 
 
-@query("P15_roles", f"SELECT node, count(*) > 0 AS is_owner, node % 2 = 0 AS is_entry FROM ({NEW}) GROUP BY node")
+@query("P15_roles", _placed("SELECT node, count(*) > 0 AS is_owner, node % 2 = 0 AS is_entry FROM joined GROUP BY node"))
 def roles(spark, sf):
-    return M.apply_moves(_old(spark), _moves(spark)).groupBy("node").agg((F.count("*") > 0).alias("is_owner")).withColumn("is_entry", F.col("node") % 2 == 0)
+    return _joined(spark, sf).groupBy("node").agg((F.count("*") > 0).alias("is_owner")).withColumn("is_entry", F.col("node") % 2 == 0)
 
 
-@query("M4_scale_in", "SELECT CAST(4 AS INTEGER) AS src, CAST(node AS INTEGER) AS dst, CAST(part AS INTEGER) AS part FROM (SELECT 51 + unnest(range(1, 13)) AS part) p JOIN (SELECT unnest(range(4)) AS node) n ON (63 - p.part) // 3 = n.node")
+@query("M4_scale_in", _placed("SELECT CAST(4 AS INTEGER) AS src, s.node AS dst, part FROM (SELECT part, row_number() OVER (ORDER BY part DESC) - 1 AS pick FROM five WHERE node = 4) g JOIN slots s ON pick >= hi - need AND pick < hi"))
 def scale_in(spark, sf):
-    """64 partitions on 5 nodes, the last leaves: its partitions go from the end to the others in turn of need."""
-    return M.scale_in(D.even_placement(spark, 64, [0, 1, 2, 3, 4]), [0, 1, 2, 3])
+    """The lists on 5 nodes, the last leaves: its partitions go from the end to the others in turn of need."""
+    return M.scale_in(D.evenly_placed(_parts(spark, sf), [0, 1, 2, 3, 4]), [0, 1, 2, 3])
 
 
-@query("M5_reversible_scale_in", f"SELECT dst AS src, src AS dst, part FROM ({MOVES})")
+@query("M5_reversible_scale_in", _placed("SELECT dst AS src, src AS dst, part FROM moves"))
 def reversible(spark, sf):
     """The node that joined leaves again: what it was given goes home."""
-    old, new = _old(spark), M.apply_moves(_old(spark), _moves(spark))
+    old, new = _old(spark, sf), _joined(spark, sf)
     return M.scale_in(new, [0, 1, 2, 3], old.union(new))
 
 
@@ -251,6 +280,29 @@ def code_states(spark, sf):
     return St.code_states(_log(spark, sf))
 
 
+_CAPACITY = "CASE node WHEN 0 THEN 45 WHEN 1 THEN 36 ELSE 100 END"
+
+
+@query("M11_eviction", f"""WITH {_STATES}, used AS (SELECT node, vec_id, max(seq) AS used FROM log GROUP BY node, vec_id),
+  held AS (SELECT * FROM st JOIN used USING (node, vec_id)),
+  asked AS (SELECT DISTINCT CAST(user_id % 3 AS INTEGER) AS node, event_id % 60 AS vec_id FROM events WHERE event_type = 'signup' AND event_id % 60 >= 30),
+  new AS (SELECT node, vec_id FROM asked WHERE (node, vec_id) NOT IN (SELECT (node, vec_id) FROM held)),
+  n AS (SELECT node, count(*) AS new FROM new GROUP BY node), h AS (SELECT node, count(*) AS held, count(*) FILTER (WHERE state = 'cached') AS cached FROM held GROUP BY node),
+  want AS (SELECT node, greatest(coalesce(held, 0) + new - {_CAPACITY}, 0) AS need, coalesce(cached, 0) AS cached FROM n LEFT JOIN h USING (node)),
+  victims AS (SELECT node, vec_id, row_number() OVER (PARTITION BY node ORDER BY used, vec_id) AS r FROM held WHERE state = 'cached')
+SELECT node, vec_id, CASE WHEN need <= cached THEN 'install' ELSE 'refuse' END AS change FROM new JOIN want USING (node)
+UNION ALL SELECT node, vec_id, 'evict' FROM victims JOIN want USING (node) WHERE need <= cached AND r <= need""")
+def eviction(spark, sf):
+    """New codes for stores of 45, 36 and 100 slots: what they install, what has to go for it, and who must refuse."""
+    log = _log(spark, sf)
+    used = log.where("vec_id is not null").groupBy("node", "vec_id").agg(F.max("seq").alias("used"))
+    held = St.code_states(log).join(used, ["node", "vec_id"])
+    e = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'signup' and event_id % 60 >= 30")
+    asked = e.select((F.col("user_id") % 3).cast("int").alias("node"), (F.col("event_id") % 60).alias("vec_id"))
+    slots = spark.createDataFrame([(0, 45), (1, 36), (2, 100)], "node int, slots long")
+    return St.admitted(held, asked, slots)
+
+
 @query("A11_code_stats", f"WITH {_STATES} SELECT node, count(*) AS resident, count(*) FILTER (WHERE state = 'live') AS live, count(*) FILTER (WHERE state = 'staged') AS staged, count(*) FILTER (WHERE state = 'cached') AS cached FROM st GROUP BY node")
 def code_stats(spark, sf):
     return St.code_stats(code_states(spark, sf))

@@ -96,6 +96,9 @@ class Tables:
     def gathered(self):
         return I.gather(self.nav(), self.post())
 
+    def candidates(self):
+        return self.gathered().select("qid", "vec_id").distinct()
+
     def filt(self):
         return I.filter_stage(self.gathered(), self.codes(), self.luts(), P.n, m=P.m)
 
@@ -115,18 +118,19 @@ def exact_knn(spark, sf):
     return I.exact_knn(t.q, t.v, P.k)
 
 
-@query("P1_l2_int", sql(f"SELECT qid, vec_id, {l2('qv', 'v')} AS dist FROM q, v", "q", "v"))
+@query("P1_l2_int", sql(f"SELECT qid, vec_id, {l2('qv', 'v')} AS dist FROM cand JOIN q USING (qid) JOIN v USING (vec_id)", "cand", "q", "v"))
 def l2_int(spark, sf):
+    """Exact distances of the candidates that the probed lists name."""
     t = Tables(spark, sf)
-    return t.v.join(t.q).select("qid", "vec_id", V.unrolled_l2sqr(F.col("qv"), F.col("v"), 64).alias("dist"))
+    return t.candidates().join(t.v, "vec_id").join(t.q, "qid").select("qid", "vec_id", V.unrolled_l2sqr(F.col("qv"), F.col("v"), 64).alias("dist"))
 
 
-@query("P2_l2_float", """SELECT a.vec_id AS qid, b.vec_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) AS dist
-FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0""")
+@query("P2_l2_float", sql("""SELECT qid, c.vec_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) AS dist
+FROM cand c JOIN embeddings a ON a.vec_id = c.qid JOIN embeddings b ON b.vec_id = c.vec_id""", "cand"))
 def l2_float(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("b"))
-    return e.join(q).select("qid", "vec_id", V.l2sqr_float(F.col("b"), F.col("embedding")).alias("dist"))
+    q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("b"))
+    return Tables(spark, sf).candidates().join(e, "vec_id").join(q, "qid").select("qid", "vec_id", V.l2sqr_float(F.col("b"), F.col("embedding")).alias("dist"))
 
 
 @query("B6_nearest_head", sql("SELECT vec_id, list_id, dist FROM near WHERE rn = 1", "near"))
@@ -214,10 +218,10 @@ def decode(spark, sf):
     return I.decode(t.codes(), t.cb())
 
 
-@query("P3_l2_mixed", sql("SELECT q.qid, b.vec_id, list_sum(list_transform(list_zip(qv, embedding), lambda p: (CAST(p[1] AS DOUBLE) / 256 - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) / 256 - CAST(p[2] AS DOUBLE)))) AS dist FROM q, embeddings b", "q"))
+@query("P3_l2_mixed", sql("SELECT c.qid, c.vec_id, list_sum(list_transform(list_zip(qv, embedding), lambda p: (CAST(p[1] AS DOUBLE) / 256 - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) / 256 - CAST(p[2] AS DOUBLE)))) AS dist FROM cand c JOIN q ON q.qid = c.qid JOIN embeddings b ON b.vec_id = c.vec_id", "cand", "q"))
 def l2_mixed(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
-    return e.join(Tables(spark, sf).q).select("qid", "vec_id", V.l2sqr_mixed(F.col("qv"), F.col("embedding")).alias("dist"))
+    e, t = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding"), Tables(spark, sf)
+    return t.candidates().join(e, "vec_id").join(t.q, "qid").select("qid", "vec_id", V.l2sqr_mixed(F.col("qv"), F.col("embedding")).alias("dist"))
 
 
 @query("P4_lut", sql("SELECT qid, sub, code, dist FROM lut1", "lut1"))
@@ -396,7 +400,7 @@ def list_partitions(spark, sf):
 @query("B29_overlap", sql("SELECT CAST(sum(n) AS BIGINT) AS summed, any_value(total) AS total FROM (SELECT part, count(DISTINCT vec_id) AS n FROM post JOIN lp USING (list_id) GROUP BY part), (SELECT count(DISTINCT vec_id) AS total FROM post)", "post", "lp"))
 def overlap(spark, sf):
     t = Tables(spark, sf)
-    pv = t.post().join(F.broadcast(t.lp()), "list_id").select("part", "vec_id").distinct()
+    pv = t.post().join(t.lp(), "list_id").select("part", "vec_id").distinct()
     return pv.agg(F.count("*").alias("summed"), F.countDistinct("vec_id").alias("total"))
 
 

@@ -5,11 +5,14 @@ dimensions before each row. The element type follows the extension unless option
 prefix. A header that promises more rows than the file has is cut with a warning. Rows are read by byte range, a partition each,
 through pyarrow's file systems, so the file may lie in any store that those reach. Ground truth (.ibin with optional
 distances, .ivecs) comes in long form: qid, rank, vec_id, dist.
+
+Written files come in parts: every task writes its rows as a whole file of the format, and the commit leaves at the path a list of
+the parts in order, which the readers take for one file. So no row passes the driver, and any part can be read by other tools.
 """
 
 from __future__ import annotations
 
-import shutil
+import json
 import uuid
 import warnings
 from dataclasses import dataclass
@@ -17,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -70,8 +74,74 @@ def _shape(path: str, item: int, texmex: bool, max_n: int, extra: int = 0) -> _S
 
 
 class _Range(InputPartition):
-    def __init__(self, lo: int, hi: int):
-        super().__init__((lo, hi))
+    """Rows lo to hi of a file whose first row is numbered `first`."""
+
+    def __init__(self, path: str, lo: int, hi: int, first: int):
+        super().__init__((path, lo, hi, first))
+
+
+#: How a list of parts begins.
+PARTS = b'{"parts":'
+
+
+def parts_of(path: str) -> list[str]:
+    """The files that path stands for, in order: itself, or the parts that it lists."""
+    f, p = _open(path)
+    with f.open_input_file(p) as s:
+        if s.read(len(PARTS)) != PARTS:
+            return [path]
+        names = json.loads(PARTS + s.read())["parts"]
+    return [path.rsplit("/", 1)[0] + "/" + n for n in names]
+
+
+def _ranges(path: str, shape, max_n: int = 0) -> list[_Range]:
+    out, first = [], 0
+    for part in parts_of(path):
+        n = shape(part).n
+        n = min(n, max_n - first) if max_n else n
+        out += [_Range(part, a, min(n, a + ROWS), first) for a in range(0, n, ROWS)]
+        first += n
+        if max_n and first >= max_n:
+            break
+    return out or [_Range(path, 0, 0, 0)]
+
+
+class PartsWriter(DataSourceWriter):
+    """Writes each task's rows as a file of its own and then, at the path, the list of them by task. Rows must come in order, task by task."""
+
+    def __init__(self, options):
+        self.path, self.tag = options["path"], uuid.uuid4().hex
+
+    def part(self, out, rows) -> int:
+        """Writes rows to the stream as one file; their number."""
+        raise NotImplementedError
+
+    def write(self, rows):
+        f, p = _open(self.path)
+        folder, ext = f"{p}.{self.tag}", self.path.rsplit(".", 1)[-1]
+        task = TaskContext.get().partitionId()
+        name = f"{task:06d}-{uuid.uuid4().hex}.{ext}"
+        f.create_dir(folder, recursive=True)
+        with f.open_output_stream(f"{folder}/{name}") as out:
+            n = self.part(out, rows)
+        return _Written(task, f"{folder.rsplit('/', 1)[-1]}/{name}", n)
+
+    def commit(self, messages):
+        f, p = _open(self.path)
+        names = [m.name for m in sorted((m for m in messages if m and m.rows), key=lambda m: m.task)]
+        with f.open_output_stream(f"{p}.{self.tag}.list") as out:
+            out.write(PARTS + json.dumps(names).encode() + b"}")
+        f.move(f"{p}.{self.tag}.list", p)
+
+    def abort(self, messages):
+        f, p = _open(self.path)
+        if f.get_file_info(f"{p}.{self.tag}").type != pafs.FileType.NotFound:
+            f.delete_dir(f"{p}.{self.tag}")
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, task, name, rows):
+        self.task, self.name, self.rows = task, name, rows
 
 
 class VectorReader(DataSourceReader):
@@ -81,70 +151,42 @@ class VectorReader(DataSourceReader):
         self.max_n = int(options.get("max_n") or 0)
         self.texmex = self.path.endswith("vecs")
 
-    def _shape(self):
-        return _shape(self.path, np.dtype(DTYPES[self.dtype]).itemsize, self.texmex, self.max_n)
+    def _shape(self, path):
+        return _shape(path, np.dtype(DTYPES[self.dtype]).itemsize, self.texmex, 0)
 
     def partitions(self):
-        n = self._shape().n
-        return [_Range(a, min(n, a + ROWS)) for a in range(0, n, ROWS)] or [_Range(0, 0)]
+        return _ranges(self.path, self._shape, self.max_n)
 
     def read(self, partition):
-        lo, hi = partition.value
-        s = self._shape()
-        f, p = _open(self.path)
+        path, lo, hi, first = partition.value
+        if hi == lo:
+            return
+        s = self._shape(path)
+        f, p = _open(path)
         with f.open_input_file(p) as src:
             raw = src.read_at((hi - lo) * s.stride, s.head + lo * s.stride)
         rows = np.frombuffer(raw, np.uint8).reshape(hi - lo, s.stride)[:, s.lead :]
         v = np.ascontiguousarray(rows).view(DTYPES[self.dtype]).astype("float32").ravel()
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(v) + 1, max(1, s.dim)) if s.dim else np.zeros(hi - lo + 1), "int32"), pa.array(v))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, hi)), flat], ["vec_id", "embedding"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + lo, first + hi)), flat], ["vec_id", "embedding"])
 
 
-class _Written(WriterCommitMessage):
-    def __init__(self, name, first, rows, dim):
-        self.name, self.first, self.rows, self.dim = name, first, rows, dim
-
-
-class VectorWriter(DataSourceWriter):
-    """Tasks write their rows beside the target; the commit lays them end to end behind the header. Rows must come
-    ordered by vec_id, partition by partition (save_bin sees to it)."""
-
+class VectorWriter(PartsWriter):
     def __init__(self, options):
-        self.path = options["path"]
+        super().__init__(options)
         self.dtype = options.get("dtype") or dtype_of(self.path)
-        self.tag = uuid.uuid4().hex
 
-    def write(self, rows):
-        f, p = _open(self.path)
-        name, first, n, dim = f"{p}.{self.tag}.{uuid.uuid4().hex}", None, 0, 0
-        with f.open_output_stream(name) as out:
-            for r in rows:
-                v = np.asarray(r["embedding"], DTYPES[self.dtype])
-                if n and len(v) != dim:
-                    raise ValueError(f"vector {r['vec_id']} has {len(v)} dimensions, others {dim}")
-                first, dim, n = r["vec_id"] if first is None else first, len(v), n + 1
-                if self.path.endswith("vecs"):
-                    out.write(np.int32(dim).tobytes())
-                out.write(v.tobytes())
-        return _Written(name, first, n, dim)
-
-    def commit(self, messages):
-        f, p = _open(self.path)
-        parts = sorted((m for m in messages if m and m.rows), key=lambda m: m.first)
-        with f.open_output_stream(f"{p}.{self.tag}") as out:
-            if not self.path.endswith("vecs"):
-                out.write(np.array([sum(m.rows for m in parts), parts[0].dim if parts else 0], "<u4").tobytes())
-            for m in parts:
-                with f.open_input_stream(m.name) as src:
-                    shutil.copyfileobj(src, out)
-        f.move(f"{p}.{self.tag}", p)
-        self.abort(messages)
-
-    def abort(self, messages):
-        f, _ = _open(self.path)
-        for m in messages:
-            if m:
-                f.delete_file(m.name)
+    def part(self, out, rows):
+        texmex, n, dim, held = self.path.endswith("vecs"), 0, 0, []
+        for r in rows:
+            v = np.asarray(r["embedding"], DTYPES[self.dtype])
+            if n and len(v) != dim:
+                raise ValueError(f"vector {r['vec_id']} has {len(v)} dimensions, others {dim}")
+            dim, n = len(v), n + 1
+            held.append((np.int32(dim).tobytes() if texmex else b"") + v.tobytes())
+        # the header has the number of rows, so a task's rows are held: save_bin bounds them
+        out.write((b"" if texmex else np.array([n, dim], "<u4").tobytes()) + b"".join(held))
+        return n
 
 
 class VectorFile(DataSource):
@@ -168,13 +210,14 @@ class TruthReader(DataSourceReader):
         self.texmex = self.path.endswith("ivecs")
 
     def partitions(self):
-        n = _shape(self.path, 4, self.texmex, 0).n
-        return [_Range(a, min(n, a + ROWS)) for a in range(0, n, ROWS)] or [_Range(0, 0)]
+        return _ranges(self.path, lambda path: _shape(path, 4, self.texmex, 0))
 
     def read(self, partition):
-        lo, hi = partition.value
-        s = _shape(self.path, 4, self.texmex, 0)
-        f, p = _open(self.path)
+        path, lo, hi, first = partition.value
+        if hi == lo:
+            return
+        s = _shape(path, 4, self.texmex, 0)
+        f, p = _open(path)
         size = f.get_file_info(p).size
         with f.open_input_file(p) as src:
             raw = src.read_at((hi - lo) * s.stride, s.head + lo * s.stride)
@@ -183,12 +226,30 @@ class TruthReader(DataSourceReader):
             dist = None
             if not self.texmex and size >= s.head + 2 * s.n * s.stride:
                 dist = np.frombuffer(src.read_at((hi - lo) * s.stride, s.head + s.n * s.stride + lo * s.stride), "<f4").astype("float64")
-        q = np.repeat(np.arange(lo, hi), s.dim)
+        q = np.repeat(np.arange(first + lo, first + hi), s.dim)
         rank = np.tile(np.arange(1, s.dim + 1, dtype="int32"), hi - lo)
         d = pa.nulls(len(q), pa.float64()) if dist is None else pa.array(dist)
         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(rank), pa.array(ids.ravel()), d], ["qid", "rank", "vec_id", "dist"])
 
 
+class TruthWriter(PartsWriter):
+    """A row of k ids per query, then all distances (none for .ivecs)."""
+
+    def part(self, out, rows):
+        texmex, ids, dist = self.path.endswith("ivecs"), [], []
+        for r in rows:
+            ids.append(np.array(r["ids"], "<u4"))
+            dist.append(np.array([0.0 if d is None else d for d in r["dists"]], "<f4"))
+            if len(ids[-1]) != len(ids[0]):
+                raise ValueError(f"query {r['qid']} has {len(ids[-1])} neighbours, others {len(ids[0])}")
+        k = len(ids[0]) if ids else 0
+        if texmex:
+            out.write(b"".join(np.int32(k).tobytes() + x.tobytes() for x in ids))
+        else:
+            out.write(np.array([len(ids), k], "<u4").tobytes() + b"".join(x.tobytes() for x in ids) + b"".join(x.tobytes() for x in dist))
+        return len(ids)
+
+
 class TruthFile(DataSource):
     @classmethod
     def name(cls):
@@ -200,6 +261,9 @@ class TruthFile(DataSource):
     def reader(self, schema):
         return TruthReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return TruthWriter(self.options)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(VectorFile)
@@ -212,11 +276,16 @@ def read_vectors(spark: SparkSession, path: str, dtype: str | None = None, max_n
     return (r.option("dtype", dtype) if dtype else r).load()
 
 
-def save_bin(vectors: DataFrame, path: str, dtype: str | None = None) -> None:
-    """One file in order of vec_id."""
+def _in_order(df: DataFrame, key: str, part_rows: int) -> DataFrame:
+    """df by ranges of key, of about part_rows rows a task."""
+    return df.repartitionByRange(max(1, -(-df.count() // part_rows)), key).sortWithinPartitions(key)
+
+
+def save_bin(vectors: DataFrame, path: str, dtype: str | None = None, part_rows: int = ROWS) -> None:
+    """One file in order of vec_id, in parts of about part_rows rows."""
     register(vectors.sparkSession)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).orderBy("vec_id")
-    w = rows.write.format("vecfile").mode("append").option("path", path)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    w = _in_order(rows, "vec_id", part_rows).write.format("vecfile").mode("append").option("path", path)
     (w.option("dtype", dtype) if dtype else w).save()
 
 
@@ -225,14 +294,9 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("gtfile").option("path", path).load()
 
 
-def save_truth(truth: DataFrame, path: str) -> None:
-    """.ibin with distances. One row of k ids per query; written by the driver, as ground truth is of a stated query set."""
-    rows = truth.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "dist"))).alias("x")).orderBy("qid").toLocalIterator()
-    ids, dist = [], []
-    for r in rows:
-        ids.append([x["vec_id"] for x in r["x"]])
-        dist.append([x["dist"] if x["dist"] is not None else 0.0 for x in r["x"]])
-    a = np.array(ids, "<u4").reshape(len(ids), -1)
-    f, p = _open(path)
-    with f.open_output_stream(p) as out:
-        out.write(np.array(a.shape, "<u4").tobytes() + a.tobytes() + np.array(dist, "<f4").tobytes())
+def save_truth(truth: DataFrame, path: str, part_rows: int = ROWS) -> None:
+    """.ibin with distances, or .ivecs, in order of qid: one row of k ids per query, in parts of about part_rows queries."""
+    register(truth.sparkSession)
+    x = truth.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "dist"))).alias("x"))
+    rows = x.select(F.col("qid").cast("long").alias("qid"), F.col("x.vec_id").cast("array<long>").alias("ids"), F.col("x.dist").cast("array<double>").alias("dists"))
+    _in_order(rows, "qid", part_rows).write.format("gtfile").mode("append").option("path", path).save()

@@ -48,17 +48,19 @@ def pinned(changes: DataFrame) -> DataFrame:
     return changes.groupBy("node", "epoch").agg(F.sum("d").alias("pinned"))
 
 
-def stream_absent(stream: DataFrame, present_path: str, checkpoint: str, batch_rows: int = 512):
-    """Streams (loc, data) to the table at present_path, each batch only what is still absent there, once.
-    A file that is written holds batch_rows rows at most."""
+def absent_batch(df: DataFrame, present_path: str, file_rows: int = 512) -> None:
+    """Adds the rows (loc, data) of a batch that are still absent from the table at present_path, each location once."""
+    spark = df.sparkSession
+    new = df.dropDuplicates(["loc"])
+    if _exists(spark, present_path):
+        new = new.join(spark.read.parquet(present_path).select("loc"), "loc", "left_anti")
+    new.write.mode("append").option("maxRecordsPerFile", file_rows).parquet(present_path)
 
-    def write(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        new = df.dropDuplicates(["loc"])
-        if _exists(spark, present_path):
-            new = new.join(spark.read.parquet(present_path).select("loc"), "loc", "left_anti")
-        new.write.mode("append").option("maxRecordsPerFile", batch_rows).parquet(present_path)
 
+def stream_absent(stream: DataFrame, present_path: str, checkpoint: str, batch_rows: int = 512):
+    """Streams (loc, data) to the table at present_path, each batch only what is still absent there, once. A file that is written holds
+    batch_rows rows at most; batches are bounded by the source (event_log.stream takes a number of rows)."""
+    write = lambda df, _: absent_batch(df, present_path, batch_rows)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 

@@ -1,5 +1,6 @@
 """Golden values, round trips, state machines and metamorphic properties of the engine."""
 
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -16,6 +17,7 @@ from spindrift.sources import metric_files, vecfiles
 from spindrift.sources.index_dir import AnnIndex, IndexDir
 from spindrift.streaming import arrivals, reports
 from spindrift.undecided import OPEN, NotResident, PQAbsent, PQFull, Unavailable, Undecided
+from tests.model import CodeStore
 
 
 def rows(df, *cols):
@@ -98,7 +100,7 @@ def test_ranges_round_trip(spark):
 
 
 def test_code_store():
-    s = M.CodeStore(4)
+    s = CodeStore(4)
     assert s.reserve([3, 1]) == [1, 3]
     assert s.put([(1, b"a"), (3, b"b"), (1, b"c")]) == 2
     s.ref([(1, 10), (1, 10), (3, 30)])
@@ -170,22 +172,38 @@ def test_coarse_assignment(tables, spark):
     assert found[1] > found[0]
 
 
-def test_coarse_assignment_copies_no_vector_if_all_cells_are_probed(tables, spark, monkeypatch):
-    """A copy of every vector for every cell grows with the square of the vectors."""
-    from spindrift.operators import blocks
-
-    cells = tables.h.select(F.col("list_id").cast("int").alias("id"), F.col("hv").alias("v"))
-    n, asked, inner = tables.v.count(), [], blocks.nearest_in_cells
-
-    def met(queries, *rest, **more):
-        asked.append(queries.count())
-        return inner(queries, *rest, **more)
-
-    monkeypatch.setattr(blocks, "nearest_in_cells", met)
-    monkeypatch.setattr(I, "nearest_in_cells", met)
-    got = rows(I.assign_coarse(tables.v, tables.h, cells, 1 << 16), "vec_id", "list_id", "rank", "dist")
-    assert got == rows(tables.post(), "vec_id", "list_id", "rank", "dist")
-    assert max(asked) <= n
+def test_graph_navigation(tables, spark):
+    """Against the exact lists: most are found, by meeting fewer heads than there are."""
+    from spindrift.operators import graph
+
+    v = I.read_vectors(spark, "/root/testdata/sf0.1")
+    h, q = I.heads_of(v), I.query_set(v)
+    built = graph.build(h.select(F.col("list_id").alias("id"), F.col("hv").alias("v")), degree=12, reach=20)
+    edges = built[0].collect()
+    per = Counter(e["id"] for e in edges)
+    assert max(per.values()) <= 20 and len(per) == h.count() and all(e["id"] != e["to"] for e in edges)
+    at = {r["list_id"]: np.array(r["hv"]) for r in h.collect()}
+    assert all(((at[e["id"]] - at[e["to"]]) ** 2).sum() == e["dist"] for e in edges)
+    near, seen = I.navigate_graph(q, h, built, 8, beam=12)
+    got, want = rows(near, "qid", "list_id"), rows(I.navigate(q, h, 8), "qid", "list_id")
+    assert len(got) == len(want) and len(set(got) & set(want)) >= 0.9 * len(want)
+    assert max(r["seen"] for r in seen.collect()) < h.count()
+
+
+def test_graph_of_few_and_equal_nodes(spark):
+    """Fewer nodes than a beam, one node, none; many nodes at one place."""
+    from spindrift.operators import graph
+
+    make = lambda x: spark.createDataFrame(list(enumerate(x)), "id long, v array<long>")
+    q = make([[0, 0], [9, 9]])
+    for nodes in ([[1, 1]], [[1, 1]] * 40, [[i, 0] for i in range(7)], []):
+        n = make(nodes)
+        got = rows(graph.search(q, n, *graph.build(n, 8, 16, 2), 3)[0], "qid", "rank", "id", "dist")
+        d = [[(x - a) ** 2 + (y - a) ** 2 for x, y in nodes] for a in (0, 9)]
+        if len({tuple(x) for x in nodes}) > 1 or len(nodes) < 2:
+            assert got == [(a, k + 1, int(i), d[a][i]) for a in (0, 1) for k, i in enumerate(np.argsort(d[a], kind="stable")[:3])]
+        else:
+            assert [(r[0], r[1], r[3]) for r in got] == [(a, k + 1, d[a][0]) for a in (0, 1) for k in range(3)]
 
 
 def test_assignment_of_ties_and_copies(spark, monkeypatch):
@@ -306,8 +324,49 @@ def test_trained_index(tables):
     back = I.decode(codes, cb).join(tables.v.withColumnRenamed("v", "w"), "vec_id")
     err = back.select(V.l2sqr(F.col("v"), F.col("w")).alias("e"), V.l2sqr(F.col("w"), F.transform("w", lambda x: F.lit(0).cast("long"))).alias("n")).agg(F.sum("e") / F.sum("n")).first()[0]
     assert err < 0.5
-    leaves = train.cluster(tables.v, 4)
-    assert leaves.count() == tables.v.count() and leaves.groupBy("list_id", "leaf").count().agg(F.max("count")).first()[0] <= 15
+    leaves = train.cluster(tables.v)
+    assert leaves.count() == tables.v.count() and leaves.groupBy("node", "leaf").count().agg(F.max("count")).first()[0] <= 15
+
+
+def test_clustering_by_joins(spark, monkeypatch):
+    """Several levels by joins; a third of the vectors equal; no task gets more members than it is meant to."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.integers(-500, 500, (600, 4)), np.tile([[7, 7, 7, 7]], (300, 1))]).tolist()
+    v = spark.createDataFrame(list(enumerate(x)), "vec_id long, v array<long>").repartition(5)
+    c = train.cluster(v, ratio=0.1, slack=1.5, branch=4, task=64)
+    got = c.collect()
+    assert sorted(r["vec_id"] for r in got) == list(range(900))
+    assert max(Counter((r["node"], r["leaf"]) for r in got).values()) <= 15
+    assert sorted(map(tuple, got)) == sorted(map(tuple, train.cluster(v.repartition(3), ratio=0.1, slack=1.5, branch=4, task=64).collect()))
+    assert max(Counter(r["node"] for r in got if r["leaf"] >= 0).values()) <= 64
+    spread = {r["vec_id"]: (r["node"], r["leaf"]) for r in got}
+    near = [((np.array(x[a]) - x[b]) ** 2).sum() for a in range(0, 600, 7) for b in range(600) if a != b and spread[a] == spread[b]]
+    assert np.mean(near) < 0.5 * np.mean([((np.array(x[a]) - x[b]) ** 2).sum() for a in range(0, 600, 7) for b in range(1, 600, 11)])
+
+
+def test_seeds_and_repair(spark):
+    """Far groups each get a seed; draws follow the distance; an empty centre takes half of the largest cluster."""
+    rng = np.random.default_rng(5)
+    middle = np.array([[0, 0], [4000, 0], [0, 4000], [4000, 4000], [9000, 9000]])
+    x = np.concatenate([m + rng.integers(-20, 21, (200, 2)) for m in middle])
+    v = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, v array<long>")
+    s = np.array([r["v"] for r in train.seed(v, 5).collect()])
+    assert len(s) == 5 and all(np.abs(s - m).max(axis=1).min() <= 40 for m in middle)
+    first = spark.createDataFrame([(0, [0, 0])], "id long, v array<long>")
+    drawn = train.seeding_round(v, first, 100, 1).collect()
+    assert 60 < len(drawn) < 140 and sum(r["vec_id"] < 200 for r in drawn) == 0
+    assert train.seeding_round(v.where("vec_id < 0"), first, 100, 1).count() == 0
+    c = spark.createDataFrame([(0, [0, 0]), (1, [1024, -1024]), (2, [5, 5])], "id long, v array<long>")
+    n = spark.createDataFrame([(0, 3), (1, 9)], "id long, n long")
+    assert rows(train.repaired(c, n), "id", "v") == [(0, [0, 0]), (1, [1023, -1023]), (2, [1025, -1025])]
+
+
+def test_codebook_training_lowers_the_error(tables):
+    first = tables.cb()
+    errors = [train.quantizer_error(tables.v, c, 8).agg(F.sum("error")).first()[0] for c in (first, train.train_codebook(tables.v, 8, iterations=1, first=first), train.train_codebook(tables.v, 8, iterations=6, first=first))]
+    assert errors[0] >= errors[1] >= errors[2]
+    some = train.train_codebook(tables.v, 8, codes=16, iterations=0)
+    assert train.quantizer_error(tables.v, train.train_codebook(tables.v, 8, iterations=5, first=some), 8).agg(F.sum("error")).first()[0] < train.quantizer_error(tables.v, some, 8).agg(F.sum("error")).first()[0]
 
 
 def test_index_folder(tables, spark, tmp_path):
@@ -359,6 +418,65 @@ def test_vector_files(spark, tmp_path, ext):
         vecfiles.dtype_of("x.txt")
 
 
+def test_files_in_parts(spark, tmp_path):
+    """Tasks write parts, the commit only lists them, and readers number rows through all of them."""
+    x = np.random.default_rng(9).integers(-100, 100, (1000, 3)).astype("float32")
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(7)
+    path = str(tmp_path / "v.fbin")
+    vecfiles.save_bin(df, path, part_rows=100)
+    parts = vecfiles.parts_of(path)
+    assert len(parts) > 5 and Path(path).stat().st_size < 2000
+    assert rows(vecfiles.read_vectors(spark, path), "vec_id", "embedding") == rows(df, "vec_id", "embedding")
+    assert rows(vecfiles.read_vectors(spark, path, max_n=333), "vec_id", "embedding") == rows(df.where("vec_id < 333"), "vec_id", "embedding")
+    one = rows(vecfiles.read_vectors(spark, parts[1]), "embedding")  # a part is a file of the format
+    assert one == rows(df.where(F.col("vec_id").between(n := vecfiles.read_vectors(spark, parts[0]).count(), n + len(one) - 1)), "embedding")
+    vecfiles.save_bin(df.limit(0), str(tmp_path / "none.fbin"))
+    assert vecfiles.read_vectors(spark, str(tmp_path / "none.fbin")).count() == 0
+    with pytest.raises(Exception, match="dimensions"):
+        vecfiles.save_bin(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<float>"), str(tmp_path / "bad.fbin"))
+    t = spark.createDataFrame([(q, r, 10 * q + r, float(r)) for q in range(50) for r in (1, 2, 3)], "qid long, rank int, vec_id long, dist double")
+    for ext in ("ibin", "ivecs"):
+        vecfiles.save_truth(t, str(tmp_path / f"gt.{ext}"), part_rows=8)
+        assert len(vecfiles.parts_of(str(tmp_path / f"gt.{ext}"))) > 3
+        assert rows(vecfiles.read_truth(spark, str(tmp_path / f"gt.{ext}")), "qid", "rank", "vec_id") == rows(t, "qid", "rank", "vec_id")
+
+
+def test_page_files(spark, tmp_path, monkeypatch):
+    """Only the pages asked for are read: the byte ranges are theirs, and parts without any may be gone."""
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual
+
+    from spindrift.sources import pages
+
+    monkeypatch.setattr(pages, "PART_PAGES", 10)
+    x = np.arange(1200, dtype="float32").reshape(400, 3)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    layout = spark.createDataFrame([(i, (i + i // 30) // 4, i + i // 30) for i in range(400)], "vec_id long, page long, loc long")
+    path = str(tmp_path / "v.pages")
+    pages.save_pages(df, layout, path, vpp=4, page_bytes=64)
+    every = layout.join(pages.read_pages(spark, path).drop("page"), "loc")
+    assert rows(every, "vec_id", "embedding") == rows(df, "vec_id", "embedding")
+
+    def asked(*filters):
+        r = pages.PageReader({"path": path})
+        left = list(r.pushFilters(list(filters)))
+        assert len([p for part in r.partitions() for p in part.value]) == len(r.runs())
+        return sorted(p for _, _, lo, hi in r.runs() for p in range(lo, hi)), len(left)
+
+    assert asked(In(("page",), (3, 4, 77, 5000))) == ([3, 4, 77], 0)
+    assert asked(EqualTo(("loc",), 41)) == ([10], 1)
+    assert asked(GreaterThan(("page",), 5), LessThanOrEqual(("loc",), 39)) == ([6, 7, 8, 9], 1)
+    assert asked(EqualTo(("page",), 5), EqualTo(("page",), 6)) == ([], 0)
+    assert len(asked(EqualTo(("slot",), 1))[0]) == 104
+    assert rows(pages.read_pages(spark, path).where("loc > 40 and loc < 43"), "page", "slot", "loc") == [(10, 1, 41), (10, 2, 42)]
+    manifest = pages.PageReader({"path": path})
+    for name, first, n in manifest.parts:
+        if not first <= 50 < first + n:
+            (tmp_path / name).unlink()
+    assert pages.read_pages(spark, path).where("page = 50").count() == 4
+    with pytest.raises(Exception, match="twice"):
+        pages.save_pages(df.limit(2), layout.limit(2).withColumn("loc", F.lit(1)), str(tmp_path / "w.pages"), vpp=4)
+
+
 def test_truncated_header(spark, tmp_path):
     path = tmp_path / "v.fbin"
     path.write_bytes(np.array([10, 2], "<u4").tobytes() + np.arange(8, dtype="<f4").tobytes())

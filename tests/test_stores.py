@@ -6,7 +6,8 @@ import pytest
 
 from spindrift.operators import index, metrics, placement, ranking, stores
 from spindrift.streaming import arrivals
-from spindrift.undecided import RawAbsent
+from spindrift.undecided import PQFull, RawAbsent
+from tests.model import CodeStore
 
 
 def rows(df, *cols):
@@ -15,7 +16,7 @@ def rows(df, *cols):
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_states_follow_the_store(spark, seed):
-    rnd, log, store = random.Random(seed), [], {0: placement.CodeStore(100), 1: placement.CodeStore(100)}
+    rnd, log, store = random.Random(seed), [], {0: CodeStore(100), 1: CodeStore(100)}
     for seq in range(600):
         node, i, op = rnd.randrange(2), rnd.randrange(25), rnd.choice(stores.OPS)
         s = store[node]
@@ -39,6 +40,109 @@ def test_states_follow_the_store(spark, seed):
     assert rows(stores.code_stats(states), "node", *cols) == [(n, *(s.stats()[c] for c in cols)) for n, s in store.items()]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_admission_under_a_capacity(spark, seed):
+    """Against the store kept entry by entry, whose cached codes go in the order in which they were last used."""
+    rnd = random.Random(seed)
+    states, asked, slots, want = [], [], [], []
+    for node in range(6):
+        held = rnd.sample(range(40), rnd.randrange(25))
+        use = {i: rnd.randrange(5) for i in held}
+        s = CodeStore(capacity := len(held) + rnd.randrange(-3, 12))
+        for i in sorted(held, key=lambda i: (use[i], i)):
+            kind = rnd.choice(["live", "staged", "cached"])
+            states.append((node, i, kind, use[i]))
+            s.held[i] = {"code": b"", "protected": kind == "staged", "ever": True, "loc": None}
+            s.refs[i] = int(kind == "live")
+        new = [rnd.randrange(60) for _ in range(rnd.randrange(20))]
+        asked += [(node, i) for i in new] + ([(node, new[0])] if new else [])
+        slots.append((node, capacity))
+        before = set(s.held)
+        try:
+            s.put([(i, b"") for i in new])
+            want += [(node, i, "install") for i in set(s.held) - before] + [(node, i, "evict") for i in before - set(s.held)]
+        except PQFull:
+            want += [(node, i, "refuse") for i in set(new) - before]
+    got = stores.admitted(spark.createDataFrame(states, "node int, vec_id long, state string, used long"), spark.createDataFrame(asked, "node int, vec_id long"), spark.createDataFrame(slots, "node int, slots long"))
+    assert rows(got, "node", "vec_id", "change") == sorted(want)
+
+
+def test_writers_that_compete(spark, tmp_path):
+    """Each of 20 writers installs its table once, from the one before it; of those that started from one epoch, one was first."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    made = []
+
+    def one(name):
+        def make(now):
+            made.append((name, now["epoch"] if now else 0))
+            return {"owners": (now["owners"] if now else []) + [name]}
+
+        return stores.EpochLog(spark, str(tmp_path / "log")).commit(make)["epoch"]
+
+    with ThreadPoolExecutor(10) as pool:
+        epochs = list(pool.map(one, range(20)))
+    log = stores.EpochLog(spark, str(tmp_path / "log"))
+    assert sorted(epochs) == log.epochs() == list(range(1, 21))
+    for a, b in zip([{"owners": []}, *log.history()], log.history()):
+        assert b["owners"][:-1] == a["owners"]
+    assert sorted(log.current()["owners"]) == list(range(20)) and len(made) >= 20
+    with pytest.raises(stores.Conflict):
+        log.compare_and_swap(3, {"epoch": 4, "owners": [1]})
+
+
+def test_drains_of_a_stream(spark, tmp_path):
+    """Rows in several runs of one checkpoint: an epoch that opens again is told again, what is too late is dropped."""
+    from spindrift.streaming import drains
+
+    minute, first = 60_000_000, 1_000_000  # minutes are counted from a time after that of the first watermark
+    schema = "node long, epoch long, ts timestamp, done_us long"
+
+    def run(*found):
+        at = lambda m: f"timestamp_micros({(first + m) * minute})"
+        sql = " UNION ALL ".join(f"SELECT {n}L AS node, {e}L AS epoch, {at(t)} AS ts, {(first + d) * minute}L AS done_us" for n, e, t, d in found)
+        spark.sql(sql).write.mode("append").parquet(str(tmp_path / "in"))
+        drains.run(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"), "10 minutes").awaitTermination()
+        return sorted((r["node"], r["epoch"], r["done_us"] // minute - first) for r in spark.read.schema(drains.OUT).parquet(str(tmp_path / "out")).collect())
+
+    assert run((1, 1, 0, 5), (1, 1, 1, 3), (1, 2, 2, 30), (2, 1, 3, 4)) == []
+    assert run((2, 2, 20, 21)) == [(1, 1, 5), (2, 1, 4)]
+    again = run((1, 1, 12, 13), (1, 2, 40, 41), (2, 1, 1, 60))  # 12 is late but within the delay; 1 is dropped
+    assert set(again) == {(1, 1, 5), (2, 1, 4), (1, 1, 13), (2, 2, 21)}
+    end = run((9, 9, 900, 901))
+    assert set(end) == set(again) | {(1, 2, 41)}
+    table = spark.read.schema(drains.OUT).parquet(str(tmp_path / "out"))
+    assert rows(drains.drained(spark, table), "epoch", "drained_us") == [(1, (first + 13) * minute), (2, (first + 41) * minute)]
+
+
+def test_event_log_batches(spark, tmp_path):
+    """At most so many rows a batch, over files and row groups, across a restart and files that come later; each row once."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from spindrift.sources.event_log import stream
+
+    put = lambda name, lo, hi: pq.write_table(pa.table({"user_id": pa.array(range(lo, hi), "int64"), "other": ["x"] * (hi - lo)}), tmp_path / "in" / name, row_group_size=7)
+    (tmp_path / "in").mkdir()
+    put("a.parquet", 0, 25)
+    put("b.parquet", 25, 40)
+
+    def run():
+        seen = lambda df, n: df.selectExpr("user_id", f"{n} AS batch").write.mode("append").parquet(str(tmp_path / "out"))
+        q = stream(spark, str(tmp_path / "in"), str(tmp_path / "position"), 10, "user_id long").writeStream.foreachBatch(seen).option("checkpointLocation", str(tmp_path / "state")).start()
+        q.processAllAvailable()
+        q.stop()
+        return rows(spark.read.parquet(str(tmp_path / "out")), "batch", "user_id")
+
+    got = run()
+    assert got == [(i // 10, i) for i in range(40)]
+    assert run() == got
+    put("c.parquet", 40, 63)
+    got = run()
+    assert sorted(u for _, u in got) == list(range(63))
+    assert max(sum(b == n for b, _ in got) for n in range(9)) <= 20
+
+
 def test_states_of_an_empty_log(spark):
     assert stores.code_states(spark.createDataFrame([], "node int, vec_id long, seq long, op string")).count() == 0
 
