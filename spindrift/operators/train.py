@@ -194,6 +194,14 @@ def cluster(vectors: DataFrame, ratio: float = 0.1, slack: float = 1.5, branch:
     return functools.reduce(DataFrame.unionByName, chunks, out)
 
 
+def heads(vectors: DataFrame, **options) -> DataFrame:
+    """list_id, head_vec_id, hv: of each leaf of cluster(), numbered in order, the member nearest to its mean."""
+    members = staged(cluster(vectors, **options), "members")
+    leaves = numbered(members.select("node", "leaf").distinct(), [F.col("node"), F.col("leaf")], "nth").select("node", "leaf", (F.col("nth") - 1).alias("list_id"))
+    found = leaf_heads(vectors, members.join(leaves, ["node", "leaf"]).select("vec_id", "list_id"))
+    return found.join(vectors.select(F.col("vec_id").alias("head_vec_id"), F.col("v").alias("hv")), "head_vec_id").select("list_id", "head_vec_id", "hv")
+
+
 def seeding_round(vectors: DataFrame, centres: DataFrame, draws: int, turn: int) -> DataFrame:
     """vec_id, v, dist: the vectors drawn in one round of oversampled seeding, each with probability draws * dist / sum of dist (about `draws` of
     them), dist being the squared distance to the nearest of centres (id, v). The draw is a hash of the id and the turn."""

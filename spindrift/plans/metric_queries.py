@@ -122,7 +122,7 @@ def stream_drains(spark, sf):
     q = M.as_of_epochs(_s(spark, sf).select("event_id", "ts"), _epochs(spark, sf)).join(_s(spark, sf).select("event_id", "us", "node"), "event_id").where("epoch is not null")
     rows = q.select("node", "epoch", "ts", (F.unix_micros("ts") + F.col("us")).alias("done_us")).where("done_us is not null")
     rows.write.parquet(f"{where}/in")
-    end = rows.agg((F.max("done_us") + 86_400_000_000).alias("at")).select(F.lit(-1).cast("long").alias("node"), F.lit(-1).cast("long").alias("epoch"), F.timestamp_micros("at").alias("ts"), F.col("at").alias("done_us"))
+    end = rows.agg((F.max("done_us") + 60 * 86_400_000_000).alias("at")).select(F.lit(-1).cast("long").alias("node"), F.lit(-1).cast("long").alias("epoch"), F.timestamp_micros("at").alias("ts"), F.col("at").alias("done_us"))
     end.write.mode("append").parquet(f"{where}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{where}/in")
     drains.run(stream, f"{where}/out", f"{where}/state", "30 days").awaitTermination()

@@ -9,23 +9,9 @@ from spindrift.operators import graph, train
 from spindrift.operators import index as I
 from spindrift.operators.blocks import nearest
 from spindrift.plans.declare import query
-from spindrift.plans.vector_queries import PARTS, VPP, Tables, l2, sql
+from spindrift.plans.vector_queries import PARTS, VPP, Tables, folder, l2, sql
 from spindrift.sources import pages, vecfiles
-from spindrift.sources.index_dir import AnnIndex, IndexDir
-
-_folders: dict[tuple[str, str], IndexDir] = {}
-
-
-def folder(spark, sf) -> IndexDir:
-    """The recipe's index, built once per application and data."""
-    key = spark.sparkContext.applicationId, sf
-    if key not in _folders:
-        d = IndexDir(spark, shared(spark, "index"))
-        d.build(I.read_vectors(spark, sf), parts=PARTS, vpp=VPP)
-        d.segment()
-        _folders[key] = d
-    return _folders[key]
-
+from spindrift.sources.index_dir import AnnIndex
 
 def _embeddings(spark, sf):
     return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")

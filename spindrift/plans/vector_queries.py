@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spindrift.folders import shared
 from spindrift.functions import vectors as V
 from spindrift.operators import distributed as D
 from spindrift.operators import index as I
 from spindrift.operators import train
 from spindrift.plans.declare import query
+from spindrift.sources.index_dir import IndexDir
 
 P = I.Params()
 VPP = 16
@@ -112,6 +114,41 @@ class Tables:
         return D.group_by_owner(self.nav(), self.lp(), self.pl())
 
 
+_folders: dict[tuple[str, str], IndexDir] = {}
+
+
+def folder(spark, sf) -> IndexDir:
+    """The recipe's index as a folder of tables, built once per application and data."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _folders:
+        d = IndexDir(spark, shared(spark, "index"))
+        d.build(I.read_vectors(spark, sf), parts=PARTS, vpp=VPP)
+        d.segment()
+        _folders[key] = d
+    return _folders[key]
+
+
+class Built(Tables):
+    """The recipe's tables with what a build leaves read from its folder: a search does not build anything."""
+
+    def __init__(self, spark, sf_dir):
+        super().__init__(spark, sf_dir)
+        self.dir = folder(spark, sf_dir)
+        self.h = self.dir.read("heads")
+
+    def post(self):
+        return self.dir.read("postings")
+
+    def cb(self):
+        return self.dir.read("codebook")
+
+    def codes(self):
+        return self.dir.read("codes")
+
+    def lp(self):
+        return self.dir.read("list_part")
+
+
 @query("J1_exact_knn", sql("SELECT qid, rank, vec_id, dist FROM gt", "gt"))
 def exact_knn(spark, sf):
     t = Tables(spark, sf)
@@ -121,7 +158,7 @@ def exact_knn(spark, sf):
 @query("P1_l2_int", sql(f"SELECT qid, vec_id, {l2('qv', 'v')} AS dist FROM cand JOIN q USING (qid) JOIN v USING (vec_id)", "cand", "q", "v"))
 def l2_int(spark, sf):
     """Exact distances of the candidates that the probed lists name."""
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     return t.candidates().join(t.v, "vec_id").join(t.q, "qid").select("qid", "vec_id", V.unrolled_l2sqr(F.col("qv"), F.col("v"), 64).alias("dist"))
 
 
@@ -130,7 +167,7 @@ FROM cand c JOIN embeddings a ON a.vec_id = c.qid JOIN embeddings b ON b.vec_id
 def l2_float(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("b"))
-    return Tables(spark, sf).candidates().join(e, "vec_id").join(q, "qid").select("qid", "vec_id", V.l2sqr_float(F.col("b"), F.col("embedding")).alias("dist"))
+    return Built(spark, sf).candidates().join(e, "vec_id").join(q, "qid").select("qid", "vec_id", V.l2sqr_float(F.col("b"), F.col("embedding")).alias("dist"))
 
 
 @query("B6_nearest_head", sql("SELECT vec_id, list_id, dist FROM near WHERE rn = 1", "near"))
@@ -220,7 +257,7 @@ def decode(spark, sf):
 
 @query("P3_l2_mixed", sql("SELECT c.qid, c.vec_id, list_sum(list_transform(list_zip(qv, embedding), lambda p: (CAST(p[1] AS DOUBLE) / 256 - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) / 256 - CAST(p[2] AS DOUBLE)))) AS dist FROM cand c JOIN q ON q.qid = c.qid JOIN embeddings b ON b.vec_id = c.vec_id", "cand", "q"))
 def l2_mixed(spark, sf):
-    e, t = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding"), Tables(spark, sf)
+    e, t = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding"), Built(spark, sf)
     return t.candidates().join(e, "vec_id").join(t.q, "qid").select("qid", "vec_id", V.l2sqr_mixed(F.col("qv"), F.col("embedding")).alias("dist"))
 
 
@@ -232,7 +269,7 @@ def lut(spark, sf):
 
 @query("P5_adc", sql("SELECT qid, vec_id, adc FROM scored", "scored"))
 def adc(spark, sf):
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     return I.score(t.gathered().select("qid", "vec_id").distinct(), t.codes(), t.luts())
 
 
@@ -243,30 +280,30 @@ def navigate(spark, sf):
 
 @query("J3_gather", sql("SELECT qid, list_id, vec_id FROM gathered", "gathered"))
 def gather(spark, sf):
-    return Tables(spark, sf).gathered()
+    return Built(spark, sf).gathered()
 
 
 @query("A1_dedup", sql("SELECT qid, count(*) AS gathered, count(DISTINCT vec_id) AS uniq FROM gathered GROUP BY qid", "gathered"))
 def dedup(spark, sf):
-    g = Tables(spark, sf).gathered().groupBy("qid", "vec_id").agg(F.count("*").alias("n"))
+    g = Built(spark, sf).gathered().groupBy("qid", "vec_id").agg(F.count("*").alias("n"))
     return g.groupBy("qid").agg(F.sum("n").alias("gathered"), F.count("*").alias("uniq"))
 
 
 @query("R1_filter", sql("SELECT qid, vec_id, adc, rank FROM filt", "filt"))
 def filt(spark, sf):
-    return Tables(spark, sf).filt()
+    return Built(spark, sf).filt()
 
 
 @query("J5_exact_scores", sql("SELECT qid, vec_id, adc, dist FROM exact", "exact"))
 def exact_scores(spark, sf):
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     return I.exact_scores(t.filt().drop("rank"), t.v, t.q)
 
 
 @query("R3_rerank", sql("SELECT qid, rank, vec_id, dist FROM ans", "ans"))
 @query("R6_search", sql("SELECT qid, rank, vec_id, dist FROM ans", "ans"))
 def search(spark, sf):
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     return I.rerank(t.filt(), t.v, t.q, P.k)
 
 
@@ -280,13 +317,13 @@ done AS (SELECT b.*, stop, min(b) OVER (PARTITION BY b.qid, page) AS fb, row_num
 
 @query("R4_heuristic_rerank", sql("SELECT d.qid, max(stop) + 1 AS batches, count(*) AS reranked, (SELECT list(vec_id ORDER BY r) FROM s WHERE s.qid = d.qid AND s.step = max(d.stop)) AS ids FROM done d GROUP BY d.qid", "exact", "seqlay").replace("\nSELECT d.qid", ",\n" + _heur + "\nSELECT d.qid", 1))
 def heuristic(spark, sf):
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     return I.heuristic_rerank(t.filt(), t.v, t.q, I.sequential_layout(t.v, VPP), P.k).select("qid", "batches", "reranked", "ids")
 
 
 @query("R5_io_counters", sql("SELECT qid, count(*) FILTER (WHERE nth = 1) AS pages_read, count(*) FILTER (WHERE nth > 1 AND b = fb) AS intra_merged, count(*) FILTER (WHERE b > fb) AS buffer_hits FROM done GROUP BY qid", "exact", "seqlay").replace("\nSELECT qid", ",\n" + _heur + "\nSELECT qid", 1))
 def io_counters(spark, sf):
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     return I.heuristic_rerank(t.filt(), t.v, t.q, I.sequential_layout(t.v, VPP), P.k).select("qid", "pages_read", "intra_merged", "buffer_hits")
 
 
@@ -303,7 +340,7 @@ def recall_ties(spark, sf):
 @query("A6_query_stats", sql("""SELECT round(avg(lists), 6) AS lists, round(avg(cand), 6) AS cand, round(avg(uniq), 6) AS uniq, round(avg(topn), 6) AS topn FROM (
   SELECT g.qid, count(DISTINCT list_id) AS lists, count(*) AS cand, count(DISTINCT g.vec_id) AS uniq, any_value(f.n) AS topn FROM gathered g JOIN (SELECT qid, count(*) AS n FROM filt GROUP BY qid) f USING (qid) GROUP BY g.qid)""", "gathered", "filt"))
 def query_stats(spark, sf):
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     f = t.filt().groupBy("qid").agg(F.count("*").alias("n"))
     g = t.gathered().groupBy("qid").agg(F.countDistinct("list_id").alias("lists"), F.count("*").alias("cand"), F.countDistinct("vec_id").alias("uniq")).join(f, "qid")
     return g.agg(*[F.round(F.avg(c), 6).alias(n) for c, n in (("lists", "lists"), ("cand", "cand"), ("uniq", "uniq"), ("n", "topn"))])
@@ -312,14 +349,14 @@ def query_stats(spark, sf):
 @query("A6_rerank_stats", sql("SELECT round(avg(batches), 6) AS batches, round(avg(reranked), 6) AS reranked, round(avg(pages), 6) AS pages, round(avg(merged), 6) AS merged, round(avg(hits), 6) AS hits FROM (SELECT qid, max(stop) + 1 AS batches, count(*) AS reranked, count(*) FILTER (WHERE nth = 1) AS pages, count(*) FILTER (WHERE nth > 1 AND b = fb) AS merged, count(*) FILTER (WHERE b > fb) AS hits FROM done GROUP BY qid)", "exact", "seqlay").replace("\nSELECT round", ",\n" + _heur + "\nSELECT round", 1))
 def rerank_stats(spark, sf):
     """Means over queries of what the heuristic re-ranking did."""
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     done = I.heuristic_rerank(t.filt(), t.v, t.q, I.sequential_layout(t.v, VPP), P.k)
     return done.agg(*[F.round(F.avg(c), 6).alias(n) for c, n in (("batches", "batches"), ("reranked", "reranked"), ("pages_read", "pages"), ("intra_merged", "merged"), ("buffer_hits", "hits"))])
 
 
 @query("A15_max_candidates", sql("SELECT CAST(sum(n) AS BIGINT) AS bound FROM (SELECT count(*) AS n FROM post GROUP BY list_id ORDER BY n DESC LIMIT 8)", "post"))
 def max_candidates(spark, sf):
-    n = Tables(spark, sf).post().groupBy("list_id").agg(F.count("*").alias("n"))
+    n = Built(spark, sf).post().groupBy("list_id").agg(F.count("*").alias("n"))
     return n.orderBy(F.desc("n")).limit(P.nprobe).agg(F.sum("n").alias("bound"))
 
 
@@ -330,7 +367,7 @@ fi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nprobe, n, qid O
 ex AS (SELECT fi.*, row_number() OVER (PARTITION BY nprobe, n, fi.qid ORDER BY {l2('qv', 'v')}, fi.vec_id) AS e FROM fi JOIN q USING (qid) JOIN v USING (vec_id))
 SELECT CAST(nprobe AS INTEGER) AS nprobe, CAST(n AS INTEGER) AS n, count(*) AS answers, count(gt.vec_id) AS hits FROM ex LEFT JOIN gt ON gt.qid = ex.qid AND gt.vec_id = ex.vec_id WHERE e <= 10 GROUP BY nprobe, n""")
 def sweep(spark, sf):
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     return D.sweep(t, [(2, 20), (4, 50), (8, 50)], exact_knn(spark, sf))
 
 
@@ -343,7 +380,7 @@ def cluster_stats(spark, sf):
 @query("R8_fused_calls", sql("SELECT qid, CAST(sum(1) AS BIGINT) AS owners, CASE WHEN count(*) = 1 THEN 1 ELSE count(*) + any_value(r) END AS calls FROM (SELECT own.qid, node FROM own GROUP BY own.qid, node) JOIN (SELECT qid, count(DISTINCT node) AS r FROM merged GROUP BY qid) USING (qid) GROUP BY qid", "own", "merged"))
 def fused_calls(spark, sf):
     """Calls of the two-phase plan that fuses both phases where one node owns all lists."""
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     own = t.own()
     second = D.merge_origin(D.owner_filter(own, t.post(), t.codes(), t.luts(), P.n), P.n).groupBy("qid").agg(F.countDistinct("node").alias("r"))
     n = own.groupBy("qid").agg(F.countDistinct("node").alias("owners")).join(second, "qid")
@@ -406,12 +443,12 @@ def overlap(spark, sf):
 
 @query("J6_group_by_owner", sql("SELECT qid, node, list(list_id ORDER BY pos) AS lists FROM own GROUP BY qid, node", "own"))
 def group_by_owner(spark, sf):
-    return D.owner_groups(Tables(spark, sf).own())
+    return D.owner_groups(Built(spark, sf).own())
 
 
 @query("J7_split_by_origin", sql("SELECT qid, node, list(vec_id ORDER BY adc, vec_id) AS ids FROM merged GROUP BY qid, node", "merged"))
 def split_by_origin(spark, sf):
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     first = D.owner_filter(t.own(), t.post(), t.codes(), t.luts(), P.n)
     m = D.merge_origin(first, P.n)
     return m.groupBy("qid", "node").agg(F.transform(F.sort_array(F.collect_list(F.struct("adc", "vec_id"))), lambda x: x["vec_id"]).alias("ids"))
@@ -419,46 +456,46 @@ def split_by_origin(spark, sf):
 
 @query("J8_split_by_hash", sql("SELECT qid, vec_id, CAST(o[CAST(((vec_id * 2654435761) % 4294967296) // 65536 % len(o) AS INTEGER) + 1] AS INTEGER) AS node FROM (SELECT m.qid, m.vec_id, list_sort(list(f.node)) AS o FROM merged m JOIN ofilt f ON f.qid = m.qid AND f.vec_id = m.vec_id GROUP BY m.qid, m.vec_id)", "merged", "ofilt"))
 def split_by_hash(spark, sf):
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     first = D.owner_filter(t.own(), t.post(), t.codes(), t.luts(), P.n)
     return D.split_by_hash(first, P.n)
 
 
 @query("A2_merge_topk", sql("SELECT qid, vec_id, adc, CAST(r AS INTEGER) AS rank FROM merged", "merged"))
 def merge_topk(spark, sf):
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     return D.merge_topk(D.owner_filter(t.own(), t.post(), t.codes(), t.luts(), P.n), "adc", P.n)
 
 
 @query("R7_two_phase", sql("SELECT qid, rank, vec_id, dist FROM ans", "ans"))
 def two_phase(spark, sf):
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     return D.two_phase(t.own(), t.post(), t.codes(), t.luts(), t.v, t.q, P)
 
 
 @query("R9_local", sql(f"SELECT qid, CAST(r AS INTEGER) AS rank, vec_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS r FROM (SELECT f.qid, f.vec_id, min({l2('qv', 'v')}) AS dist FROM ofilt f JOIN q USING (qid) JOIN v USING (vec_id) GROUP BY f.qid, f.vec_id)) WHERE r <= 10", "ofilt", "q", "v"))
 def local(spark, sf):
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     first = D.owner_filter(t.own(), t.post(), t.codes(), t.luts(), P.n)
     return D.local_rerank(first, t.v, t.q, P.k)
 
 
 @query("P16_quota", sql("SELECT qid, node, n AS scored, CAST(ceil(50.0 * n / sum(n) OVER (PARTITION BY qid)) AS BIGINT) AS quota FROM (SELECT qid, node, count(*) AS n FROM ocand GROUP BY qid, node)", "ocand"))
 def quota(spark, sf):
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     return D.quotas(t.own(), t.post(), P.n)
 
 
 @query("R10_local_quota", sql(f"SELECT qid, CAST(r AS INTEGER) AS rank, vec_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS r FROM (SELECT f.qid, f.vec_id, min({l2('qv', 'v')}) AS dist FROM ofilt f JOIN qt USING (qid, node) JOIN q ON q.qid = f.qid JOIN v ON v.vec_id = f.vec_id WHERE f.r <= quota GROUP BY f.qid, f.vec_id)) WHERE r <= 10", "ofilt", "ocand", "q", "v", qt="SELECT qid, node, CAST(ceil(50.0 * n / sum(n) OVER (PARTITION BY qid)) AS BIGINT) AS quota FROM (SELECT qid, node, count(*) AS n FROM ocand GROUP BY qid, node)"))
 def local_quota(spark, sf):
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     first = D.owner_filter(t.own(), t.post(), t.codes(), t.luts(), P.n, quota=True)
     return D.local_rerank(first, t.v, t.q, P.k)
 
 
 @query("A16_fan_out", sql("SELECT round(avg(n), 6) AS owners, round(avg(CAST(n = 1 AS INTEGER)), 6) AS one, round(avg(CAST(n <= 2 AS INTEGER)), 6) AS two, round(avg(n / 3.0), 6) AS entry_is_owner FROM (SELECT qid, count(DISTINCT node) AS n FROM own GROUP BY qid)", "own"))
 def fan_out(spark, sf):
-    return D.fan_out(Tables(spark, sf).own(), NODES)
+    return D.fan_out(Built(spark, sf).own(), NODES)
 
 
 CTE |= {
@@ -470,7 +507,7 @@ NEEDS |= {"scof": ["ocand"], "work": ["own", "scof", "merged", "seqlay"]}
 
 @query("A18_hot_owner", sql("SELECT round(max((s * 3 / sum_s + p * 3 / sum_p + c * 3 / sum_c) / 3), 6) AS hot FROM (SELECT *, sum(s) OVER () AS sum_s, sum(p) OVER () AS sum_p, sum(c) OVER () AS sum_c FROM (SELECT node, CAST(sum(scored) AS DOUBLE) AS s, CAST(sum(pages) AS DOUBLE) AS p, CAST(count(*) + count(*) FILTER (WHERE ids > 0) AS DOUBLE) AS c FROM work GROUP BY node))", "work"))
 def hot_owner(spark, sf):
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     return D.hot_owner(t.own(), t.post(), t.codes(), t.luts(), I.sequential_layout(t.v, VPP), P.n, NODES)
 
 
@@ -494,7 +531,7 @@ _OVER = {
 @query("A17_overhead", sql("""SELECT CAST(z.nodes AS INTEGER) AS nodes, round(z.f / z.q, 6) AS owners_f, round(z.r / z.q, 6) AS owners_r, round(z.scored / z.q, 6) AS scored, round(z.scored / o.scored, 6) AS scored_x1, round(z.pages / z.q, 6) AS pages, round(z.pages / o.pages, 6) AS pages_x1,
 round(z.merge_in / z.q, 6) AS merge_in, round(z.us / o.us, 6) AS work_x1, round(z.nodes * o.us / z.us, 6) AS speedup, hot, mismatches FROM zu z JOIN zu o ON o.nodes = 1 JOIN zh ON zh.nodes = z.nodes JOIN zx ON zx.nodes = z.nodes""", "nav", "lp", "post", "scored", "seqlay", "q", "v", **_OVER))
 def overhead(spark, sf):
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     return D.overhead(t.nav(), t.lp(), t, I.sequential_layout(t.v, VPP), [1, 2, 3, 8], PARTS, P)
 
 
@@ -512,7 +549,7 @@ _COST = {
 round(88.5::DOUBLE * owners + 0.093::DOUBLE * scored + 70.6::DOUBLE * answered + 6.2::DOUBLE * pages + 29.7::DOUBLE + 0.177::DOUBLE * answered * 10 + CASE WHEN fused THEN 0 ELSE 66.5::DOUBLE * answered + 29.7::DOUBLE + 0.177::DOUBLE * returned END, 4) AS work,
 round(29.7::DOUBLE + 0.177::DOUBLE * answered * 10 + CASE WHEN fused THEN slow ELSE slow_f + slow_r + 29.7::DOUBLE + 0.177::DOUBLE * returned END, 4) AS latency FROM tot""", "work", "merged", "ofilt", "seqlay", **_COST))
 def cost_model(spark, sf):
-    t = Tables(spark, sf)
+    t = Built(spark, sf)
     return D.strategy_costs(t.own(), t.post(), t.codes(), t.luts(), I.sequential_layout(t.v, VPP), P)
 
 
@@ -525,6 +562,6 @@ def overlap_at_k(spark, sf):
 @query("R11_selector", sql("SELECT qid, CAST(CASE WHEN bool_or(node = 1) THEN 1 WHEN count(DISTINCT node) = 1 THEN min(node) ELSE 1 END AS INTEGER) AS owner, CAST(([0, 2])[row_number() OVER (ORDER BY qid) % 2 + 1] AS INTEGER) AS warmup, 1 AS local FROM own GROUP BY qid", "own"))
 def selector(spark, sf):
     """Who merges the answers of queries that come in at node 1, by the three selectors; nodes 0 and 2 are no entries."""
-    own = Tables(spark, sf).own()
+    own = Built(spark, sf).own()
     pick = lambda df, name: df.withColumnRenamed("owner", name)
     return pick(D.pick_owner(own, 1), "owner").join(pick(D.pick_warmup(own, [0, 1, 2], [1]), "warmup"), "qid").join(pick(D.pick_entry(own, 1), "local"), "qid")

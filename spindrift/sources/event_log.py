@@ -15,6 +15,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from spindrift.shipping import ship
 from spindrift.sources.vecfiles import _open
 
 
@@ -103,6 +104,6 @@ class EventLog(DataSource):
 
 def stream(spark: SparkSession, path: str, position: str, batch_rows: int = 10_000, schema: str | None = None) -> DataFrame:
     """The rows of the files at path as a stream, at most batch_rows a batch. position: a file for this query alone."""
-    spark.dataSource.register(EventLog)
+    ship(spark).dataSource.register(EventLog)
     r = spark.readStream.format("eventlog")
     return (r.schema(schema) if schema else r).option("path", path).option("position", position).option("batch_rows", batch_rows).load()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spindrift.operators import distributed as D
 from spindrift.operators import index as I
+from spindrift.operators import train as T
 
 TABLES = ("heads", "postings", "codebook", "codes", "layout", "list_part")
 
@@ -40,18 +41,21 @@ class IndexDir:
         out.write(bytearray(json.dumps(meta, sort_keys=True).encode()))
         out.close()
 
-    def build(self, vectors: DataFrame, p: I.Params = I.Params(), parts: int = 8, vpp: int = 16, heads: DataFrame | None = None, codebook: DataFrame | None = None) -> None:
-        """Runs the stages that are not there yet. Another input or other parameters than the folder's raise ValueError."""
+    def build(self, vectors: DataFrame, p: I.Params = I.Params(), parts: int = 8, vpp: int = 16, heads: DataFrame | None = None, codebook: DataFrame | None = None, trained: bool = False) -> None:
+        """Runs the stages that are not there yet. Another input or other parameters than the folder's raise ValueError.
+
+        trained: heads are the middles of balanced clusters of the whole table and the codebook is trained on it, instead of ids
+        divisible by ten and the first vectors."""
         first = vectors.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("vec_id", "v").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum")).first()
-        meta = {"vectors": first["n"], "checksum": first["sum"], "m": p.m, "eps": p.eps, "replicas": p.replicas, "candidates": p.candidates, "parts": parts, "vpp": vpp}
+        meta = {"vectors": first["n"], "checksum": first["sum"], "m": p.m, "eps": p.eps, "replicas": p.replicas, "candidates": p.candidates, "parts": parts, "vpp": vpp, "trained": trained}
         old = self.meta()
         if old is not None and old != meta:
             raise ValueError(f"the folder holds an index of other data: {old}")
         self._save_meta(meta)
         stages = {
-            "heads": lambda: heads if heads is not None else I.heads_of(vectors),
+            "heads": lambda: heads if heads is not None else T.heads(vectors) if trained else I.heads_of(vectors),
             "postings": lambda: I.assign(vectors, self.read("heads"), p),
-            "codebook": lambda: codebook if codebook is not None else I.codebook_of(vectors, p.m),
+            "codebook": lambda: codebook if codebook is not None else T.train_codebook(vectors, p.m, iterations=10) if trained else I.codebook_of(vectors, p.m),
             "codes": lambda: I.encode(vectors, self.read("codebook"), p.m),
             "layout": lambda: I.bucket_layout(self.read("postings").where("rank = 1"), vpp).repartitionByRange("loc").sortWithinPartitions("loc"),
             "list_part": lambda: D.range_partitions(self.read("heads"), parts),

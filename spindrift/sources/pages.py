@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from spindrift.shipping import ship
 from spindrift.sources.vecfiles import DTYPES, _open
 
 #: Pages of a partition, and of a part as written.
@@ -169,14 +170,14 @@ def read_pages(spark: SparkSession, path: str, where: str | None = None) -> Data
     Spark keeps one reader for all uses of a relation in a plan, with the filters of the last: a plan that joins or unites different
     choices of pages calls this once for each."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(PageFile)
+    ship(spark).dataSource.register(PageFile)
     p = spark.read.format("pagefile").option("path", path).load()
     return p.where(where) if where else p
 
 
 def save_pages(vectors: DataFrame, layout: DataFrame, path: str, vpp: int, page_bytes: int = 4096, dtype: str = "float32") -> None:
     """vectors (vec_id, embedding) at the locations of layout (vec_id, page, loc). Two vectors at one location are an error."""
-    vectors.sparkSession.dataSource.register(PageFile)
+    ship(vectors.sparkSession).dataSource.register(PageFile)
     rows = layout.join(vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")), "vec_id")
     parts = max(1, -(-layout.agg(F.countDistinct("page")).first()[0] // PART_PAGES))
     rows = rows.repartitionByRange(parts, "page").sortWithinPartitions("loc").select(F.col("page").cast("long").alias("page"), F.lit(0).alias("slot"), F.col("loc").cast("long").alias("loc"), "embedding")

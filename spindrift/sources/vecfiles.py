@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from spindrift.shipping import ship
+
 DTYPES = {"uint8": np.uint8, "int8": np.int8, "float32": np.dtype("<f4")}
 #: Fixed values of the formats.
 EXTENSIONS = {"u8bin": "uint8", "i8bin": "int8", "fbin": "float32", "bvecs": "uint8", "fvecs": "float32"}
@@ -266,6 +268,7 @@ class TruthFile(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(VectorFile)
     spark.dataSource.register(TruthFile)
 

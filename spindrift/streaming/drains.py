@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from spindrift.shipping import ship
+
 OUT = "node long, epoch long, done_us long"
 
 
@@ -59,7 +61,7 @@ def drained(spark: SparkSession, told: DataFrame) -> DataFrame:
 
 def run(pinned: DataFrame, table: str, checkpoint: str, late: str = "1 hour"):
     """The started query that appends drains() to a table, all that is there at a time."""
-    spark = pinned.sparkSession
+    spark = ship(pinned.sparkSession)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     w = drains(pinned, late).writeStream.format("parquet").outputMode("append").option("path", table).option("checkpointLocation", checkpoint)
     return w.trigger(availableNow=True).start()

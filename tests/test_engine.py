@@ -369,6 +369,24 @@ def test_codebook_training_lowers_the_error(tables):
     assert train.quantizer_error(tables.v, train.train_codebook(tables.v, 8, iterations=5, first=some), 8).agg(F.sum("error")).first()[0] < train.quantizer_error(tables.v, some, 8).agg(F.sum("error")).first()[0]
 
 
+def test_trained_folder(tables, spark, tmp_path):
+    """An index whose heads and codebook come from the whole table: complete, and its search finds more than the recipe's."""
+    v = I.read_vectors(spark, "/root/testdata/sf0.01")
+    q = I.query_set(v)
+    truth = I.exact_knn(q, v, 10)
+    got = []
+    for trained in (False, True):
+        d = IndexDir(spark, str(tmp_path / str(trained)))
+        d.build(v, trained=trained)
+        assert set(d.validate().values()) == {0}
+        got.append(D.recall(truth, AnnIndex(d, v).search(q, I.Params(nprobe=16, n=100)), 10).first()["recall"])
+    heads = d.read("heads").collect()
+    assert len(heads) >= v.count() / 15 and sorted(h["list_id"] for h in heads) == list(range(len(heads)))
+    assert got[1] >= 0.95 and got[1] >= got[0] - 0.02
+    with pytest.raises(ValueError):
+        d.build(v)
+
+
 def test_index_folder(tables, spark, tmp_path):
     d = IndexDir(spark, str(tmp_path / "ix"))
     d.build(tables.v)
@@ -429,7 +447,8 @@ def test_files_in_parts(spark, tmp_path):
     assert rows(vecfiles.read_vectors(spark, path), "vec_id", "embedding") == rows(df, "vec_id", "embedding")
     assert rows(vecfiles.read_vectors(spark, path, max_n=333), "vec_id", "embedding") == rows(df.where("vec_id < 333"), "vec_id", "embedding")
     one = rows(vecfiles.read_vectors(spark, parts[1]), "embedding")  # a part is a file of the format
-    assert one == rows(df.where(F.col("vec_id").between(n := vecfiles.read_vectors(spark, parts[0]).count(), n + len(one) - 1)), "embedding")
+    n = vecfiles.read_vectors(spark, parts[0]).count()
+    assert one == rows(df.where(F.col("vec_id").between(n, n + len(one) - 1)), "embedding")
     vecfiles.save_bin(df.limit(0), str(tmp_path / "none.fbin"))
     assert vecfiles.read_vectors(spark, str(tmp_path / "none.fbin")).count() == 0
     with pytest.raises(Exception, match="dimensions"):
