@@ -82,8 +82,13 @@ def _neighbours_meet(edges: DataFrame, nodes: DataFrame, degree: int) -> DataFra
     return rows.groupBy("b").applyInArrow(meet, "id bigint, to bigint, dist bigint")
 
 
-def build(nodes: DataFrame, degree: int = 16, reach: int = 32, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """nodes: (id long, v array<long>). The edges (id, to, dist), a staged table, and the entries (id, v), staged too."""
+def build(nodes: DataFrame, degree: int | None = None, reach: int | None = None, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """nodes: (id long, v array<long>). The edges (id, to, dist), a staged table, and the entries (id, v), staged too.
+
+    degree: by default 2.5 times the binary logarithm of the number of nodes, as what a search needs to find its way grows with it; reach:
+    twice the degree."""
+    degree = degree or max(4, math.ceil(2.5 * math.log2(max(2, nodes.count()))))
+    reach = reach or 2 * degree
     entries = staged(entries_of(nodes), "entries")
     cells = entries.select(F.col("id").cast("int"), "v")
     two = nearest(nodes, cells, 2).select(F.col("id").cast("int").alias("cell"), F.col("qid").alias("id"), F.col("rank").alias("nth"))

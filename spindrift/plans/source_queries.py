@@ -162,7 +162,7 @@ def coarse_navigation(spark, sf):
 
 
 def _graph(t):
-    return graph.build(t.h.select(F.col("list_id").alias("id"), F.col("hv").alias("v")), degree=12, reach=20)
+    return graph.build(t.h.select(F.col("list_id").alias("id"), F.col("hv").alias("v")))
 
 
 @query("B12_proximity_graph")
@@ -175,7 +175,7 @@ def proximity_graph(spark, sf):
 def graph_navigate(spark, sf):
     """The nearest lists by the proximity graph: per query how many heads were met, of how many, and the share of the exact answer found."""
     t = Tables(spark, sf)
-    near, seen = I.navigate_graph(t.q, t.h, _graph(t), 8, beam=12)
+    near, seen = I.navigate_graph(t.q, t.h, _graph(t), 8, beam=10)
     found = t.nav().select("qid", "list_id").join(near.select("qid", "list_id", F.lit(1).alias("hit")), ["qid", "list_id"], "left")
     recall = found.groupBy("qid").agg(F.count("hit").alias("found"), (F.count("hit") / F.count("*")).alias("recall"))
     return recall.join(seen, "qid").withColumn("heads", F.lit(t.h.count()))
