@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from spindrift.shipping import ship
 
+#: Rows and queries of blocks whose pairs are all asked for.
+PAIRED = 1024, 512
 #: Rows of a row block and of a query block; query blocks that share a task, so that a row block is copied less often.
 ROWS, QUERIES, GROUP = 8192, 1024, 4
 
@@ -114,3 +116,42 @@ def nearest_at_cost(queries: DataFrame, rows: DataFrame, k: int, row_block: int
     cell = F.lit(0).alias("cell")
     r = rows.select(cell, "id", F.concat("v", F.array(F.col("cost").cast("long"))).alias("v"))
     return _best(*_pack(queries.select(cell, "id", "v"), query_block), *_pack(r, row_block), k, cost=True)
+
+
+def all_pairs(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """queries, rows: (id, v array<double> of one length). qid, id, dist of every pair: squares summed from the left, null if a vector or a
+    component is. Blocks meet as in nearest(); the pairs of two blocks are what a task holds."""
+    ship(rows.sparkSession)
+    nr, nq = (max(1, -(-df.count() // size)) for df, size in zip((rows, queries), PAIRED))
+    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    r = rows.select(of(nr).alias("b"), every(nq).alias("g"), "id", "v")
+    q = queries.select(every(nr).alias("b"), of(nq).alias("g"), "id", "v")
+
+    def meet(left, right):
+        (b, y, there), (a, x, asked) = _plain(left), _plain(right)
+        d = np.zeros((len(a), len(b)))
+        if len(a) and len(b) and x.shape == (len(a), y.shape[1]):
+            cols = np.ascontiguousarray(y.T)
+            for i in range(0, len(a), 32):
+                for c, z in enumerate(cols):
+                    diff = x[i : i + 32, c, None] - z
+                    d[i : i + 32] += diff * diff
+        else:
+            asked = np.zeros(len(a), bool)
+        known = (asked[:, None] & there).ravel()
+        return pa.table([pa.array(np.repeat(a, len(b))), pa.array(np.tile(b, len(a))), pa.array(d.ravel(), mask=~known)], names=["qid", "id", "dist"])
+
+    return r.groupBy("b", "g").cogroup(q.groupBy("b", "g")).applyInArrow(meet, "qid bigint, id bigint, dist double")
+
+
+def _plain(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, vectors and which are there in full; the others are zeros."""
+    v = t["v"].combine_chunks()
+    size = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat, wide = v.flatten(), int(size.max(initial=0))
+    holes = np.add.reduceat(np.append(flat.is_null().to_numpy(zero_copy_only=False), False).astype(int), np.minimum(np.cumsum(size) - size, len(flat))) if len(size) else size
+    full = (size == wide) & v.is_valid().to_numpy(zero_copy_only=False) & ~((size > 0) & (holes > 0))
+    x = np.zeros((len(size), wide))
+    x[full] = flat.to_numpy(zero_copy_only=False)[np.repeat(full, size)].reshape(-1, wide) if wide else 0
+    return t["id"].to_numpy(), x, full

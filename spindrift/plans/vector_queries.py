@@ -9,6 +9,7 @@ from spindrift.functions import vectors as V
 from spindrift.operators import distributed as D
 from spindrift.operators import index as I
 from spindrift.operators import train
+from spindrift.operators.blocks import all_pairs
 from spindrift.plans.declare import query
 from spindrift.sources.index_dir import IndexDir
 
@@ -155,11 +156,16 @@ def exact_knn(spark, sf):
     return I.exact_knn(t.q, t.v, P.k)
 
 
-@query("P1_l2_int", sql(f"SELECT qid, vec_id, {l2('qv', 'v')} AS dist FROM cand JOIN q USING (qid) JOIN v USING (vec_id)", "cand", "q", "v"))
+def _pairs(queries, rows):
+    """qid, vec_id, dist of two tables of an id and a vector."""
+    of = lambda df: df.select(F.col(df.columns[0]).alias("id"), F.col(df.columns[1]).cast("array<double>").alias("v"))
+    return all_pairs(of(queries), of(rows)).withColumnRenamed("id", "vec_id")
+
+
+@query("P1_l2_int", sql(f"SELECT qid, vec_id, {l2('qv', 'v')} AS dist FROM q, v", "q", "v"))
 def l2_int(spark, sf):
-    """Exact distances of the candidates that the probed lists name."""
-    t = Built(spark, sf)
-    return t.candidates().join(t.v, "vec_id").join(t.q, "qid").select("qid", "vec_id", V.unrolled_l2sqr(F.col("qv"), F.col("v"), 64).alias("dist"))
+    t = Tables(spark, sf)
+    return _pairs(t.q.select("qid", "qv"), t.v).withColumn("dist", F.col("dist").cast("long"))
 
 
 @query("P2_l2_float", sql("""SELECT qid, c.vec_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) AS dist

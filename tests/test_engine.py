@@ -1,5 +1,6 @@
 """Golden values, round trips, state machines and metamorphic properties of the engine."""
 
+import functools
 from collections import Counter
 from pathlib import Path
 
@@ -151,6 +152,28 @@ def test_distance_kernels(spark):
     assert [V.default_pq_m(d) for d in (64, 12, 6, 7)] == [8, 3, 3, 7]
 
 
+@pytest.mark.parametrize("name", ["P1_l2_int", "P2_l2_float", "P3_l2_mixed"])
+def test_distances_of_all_pairs(spark, sf, name):
+    """Each query of the query set beside every vector."""
+    from spindrift.plans import registry
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    got = registry.QUERIES[name](spark, sf).select("qid", "vec_id").distinct().count()
+    assert got == e.count() * e.where("vec_id % 50 = 0").count()
+
+
+def test_pairs_of_blocks_and_nulls(spark, monkeypatch):
+    from spindrift.operators import blocks
+
+    monkeypatch.setattr(blocks, "PAIRED", (3, 2))
+    gen = np.random.default_rng(7)
+    v = {i: gen.normal(size=5).tolist() for i in range(11)} | {20: None, 21: [1.0, None, 2.0, 3.0, 4.0]}
+    df = spark.createDataFrame(list(v.items()), "id long, v array<double>")
+    got = {(r["qid"], r["id"]): r["dist"] for r in blocks.all_pairs(df.where("id % 2 = 0"), df).collect()}
+    want = {(i, j): None if i > 11 or j > 11 else functools.reduce(lambda s, x: s + (x[0] - x[1]) * (x[0] - x[1]), zip(v[i], v[j]), 0.0) for i in v if i % 2 == 0 for j in v}
+    assert got == want
+
+
 def test_every_list_and_code_gives_exact_answers(tables):
     p = I.Params(nprobe=50, n=500)
     f = I.filter_stage(I.gather(I.navigate(tables.q, tables.h, p.nprobe), tables.post()), tables.codes(), tables.luts(), p.n)
