@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.folders import shared
-from spindrift.functions import vectors as V
 from spindrift.operators import distributed as D
 from spindrift.operators import index as I
 from spindrift.operators import train
@@ -99,9 +98,6 @@ class Tables:
     def gathered(self):
         return I.gather(self.nav(), self.post())
 
-    def candidates(self):
-        return self.gathered().select("qid", "vec_id").distinct()
-
     def filt(self):
         return I.filter_stage(self.gathered(), self.codes(), self.luts(), P.n, m=P.m)
 
@@ -260,10 +256,11 @@ def decode(spark, sf):
     return I.decode(t.codes(), t.cb())
 
 
-@query("P3_l2_mixed", sql("SELECT c.qid, c.vec_id, list_sum(list_transform(list_zip(qv, embedding), lambda p: (CAST(p[1] AS DOUBLE) / 256 - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) / 256 - CAST(p[2] AS DOUBLE)))) AS dist FROM cand c JOIN q ON q.qid = c.qid JOIN embeddings b ON b.vec_id = c.vec_id", "cand", "q"))
+@query("P3_l2_mixed", sql("SELECT q.qid, b.vec_id, list_sum(list_transform(list_zip(qv, embedding), lambda p: (CAST(p[1] AS DOUBLE) / 256 - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) / 256 - CAST(p[2] AS DOUBLE)))) AS dist FROM q, embeddings b", "q"))
 def l2_mixed(spark, sf):
-    e, t = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding"), Built(spark, sf)
-    return t.candidates().join(e, "vec_id").join(t.q, "qid").select("qid", "vec_id", V.l2sqr_mixed(F.col("qv"), F.col("embedding")).alias("dist"))
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    typed = F.transform("qv", lambda x: x.cast("double") / F.lit(256.0)).alias("v")
+    return _pairs(Tables(spark, sf).q.select("qid", typed), e)
 
 
 @query("P4_lut", sql("SELECT qid, sub, code, dist FROM lut1", "lut1"))
