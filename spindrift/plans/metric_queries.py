@@ -112,17 +112,23 @@ def drain_times(spark, sf):
     return m.select("epoch", F.max("done").over(Window.orderBy("epoch")).alias("drained_us"))
 
 
+#: Groups of nodes whose queries the stream keeps together.
+_GROUPS = 64
+
+
 @query("T8_stream_drains", SQL["M17_drain_times"])
 def stream_drains(spark, sf):
-    """M17's drain times from a stream with keyed state and timers. A last row, far in the future, closes what the watermark has not passed."""
+    """M17's drain times from a stream with keyed state and timers. A last row, far in the future, closes what the watermark has not passed.
+
+    Only the last end on any node is asked for, so nodes are dealt over groups, and the state has an entry per group and epoch however many nodes there are."""
     from spindrift.folders import shared
     from spindrift.streaming import drains
 
     where = shared(spark, "drains")
     q = M.as_of_epochs(_s(spark, sf).select("event_id", "ts"), _epochs(spark, sf)).join(_s(spark, sf).select("event_id", "us", "node"), "event_id").where("epoch is not null")
-    rows = q.select("node", "epoch", "ts", (F.unix_micros("ts") + F.col("us")).alias("done_us")).where("done_us is not null")
+    rows = q.select(F.pmod(F.xxhash64("node"), F.lit(_GROUPS)).alias("node"), "epoch", "ts", (F.unix_micros("ts") + F.col("us")).alias("done_us")).where("done_us is not null")
     rows.write.parquet(f"{where}/in")
-    end = rows.agg((F.max("done_us") + 60 * 86_400_000_000).alias("at")).select(F.lit(-1).cast("long").alias("node"), F.lit(-1).cast("long").alias("epoch"), F.timestamp_micros("at").alias("ts"), F.col("at").alias("done_us"))
+    end = spark.read.schema(rows.schema).parquet(f"{where}/in").agg((F.max("done_us") + 60 * 86_400_000_000).alias("at")).select(F.lit(-1).cast("long").alias("node"), F.lit(-1).cast("long").alias("epoch"), F.timestamp_micros("at").alias("ts"), F.col("at").alias("done_us"))
     end.write.mode("append").parquet(f"{where}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{where}/in")
     drains.run(stream, f"{where}/out", f"{where}/state", "30 days").awaitTermination()

@@ -34,7 +34,8 @@ class Drain(StatefulProcessor):
         yield pd.DataFrame({"node": [], "epoch": [], "done_us": []}).astype("int64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
+        # all that the watermark has passed goes with the first timer, so that many timers do not read the map again and again
+        at = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         over = [(int(k[0]), int(v[0])) for k, v in self.ends.iterator() if v[0] <= at * 1000]
         for epoch, _ in over:
             self.ends.removeKey((epoch,))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.operators import index, metrics, placement, ranking, stores
 from spindrift.streaming import arrivals
@@ -115,6 +116,21 @@ def test_drains_of_a_stream(spark, tmp_path):
     assert rows(drains.drained(spark, table), "epoch", "drained_us") == [(1, (first + 13) * minute), (2, (first + 41) * minute)]
 
 
+def test_drains_keep_few_entries(spark, sf, tmp_path, monkeypatch):
+    """The drain times of many nodes, one of them null: the state is asked for an epoch of a group of nodes, not of a node."""
+    from spindrift.plans import registry
+    from spindrift.streaming import drains
+
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("user_id", F.when(F.col("event_id") % 7 > 0, F.col("event_id")))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    keys, run = [], drains.run
+    monkeypatch.setattr(drains, "run", lambda pinned, *a: keys.append(pinned) or run(pinned, *a))
+    got = rows(registry.QUERIES["T8_stream_drains"](spark, str(tmp_path)), "epoch", "drained_us")
+    assert got == rows(registry.QUERIES["M17_drain_times"](spark, str(tmp_path)), "epoch", "drained_us")
+    folder = keys[0].inputFiles()[0].rsplit("/", 1)[0]
+    assert spark.read.parquet(folder).where("node >= 0").select("node").distinct().count() <= 64
+
+
 def test_event_log_batches(spark, tmp_path):
     """At most so many rows a batch, over files and row groups, across a restart and files that come later; each row once."""
     import pyarrow as pa
