@@ -3,7 +3,7 @@
 Rows are packed into blocks by hash; each query block meets each row block through an equi-join on both blocks' numbers, so
 the number of tasks grows with the rows however few the queries are. A pair of blocks is one matrix product (exact:
 integers below 2^53) and leaves k rows per query, so what is shuffled afterwards is k rows per query and row
-block. Blocks bound a task's memory.
+block. Blocks bound a task's memory, and a task holds a slice of their product at a time.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from spindrift.shipping import ship
 PAIRED = 1024, 512
 #: Rows of a row block and of a query block; query blocks that share a task, so that a row block is copied less often.
 ROWS, QUERIES, GROUP = 8192, 1024, 4
+#: Distances that a task holds at a time: a block's queries meet the rows in slices of so many, whatever the blocks' sizes.
+HELD = 1 << 18
 
 
 def _pack(df: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -60,27 +62,38 @@ def _best(q: DataFrame, nq: DataFrame, r: DataFrame, nr: DataFrame, k: int, cost
     q = q.withColumn("g", F.expr(f"cast(b div {GROUP} as int)")).drop("b").join(nr, "cell").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).select("cell", "b", "g", "ids", "data")
 
     def meet(left, right):
-        b, y = _unpacked(left, True)
-        out = []
-        for n in range(right.num_rows):
-            a, x = _unpacked(right.slice(n, 1))
-            if not len(b):
-                continue
-            more, z = (y[:, -1], y[:, :-1]) if cost else (0.0, y)
-            d = (x * x).sum(axis=1)[:, None] + ((z * z).sum(axis=1) + more)[None, :] - 2 * (x @ z.T)
+        return _meet(left, right, k, cost, within)
+
+    found = r.groupBy("cell", "b", "g").cogroup(q.groupBy("cell", "b", "g")).applyInArrow(meet, "qid bigint, id bigint, dist bigint")
+    w = Window.partitionBy("qid").orderBy("dist", "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _meet(left: pa.Table, right: pa.Table, k: int, cost: bool, within: float | None) -> pa.Table:
+    """What a block of rows (left) is to blocks of queries, slice by slice of HELD distances."""
+    if not left.num_rows or not right.num_rows:
+        return pa.table([pa.array([], "int64")] * 3, names=["qid", "id", "dist"])
+    b, y = _unpacked(left, True)
+    more, z = (y[:, -1], np.ascontiguousarray(y[:, :-1])) if cost else (0.0, y)
+    size = ((z * z).sum(axis=1) + more)[None, :]
+    step = max(1, HELD // len(b))
+    out = []
+    for n in range(right.num_rows):
+        ids, vectors = _unpacked(right.slice(n, 1))
+        for i in range(0, len(ids), step):
+            a, x = ids[i : i + step], vectors[i : i + step]
+            d = x @ z.T
+            d *= -2
+            d += (x * x).sum(axis=1)[:, None] + size
             if within is not None:
-                i, j = _near(d, k, within)
-                out.append((a[i], b[j], np.rint(d[i, j]).astype("int64")))
+                q, j = _near(d, k, within)
+                out.append((a[q], b[j], np.rint(d[q, j]).astype("int64")))
                 continue
             best = _first(d, k)
             got = np.take_along_axis(d, best, axis=1)
             out.append((np.repeat(a, best.shape[1]), b[best].ravel(), np.rint(got).astype("int64").ravel()))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.array([], "int64")] * 3
-        return pa.table([pa.array(c, "int64") for c in cols], names=["qid", "id", "dist"])
-
-    found = r.groupBy("cell", "b", "g").cogroup(q.groupBy("cell", "b", "g")).applyInArrow(meet, "qid bigint, id bigint, dist bigint")
-    w = Window.partitionBy("qid").orderBy("dist", "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    cols = [np.concatenate(c) for c in zip(*out)]
+    return pa.table([pa.array(c, "int64") for c in cols], names=["qid", "id", "dist"])
 
 
 def _first(d: np.ndarray, k: int) -> np.ndarray:

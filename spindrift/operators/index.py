@@ -157,6 +157,13 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
 
 
+def _slices(batches, size: int):
+    """The batches, at most size rows at a time: what a task works out of them grows with no setting and no table."""
+    for b in batches:
+        for i in range(0, b.num_rows, size):
+            yield b.slice(i, size)
+
+
 def sub_space_distances(x: np.ndarray, words: np.ndarray):
     """For each sub-space, squared distances (row, code); exact, as all numbers are integers below 2^53."""
     d = words.shape[2]
@@ -171,7 +178,7 @@ def encode(vectors: DataFrame, codebook: DataFrame, m: int) -> DataFrame:
     words = codewords(codebook, m)
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches, 1024):
             if b.num_rows:
                 best = np.stack([d.argmin(axis=1) for d in sub_space_distances(_matrix(b.column(1)), words)], axis=1)
                 codes = pa.ListArray.from_arrays(pa.array(np.arange(0, best.size + 1, m), "int32"), pa.array(best.astype("int32").ravel()))
@@ -192,7 +199,7 @@ def distance_tables(queries: DataFrame, codebook: DataFrame, m: int) -> DataFram
     words = codewords(codebook, m)
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches, 128):
             if b.num_rows:
                 lut = np.stack(list(sub_space_distances(_matrix(b.column(1)), words)), axis=1)
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, lut.size + 1, lut.shape[2]), "int32"), pa.array(np.rint(lut).astype("int64").ravel()))

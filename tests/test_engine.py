@@ -253,6 +253,41 @@ def test_assignment_of_ties_and_copies(spark, monkeypatch):
             assert rows(I.assign_coarse(v, h, cells, probes, p), "vec_id", "list_id", "rank", "dist") == sorted(want)
 
 
+@pytest.mark.parametrize("within", [None, 1.1])
+def test_blocks_are_met_in_slices(within):
+    """Full blocks take a few MB beside themselves, not their whole product (67 MB) several times."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from spindrift.operators import blocks
+
+    gen = np.random.default_rng(3)
+    pack = lambda n: (np.arange(n), gen.integers(-300, 300, (n, 8)))
+    (b, y), (a, x) = pack(blocks.ROWS), pack(blocks.QUERIES)
+    left, right = (pa.table({"ids": [i.astype("<i8").tobytes()], "data": [v.astype("<f8").tobytes()]}) for i, v in ((b, y), (a, x)))
+    tracemalloc.start()
+    got = blocks._meet(left, right, 10, False, within)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    for q in (0, 31, 32, 1023):
+        d = ((y - x[q]) ** 2).sum(axis=1)
+        want = [(int(d[i]), int(i)) for i in np.lexsort((b, d))[:10] if within is None or d[i] <= d.min() * within]
+        of = got["qid"].to_numpy() == q
+        have = sorted(zip(got["dist"].to_numpy()[of].tolist(), got["id"].to_numpy()[of].tolist()))
+        assert [w for w in have if within is None or w[0] <= d.min() * within] == want
+
+
+def test_batches_in_slices():
+    """A batch of many queries is worked out some at a time."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"n": list(range(1000))})
+    got = list(I._slices([batch], 128))
+    assert max(g.num_rows for g in got) == 128 and pa.Table.from_batches(got)["n"].to_pylist() == batch["n"].to_pylist()
+
+
 def test_first_of_rows():
     from spindrift.operators.blocks import _first
 
