@@ -128,6 +128,8 @@ def fan_out(owned: DataFrame, nodes: int) -> DataFrame:
     return n.agg(share("n", "owners"), share((F.col("n") == 1).cast("int"), "one"), share((F.col("n") <= 2).cast("int"), "two"), share(F.col("n") / F.lit(float(nodes)), "entry_is_owner"))
 
 
+#: Queries whose candidates a task tells apart.
+APART = 128
 #: Microseconds: a remote call, a filter call, one scored candidate (fixed values of the cost model).
 RPC, FILTER, SCORED = 66.5, 22.0, 0.093
 #: A re-ranking call, one page read, a merge, one merged candidate (fixed values of the cost model).
@@ -136,8 +138,11 @@ COSTED = ["two-phase", "two-phase+1", "local", "local-quota"]
 
 
 def _passed(owned: DataFrame, postings: DataFrame, codes: DataFrame, luts: DataFrame, n: int, keys: tuple = ()) -> tuple[DataFrame, DataFrame]:
-    """Each owner's number of distinct candidates, and its first n. A pair of query and vector is scored once, however many owners it has."""
-    c = owned.join(postings.select("list_id", "vec_id"), "list_id").select(*keys, "qid", "node", "vec_id").distinct()
+    """Each owner's number of distinct candidates, and its first n. A pair of query and vector is scored once, however many owners it has.
+
+    Candidates are many more than the probed lists they come from, so they are dealt by the number of queries, not by the size of those."""
+    parts = max(1, -(-luts.select("qid").count() // APART))
+    c = owned.join(postings.select("list_id", "vec_id"), "list_id").select(*keys, "qid", "node", "vec_id").repartition(parts, "qid").distinct()
     adc = I.score(c.select("qid", "vec_id").distinct(), codes, luts).select("qid", "vec_id", "adc")
     n_of = c.groupBy(*keys, "qid", "node").agg(F.count("*").alias("scored"))
     return n_of, I.top(c.join(adc, ["qid", "vec_id"]), "adc", n, (*keys, "qid", "node"))

@@ -305,6 +305,13 @@ def test_two_phase_any_placement(tables, spark):
         assert rows(D.two_phase(own, tables.post(), tables.codes(), tables.luts(), tables.v, tables.q, p), "qid", "rank", "vec_id") == want
 
 
+def test_candidates_are_dealt_by_queries(tables, monkeypatch):
+    monkeypatch.setattr(D, "APART", 3)
+    n, _ = D._passed(tables.own(), tables.post(), tables.codes(), tables.luts(), 50)
+    plan = n._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-tables.q.count() // 3)}), REPARTITION_BY_NUM" in plan
+
+
 def test_not_resident(tables, spark):
     with pytest.raises(NotResident):
         I.gather(tables.nav(), tables.post(), spark.createDataFrame([(0,)], "list_id long"))
