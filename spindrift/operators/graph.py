@@ -6,7 +6,8 @@ each finds the others. What a round costs grows with nodes * degree. In the end
 
 Search: a query begins at its nearest entries. A round follows the edges of the open nodes of its beam (the `beam` nearest so far),
 measures the nodes it has not seen and opens those that come into the beam; it ends when no query has an open node. So frontier rows
-are (query, node), joined with edges by node and with vectors by node and query. Nothing is collected but a count a round.
+are (query, node), joined with edges by node and with vectors by node and query. Nothing is collected but a count a round,
+and these joins are merges: what is broadcast passes through the driver, and again in each round.
 Distances are exact; which nodes are reached is not proven, so recall is to be measured (navigate's answer is the exact one).
 
 Defined cases: fewer nodes than a beam are all found if the graph connects them; no node gives no row; equal distances are ordered by id.
@@ -51,7 +52,7 @@ def _neighbours_meet(edges: DataFrame, nodes: DataFrame, degree: int) -> DataFra
     back = edges.select(F.col("to").alias("id"), F.col("id").alias("to"), "dist")
     around = edges.unionByName(_best(back, degree)).select("id", "to").distinct()
     ship(nodes.sparkSession)
-    rows = around.join(nodes.select(F.col("id").alias("to"), "v"), "to")
+    rows = around.join(nodes.select(F.col("id").alias("to"), "v").hint("merge"), "to")
     buckets = max(1, -(-nodes.count() // BUCKET))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(buckets)))
 
@@ -92,7 +93,7 @@ def build(nodes: DataFrame, degree: int | None = None, reach: int | None = None,
     entries = staged(entries_of(nodes), "entries")
     cells = entries.select(F.col("id").cast("int"), "v")
     two = nearest(nodes, cells, 2).select(F.col("id").cast("int").alias("cell"), F.col("qid").alias("id"), F.col("rank").alias("nth"))
-    placed = staged(two.join(nodes, "id"), "cells")
+    placed = staged(two.join(nodes.hint("merge"), "id"), "cells")
     asked, there = placed.select("cell", "id", "v"), placed.select("cell", "id", "v")
     found = nearest_in_cells(asked, there, degree + 1).select(F.col("qid").alias("id"), F.col("id").alias("to"), "dist").where("id <> to")
     edges = staged(_best(found, degree), "edges")
@@ -118,14 +119,14 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, entries: Data
         frontier = ranked.where((F.col("__r") <= beam) & F.col("open")).select("qid", "id")
         if frontier.limit(1).count() == 0:
             break
-        reached = frontier.join(graph.select("id", "to"), "id").select("qid", F.col("to").alias("id")).distinct()
-        new = reached.join(seen.select("qid", "id"), ["qid", "id"], "left_anti")
-        new = new.join(nodes, "id").join(asked, "qid").select("qid", "id", l2sqr(F.col("v"), F.col("qv")).alias("dist"), F.lit(True).alias("open"))
+        reached = frontier.join(graph.select("id", "to").hint("merge"), "id").select("qid", F.col("to").alias("id")).distinct()
+        new = reached.join(seen.select("qid", "id").hint("merge"), ["qid", "id"], "left_anti")
+        new = new.join(nodes.hint("merge"), "id").join(asked.hint("merge"), "qid").select("qid", "id", l2sqr(F.col("v"), F.col("qv")).alias("dist"), F.lit(True).alias("open"))
         old = ranked.select("qid", "id", "dist", (F.col("open") & (F.col("__r") > beam)).alias("open"))
         after = staged(old.unionByName(new), "seen")
         discard(seen)
         seen = after
     best = seen.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", F.col("rank").cast("int").alias("rank"), "id", "dist")
     others = entries.count()
-    counts = seen.join(entries.select("id", F.lit(1).alias("e")), "id", "left").groupBy("qid").agg((F.count_if(F.col("e").isNull()) + others).alias("seen"))
+    counts = seen.join(entries.select("id", F.lit(1).alias("e")).hint("merge"), "id", "left").groupBy("qid").agg((F.count_if(F.col("e").isNull()) + others).alias("seen"))
     return best, counts

@@ -213,6 +213,18 @@ def test_graph_navigation(tables, spark):
     assert np.mean([r["seen"] for r in seen.collect()]) < h.count()
 
 
+def test_graph_search_broadcasts_nothing(tables, monkeypatch):
+    """Small tables too are merged in the rounds: broadcasts of every round would add up at the driver."""
+    from spindrift.operators import graph
+
+    nodes = tables.h.select(F.col("list_id").alias("id"), F.col("hv").alias("v"))
+    made = graph.build(nodes)
+    plans, staged = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or staged(df, name))
+    graph.search(tables.q.select(F.col("qid").alias("id"), F.col("qv").alias("v")), nodes, *made, 8)
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans[1:])
+
+
 def test_graph_of_few_and_equal_nodes(spark):
     """Fewer nodes than a beam, one node, none; many nodes at one place."""
     from spindrift.operators import graph
